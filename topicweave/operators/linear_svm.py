@@ -6,8 +6,10 @@ Each problem is one class against the rest, for one C, on one subset of the rows
 
 with the bias as one more, regularised, weight. Balanced class weights apply to the positive side, n / (k * n_c);
 with only two classes both sides carry the weight of their class. The objective is smooth and convex, so
-any convergent method finds the same weights; here it is L-BFGS, where one pass over the blocks evaluates the loss and gradient of
-every problem at its own trial point. A problem that has converged leaves the pass. The driver holds weights only.
+any convergent method finds the same weights. One pass over the blocks evaluates loss and gradient of every problem at
+its own trial point, and a problem that has converged leaves the pass. Directions come from L-BFGS while many problems
+are open; once the curvature matrices of the open ones are small enough to sum, from Newton's method, which needs few
+further passes even where C is large and L-BFGS would crawl. The driver holds weights and these matrices only.
 """
 
 from __future__ import annotations
@@ -30,11 +32,14 @@ from topicweave.operators.metrics import macro_f1, pair_counts
 from topicweave.session import staged
 
 BLOCK_SCHEMA = "n int, d int, x binary, y binary, member binary"
-PARTITION_BYTES = 128 << 20
+PARTITION_BYTES = 128 << 20  # more than this per partition means another partition
+SMALL_BYTES = 64 << 10  # less than this is not worth a task of its own
 BLOCK_ROWS = 2048
 TRAIN, EVALUATE, UNUSED = 1, 2, 0
 DRIVER_BYTES = 64 << 20
+CURVATURE_BYTES = 8 << 20  # per task
 HISTORY = 10
+STEPS = 0.5 ** np.arange(12)
 
 
 @dataclass
@@ -92,7 +97,9 @@ def pack_blocks(
         raise ValueError("training needs at least two classes")
     dim, total = stats[0]["d"], sum(r["n"] for r in stats)
     counts = np.array([[r[f"s{i}"] for r in stats] for i in range(len(subsets))], dtype=np.int64)
-    parts = max(spark.sparkContext.defaultParallelism, int(total * dim * 4 / PARTITION_BYTES) + 1)
+    size = total * dim * 4
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(min(cores, size // SMALL_BYTES + 1), size // PARTITION_BYTES + 1)
     member = F.array(*[s.cast("tinyint") for s in subsets])
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     slim = df.select(
@@ -136,15 +143,16 @@ def _batch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from b.to_pylist()
 
 
-def _loss_and_gradient(blocks: Blocks, weights, target, subset, pos_cost, neg_cost):
-    """Summed loss and gradient of each problem; the rows of the result follow the problems."""
+def _loss_and_gradient(blocks: Blocks, weights, target, subset, pos_cost, neg_cost, curvature=False):
+    """Summed loss, gradient and (if asked for) curvature matrix of each problem; the results follow the problems."""
     spark = blocks.table.sparkSession
     m, d1 = weights.shape
+    width = d1 + d1 * d1 if curvature else d1
     shared = spark.sparkContext.broadcast((weights.T.copy(), target, subset, pos_cost, neg_cost))
 
     def run(batches):
         w, tgt, sub, cp, cn = shared.value
-        loss, grad = np.zeros(m), np.zeros((m, d1))
+        loss, out = np.zeros(m), np.zeros((m, width))
         for row in _batch_rows(batches):
             x, y, member = _read_block(row)
             positive = y[:, None] == tgt[None, :]
@@ -156,26 +164,32 @@ def _loss_and_gradient(blocks: Blocks, weights, target, subset, pos_cost, neg_co
             pull = cost * slack
             loss += (pull * slack).sum(axis=0)
             np.negative(pull, out=pull, where=positive)
-            grad += 2.0 * (pull.T @ x)
+            out[:, :d1] += 2.0 * (pull.T @ x)
+            if curvature:
+                for j in range(m):
+                    on = np.flatnonzero((slack[:, j] > 0) & (cost[:, j] > 0))
+                    near = x[on]
+                    out[j, d1:] += 2.0 * ((near * cost[on, j, None]).T @ near).ravel()
         ids = pa.array(np.arange(m, dtype=np.int32))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m * d1 + 1, d1, dtype=np.int32)), pa.array(grad.ravel()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(loss), flat], ["m", "loss", "grad"])
+        ends = pa.array(np.arange(0, m * width + 1, width, dtype=np.int32))
+        flat = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(loss), flat], ["m", "loss", "sums"])
 
-    sums = blocks.table.mapInArrow(run, "m int, loss double, grad array<double>")
+    sums = blocks.table.mapInArrow(run, "m int, loss double, sums array<double>")
     try:
-        if blocks.parts * m * d1 * 8 > DRIVER_BYTES:
+        if blocks.parts * m * width * 8 > DRIVER_BYTES:
             sums = sums.groupBy("m").agg(
-                F.sum("loss").alias("loss"), vector_to_array(Summarizer.sum(array_to_vector("grad"))).alias("grad")
+                F.sum("loss").alias("loss"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
             )
         got = sums.toArrow()
         ids = got.column("m").to_numpy()
-        loss, grad = np.zeros(m), np.zeros((m, d1))
+        loss, total = np.zeros(m), np.zeros((m, width))
         np.add.at(loss, ids, got.column("loss").to_numpy())
-        flat = got.column("grad").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d1)
-        np.add.at(grad, ids, flat)
+        flat = got.column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        np.add.at(total, ids, flat)
     finally:
         shared.destroy()
-    return loss, grad
+    return loss, total[:, :d1], total[:, d1:].reshape(m, d1, d1) if curvature else None
 
 
 def _direction(g, s_hist, y_hist, rho):
@@ -195,29 +209,41 @@ def _direction(g, s_hist, y_hist, rho):
 
 
 def minimise(evaluate, m: int, d1: int, tol: float = 1e-4, max_passes: int = 400):
-    """Minimise ``m`` independent problems 0.5|w|^2 + loss(w). ``evaluate(ids, weights)`` is one pass over the data.
+    """Minimise ``m`` independent problems 0.5|w|^2 + loss(w). ``evaluate(ids, weights, curvature)`` is one pass over
+    the data and yields loss, gradient and curvature sums (None if not asked for).
 
-    A problem stops once its gradient is ``tol`` times the one at zero. Its step is halved (by interpolation) while
-    the loss does not fall enough; other problems do not wait for it. Returns weights, relative gradients and passes.
+    A problem stops once its gradient is ``tol`` times the one at zero. Its step is cut (by interpolation) while the
+    loss does not fall enough; other problems do not wait for it. When few problems are open a pass tries several
+    steps of each at once. Returns weights, relative gradients and passes.
     """
     w = np.zeros((m, d1))
 
     def full(ids, at):
-        loss, grad = evaluate(ids, at)
-        return loss + 0.5 * np.einsum("md,md->m", at, at), grad + at
+        small = len(ids) * d1 * d1 * 8 <= CURVATURE_BYTES
+        loss, grad, curve = evaluate(ids, at, small)
+        return loss + 0.5 * np.einsum("md,md->m", at, at), grad + at, None if curve is None else curve + np.eye(d1)
 
-    f, g = full(np.arange(m), w)
+    f, g, curve = full(np.arange(m), w)
     g0 = np.maximum(np.linalg.norm(g, axis=1), 1e-300)
     hist_s, hist_y = [np.zeros((m, d1)) for _ in range(HISTORY)], [np.zeros((m, d1)) for _ in range(HISTORY)]
     rho = [np.zeros(m) for _ in range(HISTORY)]
     step, move = 1.0 / np.maximum(1.0, g0), -g
+    if curve is not None:
+        step, move = np.ones(m), -np.linalg.solve(curve, g[:, :, None])[:, :, 0]
     live = np.linalg.norm(g, axis=1) > tol * g0
     passes = 1
     while live.any() and passes < max_passes:
         ids = np.flatnonzero(live)
-        trial = w[ids] + step[ids, None] * move[ids]
-        f_new, g_new = full(ids, trial)
+        tries = int(np.clip(CURVATURE_BYTES // (len(ids) * d1 * d1 * 8), 1, len(STEPS)))
+        steps = step[ids, None] * STEPS[:tries]
+        trials = w[ids, None, :] + steps[:, :, None] * move[ids, None, :]
+        f_all, g_all, curve = full(np.repeat(ids, tries), trials.reshape(-1, d1))
         passes += 1
+        pick = f_all.reshape(-1, tries).argmin(axis=1)
+        at = np.arange(len(ids)) * tries + pick
+        trial, f_new, g_new = trials[np.arange(len(ids)), pick], f_all[at], g_all[at]
+        curve = None if curve is None else curve[at]
+        step[ids] = steps[np.arange(len(ids)), pick]
         slope = np.einsum("md,md->m", g[ids], move[ids])
         good = f_new <= f[ids] + 1e-4 * step[ids] * slope + 1e-12 * np.abs(f[ids])
         ok, bad = ids[good], ids[~good]
@@ -228,14 +254,17 @@ def minimise(evaluate, m: int, d1: int, tol: float = 1e-4, max_passes: int = 400
             live[bad[step[bad] < 1e-12]] = False
         if ok.size:
             s, y = trial[good] - w[ok], g_new[good] - g[ok]
-            sy = np.einsum("md,md->m", s, y)
-            for h in (hist_s, hist_y, rho):
-                for i in range(HISTORY - 1):
-                    h[i][ok] = h[i + 1][ok]
-            hist_s[-1][ok], hist_y[-1][ok] = s, y
-            rho[-1][ok] = np.where(sy > 0, 1.0 / np.where(sy > 0, sy, 1.0), 0.0)
             w[ok], f[ok], g[ok] = trial[good], f_new[good], g_new[good]
-            move[ok] = _direction(g[ok], [h[ok] for h in hist_s], [h[ok] for h in hist_y], [r[ok] for r in rho])
+            if curve is not None:
+                move[ok] = -np.linalg.solve(curve[good], g[ok][:, :, None])[:, :, 0]
+            else:
+                sy = np.einsum("md,md->m", s, y)
+                for h in (hist_s, hist_y, rho):
+                    for i in range(HISTORY - 1):
+                        h[i][ok] = h[i + 1][ok]
+                hist_s[-1][ok], hist_y[-1][ok] = s, y
+                rho[-1][ok] = np.where(sy > 0, 1.0 / np.where(sy > 0, sy, 1.0), 0.0)
+                move[ok] = _direction(g[ok], [h[ok] for h in hist_s], [h[ok] for h in hist_y], [r[ok] for r in rho])
             uphill = np.einsum("md,md->m", move[ok], g[ok]) >= 0
             move[ok[uphill]] = -g[ok[uphill]]
             step[ok] = 1.0
@@ -270,8 +299,8 @@ def fit_linear(
                 problems.append((cls, sub, c * size[cls], c * neg))
     target, subset, pos, neg = (np.array(v) for v in zip(*problems))
 
-    def evaluate(ids, at):
-        return _loss_and_gradient(blocks, at, target[ids], subset[ids], pos[ids], neg[ids])
+    def evaluate(ids, at, curvature):
+        return _loss_and_gradient(blocks, at, target[ids], subset[ids], pos[ids], neg[ids], curvature)
 
     w, _, _ = minimise(evaluate, len(problems), blocks.dim + 1, tol, max_passes)
     out = {}
