@@ -34,8 +34,7 @@ def squeeze(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Whitespace-separated words; an empty array for blank text."""
-    flat = squeeze(col)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.filter(F.split(F.regexp_replace(col, rf"(?U){SPACE}+", " "), " "), lambda w: w != "")
 
 
 def clean(col: Column) -> Column:
@@ -89,55 +88,63 @@ def first_sentence(col: Column) -> Column:
 VOWELS = "".join(TONED_VOWELS)
 _BASES = "".join(v[0] * len(v) for v in TONED_VOWELS)
 _TONES = "012345" * len(TONED_VOWELS)
-_TONED_ONLY = "".join(v[1:] for v in TONED_VOWELS)
+# The same vowels as regex classes: the block U+1EA0-U+1EF9 as one range keeps matching fast.
+_ANY_VOWEL = "aeiouyàáâãèéêìíòóôõùúýăĩũơư\u1ea0-\u1ef9"
+_TONED = "àáãèéìíòóõùúýĩũ\u1ea0-\u1ef9"
 
 
 def _either(parts: Sequence[str]) -> str:
     return "|".join(sorted(parts, key=lambda p: (-len(p), p)))
 
 
-SYLLABLE = f"^({_either(ONSETS)})?([{VOWELS}]{{2,3}})({_either(CODAS)})?$"
+NEXT_TO_VOWEL = f"[{_ANY_VOWEL}][{_TONED}]|[{_TONED}][{_ANY_VOWEL}]"
+SYLLABLE = f"^({_either(ONSETS)})?([{_ANY_VOWEL}]{{2,3}})({_either(CODAS)})?$"
 
 
 def place_tones(tokens: Column) -> Column:
     """Move the tone mark of each lower-case Vietnamese syllable to its customary vowel; other words are unchanged.
 
     The mark belongs on the vowel with a diacritic of its own (the later one if there are two); else, before a final
-    consonant, on the last vowel; else on the first of two or the middle one of three vowels. Each step is its own
-    ``transform`` so that a word is matched and translated once.
+    consonant, on the last vowel; else on the first of two or the middle one of three vowels. Only words with a toned
+    vowel next to another vowel are looked at further, each step as its own ``transform`` over that one word, so that no
+    expression is evaluated twice.
     """
 
     def split(word: Column) -> Column:
-        parts = [F.regexp_extract(word, SYLLABLE, i).alias(n) for i, n in enumerate(("onset", "cluster", "coda"), 1)]
-        return F.struct(word.alias("word"), *parts)
+        """[word, onset, vowels, coda], or the word twice if it is not a syllable."""
+        parts = F.split(F.regexp_replace(word, SYLLABLE, "$1|$2|$3"), r"\|", 3)
+        return F.concat(F.array(word), parts)
 
     def analyse(s: Column) -> Column:
-        base = F.translate(s["cluster"], VOWELS, _BASES)
-        tone = F.replace(F.translate(s["cluster"], VOWELS, _TONES), F.lit("0"), F.lit(""))
+        """Adds the vowels without tone and the tone's digit."""
+        tone = F.replace(F.translate(s[2], VOWELS, _TONES), F.lit("0"), F.lit(""))
+        base = F.translate(s[2], VOWELS, _BASES)
+        return F.when(F.size(s) == 4, F.concat(s, F.array(base, tone))).otherwise(s)
+
+    def rebuild(s: Column) -> Column:
+        word, onset, coda, base, tone = s[0], s[1], s[3], s[4], s[5]
         own_mark = F.translate(base, "ăâêôơưaeiouy", "111111000000")
         at = (
             F.when(F.instr(own_mark, "1") > 0, F.length(base) - F.instr(F.reverse(own_mark), "1") + 1)
-            .when(s["coda"] != "", F.length(base))
+            .when(coda != "", F.length(base))
             .when(F.length(base) == 3, F.lit(2))
             .otherwise(F.lit(1))
         )
-        return F.struct(s["word"], s["onset"], s["coda"], base.alias("base"), tone.alias("tone"), at.alias("at"))
-
-    def rebuild(s: Column) -> Column:
-        # "gi" is one onset, so an i after g is not part of the vowel cluster
-        ok = s["base"].isin(NUCLEI) & (F.length(s["tone"]) == 1)
-        ok = ok & ~((s["onset"] == "g") & s["base"].startswith("i"))
         # in the vowel table a vowel without tone is followed by its five toned forms
-        row = F.position(F.substring(s["base"], s["at"], F.lit(1)), F.lit(VOWELS))
-        toned = F.substring(F.lit(VOWELS), row + F.ascii(s["tone"]) - F.ascii(F.lit("0")), F.lit(1))
-        head = F.substring(s["base"], F.lit(1), s["at"] - 1)
-        tail = F.substring(s["base"], s["at"] + 1, F.lit(3))
-        return F.when(ok, F.concat(s["onset"], head, toned, tail, s["coda"])).otherwise(s["word"])
+        row = F.position(F.substring(base, at, F.lit(1)), F.lit(VOWELS))
+        toned = F.substring(F.lit(VOWELS), row + F.ascii(tone) - F.ascii(F.lit("0")), F.lit(1))
+        moved = F.concat(onset, F.substring(base, F.lit(1), at - 1), toned, F.substring(base, at + 1, F.lit(3)), coda)
+        # "gi" is one onset, so an i after g is not part of the vowel cluster
+        ok = base.isin(NUCLEI) & (F.length(tone) == 1) & ~((onset == "g") & base.startswith("i"))
+        return F.when(F.size(s) < 6, word).when(ok, moved).otherwise(word)
+
+    def place(word: Column) -> Column:
+        one = F.transform(F.transform(F.transform(F.array(word), split), analyse), rebuild)
+        return F.when(word.rlike(NEXT_TO_VOWEL), F.get(one, F.lit(0))).otherwise(word)
 
-    return F.transform(F.transform(F.transform(tokens, split), analyse), rebuild)
+    return F.transform(tokens, place)
 
 
 def normalize_tone(col: Column) -> Column:
     """Tone placement for every word of a lower-case text; words end up separated by single spaces."""
-    placed = F.array_join(place_tones(words(col)), " ")
-    return F.when(col.rlike(f"[{_TONED_ONLY}]"), placed).otherwise(squeeze(col))
+    return F.array_join(place_tones(words(col)), " ")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from topicweave.functions.text import first_sentence, words
 from topicweave.operators.bounded import small_or_none, split_hot_join
+from topicweave.session import staged
+
+MAX_LEXICON = 500_000
 
 
 def remove_stopwords(df: DataFrame, text: str, stop: DataFrame, row_id: str, out: str | None = None) -> DataFrame:
@@ -31,56 +34,50 @@ def remove_stopwords(df: DataFrame, text: str, stop: DataFrame, row_id: str, out
     return df.join(again, row_id, "left").withColumn(out, joined).drop("_kept")
 
 
-def _pairs(tokens: Column) -> Column:
-    """Neighbouring words as ``left right`` strings."""
-    tail = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    head = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.zip_with(head, tail, lambda a, b: F.concat(a, F.lit(" "), b))
+def _pairs(tokens: str) -> Column:
+    """Neighbouring words of an array column as ``left right`` strings."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def gram_counts(df: DataFrame, text: str) -> DataFrame:
+    """Counts of all words and of all pairs of neighbouring words: columns gram, n. A pair holds a space, a word does
+    not, so one shuffle with map-side combining counts both. The result is written once, and the text is read once."""
+    tokens = df.select(words(F.col(text)).alias("_t"))
+    grams = tokens.select(F.explode(F.concat("_t", _pairs("_t"))).alias("gram"))
+    return staged(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
 
 
 def collocations(df: DataFrame, text: str, min_count: int) -> DataFrame:
     """Neighbouring word pairs seen at least ``min_count`` times, with their normalised pointwise mutual information.
 
-    Words and pairs are counted with map-side combining. The two lookups of single-word counts go by word; a frequent
-    word is the left side of many distinct pairs, so hot words are broadcast and only the others are shuffled.
+    The single-word counts are looked up by word, once for each side; a frequent word is the left side of many
+    distinct pairs, so hot words are broadcast and only the others are shuffled. The table of pairs is written out: a
+    lexicon is used many times.
     """
-    tokens = words(F.col(text))
-    unigrams = df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    bigrams = df.select(F.explode(_pairs(tokens)).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_pair"))
-    sizes = df.agg(F.sum(F.size(tokens)).alias("w"), F.sum(F.greatest(F.size(tokens) - 1, F.lit(0))).alias("p")).first()
-    parts = F.split("pair", " ")
-    kept = bigrams.where(F.col("n_pair") >= min_count).withColumns({"w1": parts[0], "w2": parts[1]})
-    frequent = unigrams.where(F.col("n") >= min_count)  # a word of a frequent pair is itself frequent
+    grams = gram_counts(df, text)
+    is_pair = F.instr("gram", " ") > 0
+    size = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    n_words, n_pairs = grams.agg(size(~is_pair), size(is_pair)).first()
+    parts = F.split("gram", " ")
+    frequent = grams.where(F.col("n") >= min_count)  # the words of a frequent pair are frequent themselves
+    kept = frequent.where(is_pair).select(parts[0].alias("w1"), parts[1].alias("w2"), F.col("n").alias("n_pair"))
+    singles = frequent.where(~is_pair)
     for side in ("1", "2"):
-        counts = frequent.select(F.col("word").alias(f"w{side}"), F.col("n").alias(f"n{side}"))
-        kept = split_hot_join(kept, counts, [f"w{side}"], "inner", n_col=f"n{side}")
-    p12 = F.col("n_pair") / F.lit(sizes["p"] or 1)
-    p1, p2 = F.col("n1") / F.lit(sizes["w"] or 1), F.col("n2") / F.lit(sizes["w"] or 1)
+        counts = singles.select(F.col("gram").alias(f"w{side}"), F.col("n").alias(f"n{side}"))
+        kept = attach_counts(kept, counts, f"w{side}", f"n{side}")
+    p12 = F.col("n_pair") / F.lit(n_pairs or 1)
+    p1, p2 = F.col("n1") / F.lit(n_words or 1), F.col("n2") / F.lit(n_words or 1)
     npmi = F.when(p12 >= 1, F.lit(1.0)).otherwise(F.ln(p12 / (p1 * p2)) / -F.ln(p12))
-    return kept.select("w1", "w2", "n_pair", "n1", "n2", npmi.alias("npmi"))
-
-
-def _join_pairs(tokens: Column, known: Column) -> Column:
-    """Walk left to right and join a word to the one before it with ``_`` if the two are a known pair and the one
-    before is not already joined. The last entry of the result is held back as a struct until the next word is seen."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def step(state: Column, word: Column) -> Column:
-        pair = F.concat(state["open"], F.lit(" "), word)
-        joins = F.coalesce(F.array_contains(known, pair), F.lit(False))
-        flush = F.when(state["open"].isNull(), state["done"]).otherwise(
-            F.concat(state["done"], F.array(state["open"]))
-        )
-        joined = F.concat(state["done"], F.array(F.concat(state["open"], F.lit("_"), word)))
-        return F.struct(
-            F.when(joins, joined).otherwise(flush).alias("done"),
-            F.when(joins, F.lit(None).cast("string")).otherwise(word).alias("open"),
-        )
+    return staged(kept.select("w1", "w2", "n_pair", "n1", "n2", npmi.alias("npmi")), "lexicon")
 
-    def finish(state: Column) -> Column:
-        return F.when(state["open"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
 
-    return F.aggregate(tokens, start, step, finish)
+def attach_counts(df: DataFrame, counts: DataFrame, word: str, n: str) -> DataFrame:
+    """Inner join with a table of one row per word: broadcast if it is small, else split at the hot words."""
+    small = small_or_none(counts, MAX_LEXICON)
+    if small is not None:
+        return df.join(F.broadcast(small), word)
+    return split_hot_join(df, counts, [word], "inner", n_col=n)
 
 
 def segment_words(
@@ -88,15 +85,35 @@ def segment_words(
 ) -> DataFrame:
     """Join neighbouring words that form a lexicon entry (columns ``w1``, ``w2``, ``n_pair``) with an underscore.
 
-    Each text looks up its own distinct pairs; only the hits travel back to it, so texts are never cut into one row per
-    word. ``first_sentence_only`` keeps just the first sentence of every text.
+    A text is walked from left to right: a known pair is joined unless its first word has just been joined to the one
+    before. The pairs of each text look themselves up in the lexicon and only the positions of the hits travel back.
+    ``first_sentence_only`` keeps just the first sentence of every text.
     """
     out = out or text
-    src = df.withColumn("_src", first_sentence(F.col(text)) if first_sentence_only else F.col(text))
-    pairs = src.select(row_id, F.explode(F.array_distinct(_pairs(words(F.col("_src"))))).alias("pair"))
+    source = first_sentence(F.col(text)) if first_sentence_only else F.col(text)
+    tokens = df.withColumn("_t", words(source))
+    pairs = tokens.select(row_id, F.posexplode(_pairs("_t")).alias("_at", "pair"))
     known = lexicon.select(F.concat_ws(" ", "w1", "w2").alias("pair"), F.col("n_pair").alias("n"))
-    hits = split_hot_join(pairs, known, ["pair"], "left_semi")
-    own = hits.groupBy(row_id).agg(F.collect_list("pair").alias("_known"))
-    known_pairs = F.coalesce(F.col("_known"), F.array().cast("array<string>"))
-    joined = F.array_join(_join_pairs(words(F.col("_src")), known_pairs), " ")
-    return src.join(own, row_id, "left").withColumn(out, joined).drop("_src", "_known")
+    small = small_or_none(known, MAX_LEXICON)
+    if small is not None:
+        hits = pairs.join(F.broadcast(small), "pair", "left_semi")
+    else:
+        hits = split_hot_join(pairs, known, ["pair"], "left_semi")
+    found = hits.groupBy(row_id).agg(F.sort_array(F.collect_list("_at")).alias("_hits"))
+    marked = tokens.join(found, row_id, "left").withColumn("_marks", _join_marks())
+    glued = F.zip_with("_t", "_marks", lambda w, m: F.concat(w, F.when(m == "1", "_").otherwise(" ")))
+    joined = F.when(F.col("_t").isNotNull(), F.rtrim(F.array_join(glued, "")))
+    return marked.withColumn(out, joined).drop("_t", "_hits", "_marks")
+
+
+def _join_marks() -> Column:
+    """One character per word: 1 if it is joined to the next word. Built from the sorted hit positions as a string
+    with a 1 at every hit; a join uses up two characters, so the leftmost non-overlapping matches of a 1 and its
+    successor are exactly the joins of the walk."""
+    hits = F.coalesce(F.col("_hits"), F.array().cast("array<int>"))
+    before = F.concat(F.array(F.lit(-1)), F.slice(hits, F.lit(1), F.greatest(F.size(hits) - 1, F.lit(0))))
+    gaps = F.when(
+        F.size(hits) > 0, F.zip_with(hits, before, lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1")))
+    ).otherwise(F.array().cast("array<string>"))
+    flags = F.rpad(F.array_join(gaps, ""), F.size("_t"), F.lit("0"))
+    return F.slice(F.split(F.regexp_replace(flags, "1[01]", "12"), ""), F.lit(1), F.size("_t"))

@@ -26,31 +26,30 @@ def dedup_articles(df: DataFrame, split: str, pos: str, link: str = "link", titl
     return keep_first(keep_first(df, link, pos, [split]), title, pos, [split])
 
 
-def clean_before_composing(col: Column, stop: list[str]) -> Column:
+def clean_before_composing(df: DataFrame, text: str, stop: list[str]) -> DataFrame:
     """Lower, clean, NFC, tone marks, stop words. Cleaning comes before composition, so the marks of decomposed text
-    are lost; ``clean_articles`` avoids that."""
-    return tx.drop_words(tx.normalize_tone(tx.nfc(tx.clean(tx.lower(col)))), stop)
+    are lost; ``clean_articles`` avoids that. Each step is a projection of its own, evaluated once per row."""
+    c = F.col(text)
+    steps = (lambda: tx.clean(tx.lower(c)), lambda: tx.nfc(c), lambda: tx.normalize_tone(c), lambda: tx.drop_words(c, stop))
+    for step in steps:
+        df = df.withColumn(text, step())
+    return df
 
 
 def clean_html(df: DataFrame, html: str, stop: list[str], out: str = "text") -> DataFrame:
     """The chain above, starting from HTML."""
-    plain = html_text(df, html, out).drop("error")
-    return plain.withColumn(out, clean_before_composing(F.col(out), stop))
-
-
-def compose(col: Column) -> Column:
-    """Lower-case, NFC, tone marks: the part of the main chain that comes before word segmentation."""
-    return tx.normalize_tone(tx.nfc(tx.lower(col)))
+    return clean_before_composing(html_text(df, html, out).drop("error"), out, stop)
 
 
 def clean_articles(
     df: DataFrame, text: str, row_id: str, lexicon: DataFrame | None = None, first_sentence_only: bool = False
 ) -> DataFrame:
     """Lower, NFC, tone marks, word segmentation (with a lexicon), clean. Null text stays null."""
-    out = df.withColumn(text, compose(F.col(text)))
+    c = F.col(text)
+    out = df.withColumn(text, tx.lower(c)).withColumn(text, tx.nfc(c)).withColumn(text, tx.normalize_tone(c))
     if lexicon is not None:
         out = segment_words(out, text, row_id, lexicon, first_sentence_only=first_sentence_only)
-    return out.withColumn(text, tx.clean(F.col(text)))
+    return out.withColumn(text, tx.clean(c))
 
 
 def prepare_features(

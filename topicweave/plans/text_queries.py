@@ -145,7 +145,8 @@ def _chain_a_sql(expr: str) -> str:
 @query("clean_chain_a", f"SELECT doc_id, {_chain_a_sql(DECOMPOSED)} AS text FROM documents")
 def clean_chain_a(spark, d):
     """Cleaning before composition: the marks of decomposed letters are lost, as in the first of the two chains."""
-    return _docs(spark, d).select("doc_id", jobs.clean_before_composing(_decomposed(), STOP).alias("text"))
+    docs = _docs(spark, d).withColumn("text", _decomposed())
+    return jobs.clean_before_composing(docs, "text", STOP)
 
 
 @query("clean_chain_b", f"SELECT doc_id, {clean_sql(tone_sql(f'nfc_normalize(lower({DECOMPOSED}))'))} AS text FROM documents")
