@@ -51,7 +51,7 @@ def held_out_scores(df: DataFrame, models: list[LinearModel], features: str, fol
     return df.withColumn("scores", score(F.col(features), F.col(fold)))
 
 
-def fit_sigmoids(scored: DataFrame, groups: int, max_steps: int = 100, tol: float = 1e-8):
+def fit_sigmoids(scored: DataFrame, groups: int, max_steps: int = 100, tol: float = 1e-12):
     """Sigmoid parameters for each group 0..groups-1 of ``scored`` (group, score, is_pos): p = 1 / (1 + exp(a*s + b))."""
     spark = scored.sparkSession
     n = np.zeros((groups, 2))

@@ -84,13 +84,13 @@ def mean_pool(tokens: DataFrame, doc: str, vec: str, mask: str, out: str = "feat
 
     The summary combines on the map side, so a long document does not gather in one task.
     """
-    v = array_to_vector(F.col(vec).cast("array<double>"))
     weight = F.col(mask).cast("double")
+    kept = F.transform(F.col(vec).cast("array<double>"), lambda x: x * weight)
     pooled = tokens.groupBy(doc).agg(
-        Summarizer.mean(v, weight).alias("_mean"), F.max(F.size(vec)).alias("_d"), F.sum(weight).alias("_w")
+        vector_to_array(Summarizer.mean(array_to_vector(kept))).alias("_mean"),
+        (F.count(F.lit(1)) / F.greatest(F.sum(weight), F.lit(1e-9))).alias("_scale"),
     )
-    zero = F.array_repeat(F.lit(0.0), F.col("_d"))
-    return pooled.select(doc, F.when(F.col("_w") > 0, vector_to_array("_mean")).otherwise(zero).alias(out))
+    return pooled.select(doc, F.transform("_mean", lambda x: x * F.col("_scale")).alias(out))
 
 
 def ensure_features(

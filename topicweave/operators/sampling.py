@@ -150,7 +150,7 @@ def _fold_quotas(df: DataFrame, label: str, folds: int, offset_order: Sequence[C
             out = out + F.floor((F.col("n") + k - 1 - F.pmod(F.lit(j) - F.col("_o"), k)) / k).cast("bigint")
         return out
 
-    cuts = F.array(*[F.struct(F.lit(i).alias("cut_id"), upto(i).alias("quota")) for i in range(folds - 1)])
+    cuts = F.array(*[F.struct(F.lit(i).alias("piece_id"), upto(i).alias("quota")) for i in range(folds - 1)])
     return placed.select(label, F.inline(cuts))
 
 
