@@ -15,6 +15,16 @@ MAX_BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a small input before costly work on each row.
+
+    An input with fewer partitions than there are cores (a few files with one row group each) would leave cores idle;
+    it is also small, so moving it is cheap. Any larger input is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_or_none(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
     """``df`` as a local relation if it has at most ``max_rows`` rows, else None. Reads at most one row too many."""
     table = df.limit(max_rows + 1).toArrow()

@@ -127,16 +127,24 @@ def _compare_key(col: str, digest: bool) -> Column:
     return F.sha2(F.col(col).cast("binary"), 256) if digest else F.col(col)
 
 
-def keep_first(df: DataFrame, key: str, pos: str, split: Sequence[str] = (), digest: bool = False) -> DataFrame:
+def keep_first(
+    df: DataFrame, key: str, pos: str, split: Sequence[str] = (), digest: bool = False, columns: Sequence[str] | None = None
+) -> DataFrame:
     """Keep the first row, by position, of every key within its split. Null is one key.
 
-    The first positions come from a hash aggregate that combines on the map side, so a key held by a third of the rows
-    costs one row per task; the survivors are then picked by position, which is unique. ``digest`` compares long texts
-    by SHA-256 and so shuffles 64 characters in place of the text.
+    The first positions come from an aggregate that combines on the map side, so a key held by a third of the rows
+    costs one row per task; the survivors are then picked by position, which is unique. With ``columns`` only these
+    (few, narrow) columns are kept next to split and position: they ride along in the aggregate, and there is neither
+    a second scan nor a join. ``digest`` compares long texts by SHA-256 and so shuffles 64 characters in place of the
+    text.
     """
     split = list(split)
-    slim = df.select(*split, F.col(pos), _compare_key(key, digest).alias("_key"))
-    firsts = slim.groupBy(*split, "_key").agg(F.min(pos).alias(pos)).select(*split, pos)
+    keyed = df.withColumn("_key", _compare_key(key, digest))
+    if columns is not None:
+        first = F.min_by(F.struct(pos, *columns), F.col(pos)).alias("_first")
+        slim = keyed.select(*split, "_key", pos, *columns)
+        return slim.groupBy(*split, "_key").agg(first).select(*split, "_first.*")
+    firsts = keyed.groupBy(*split, "_key").agg(F.min(pos).alias(pos)).select(*split, pos)
     return df.join(firsts, [*split, pos], "left_semi")
 
 

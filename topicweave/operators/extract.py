@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from topicweave.functions.html import first_element_text, page_text
+from topicweave.operators.bounded import spread
 from topicweave.operators.curate import enrich, from_site, todo_rows
 
 DESCRIPTION = ("p", "class", "description")
@@ -37,7 +38,7 @@ def extract_pages(df: DataFrame, html: str, read: Callable[[str], str], out: str
                 [*cols, pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*names, out, "error"]
             )
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from topicweave.functions.fixed_values import DEFAULT_SEED
+from topicweave.operators.bounded import spread
 from topicweave.operators.profile import kernel_gamma
 from topicweave.operators.sampling import sample_rows
 
@@ -76,7 +77,7 @@ def embed(
             yield pd.Series(rows, dtype=object)
 
     encode = F.pandas_udf(run, ArrayType(FloatType()))
-    return df.withColumn(out, encode(F.col(text)))
+    return spread(df).withColumn(out, encode(F.col(text)))
 
 
 def mean_pool(tokens: DataFrame, doc: str, vec: str, mask: str, out: str = "features") -> DataFrame:

@@ -213,8 +213,8 @@ def minimise(evaluate, m: int, d1: int, tol: float = 1e-4, max_passes: int = 400
     the data and yields loss, gradient and curvature sums (None if not asked for).
 
     A problem stops once its gradient is ``tol`` times the one at zero. Its step is cut (by interpolation) while the
-    loss does not fall enough; other problems do not wait for it. When few problems are open a pass tries several
-    steps of each at once. Returns weights, relative gradients and passes.
+    loss does not fall enough; other problems do not wait for it. When few problems are open, and full steps have
+    begun to fail, a pass tries several steps of each at once. Returns weights, relative gradients and passes.
     """
     w = np.zeros((m, d1))
 
@@ -230,11 +230,12 @@ def minimise(evaluate, m: int, d1: int, tol: float = 1e-4, max_passes: int = 400
     step, move = 1.0 / np.maximum(1.0, g0), -g
     if curve is not None:
         step, move = np.ones(m), -np.linalg.solve(curve, g[:, :, None])[:, :, 0]
-    live = np.linalg.norm(g, axis=1) > tol * g0
+    live, short = np.linalg.norm(g, axis=1) > tol * g0, np.zeros(m, dtype=bool)
     passes = 1
     while live.any() and passes < max_passes:
         ids = np.flatnonzero(live)
-        tries = int(np.clip(CURVATURE_BYTES // (len(ids) * d1 * d1 * 8), 1, len(STEPS)))
+        room = CURVATURE_BYTES // (len(ids) * d1 * d1 * 8)
+        tries = int(np.clip(room, 1, len(STEPS))) if short[ids].any() else 1
         steps = step[ids, None] * STEPS[:tries]
         trials = w[ids, None, :] + steps[:, :, None] * move[ids, None, :]
         f_all, g_all, curve = full(np.repeat(ids, tries), trials.reshape(-1, d1))
@@ -244,9 +245,11 @@ def minimise(evaluate, m: int, d1: int, tol: float = 1e-4, max_passes: int = 400
         trial, f_new, g_new = trials[np.arange(len(ids)), pick], f_all[at], g_all[at]
         curve = None if curve is None else curve[at]
         step[ids] = steps[np.arange(len(ids)), pick]
+        short[ids] = step[ids] < 1.0
         slope = np.einsum("md,md->m", g[ids], move[ids])
         good = f_new <= f[ids] + 1e-4 * step[ids] * slope + 1e-12 * np.abs(f[ids])
         ok, bad = ids[good], ids[~good]
+        short[bad] = True
         if bad.size:
             t, sl = step[bad], slope[~good]
             fit = -sl * t * t / (2.0 * np.maximum(f_new[~good] - f[bad] - sl * t, 1e-300))

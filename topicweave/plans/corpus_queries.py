@@ -9,6 +9,7 @@ from topicweave.functions.text import clean, is_blank, lower
 from topicweave.operators import curate as cu
 from topicweave.operators import profile as pr
 from topicweave.operators import sampling as sp
+from topicweave.operators.bounded import spread
 from topicweave.operators.ranking import cut_points, position_bucket
 from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, key_sql, query, table
 from topicweave.session import scratch_path
@@ -135,8 +136,7 @@ FIRST_TEXT = """SELECT doc_id, lang, source, text FROM (
 
 @query("dedup_keep_first", f"SELECT doc_id, lang, source FROM ({FIRST_TEXT})")
 def dedup_keep_first(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
-    return cu.keep_first(docs, "text", "doc_id", ["lang"], digest=True).drop("text")
+    return cu.keep_first(table(spark, d, "documents"), "text", "doc_id", ["lang"], digest=True, columns=["source"])
 
 
 @query(
@@ -232,10 +232,12 @@ def lineitem_flag_crosstab(spark, d):
 
 def flagship(spark, d):
     """Clean, keep the first of each cleaned text per language, drop blanks, name the source, cross-tabulate."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", clean(lower(F.col("text"))).alias("text"))
-    kept = cu.keep_first(docs.where(~is_blank(F.col("text"))), "text", "doc_id", ["lang"], digest=True)
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+    cleaned = docs.withColumn("text", clean(lower(F.col("text")))).withColumn("blank", is_blank(F.col("text")))
+    kept = cu.keep_first(cleaned, "text", "doc_id", ["lang"], digest=True, columns=["source", "blank"])
     groups = [("src1", "Group One"), ("src2", "Group Two")]
-    return pr.crosstab(kept.withColumn("source", cu.publisher(F.col("source"), groups)), "source", "lang", LANGS)
+    named = kept.where("not blank").withColumn("source", cu.publisher(F.col("source"), groups))
+    return pr.crosstab(named, "source", "lang", LANGS)
 
 
 query(

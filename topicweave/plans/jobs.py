@@ -12,6 +12,7 @@ from topicweave.functions.fixed_values import DEFAULT_SEED
 from topicweave.functions.vectors import ranked
 from topicweave.operators import features as ft
 from topicweave.operators import metrics as mt
+from topicweave.operators.bounded import spread
 from topicweave.operators.calibrate import CalibratedModel, predict_proba
 from topicweave.operators.curate import article_text, keep_first, require_columns
 from topicweave.operators.extract import html_text
@@ -31,6 +32,7 @@ def clean_before_composing(df: DataFrame, text: str, stop: list[str]) -> DataFra
     are lost; ``clean_articles`` avoids that. Each step is a projection of its own, evaluated once per row."""
     c = F.col(text)
     steps = (lambda: tx.clean(tx.lower(c)), lambda: tx.nfc(c), lambda: tx.normalize_tone(c), lambda: tx.drop_words(c, stop))
+    df = spread(df)
     for step in steps:
         df = df.withColumn(text, step())
     return df
@@ -46,7 +48,7 @@ def clean_articles(
 ) -> DataFrame:
     """Lower, NFC, tone marks, word segmentation (with a lexicon), clean. Null text stays null."""
     c = F.col(text)
-    out = df.withColumn(text, tx.lower(c)).withColumn(text, tx.nfc(c)).withColumn(text, tx.normalize_tone(c))
+    out = spread(df).withColumn(text, tx.lower(c)).withColumn(text, tx.nfc(c)).withColumn(text, tx.normalize_tone(c))
     if lexicon is not None:
         out = segment_words(out, text, row_id, lexicon, first_sentence_only=first_sentence_only)
     return out.withColumn(text, tx.clean(c))
