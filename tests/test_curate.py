@@ -16,7 +16,7 @@ def test_keep_first_treats_null_as_one_key(frame):
     assert rows(first, "pos") == [(0,), (2,), (3,)]
     assert rows(curate.keep_first(first, "title", "pos"), "pos") == [(0,), (3,)]
     assert rows(curate.keep_first(df, "link", "pos", digest=True), "pos") == [(0,), (2,), (3,)]
-    assert rows(curate.duplicate_rows(df, "link"), "pos") == [(0,), (1,), (3,), (4,)]
+    assert rows(curate.duplicate_rows(df, "link", "pos"), "pos") == [(0,), (1,), (3,), (4,)]
 
 
 def test_two_pass_dedup_keeps_splits_apart(frame):
@@ -25,13 +25,23 @@ def test_two_pass_dedup_keeps_splits_apart(frame):
     assert rows(dedup_articles(df, "split", "pos"), "pos") == [(0,), (2,)]
 
 
-def test_hot_key_join_equals_plain_join(spark):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_counted_join_equals_plain_join(spark, limit):
     df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("k"))
     counts = df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("n") * 2)
-    got = bounded.split_hot_join(df, counts, ["k"], "inner", share=10)
+    got = bounded.counted_join(df, counts, ["k"], "inner", F.col("id"), share=10, max_rows=limit)
     want = df.alias("d").join(counts.alias("c"), F.expr("d.k <=> c.k")).select("id", "v")
     assert rows(got, "id", "v") == rows(want, "id", "v")
     assert got.columns == ["id", "k", "n", "v"]
+    rare = counts.where("k is null or k < 5")
+    semi = bounded.counted_join(df, rare, ["k"], "left_semi", F.col("id"), share=10, max_rows=limit)
+    assert rows(semi, "id") == rows(df.where("k is null or k < 5"), "id")
+
+
+def test_keep_first_in_one_pass(frame):
+    data = [(0, "a", "x"), (1, "a", "y"), (2, None, "z"), (3, None, "w")]
+    got = curate.keep_first(frame(data, "pos int, link string, title string"), "link", "pos", columns=["title"])
+    assert rows(got, "pos", "title") == [(0, "x"), (2, "z")]
 
 
 @pytest.mark.parametrize("limit", [0, 1000])

@@ -7,10 +7,13 @@ hot keys spread over several salts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicweave.session import staged
+
 MAX_BROADCAST_ROWS = 100_000
 SALTS = 32
 
@@ -58,34 +61,40 @@ def join_lookup(
     return salted.join(lookup.withColumn("_salt", salts), [*on, "_salt"], how).drop("_salt")
 
 
-def split_hot_join(
+def counted_join(
     df: DataFrame,
     counted: DataFrame,
     on: Sequence[str],
     how: str,
+    spread_by: Column,
     n_col: str = "n",
     share: int = 1024,
+    max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join ``df`` with ``counted`` (one row per key, with that key's number of rows in ``n_col``), null-safe on ``on``.
+    """Join ``df`` with ``counted``: one row per key, with a count ``n_col`` of the rows that key has. Null keys match.
 
-    A key is hot when it holds more than 1/``share`` of all counted rows, so there are fewer than ``share`` hot keys
-    whatever the data: that side is proven small and is broadcast. All other keys are too small to be skewed and
-    take the ordinary shuffle join.
+    ``counted`` is written out once, since it is looked at several times. If it fits ``max_rows`` it is broadcast.
+    Otherwise the hot keys, those with more than 1/``share`` of the counted rows, are known by proof to be fewer than
+    ``share``: this list is broadcast, their rows in ``df`` are salted by hashing ``spread_by`` and their entries are
+    copied to every salt. All other keys keep one salt. ``df`` is read and shuffled once.
     """
     on = list(on)
-    total = counted.agg(F.sum(n_col)).first()[0] or 0
-    is_hot = F.col(n_col) * F.lit(share) > F.lit(total)
+    counted = staged(counted, "counts")
     keys = counted.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in counted.columns if c not in on])
-    hot = keys.where(is_hot)
-    cold = keys.where(~is_hot)
+    drops = [f"_k_{c}" for c in on]
 
     def match(left: DataFrame) -> Column:
-        cond = F.lit(True)
-        for c in on:
-            cond = cond & left[c].eqNullSafe(F.col(f"_k_{c}"))
-        return cond
+        return reduce(lambda a, b: a & b, [left[c].eqNullSafe(F.col(f"_k_{c}")) for c in on])
 
-    drops = [f"_k_{c}" for c in on]
-    from_hot = df.join(F.broadcast(hot), match(df), how).drop(*drops)
-    rest = df.join(F.broadcast(hot.select(*drops)), match(df), "left_anti")
-    return from_hot.unionByName(rest.join(cold, match(rest), how).drop(*drops))
+    small = small_or_none(keys, max_rows)
+    if small is not None:
+        return df.join(F.broadcast(small), match(df), how).drop(*drops)
+    total = counted.agg(F.sum(n_col)).first()[0]
+    is_hot = F.col(n_col) * F.lit(share) > F.lit(total)
+    hot = keys.where(is_hot).select(*drops, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    left = df.join(F.broadcast(hot), match(df), "left").drop(*drops).withColumn("_salt", salt).drop("_hot")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = keys.withColumn("_copy", F.explode(copies))
+    cond = match(left) & (left["_salt"] == F.col("_copy"))
+    return left.join(right, cond, how).drop(*drops, "_salt", "_copy")

@@ -16,7 +16,7 @@ from topicweave.functions.fixed_values import (
     UNKNOWN_LABEL_PREFIX,
 )
 from topicweave.functions.text import assemble, is_blank
-from topicweave.operators.bounded import join_lookup, small_or_none, split_hot_join
+from topicweave.operators.bounded import counted_join, join_lookup, small_or_none
 
 MAX_DICTIONARY = 500
 
@@ -153,12 +153,12 @@ def _key_counts(df: DataFrame, key: str, split: Sequence[str], digest: bool) ->
     return keyed.groupBy(*split, "_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def duplicate_rows(df: DataFrame, key: str, split: Sequence[str] = (), digest: bool = False) -> DataFrame:
-    """Every member of every group of equal keys, first ones included."""
+def duplicate_rows(df: DataFrame, key: str, pos: str, split: Sequence[str] = (), digest: bool = False) -> DataFrame:
+    """Every member of every group of equal keys, first ones included. Rows of a hot key are spread by position."""
     split = list(split)
     repeated = _key_counts(df, key, split, digest).where("n > 1")
     keyed = df.withColumn("_key", _compare_key(key, digest))
-    return split_hot_join(keyed, repeated, [*split, "_key"], "left_semi").drop("_key")
+    return counted_join(keyed, repeated, [*split, "_key"], "left_semi", F.col(pos)).drop("_key")
 
 
 def duplicate_summary(df: DataFrame, key: str, split: Sequence[str], digest: bool = False) -> DataFrame:

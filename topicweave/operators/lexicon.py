@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import first_sentence, words
-from topicweave.operators.bounded import small_or_none, split_hot_join, spread
+from topicweave.operators.bounded import counted_join, small_or_none, spread
 from topicweave.session import staged
 
 MAX_LEXICON = 500_000
@@ -65,21 +65,14 @@ def collocations(df: DataFrame, text: str, min_count: int) -> DataFrame:
     singles = frequent.where(~is_pair)
     for side in ("1", "2"):
         counts = singles.select(F.col("gram").alias(f"w{side}"), F.col("n").alias(f"n{side}"))
-        kept = attach_counts(kept, counts, f"w{side}", f"n{side}")
+        pair = F.concat_ws(" ", "w1", "w2")
+        kept = counted_join(kept, counts, [f"w{side}"], "inner", pair, n_col=f"n{side}", max_rows=MAX_LEXICON)
     p12 = F.col("n_pair") / F.lit(n_pairs or 1)
     p1, p2 = F.col("n1") / F.lit(n_words or 1), F.col("n2") / F.lit(n_words or 1)
     npmi = F.when(p12 >= 1, F.lit(1.0)).otherwise(F.ln(p12 / (p1 * p2)) / -F.ln(p12))
     return staged(kept.select("w1", "w2", "n_pair", "n1", "n2", npmi.alias("npmi")), "lexicon")
 
 
-def attach_counts(df: DataFrame, counts: DataFrame, word: str, n: str) -> DataFrame:
-    """Inner join with a table of one row per word: broadcast if it is small, else split at the hot words."""
-    small = small_or_none(counts, MAX_LEXICON)
-    if small is not None:
-        return df.join(F.broadcast(small), word)
-    return split_hot_join(df, counts, [word], "inner", n_col=n)
-
-
 def segment_words(
     df: DataFrame, text: str, row_id: str, lexicon: DataFrame, out: str | None = None, first_sentence_only: bool = False
 ) -> DataFrame:
@@ -94,11 +87,7 @@ def segment_words(
     tokens = spread(df).withColumn("_t", words(source))
     pairs = tokens.select(row_id, F.posexplode(_pairs("_t")).alias("_at", "pair"))
     known = lexicon.select(F.concat_ws(" ", "w1", "w2").alias("pair"), F.col("n_pair").alias("n"))
-    small = small_or_none(known, MAX_LEXICON)
-    if small is not None:
-        hits = pairs.join(F.broadcast(small), "pair", "left_semi")
-    else:
-        hits = split_hot_join(pairs, known, ["pair"], "left_semi")
+    hits = counted_join(pairs, known, ["pair"], "left_semi", F.col(row_id), max_rows=MAX_LEXICON)
     found = hits.groupBy(row_id).agg(F.sort_array(F.collect_list("_at")).alias("_hits"))
     marked = tokens.join(found, row_id, "left").withColumn("_marks", _join_marks())
     glued = F.zip_with("_t", "_marks", lambda w, m: F.concat(w, F.when(m == "1", "_").otherwise(" ")))

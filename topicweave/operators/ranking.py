@@ -136,10 +136,25 @@ def first_n_per_group(
     """
     names = list(order)
     work = df.withColumns({"_bucket": bucket, **dict(order)})
-    keys = list(groups)
-    if not keys:
-        keys = ["_all"]
-        work, quotas = work.withColumn("_all", F.lit(0)), quotas.withColumn("_all", F.lit(0))
-    cuts = cut_points(work, keys, "_bucket", names, quotas)
-    joined = join_lookup(work, cuts, keys, "left", spread=F.col(names[0]))
+    if not groups:
+        found = whole_table_cuts(work, "_bucket", names, quotas)  # none for an empty table
+        cut = found[0] if found else {"keep_all": True}
+        chosen = F.lit(True) if cut["keep_all"] else not_above(names, cut)
+        return work.withColumn("chosen", chosen).select(*df.columns, "chosen")
+    cuts = cut_points(work, groups, "_bucket", names, quotas)
+    joined = join_lookup(work, cuts, groups, "left", spread=F.col(names[0]))
     return joined.withColumn("chosen", within_cut(names)).select(*df.columns, "chosen")
+
+
+def whole_table_cuts(df: DataFrame, bucket: str, order: Sequence[str], quotas: DataFrame) -> list:
+    """The cuts of a table that is one single group: as many rows as there are quotas, in their order."""
+    one = df.select(F.lit(0).alias("_all"), bucket, *order)
+    return cut_points(one, ["_all"], bucket, order, quotas.withColumn("_all", F.lit(0))).orderBy("quota").collect()
+
+
+def not_above(order: Sequence[str], cut) -> Column:
+    """True for rows up to the cut. A cut without values (a quota of zero) has no rows."""
+    if cut[f"cut_{order[0]}"] is None:
+        return F.lit(False)
+    at = F.struct(*[F.col(o) for o in order])
+    return at <= F.struct(*[F.lit(cut[f"cut_{o}"]).alias(o) for o in order])

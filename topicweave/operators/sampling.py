@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ from topicweave.operators.ranking import (
     first_n_per_group,
     group_totals,
     key_bucket,
+    not_above,
     position_bucket,
     rank_in_group,
     sample_key,
+    whole_table_cuts,
 )
 
 _KEY = "_order_key"
@@ -80,15 +83,15 @@ def _piece_number(df, groups, bucket, order, quotas, spread, out):
 
 def split_contiguous(df: DataFrame, n_parts: int, pos: str, out: str = "part") -> DataFrame:
     """Number 0.. of the contiguous piece each row falls in; all pieces have ceil(N / n_parts) rows but the last ones."""
-    whole = df.withColumn("_all", F.lit(0))
     total = df.count()
     size = math.ceil(total / n_parts) if total else 0
-    cuts = [(0, i * size) for i in range(1, n_parts)]
-    if not cuts:
+    ends = [(i * size,) for i in range(1, n_parts) if i * size < total]
+    if not ends:
         return df.withColumn(out, F.lit(0))
-    quotas = df.sparkSession.createDataFrame(cuts, "_all int, quota bigint")
-    bucket = position_bucket(df, pos)
-    return _piece_number(whole, ["_all"], bucket, {pos: F.col(pos)}, quotas, F.col(pos), out).drop("_all")
+    quotas = df.sparkSession.createDataFrame(ends, "quota bigint")
+    bucketed = df.withColumn("_bucket", position_bucket(df, pos))
+    cuts = whole_table_cuts(bucketed, "_bucket", [pos], quotas)
+    return df.withColumn(out, reduce(lambda a, b: a + b, [(~not_above([pos], c)).cast("int") for c in cuts]))
 
 
 def part_manifest(df: DataFrame, part: str, pos: str) -> DataFrame:

@@ -157,7 +157,7 @@ def dedup_two_keys(spark, d):
 )
 def dup_report(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    return cu.duplicate_rows(docs, "text", ["lang"], digest=True).drop("text")
+    return cu.duplicate_rows(docs, "text", "doc_id", ["lang"], digest=True).drop("text")
 
 
 @query(
@@ -166,7 +166,7 @@ def dup_report(spark, d):
     WHERE n > 1""",
 )
 def dup_report_null_key(spark, d):
-    return cu.duplicate_rows(articles(spark, d).select("row_pos", "label"), "label")
+    return cu.duplicate_rows(articles(spark, d).select("row_pos", "label"), "label", "row_pos")
 
 
 @query(
