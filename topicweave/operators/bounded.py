@@ -19,10 +19,11 @@ SALTS = 32
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out a small input before costly work on each row.
+    """Even out a small table, as it was read, before costly work on each row.
 
-    An input with fewer partitions than there are cores (a few files with one row group each) would leave cores idle;
-    it is also small, so moving it is cheap. Any larger input is returned as it is, without a shuffle.
+    A table with fewer partitions than there are cores (a few files with one row group each) would leave cores idle;
+    it is also small, so moving it is cheap. Any larger one is returned as it is, without a shuffle. Call it on a scan
+    only: counting the partitions of a frame that shuffles would run the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

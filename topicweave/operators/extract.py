@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from topicweave.functions.html import first_element_text, page_text
-from topicweave.operators.bounded import spread
 from topicweave.operators.curate import enrich, from_site, todo_rows
 
 DESCRIPTION = ("p", "class", "description")
@@ -38,7 +37,7 @@ def extract_pages(df: DataFrame, html: str, read: Callable[[str], str], out: str
                 [*cols, pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*names, out, "error"]
             )
 
-    return spread(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
@@ -70,6 +69,8 @@ def enrich_from_pages(
     if done is not None:
         todo = todo_rows(todo, done, link)
     wanted = todo.select(F.col(link).alias(url)).where(F.col(url).isNotNull()).distinct()
-    needed = pages.select(url, "html").join(wanted, url, "left_semi").dropDuplicates([url])
-    found = html_first(needed, "html", target, out).select(F.col(url).alias(link), out)
+    needed = pages.select(url, "html").join(wanted, url, "left_semi")
+    texts = html_first(needed, "html", target, out)
+    # several captures of one page: keep one text, found or not, without moving any HTML
+    found = texts.groupBy(F.col(url).alias(link)).agg(F.max(out).alias(out))
     return enrich(todo, found, link, out)

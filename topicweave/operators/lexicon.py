@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import first_sentence, words
-from topicweave.operators.bounded import counted_join, small_or_none, spread
+from topicweave.operators.bounded import counted_join, small_or_none
 from topicweave.session import staged
 
 MAX_LEXICON = 500_000
@@ -43,7 +43,7 @@ def _pairs(tokens: str) -> Column:
 def gram_counts(df: DataFrame, text: str) -> DataFrame:
     """Counts of all words and of all pairs of neighbouring words: columns gram, n. A pair holds a space, a word does
     not, so one shuffle with map-side combining counts both. The result is written once, and the text is read once."""
-    tokens = spread(df.select(text)).select(words(F.col(text)).alias("_t"))
+    tokens = df.select(words(F.col(text)).alias("_t"))
     grams = tokens.select(F.explode(F.concat("_t", _pairs("_t"))).alias("gram"))
     return staged(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
 
@@ -84,7 +84,7 @@ def segment_words(
     """
     out = out or text
     source = first_sentence(F.col(text)) if first_sentence_only else F.col(text)
-    tokens = spread(df).withColumn("_t", words(source))
+    tokens = df.withColumn("_t", words(source))
     pairs = tokens.select(row_id, F.posexplode(_pairs("_t")).alias("_at", "pair"))
     known = lexicon.select(F.concat_ws(" ", "w1", "w2").alias("pair"), F.col("n_pair").alias("n"))
     hits = counted_join(pairs, known, ["pair"], "left_semi", F.col(row_id), max_rows=MAX_LEXICON)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicweave.operators.ranking import running_sums, with_quantile_bucket
+from topicweave.session import staged
 
 
 def pair_counts(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -91,21 +92,23 @@ def score_table(df: DataFrame, truth: str, scores: str, classes: Sequence, max_c
 
     ``max_classes`` limits the listed classes; the micro rows always cover every class.
     """
-    labels = F.array(*[F.lit(c) for c in classes])
-    each = df.select(F.col(truth).alias("_y"), F.posexplode(F.col(scores).cast("array<double>")).alias("_i", "score"))
-    hit = (F.col("_y") == F.get(labels, F.col("_i"))).cast("bigint")
-    counted = each.groupBy("_i", "score").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
-    shown = counted if max_classes is None else counted.where(F.col("_i") < max_classes)
-    single = shown.select(F.get(labels, F.col("_i")).cast("string").alias("class"), "score", "pos", "neg")
-    micro = counted.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return single.unionByName(micro.withColumn("class", F.lit("micro")).select("class", "score", "pos", "neg"))
+    names = F.array(*[F.lit(c).cast("string") for c in classes])
+    each = df.select(F.col(truth).cast("string").alias("_y"), F.posexplode(F.col(scores).cast("array<double>")).alias("_i", "score"))
+    name = F.get(names, F.col("_i"))
+    micro = F.lit("micro")
+    shown = F.array(name, micro) if max_classes is None else F.when(F.col("_i") < max_classes, F.array(name, micro)).otherwise(F.array(micro))
+    hit = (F.col("_y") == name).cast("bigint")
+    rows = each.select(F.explode(shown).alias("class"), "score", hit.alias("_hit"))
+    return rows.groupBy("class", "score").agg(F.sum("_hit").alias("pos"), F.sum(1 - F.col("_hit")).alias("neg"))
 
 
 def roc_points(table: DataFrame) -> DataFrame:
     """False and true positive rates at every distinct score of a class, from the highest score down.
 
     Running counts go through score buckets: the points of one class, as many as it has scores, never meet in a task.
+    The table is used several times (quantiles, totals, sums), so it is written out first.
     """
+    table = staged(table, "scores")
     bucketed = with_quantile_bucket(table, "score", "_bucket")
     sums = {"tp": F.col("pos"), "fp": F.col("neg")}
     cum = running_sums(bucketed, ["class"], "_bucket", [F.desc("score")], sums, descending_bucket=True)

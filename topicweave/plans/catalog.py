@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicweave.operators.bounded import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,10 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_work(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table about to get costly work on each row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: first line as title, the rest as content (null without a second line), the quality
     label (null where there is none)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = row_work(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     cut = F.instr("text", "\n")
     content = F.when(cut > 0, F.substring("text", cut + 1, F.length("text")))

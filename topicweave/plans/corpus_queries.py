@@ -9,9 +9,8 @@ from topicweave.functions.text import clean, is_blank, lower
 from topicweave.operators import curate as cu
 from topicweave.operators import profile as pr
 from topicweave.operators import sampling as sp
-from topicweave.operators.bounded import spread
 from topicweave.operators.ranking import cut_points, position_bucket
-from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, key_sql, query, table
+from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, key_sql, query, row_work, table
 from topicweave.session import scratch_path
 from topicweave.sources import csv_tables as cs
 from topicweave.sources.tables import read_features, write_features
@@ -232,7 +231,7 @@ def lineitem_flag_crosstab(spark, d):
 
 def flagship(spark, d):
     """Clean, keep the first of each cleaned text per language, drop blanks, name the source, cross-tabulate."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+    docs = row_work(spark, d, "documents").select("doc_id", "lang", "source", "text")
     cleaned = docs.withColumn("text", clean(lower(F.col("text")))).withColumn("blank", is_blank(F.col("text")))
     kept = cu.keep_first(cleaned, "text", "doc_id", ["lang"], digest=True, columns=["source", "blank"])
     groups = [("src1", "Group One"), ("src2", "Group Two")]

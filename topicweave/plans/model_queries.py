@@ -15,7 +15,7 @@ from topicweave.operators.calibrate import fit_calibrated, predict_proba
 from topicweave.operators.curate import label_names
 from topicweave.operators.extract import html_text
 from topicweave.plans import jobs
-from topicweave.plans.catalog import ARTICLES, articles, query, table, words_sql
+from topicweave.plans.catalog import ARTICLES, articles, query, row_work, table, words_sql
 from topicweave.plans.corpus_queries import BLOCK_FOLDS, LANGS, page_lang
 from topicweave.session import scratch_path
 
@@ -330,7 +330,7 @@ HASHED = f"""w AS (SELECT doc_id, unnest({words_sql('text')}) AS word FROM docum
     f"WITH {HASHED} SELECT doc_id, dim, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 5) AS value FROM u WHERE value <> 0",
 )
 def embed_hash(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = row_work(spark, d, "documents").select("doc_id", "text")
     return _long(ft.embed(docs, "text").drop("text"), "doc_id", "features", 5).where("value <> 0")
 
 
@@ -356,7 +356,7 @@ def embed_three_parts(spark, d):
 )
 def features_missing(spark, d):
     """Vectors stored for the labelled documents; only the others are encoded."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = row_work(spark, d, "documents").select("doc_id", "text")
     labelled = table(spark, d, "labels").select("doc_id", F.lit(True).alias("stored"))
     path = scratch_path(spark, "stored")
     ft.embed(docs.join(labelled, "doc_id", "left_semi"), "text").drop("text").write.parquet(path)
@@ -467,7 +467,7 @@ def score_real(spark, d):
     stored = _language_features(spark, d)
     model = jobs.train_linear(stored.where("split = 'train'"), "features", "label", "row_pos")
     code = F.array_position(F.array(*[F.lit(v) for v in LANGS]), page_lang()) - 1
-    pages = html_text(table(spark, d, "pages").select("page_id", "html", code.cast("int").alias("label")), "html")
+    pages = html_text(row_work(spark, d, "pages").select("page_id", "html", code.cast("int").alias("label")), "html")
     return _rounded(jobs.score_dataset(ft.embed(pages, "text"), model, "features", "label"))
 
 

@@ -9,7 +9,7 @@ from topicweave.functions.fixed_values import CODAS, NUCLEI, ONSETS, TONED_VOWEL
 from topicweave.operators import extract as ex
 from topicweave.operators import lexicon as lx
 from topicweave.plans import jobs
-from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, query, squeeze_sql, table, words_sql
+from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, query, row_work, squeeze_sql, table, words_sql
 from topicweave.session import scratch_path
 from topicweave.streaming.enrich import stream_enrich
 
@@ -24,7 +24,7 @@ def _decomposed():
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return row_work(spark, d, "documents").select("doc_id", "text")
 
 
 @query("lower_text", "SELECT doc_id, lower(text) AS text FROM documents")
@@ -219,29 +219,29 @@ def _first_sql(open_tag: str, tag: str) -> str:
 
 @query("html_text", f"SELECT page_id, {_plain_sql(f'''regexp_replace(html, '{_TAGS}', '', 'g')''')} AS text FROM pages")
 def html_text(spark, d):
-    return ex.html_text(table(spark, d, "pages").select("page_id", "html"), "html").drop("error")
+    return ex.html_text(row_work(spark, d, "pages").select("page_id", "html"), "html").drop("error")
 
 
 @query("html_first", f"SELECT page_id, {_first_sql('<h1>', 'h1')} AS description FROM pages")
 def html_first(spark, d):
-    return ex.html_first(table(spark, d, "pages").select("page_id", "html"), "html", ("h1", None, None)).drop("error")
+    return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html", ("h1", None, None)).drop("error")
 
 
 @query("html_first_attr", f"""SELECT page_id, {_first_sql('<div class="ad">', 'div')} AS description FROM pages""")
 def html_first_attr(spark, d):
-    rows = table(spark, d, "pages").select("page_id", "html")
+    rows = row_work(spark, d, "pages").select("page_id", "html")
     return ex.html_first(rows, "html", ("div", "class", "ad")).drop("error")
 
 
 @query("html_first_missing", "SELECT page_id, '' AS description FROM pages")
 def html_first_missing(spark, d):
     """The pages hold no such paragraph: every description is empty text."""
-    return ex.html_first(table(spark, d, "pages").select("page_id", "html"), "html").drop("error")
+    return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html").drop("error")
 
 
 @query("clean_html")
 def clean_html(spark, d):
-    return jobs.clean_html(table(spark, d, "pages").select("page_id", "html"), "html", STOP)
+    return jobs.clean_html(row_work(spark, d, "pages").select("page_id", "html"), "html", STOP)
 
 
 def _links(spark, d):
@@ -259,7 +259,7 @@ ENRICHED = _first_sql("<h1>", "h1")
 )
 def enrich_resume(spark, d):
     """The links of one site are done already; the others are enriched from their pages."""
-    links, pages = _links(spark, d), table(spark, d, "pages")
+    links, pages = _links(spark, d), row_work(spark, d, "pages")
     done = links.where(F.col("link").contains("example.org"))
     return ex.enrich_from_pages(links, pages, done, "example", target=("h1", None, None))
 
