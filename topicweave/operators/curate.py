@@ -17,6 +17,7 @@ from topicweave.functions.fixed_values import (
 )
 from topicweave.functions.text import assemble, is_blank
 from topicweave.operators.bounded import counted_join, join_lookup, small_or_none
+from topicweave.session import staged
 
 MAX_DICTIONARY = 500
 
@@ -80,8 +81,7 @@ def publisher_from_table(
     """As ``publisher``, with the dictionary in a table (prio, domain, name).
 
     A dictionary of at most ``MAX_DICTIONARY`` rows becomes the same chain of conditions. A larger one is joined on
-    the first characters of each domain: a domain can only occur where its opening characters occur, so the equi-join
-    on those loses nothing, and only real hits survive the check that follows.
+    short substrings: see ``publisher_by_gram``.
     """
     small = small_or_none(domains.select("prio", "domain", "name"), MAX_DICTIONARY)
     if small is not None:
@@ -90,16 +90,29 @@ def publisher_from_table(
     return publisher_by_gram(df, link, row_id, domains, out, other)
 
 
+def _grams(col: str, size: int) -> Column:
+    """All substrings of one length; none for shorter or missing text."""
+    starts = F.sequence(F.lit(1), F.length(col) - size + 1)
+    cut = F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(size)))
+    return F.array_distinct(F.when(F.length(col) >= size, cut))
+
+
 def publisher_by_gram(
     df: DataFrame, link: str, row_id: str, domains: DataFrame, out: str = "source", other: str = OTHER_PUBLISHER
 ) -> DataFrame:
-    """The join on opening characters, for dictionaries of any size."""
-    size = domains.agg(F.min(F.length("domain"))).first()[0]
-    keyed = domains.select("prio", "domain", "name", F.substring("domain", 1, size).alias("_gram"))
-    starts = F.sequence(F.lit(1), F.length(link) - size + 1)
-    grams = F.when(F.length(link) >= size, F.transform(starts, lambda i: F.substring(F.col(link), i, F.lit(size))))
-    slim = df.select(row_id, link, F.explode(F.array_distinct(grams)).alias("_gram"))
-    hits = slim.join(keyed, "_gram").where(F.col(link).contains(F.col("domain")))
+    """The join for dictionaries of any size.
+
+    A domain occurs in a link only if each of its substrings does, so it can be looked up by any one of them. Each
+    domain takes the one it shares with the fewest other domains: common openings such as ``www.`` never become keys,
+    and few candidates are left to check.
+    """
+    size = domains.agg(F.min(F.length("domain"))).first()[0] or 1
+    pieces = domains.select("prio", "domain", "name", F.explode(_grams("domain", size)).alias("_gram"))
+    shared = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram")
+    keyed = staged(pieces.join(shared, "_gram").groupBy("prio", "domain", "name").agg(rarest), "domains")
+    slim = df.select(row_id, link, F.explode(_grams(link, size)).alias("_gram"))
+    hits = join_lookup(slim, keyed, ["_gram"], "inner", spread=F.col(row_id)).where(F.col(link).contains(F.col("domain")))
     best = hits.groupBy(row_id).agg(F.min_by("name", "prio").alias(out))
     return df.join(best, row_id, "left").withColumn(out, F.coalesce(out, F.lit(other)))
 
