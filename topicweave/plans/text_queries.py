@@ -176,15 +176,28 @@ def collocations_npmi(spark, d):
     return _lexicon(spark, d).withColumn("npmi", F.round("npmi", 6))
 
 
-@query("segment_words")
+def _segmented_sql(words: str) -> str:
+    """The walk in SQL: one digit per word pair, leftmost non-overlapping joins, words glued by them."""
+    return f"""WITH {PAIRS_SQL}, x AS (SELECT doc_id, {words} AS w FROM documents),
+      p AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM x)),
+      f AS (SELECT doc_id, string_agg(CASE WHEN c.w1 IS NULL THEN '0' ELSE '1' END, '' ORDER BY i) AS f
+        FROM p LEFT JOIN c ON c.w1 = a AND c.w2 = b AND npmi >= 0.3 GROUP BY doc_id),
+      m AS (SELECT doc_id, w, regexp_replace(coalesce(f, '') || '0', '1[01]', '12', 'g') AS m FROM x LEFT JOIN f USING (doc_id)),
+      g AS (SELECT doc_id, rtrim(array_to_string(list_transform(range(1, len(w) + 1),
+        lambda i: w[i] || CASE WHEN m[i] = '1' THEN '_' ELSE ' ' END), '')) AS text FROM m)"""
+
+
+@query("segment_words", f"{_segmented_sql(words_sql('lower(text)'))} SELECT doc_id, text FROM g")
 def segment_words(spark, d):
-    """Words joined by the lexicon of the corpus itself. The walk over a text is checked against brute force in the
-    tests."""
+    """Words joined by the lexicon of the corpus itself."""
     docs = _docs(spark, d).withColumn("text", F.lower("text"))
     return lx.segment_words(docs, "text", "doc_id", _lexicon(spark, d).where("npmi >= 0.3"))
 
 
-@query("clean_chain_segmented")
+TONED_WORDS = f"string_split({tone_sql('nfc_normalize(lower(text))')}, ' ')"
+
+
+@query("clean_chain_segmented", f"{_segmented_sql(TONED_WORDS)} SELECT doc_id, {clean_sql('text')} AS text FROM g")
 def clean_chain_segmented(spark, d):
     lexicon = _lexicon(spark, d).where("npmi >= 0.3")
     return jobs.clean_articles(_docs(spark, d), "text", "doc_id", lexicon)
