@@ -231,7 +231,10 @@ def _first_sql(open_tag: str, tag: str) -> str:
     return squeeze_sql(_plain_sql(f"regexp_replace({inner}, '<[^>]*>', ' ', 'g')"))
 
 
-@query("html_text", f"SELECT page_id, {_plain_sql(f'''regexp_replace(html, '{_TAGS}', '', 'g')''')} AS text FROM pages")
+PAGE_TEXT = _plain_sql(f"regexp_replace(html, '{_TAGS}', '', 'g')")
+
+
+@query("html_text", f"SELECT page_id, {PAGE_TEXT} AS text FROM pages")
 def html_text(spark, d):
     return ex.html_text(row_work(spark, d, "pages").select("page_id", "html"), "html").drop("error")
 
@@ -253,7 +256,7 @@ def html_first_missing(spark, d):
     return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html").drop("error")
 
 
-@query("clean_html")
+@query("clean_html", f"SELECT page_id, {_chain_a_sql(PAGE_TEXT)} AS text FROM pages")
 def clean_html(spark, d):
     return jobs.clean_html(row_work(spark, d, "pages").select("page_id", "html"), "html", STOP)
 
