@@ -4,9 +4,12 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from topicweave.plans.catalog import ORACLE
+from topicweave.plans.catalog import QUERIES as CATALOG
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# training-data operators have their own tests in tests/llm
+QUERIES, SQL = dict(CATALOG), dict(ORACLE)
 # trained on the test tables: run by their own tests on small inputs, and by the benchmark
 SLOW = {"cuckoo_search", "grid_search", "learning_curve", "calibrate", "rank_topics", "train_rff", "clean_chain_segmented"}
 
