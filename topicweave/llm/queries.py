@@ -1,4 +1,15 @@
 """All queries of this subpackage: importing it registers them."""
 
-from topicweave.llm import quality_rules, url_filter  # noqa: F401
+from topicweave.llm import (  # noqa: F401
+    decontaminate,
+    ftrl,
+    packing,
+    quality_bayes,
+    quality_rules,
+    secrets,
+    simhash,
+    suffix_dedup,
+    url_filter,
+    warc,
+)
 from topicweave.llm.common import ORACLE, QUERIES  # noqa: F401
