@@ -122,3 +122,29 @@ def test_crosstab_fills_zero(frame):
 def test_missing_ratio_of_empty_table(frame):
     got = profile.missing_ratio(frame([], "a string"), ["a"]).collect()
     assert [tuple(r) for r in got] == [("a", 0, 0, None)]
+
+
+def test_keep_first_with_a_null_split_is_the_same_with_and_without_columns(frame):
+    data = [(0, None, "x", "a"), (1, None, "x", "b"), (2, "s", "x", "c"), (3, None, None, "d"), (4, "s", "x", "e"), (5, None, None, "f")]
+    df = frame(data, "pos int, split string, t string, extra string")
+    want = [(0,), (2,), (3,)]
+    assert rows(curate.keep_first(df, "t", "pos", ["split"]), "pos") == want
+    assert rows(curate.keep_first(df, "t", "pos", ["split"], columns=["extra"]), "pos") == want
+    assert rows(curate.keep_first(df, "t", "pos", ["split"], digest=True), "pos") == want
+
+
+@pytest.mark.parametrize("domain", ["", None])
+@pytest.mark.parametrize("limit", [0, 500])
+def test_an_empty_domain_is_an_error_on_both_paths(frame, monkeypatch, domain, limit):
+    monkeypatch.setattr(curate, "MAX_DICTIONARY", limit)
+    df = frame([(1, "http://a.b")], "i int, link string")
+    dim = frame([(0, "a.b", "A"), (1, domain, "All")], "prio int, domain string, name string")
+    with pytest.raises(ValueError):
+        curate.publisher_from_table(df, "link", "i", dim)
+
+
+def test_a_side_too_wide_is_not_small(frame, monkeypatch):
+    df = frame([("x" * 5000,)] * 10, "t string")
+    assert bounded.small_or_none(df).count() == 10
+    monkeypatch.setattr(bounded, "MAX_BROADCAST_BYTES", 20_000)
+    assert bounded.small_or_none(df) is None

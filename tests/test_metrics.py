@@ -87,3 +87,21 @@ def test_fourier_features_approximate_the_kernel(spark):
     z = np.array([r["features"] for r in features.fourier_features(df, "v", 4096).orderBy("i").collect()])
     want = np.exp(-g * ((x[:, None] - x[None]) ** 2).sum(-1))
     assert np.abs(z @ z.T - want).max() < 0.1
+
+
+def test_a_missing_side_counts_in_every_table(frame):
+    data = [(0, 0), (0, None), (None, 1), (1, 1), (1, 0), (None, None)]
+    pairs = metrics.pair_counts(frame(data, "y int, p int"), "y", "p")
+    cells = {(r["y_true"], r["y_pred"]): r["n"] for r in metrics.confusion_matrix(pairs).collect()}
+    assert sum(cells.values()) == 6 and len(cells) == 9 and cells[None, None] == 1 and cells[0, None] == 1
+    ratios = {(r["y_true"], r["y_pred"]): r["ratio"] for r in metrics.confusion_matrix(pairs, True).collect()}
+    assert ratios[None, 1] == 0.5 and ratios[0, 0] == 0.5
+    assert sum(r["support"] for r in metrics.per_class(pairs).collect()) == 6
+
+
+def test_names_in_report_and_confusion(frame):
+    pairs = metrics.pair_counts(frame([(0, 0), (0, 1), (7, 7)], "y int, p int"), "y", "p")
+    names = {0: "zero", 1: "one"}
+    assert {"zero", "one", "Lớp 7", "accuracy"} <= {r["row_name"] for r in metrics.class_report(pairs, names).collect()}
+    shown = metrics.named(metrics.confusion_matrix(pairs), names, "y_true", "y_pred").collect()
+    assert {(r["y_true"], r["y_pred"]) for r in shown if r["n"]} == {("zero", "zero"), ("zero", "one"), ("Lớp 7", "Lớp 7")}

@@ -107,3 +107,10 @@ def test_quantile_buckets_grow_with_the_value(spark):
     rows = with_quantile_bucket(df, "v", "b", 8).orderBy("v").collect()
     buckets = [r["b"] for r in rows]
     assert buckets == sorted(buckets) and len(set(buckets)) == 8
+
+
+def test_rows_without_a_label_are_refused_by_splits_and_folds(frame):
+    df = frame([(i, None if i % 5 == 0 else i % 3) for i in range(60)], "i int, label int")
+    for make in (sampling.stratified_split, sampling.stratified_folds, sampling.stratified_blocks):
+        with pytest.raises(ValueError, match="without a label"):
+            make(df, "label", "i")

@@ -83,7 +83,8 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
         return sorted((r["link"], r["description"]) for r in spark.read.parquet(out).collect())
 
     first = run()
-    batch = enrich_from_pages(articles.dropDuplicates(["link"]), pages, None, "vnexpress.net")
+    batch = enrich_from_pages(articles, pages, None, "vnexpress.net")
+    assert len(first) == 6  # every row, the repeated link twice
     assert first == sorted((r["link"], r["description"]) for r in batch.collect())
     assert dict(first)["http://vnexpress.net/2"] == "about 2" and dict(first)["http://vnexpress.net/9"] == ""
     assert run() == first
@@ -95,3 +96,36 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
 def test_scratch_is_under_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/x-")
     assert spark.conf.get("spark.checkpoint.dir") == shared_dir(spark)
+
+
+def test_html_is_never_shuffled_and_errors_are_kept(spark, monkeypatch):
+    from topicweave.operators import extract
+
+    pages = spark.createDataFrame([(f"u{i}", PAGE.format(i)) for i in range(40)] + [("u1", "<p>"), ("bad", "boom")], "url string, html string")
+    articles = spark.createDataFrame([(i, f"u{i % 50}") for i in range(200)] + [(900, "bad"), (901, None)], "i int, link string")
+
+    def read(page, *target):
+        if page == "boom":
+            raise ValueError("cannot read")
+        return page
+
+    monkeypatch.setattr(extract, "first_element_text", read)
+    got = extract.enrich_from_pages(articles, pages)
+    rows = {r["i"]: r for r in got.collect()}
+    assert len(rows) == 202 and rows[900]["error"] == "ValueError: cannot read" and rows[900]["description"] == ""
+    assert rows[901]["description"] == "" and rows[1]["error"] is None and rows[199]["description"] == ""
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Exchange" in line:
+            assert "html" not in line
+    under = plan.split("MapInArrow")[1:]
+    assert under and not any("Exchange hashpartitioning(url" in part.split("Scan")[0] and "html" in part for part in under)
+
+
+def test_bitmap_keeps_every_wanted_key(spark):
+    from topicweave.operators.bounded import maybe_in
+
+    rows = spark.range(20000).selectExpr("cast(id as string) AS k")
+    kept = maybe_in(rows, rows.where("k % 10 = 3"), "k")
+    assert kept.where("k % 10 = 3").count() == 2000 and kept.count() < 2200
+    assert maybe_in(rows, rows.where("k % 10 = 3"), "k", "left_anti").count() == 20000 - kept.count()

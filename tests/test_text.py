@@ -44,6 +44,9 @@ def test_stop_words_from_table(frame, monkeypatch, limit):
     df = frame([(1, "x y x Y z"), (2, "y"), (3, None)], "i int, t string")
     got = lexicon.remove_stopwords(df, "t", frame([("y",), ("z",)], "word string"), "i")
     assert [r["t"] for r in got.orderBy("i").collect()] == ["x x Y", "", None]
+    twins = frame([(1, "x y z"), (1, "w y"), (None, "x y z"), (None, None)], "i int, t string")
+    got = lexicon.remove_stopwords(twins, "t", frame([("y",), (None,)], "word string"), "i")
+    assert sorted(str(r["t"]) for r in got.collect()) == ["None", "w", "x z", "x z"]
 
 
 def test_nfc_like_python(frame):

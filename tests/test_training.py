@@ -186,3 +186,51 @@ def test_search_for_c(spark):
 
 def test_levy_sigma():
     assert search.levy_sigma() == pytest.approx(0.6966, abs=1e-4)
+
+
+def test_rows_without_a_label_are_refused(spark):
+    df, _, _ = points(spark)
+    with pytest.raises(ValueError, match="without a label"):
+        ls.pack_blocks(df.withColumn("y", F.when(F.col("id") % 5 > 0, F.col("y"))), "x", "y", "id")
+
+
+def test_a_fit_that_stops_early_says_so(spark):
+    df, _, _ = points(spark)
+    blocks = ls.pack_blocks(df, "x", "y", "id")
+    with pytest.warns(UserWarning, match="stopped above"):
+        short = ls.fit_linear(blocks, [100.0], tol=1e-12, max_passes=2)[0, 0]
+    assert not short.converged and short.gradient > 1e-12
+    assert ls.fit_linear(blocks, [1.0])[0, 0].converged
+    flat = spark.createDataFrame([(0, float(i % 7), i % 2 == 0) for i in range(40)], "group int, score double, is_pos boolean")
+    with pytest.warns(UserWarning, match="not settled"):
+        calibrate.fit_sigmoids(flat, 1, max_steps=1, tol=0.0)
+
+
+def test_distinct_evaluations_are_counted_over_restarts(spark):
+    seen = set()
+
+    def score(table):
+        seen.update(search.point_key(r["x"]) for r in table.collect())
+        return bowl(spark, [])(table)
+
+    path = scratch_path(spark, "search")
+    args = dict(dims=1, state_path=path, population=6, bounds=[(-1.0, 1.0)])
+    search.population_search(spark, score, generations=2, **args)
+    more = search.population_search(spark, score, generations=4, **args)
+    assert more.evaluations == len(seen)
+
+
+def test_state_of_another_search_is_refused(spark):
+    path = scratch_path(spark, "search")
+    args = dict(dims=1, state_path=path, population=4, bounds=[(-1.0, 1.0)], generations=1)
+    search.population_search(spark, bowl(spark, []), **args)
+    for other in ({"seed": 7}, {"population": 5}, {"bounds": [(-2.0, 1.0)]}, {"run_key": "other rows"}):
+        with pytest.raises(ValueError, match="other settings"):
+            search.population_search(spark, bowl(spark, []), **{**args, **other})
+
+
+def test_a_prefix_with_one_class_has_no_score(spark):
+    rows = [(i, [float(i % 30 + 40 * (i >= 60)), 1.0], int(i >= 60)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, x array<float>, y int")
+    got = search.learning_curve(df, "x", "y", "id", (0.2, 1.0)).collect()
+    assert got[0]["test_mean"] is None and got[1]["test_mean"] > 0.5

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from topicweave.session import staged
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 32
+BITMAP_WORDS = 1 << 19  # at most 8 MB to broadcast
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -30,10 +32,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def small_or_none(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local relation if it has at most ``max_rows`` rows, else None. Reads at most one row too many."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    """``df`` as a local relation if it has at most ``max_rows`` rows and ``MAX_BROADCAST_BYTES`` bytes, else None.
+
+    Rows come to the driver one partition of the limit after the other, and only as long as both bounds hold.
+    """
+    sized = df.limit(max_rows + 1)
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, size = sized.agg(F.count(F.lit(1)), F.sum(width)).first()
+    if rows > max_rows or (size or 0) > MAX_BROADCAST_BYTES:
         return None
+    table = sized.toArrow()
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
@@ -99,3 +107,19 @@ def counted_join(
     right = keys.withColumn("_copy", F.explode(copies))
     cond = match(left) & (left["_salt"] == F.col("_copy"))
     return left.join(right, cond, how).drop(*drops, "_salt", "_copy")
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, col: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``col`` may be among ``keys``: none that is goes missing, a few others stay. With ``how``
+    ``left_anti`` the other rows, none of which has a key. Null is never among the keys.
+
+    The bitmap has ``BITMAP_WORDS`` words whatever the number of keys; with very many keys it merely filters less. It is
+    built by a map-side combined aggregation and looked up by a broadcast join, all in generated code.
+    """
+    place = F.pmod(F.xxhash64(col), F.lit(BITMAP_WORDS * 32))
+    word, bit = F.shiftright(place, 5), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{col}`), 32) as int))")
+    bitmap = keys.where(F.col(col).isNotNull()).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word")
+    bitmap = bitmap.agg(F.bit_or("_bit").alias("_bits"))
+    marked = df.withColumns({"_at": F.when(F.col(col).isNotNull(), word), "_own": bit})
+    same = (marked["_at"] == bitmap["_word"]) & (F.col("_own").bitwiseAND(F.col("_bits")) != 0)
+    return marked.join(F.broadcast(bitmap), same, how).drop("_at", "_own")

@@ -7,11 +7,13 @@ probabilistic outputs for support vector machines", 2007).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -19,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from topicweave.functions.fixed_values import CALIBRATION_C, N_FOLDS
 from topicweave.operators.linear_svm import EVALUATE, TRAIN, LinearModel, fit_linear, pack_blocks
 from topicweave.operators.sampling import stratified_blocks
-from topicweave.session import staged
+from topicweave.session import staged, staging
 
 
 @dataclass
@@ -52,13 +54,15 @@ def held_out_scores(df: DataFrame, models: list[LinearModel], features: str, fol
 
 
 def fit_sigmoids(scored: DataFrame, groups: int, max_steps: int = 100, tol: float = 1e-12):
-    """Sigmoid parameters for each group 0..groups-1 of ``scored`` (group, score, is_pos): p = 1 / (1 + exp(a*s + b))."""
+    """Sigmoid parameters for each group 0..groups-1 of ``scored`` (group, score, is_pos): p = 1 / (1 + exp(a*s + b)).
+
+    A group that has not settled after ``max_steps`` steps is reported by a warning.
+    """
     spark = scored.sparkSession
     n = np.zeros((groups, 2))
     for r in scored.groupBy("group", "is_pos").agg(F.count(F.lit(1)).alias("n")).collect():  # two rows per group
         n[r["group"], int(r["is_pos"])] = r["n"]
-    hi, lo = (n[:, 1] + 1) / (n[:, 1] + 2), 1 / (n[:, 0] + 2)
-    a, b = np.zeros(groups), np.log((n[:, 0] + 1) / (n[:, 1] + 1))
+    hi, lo = targets(n)
 
     def sums(pa_, pb_):
         table = pd.DataFrame({"group": np.arange(groups, dtype=np.int32), "a": pa_, "b": pb_, "hi": hi, "lo": lo})
@@ -77,6 +81,63 @@ def fit_sigmoids(scored: DataFrame, groups: int, max_steps: int = 100, tol: floa
             out[k][rows["group"]] = rows[k]
         return out
 
+    return newton(n, sums, max_steps, tol)
+
+
+TERMS = ("f", "ga", "gb", "haa", "hab", "hbb")
+
+
+def targets(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed targets of positive and negative rows, from the counts (groups x (negative, positive))."""
+    return (n[:, 1] + 1) / (n[:, 1] + 2), 1 / (n[:, 0] + 2)
+
+
+def fit_held_out(held: DataFrame, folds: int, k: int, max_steps: int = 100, tol: float = 1e-12):
+    """Sigmoid parameters (folds x classes) from rows (fold, y, scores), y being the place of the class.
+
+    The scores stay one array per row: a step is one pass of Arrow batches, which hands back six sums per fold and class.
+    """
+    groups = folds * k
+    n = np.zeros((groups, 2))
+    for r in held.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect():  # folds x classes rows
+        n[r["fold"] * k : (r["fold"] + 1) * k, 0] += r["n"]
+        n[r["fold"] * k + r["y"]] += (-r["n"], r["n"])
+    hi, lo = targets(n)
+
+    def sums(a, b):
+        params = [v.reshape(folds, k) for v in (a, b, hi, lo)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, b, hi, lo = params
+            out = np.zeros((len(TERMS), folds, k))
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                fold, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "y"))
+                s = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                z = a[fold] * s + b[fold]
+                t = np.where(np.arange(k) == y[:, None], hi[fold], lo[fold])
+                e = np.exp(-np.abs(z))
+                p = np.where(z >= 0, e / (1 + e), 1 / (1 + e))
+                d, h = t - p, p * (1 - p)
+                terms = (np.maximum(z, 0) + np.log1p(e) - (1 - t) * z, d * s, d, h * s * s, h * s, h)
+                for i, term in enumerate(terms):
+                    np.add.at(out[i], fold, term)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["i", "v"])
+
+        got = held.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        flat = np.zeros(len(TERMS) * groups)
+        flat[got["i"].to_numpy()] = got["v"].to_numpy()
+        return dict(zip(TERMS, flat.reshape(len(TERMS), groups)))
+
+    a, b = newton(n, sums, max_steps, tol)
+    return a.reshape(folds, k), b.reshape(folds, k)
+
+
+def newton(n: np.ndarray, sums, max_steps: int, tol: float):
+    """Newton's method with step halving for all groups at once; ``sums(a, b)`` is one pass over the data."""
+    groups = len(n)
+    a, b = np.zeros(groups), np.log((n[:, 0] + 1) / (n[:, 1] + 1))
     now = sums(a, b)
     step, live = np.ones(groups), n.sum(axis=1) > 0
     for _ in range(max_steps):
@@ -94,6 +155,8 @@ def fit_sigmoids(scored: DataFrame, groups: int, max_steps: int = 100, tol: floa
         a, b = np.where(good, ta, a), np.where(good, tb, b)
         now = {k: np.where(good, new[k], now[k]) for k in now}
         step = np.where(good, 1.0, step / 2)
+    else:
+        warnings.warn(f"{int(live.sum())} of {groups} sigmoids have not settled after {max_steps} steps", stacklevel=2)
     return a, b
 
 
@@ -101,22 +164,24 @@ def fit_calibrated(
     df: DataFrame, features: str, label: str, pos: str, c: float = CALIBRATION_C, folds: int = N_FOLDS
 ) -> CalibratedModel:
     """Train on all but one fold, fit the sigmoids on the held-out fold, for every fold. All folds train together."""
-    folded = stratified_blocks(df, label, pos, folds)
-    roles = [F.when(F.col("fold") == i, EVALUATE).otherwise(TRAIN) for i in range(folds)]
-    blocks = pack_blocks(folded, features, label, pos, roles)
-    try:
-        fitted = fit_linear(blocks, [c])
-    finally:
-        blocks.close()
-    models, k = [fitted[i, 0] for i in range(folds)], len(blocks.classes)
-    labels = F.array(*[F.lit(v) for v in blocks.classes])
-    held = held_out_scores(folded.select(features, label, "fold"), models, features, "fold")
-    each = held.select("fold", label, F.posexplode("scores").alias("_k", "score"))
-    flat = each.select(
-        (F.col("fold") * k + F.col("_k")).alias("group"), "score", (F.col(label) == F.get(labels, F.col("_k"))).alias("is_pos")
-    )
-    a, b = fit_sigmoids(staged(flat, "margins"), folds * k)
-    return CalibratedModel(list(blocks.classes), models, a.reshape(folds, k), b.reshape(folds, k))
+    with staging(df.sparkSession):
+        folded = stratified_blocks(df, label, pos, folds)
+        roles = [F.when(F.col("fold") == i, EVALUATE).otherwise(TRAIN) for i in range(folds)]
+        blocks = pack_blocks(folded, features, label, pos, roles)
+        try:
+            fitted = fit_linear(blocks, [c])
+        finally:
+            blocks.close()
+        models, k = [fitted[i, 0] for i in range(folds)], len(blocks.classes)
+        labels = F.array(*[F.lit(v) for v in blocks.classes])
+        held = held_out_scores(folded.select(features, label, "fold"), models, features, "fold")
+        place = (F.array_position(labels, F.col(label)) - 1).cast("int")
+        margins = staged(held.select(F.col("fold").cast("int").alias("fold"), place.alias("y"), "scores"), "margins").persist()
+        try:
+            slope, offset = fit_held_out(margins, folds, k)
+        finally:
+            margins.unpersist()
+        return CalibratedModel(list(blocks.classes), models, slope, offset)
 
 
 def predict_proba(df: DataFrame, model: CalibratedModel, features: str, out: str = "probs") -> DataFrame:

@@ -81,8 +81,11 @@ def publisher_from_table(
     """As ``publisher``, with the dictionary in a table (prio, domain, name).
 
     A dictionary of at most ``MAX_DICTIONARY`` rows becomes the same chain of conditions. A larger one is joined on
-    short substrings: see ``publisher_by_gram``.
+    short substrings: see ``publisher_by_gram``. Both give the same names. A missing or empty domain, which would fit
+    every link or none, is an error.
     """
+    if domains.where("domain IS NULL OR domain = ''").limit(1).count():
+        raise ValueError("a domain in the dictionary is missing or empty")
     small = small_or_none(domains.select("prio", "domain", "name"), MAX_DICTIONARY)
     if small is not None:
         pairs = [(r["domain"], r["name"]) for r in sorted(small.toLocalIterator(), key=lambda r: r["prio"])]
@@ -157,8 +160,10 @@ def keep_first(
         first = F.min_by(F.struct(pos, *columns), F.col(pos)).alias("_first")
         slim = keyed.select(*split, "_key", pos, *columns)
         return slim.groupBy(*split, "_key").agg(first).select(*split, "_first.*")
-    firsts = keyed.groupBy(*split, "_key").agg(F.min(pos).alias(pos)).select(*split, pos)
-    return df.join(firsts, [*split, pos], "left_semi")
+    firsts = keyed.groupBy(*split, "_key").agg(F.min(pos).alias(pos))
+    firsts = firsts.select(*[F.col(c).alias(f"_f_{i}") for i, c in enumerate([*split, pos])])
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(F.col(f"_f_{i}")) for i, c in enumerate([*split, pos])])
+    return df.join(firsts, same, "left_semi")
 
 
 def _key_counts(df: DataFrame, key: str, split: Sequence[str], digest: bool) -> DataFrame:
@@ -216,10 +221,11 @@ def todo_rows(df: DataFrame, done: DataFrame, link: str) -> DataFrame:
     return open_rows.unionByName(df.where(F.col(link).isNull()))
 
 
-def enrich(df: DataFrame, found: DataFrame, on: str, col: str) -> DataFrame:
-    """Left join with one value per key; without a match the value is empty text."""
-    hit = df.where(F.col(on).isNotNull()).join(found.select(on, col), on, "left")
-    miss = df.where(F.col(on).isNull()).withColumn(col, F.lit(None).cast("string"))
+def enrich(df: DataFrame, found: DataFrame, on: str, col: str, others: Sequence[str] = ()) -> DataFrame:
+    """Left join with one value per key; without a match the value is empty text. ``others``: further columns of
+    ``found`` to carry over, null without a match."""
+    hit = df.where(F.col(on).isNotNull()).join(found.select(on, col, *others), on, "left")
+    miss = df.where(F.col(on).isNull()).withColumns({c: F.lit(None).cast("string") for c in (col, *others)})
     return hit.unionByName(miss).withColumn(col, F.coalesce(col, F.lit("")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from topicweave.functions.html import first_element_text, page_text
+from topicweave.operators.bounded import maybe_in
 from topicweave.operators.curate import enrich, from_site, todo_rows
 
 DESCRIPTION = ("p", "class", "description")
@@ -61,16 +62,19 @@ def enrich_from_pages(
     target=DESCRIPTION,
     out: str = "description",
 ) -> DataFrame:
-    """Articles still to do, each with the text found on its page (empty when there is no page or it fails).
+    """Articles still to do, each with the text found on its page (empty when there is no page or it fails) and with the
+    ``error`` of a page that could not be read.
 
-    Site filter and anti-join come first, and only pages that an open article asks for reach the Python stage.
+    Site filter and anti-join come first, and only pages that an open article asks for reach the Python stage: by a
+    bitmap of the wanted links' hashes, which is broadcast (its size is fixed) and lets through a few others. HTML is
+    never shuffled; what is joined to the articles, exactly, is url and text.
     """
     todo = from_site(articles, link, domain) if domain else articles
     if done is not None:
         todo = todo_rows(todo, done, link)
-    wanted = todo.select(F.col(link).alias(url)).where(F.col(url).isNotNull()).distinct()
-    needed = pages.select(url, "html").join(wanted, url, "left_semi")
-    texts = html_first(needed, "html", target, out)
-    # several captures of one page: keep one text, found or not, without moving any HTML
-    found = texts.groupBy(F.col(url).alias(link)).agg(F.max(out).alias(out))
-    return enrich(todo, found, link, out)
+    wanted = todo.select(F.col(link).alias(url)).where(F.col(url).isNotNull())
+    texts = html_first(maybe_in(pages.select(url, "html"), wanted, url), "html", target, out)
+    # several captures of one page: keep one text, found or not
+    per_page = texts.groupBy(F.col(url).alias(link)).agg(F.max(out).alias(out), F.max("error").alias("error"))
+    found = per_page.withColumn("error", F.when(F.col(out) == "", F.col("error")))
+    return enrich(todo, found, link, out, ["error"])

@@ -114,13 +114,14 @@ def decode_labels(df: DataFrame, code: str, names: list, out: str = "label") ->
 
 
 def project_2d(
-    df: DataFrame, features: str, row_id: str, max_points: int = 3000, seed: int = DEFAULT_SEED
+    df: DataFrame, features: str, row_id: str, max_points: int | None = None, seed: int = DEFAULT_SEED
 ) -> DataFrame:
-    """Two-dimensional map of a sample: principal axes fitted on all rows, coordinates for the sampled ones."""
+    """Two-dimensional map: principal axes fitted on all rows, coordinates for all rows or, with ``max_points``, for a
+    random sample of that many."""
     with_vec = df.withColumn("_vec", array_to_vector(F.col(features).cast("array<double>")))
     model = PCA(k=2, inputCol="_vec", outputCol="_xy").fit(with_vec)
     xy = vector_to_array("_xy")
-    points = model.transform(sample_rows(with_vec, max_points, row_id, seed))
+    points = model.transform(with_vec if max_points is None else sample_rows(with_vec, max_points, row_id, seed))
     return points.withColumns({"x": xy[0], "y": xy[1]}).drop("_vec", "_xy", features)
 
 

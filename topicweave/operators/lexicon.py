@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import first_sentence, words
-from topicweave.operators.bounded import counted_join, small_or_none
+from topicweave.operators.bounded import SALTS, counted_join, small_or_none
 from topicweave.session import staged
 
 MAX_LEXICON = 500_000
@@ -16,7 +19,8 @@ MAX_LEXICON = 500_000
 def remove_stopwords(df: DataFrame, text: str, stop: DataFrame, row_id: str, out: str | None = None) -> DataFrame:
     """Drop the words listed in ``stop`` (one column ``word``), exact case, keeping repeats and order of the rest.
 
-    A list that fits a broadcast is handed to ``StopWordsRemover``; a longer one is anti-joined to the exploded words.
+    A list that fits a broadcast is handed to ``StopWordsRemover``; a longer one is anti-joined to the exploded words
+    of each distinct text, found again by its digest, so row ids may repeat or be missing on both paths.
     """
     out = out or text
     listed = small_or_none(stop.select("word").where("word is not null"))
@@ -27,11 +31,17 @@ def remove_stopwords(df: DataFrame, text: str, stop: DataFrame, row_id: str, out
         kept = remover.transform(df.withColumn("_words", F.coalesce(words(F.col(text)), F.array())))
         joined = F.when(F.col(text).isNotNull(), F.array_join("_kept", " "))
         return kept.withColumn(out, joined).drop("_words", "_kept")
-    tokens = df.select(row_id, F.posexplode(words(F.col(text))).alias("_at", "word"))
-    rest = tokens.join(stop.select("word").distinct(), "word", "left_anti")
-    again = rest.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_at", "word"))).alias("_kept"))
+    digest = F.sha2(F.col(text).cast("binary"), 256)
+    texts = df.where(F.col(text).isNotNull()).select(digest.alias("_digest"), text).dropDuplicates(["_digest"])
+    tokens = texts.select("_digest", F.posexplode(words(F.col(text))).alias("_at", "word"))
+    # both join sides are salted by position: a frequent word spreads over many tasks
+    salted = tokens.withColumn("_salt", F.pmod(F.xxhash64("_digest", "_at"), F.lit(SALTS)))
+    listed = stop.select("word").where("word is not null").distinct()
+    listed = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    rest = salted.join(listed, ["word", "_salt"], "left_anti")
+    again = rest.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("_at", "word"))).alias("_kept"))
     joined = F.when(F.col(text).isNotNull(), F.coalesce(F.array_join(F.col("_kept")["word"], " "), F.lit("")))
-    return df.join(again, row_id, "left").withColumn(out, joined).drop("_kept")
+    return df.withColumn("_digest", digest).join(again, "_digest", "left").withColumn(out, joined).drop("_kept", "_digest")
 
 
 def _pairs(tokens: str) -> Column:
@@ -79,15 +89,21 @@ def segment_words(
     """Join neighbouring words that form a lexicon entry (columns ``w1``, ``w2``, ``n_pair``) with an underscore.
 
     A text is walked from left to right: a known pair is joined unless its first word has just been joined to the one
-    before. The pairs of each text look themselves up in the lexicon and only the positions of the hits travel back.
+    before. A lexicon of at most ``MAX_LEXICON`` pairs is broadcast as a set and looked up inside the row, without a
+    shuffle. With a larger one the pairs of the texts are joined with it, and only the positions of the hits travel
+    back; pairs that are frequent in these texts, known or not, are salted. ``row_id`` must be unique for that.
     ``first_sentence_only`` keeps just the first sentence of every text.
     """
     out = out or text
     source = first_sentence(F.col(text)) if first_sentence_only else F.col(text)
+    listed = small_or_none(lexicon.select("w1", "w2"), MAX_LEXICON)
+    if listed is not None:
+        return df.withColumn(out, _glue_known(listed)(words(source)))
     tokens = df.withColumn("_t", words(source))
     pairs = tokens.select(row_id, F.posexplode(_pairs("_t")).alias("_at", "pair"))
-    known = lexicon.select(F.concat_ws(" ", "w1", "w2").alias("pair"), F.col("n_pair").alias("n"))
-    hits = counted_join(pairs, known, ["pair"], "left_semi", F.col(row_id), max_rows=MAX_LEXICON)
+    counts = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    known = lexicon.select(F.concat_ws(" ", "w1", "w2").alias("pair"), F.lit(True).alias("known")).distinct()
+    hits = counted_join(pairs, counts.join(known, "pair", "left"), ["pair"], "left", F.col(row_id)).where("known")
     found = hits.groupBy(row_id).agg(F.sort_array(F.collect_list("_at")).alias("_hits"))
     marked = tokens.join(found, row_id, "left").withColumn("_marks", _join_marks())
     glued = F.zip_with("_t", "_marks", lambda w, m: F.concat(w, F.when(m == "1", "_").otherwise(" ")))
@@ -95,6 +111,33 @@ def segment_words(
     return marked.withColumn(out, joined).drop("_t", "_hits", "_marks")
 
 
+def _glue_known(lexicon: DataFrame):
+    """A function of word lists that joins known pairs from left to right; the lexicon is small and travels once."""
+    spark = lexicon.sparkSession
+    shared = spark.sparkContext.broadcast(frozenset((r["w1"], r["w2"]) for r in lexicon.toLocalIterator()))
+
+    def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = shared.value
+        for series in lists:
+            texts = []
+            for tokens in series:
+                if tokens is None:
+                    texts.append(None)
+                    continue
+                parts, i, tokens = [], 0, list(tokens)
+                while i < len(tokens):
+                    if i + 1 < len(tokens) and (tokens[i], tokens[i + 1]) in known:
+                        parts.append(f"{tokens[i]}_{tokens[i + 1]}")
+                        i += 2
+                    else:
+                        parts.append(tokens[i])
+                        i += 1
+                texts.append(" ".join(parts))
+            yield pd.Series(texts, dtype=object)
+
+    return F.pandas_udf(run, "string")
+
+
 def _join_marks() -> Column:
     """One character per word: 1 if it is joined to the next word. Built from the sorted hit positions as a string
     with a 1 at every hit; a join uses up two characters, so the leftmost non-overlapping matches of a 1 and its

@@ -14,6 +14,7 @@ further passes even where C is large and L-BFGS would crawl. The driver holds we
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -64,6 +65,8 @@ class LinearModel:
     weights: np.ndarray
     c: float
     subset: int = 0
+    gradient: float = 0.0  # largest gradient of its problems, relative to the one at zero weights
+    converged: bool = True
 
     def table(self, spark) -> DataFrame:
         rows = [
@@ -93,6 +96,8 @@ def pack_blocks(
     if not stats or any(r["d"] != stats[0]["d"] or r["d_min"] != stats[0]["d"] for r in stats):
         raise ValueError("all feature vectors must have one length")
     classes = [r[label] for r in stats]
+    if None in classes:
+        raise ValueError("rows without a label cannot train a model")
     if len(classes) < 2:
         raise ValueError("training needs at least two classes")
     dim, total = stats[0]["d"], sum(r["n"] for r in stats)
@@ -281,14 +286,20 @@ def fit_linear(
     balanced: bool = True,
     tol: float = 1e-4,
     max_passes: int = 400,
+    subsets: Sequence[int] | None = None,
 ) -> dict[tuple[int, int], LinearModel]:
-    """Train every (subset, C) classifier of the blocks together. Keys of the result: (subset, index of C).
+    """Train every (subset, C) classifier of the blocks together. Keys of the result: (subset, index of C). ``subsets``
+    restricts training to some of the subsets.
 
-    A class without rows in a subset gets no problem there and can never be predicted by that classifier.
+    A class without rows in a subset gets no problem there and can never be predicted by that classifier. A model that
+    has not reached ``tol`` after ``max_passes`` says so (``converged``, ``gradient``), and a warning is given.
     """
-    k, n_sub = len(blocks.classes), blocks.counts.shape[0]
+    k = len(blocks.classes)
+    subsets = list(range(blocks.counts.shape[0]) if subsets is None else subsets)
+    if not subsets:
+        raise ValueError("no subset to train on")
     problems, weight_of = [], {}
-    for sub in range(n_sub):
+    for sub in subsets:
         n_c = blocks.counts[sub]
         present = np.flatnonzero(n_c)
         if len(present) < 2:
@@ -305,9 +316,14 @@ def fit_linear(
     def evaluate(ids, at, curvature):
         return _loss_and_gradient(blocks, at, target[ids], subset[ids], pos[ids], neg[ids], curvature)
 
-    w, _, _ = minimise(evaluate, len(problems), blocks.dim + 1, tol, max_passes)
+    w, gradient, passes = minimise(evaluate, len(problems), blocks.dim + 1, tol, max_passes)
+    open_still = int((gradient > tol).sum())
+    if open_still:
+        warnings.warn(
+            f"{open_still} of {len(problems)} problems stopped above a relative gradient of {tol:g} after {passes} passes", stacklevel=2
+        )
     out = {}
-    for sub in range(n_sub):
+    for sub in subsets:
         present = np.flatnonzero(blocks.counts[sub])
         for ci, c in enumerate(c_values):
             table = np.zeros((k, blocks.dim + 1))
@@ -318,7 +334,9 @@ def fit_linear(
             else:
                 for cls in present:
                     table[cls] = w[weight_of[sub, ci, cls]]
-            out[sub, ci] = LinearModel(list(blocks.classes), table, float(c), sub)
+            own = [weight_of[sub, ci, cls] for cls in present if (sub, ci, cls) in weight_of]
+            worst = float(gradient[own].max())
+            out[sub, ci] = LinearModel(list(blocks.classes), table, float(c), sub, worst, worst <= tol)
     return out
 
 

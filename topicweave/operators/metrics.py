@@ -5,11 +5,13 @@ Everything starts from a small grouped count, so the data is read once and combi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicweave.functions.fixed_values import UNKNOWN_LABEL_PREFIX
 from topicweave.operators.ranking import running_sums, with_quantile_bucket
 from topicweave.session import staged
 
@@ -50,13 +52,25 @@ def macro_f1(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return per_class(pairs, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
 
 
-def class_report(pairs: DataFrame) -> DataFrame:
-    """Per-class rows followed by accuracy, macro average and support-weighted average.
+def named(df: DataFrame, names: Mapping, *cols: str) -> DataFrame:
+    """Label names in place of label values; a label without a name gets the fallback text, null stays null."""
+    pairs = [(F.lit(k), F.lit(v)) for k, v in names.items()]
+
+    def name(c: str):
+        fallback = F.concat(F.lit(UNKNOWN_LABEL_PREFIX), F.col(c).cast("string"))
+        return reduce(lambda out, kv: F.when(F.col(c) == kv[0], kv[1]).otherwise(out), pairs, fallback)
+
+    return df.withColumns({c: name(c) for c in cols})
+
+
+def class_report(pairs: DataFrame, names: Mapping | None = None) -> DataFrame:
+    """Per-class rows followed by accuracy, macro average and support-weighted average. ``names``: names of labels.
 
     Works on the per-class table (one row per label), which comes from one aggregation of the pair counts.
     """
     table = per_class(pairs)
-    rows = table.select(F.col("label").cast("string").alias("row_name"), "precision", "recall", "f1", "support")
+    shown = table if names is None else named(table, names, "label")
+    rows = shown.select(F.col("label").cast("string").alias("row_name"), "precision", "recall", "f1", "support")
     weighted = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c)
     macro = table.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
     right = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
@@ -75,12 +89,16 @@ def confusion_matrix(pairs: DataFrame, normalize: bool = False) -> DataFrame:
     """Complete square table over the labels found in truth or prediction; with ``normalize`` each row of a true label
     sums to one, and a label without true rows stays zero.
 
+    A missing truth or prediction is a label of its own, null, as in ``per_class``; accuracy counts such rows as wrong.
     Completed by listing all labels next to each label, which has k x k rows for k labels.
     """
-    sides = pairs.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("y_true").alias("v")), F.struct(F.col("y_pred").alias("v")))).alias("label"))
     listed = sides.agg(F.sort_array(F.collect_set("label")).alias("labels"))
-    grid = listed.select(F.explode("labels").alias("y_true"), "labels").select("y_true", F.explode("labels").alias("y_pred"))
-    full = grid.join(pairs, ["y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = listed.select(F.explode("labels").alias("_t"), "labels").select("_t", F.explode("labels").alias("_p"))
+    same = grid["_t.v"].eqNullSafe(pairs["y_true"]) & grid["_p.v"].eqNullSafe(pairs["y_pred"])
+    full = grid.join(pairs, same, "left").select(
+        F.col("_t.v").alias("y_true"), F.col("_p.v").alias("y_pred"), F.coalesce("n", F.lit(0)).alias("n")
+    )
     if not normalize:
         return full
     total = F.sum("n").over(Window.partitionBy("y_true"))

@@ -8,6 +8,7 @@ it is a comparison with the exact cut value of the group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -31,12 +32,20 @@ def key_bucket(key: Column) -> Column:
 
 
 def position_bucket(df: DataFrame, pos: str, buckets: int = BUCKETS) -> Column:
-    """Equal-width buckets over a position column. Positions are dense by contract, so the buckets are even."""
+    """Equal-width buckets over a position column, apart for the bulk of the positions and for the few before and after
+    it: an outlying position does not stretch the buckets of all others."""
     lo, hi = df.agg(F.min(pos), F.max(pos)).first()
     if lo is None:
         return F.lit(0).cast("bigint")
-    width = max(1, -(-(hi - lo + 1) // buckets))
-    return F.floor((F.col(pos) - F.lit(lo)) / F.lit(width)).cast("bigint")
+    first, last = df.approxQuantile(pos, [0.01, 0.99], 0.005)
+    first, last = max(lo, math.floor(first)), min(hi, math.ceil(last))
+
+    def cut(begin: int, end: int, offset: int) -> Column:
+        width = max(1, -(-(end - begin + 1) // buckets))
+        return F.floor((F.col(pos) - F.lit(begin)) / F.lit(width)).cast("bigint") + F.lit(offset)
+
+    outside = F.when(F.col(pos) < first, cut(lo, first, 0)).when(F.col(pos) > last, cut(last, hi, 4 * buckets))
+    return outside.otherwise(cut(first, last, 2 * buckets))
 
 
 def with_quantile_bucket(df: DataFrame, value: str, out: str, buckets: int = 512) -> DataFrame:

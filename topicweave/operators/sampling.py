@@ -110,6 +110,8 @@ def test_quotas(counts: DataFrame, label: str, test_size: float) -> DataFrame:
     total, smallest, k = stats
     if not total:
         raise ValueError("nothing to split")
+    if counts.where(F.col(label).isNull()).limit(1).count():
+        raise ValueError("rows without a label cannot be split by class")
     if smallest < 2:
         raise ValueError("every class needs at least two rows")
     n_test = math.ceil(test_size * total)
@@ -174,7 +176,9 @@ def stratified_blocks(df: DataFrame, label: str, pos: str, folds: int = N_FOLDS,
 
 
 def _fold_number(df, label, bucket, order, quotas, folds, out):
-    smallest = group_totals(df, [label]).agg(F.max("n")).first()[0]
-    if smallest is not None and smallest < folds:
+    largest, unlabelled = group_totals(df, [label]).agg(F.max("n"), F.count_if(F.col(label).isNull())).first()
+    if unlabelled:
+        raise ValueError("rows without a label cannot be dealt to folds")
+    if largest is not None and largest < folds:
         raise ValueError(f"no class has as many rows as there are folds ({folds})")
     return _piece_number(df, [label], bucket, order, quotas, F.col(next(iter(order))), out)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ from topicweave.operators.linear_svm import (
 from topicweave.operators.profile import fold_summary
 from topicweave.operators.ranking import cut_points, position_bucket
 from topicweave.operators.sampling import stratified_blocks, stratified_folds
+from topicweave.session import staging
 from topicweave.sources.models import CACHE_SCHEMA, append_cache, read_cache
 
 KEY_PLACES = 6
@@ -54,9 +58,9 @@ def pack_folds(
     return pack_blocks(folded, features, label, row_id, fold_roles(folds) + ([F.lit(TRAIN)] if with_full else []))
 
 
-def cross_validate(blocks: Blocks, c_values: Sequence[float], folds: int = N_FOLDS):
+def cross_validate(blocks: Blocks, c_values: Sequence[float], folds: int = N_FOLDS, subsets: Sequence[int] | None = None):
     """All (C, fold) models in one batch. Returns the models and the table (subset, c, role, macro_f1)."""
-    models = fit_linear(blocks, c_values)
+    models = fit_linear(blocks, c_values, subsets=subsets)
     return models, subset_scores(blocks, models)
 
 
@@ -91,12 +95,13 @@ def grid_search(
     The refits ride along in the same passes as one more training set.
     """
     c_values = list(c_values or grid_values())
-    blocks = pack_folds(df, features, label, row_id, folds, seed, with_full=True)
-    try:
-        models, table = cross_validate(blocks, c_values, folds)
-        local = table.where(F.col("subset") < folds).toArrow()  # candidates x folds x 2 rows
-    finally:
-        blocks.close()
+    with staging(df.sparkSession):
+        blocks = pack_folds(df, features, label, row_id, folds, seed, with_full=True)
+        try:
+            models, table = cross_validate(blocks, c_values, folds)
+            local = table.where(F.col("subset") < folds).toArrow()  # candidates x folds x 2 rows
+        finally:
+            blocks.close()
     scored = df.sparkSession.createDataFrame(local, schema=table.schema)
     cv = scored.groupBy("c", F.col("subset").alias("fold")).agg(
         F.max(F.when(F.col("role") == TRAIN, F.col("macro_f1"))).alias("train_f1"),
@@ -115,7 +120,8 @@ def learning_curve(
     """Train and held-out macro F1 (mean, standard deviation over folds) for growing prefixes of the training rows.
 
     Sizes are fractions of the first fold's training set. The end of each prefix is an exact cut position; with the
-    cuts known, all (fold, size) models train in one batch.
+    cuts known, all (fold, size) models train in one batch. A prefix that holds a single class trains no model; a size
+    without any model has null scores.
     """
     spark = df.sparkSession
     folded = stratified_blocks(df, label, pos, folds)
@@ -133,13 +139,18 @@ def learning_curve(
         inside = (F.col("fold") != f) if cut is None else (F.col("fold") != f) & (F.col(pos) <= F.lit(cut))
         roles.append(F.when(F.col("fold") == f, EVALUATE).when(inside, TRAIN).otherwise(UNUSED))
         subset_of.append(n)
-    blocks = pack_blocks(folded, features, label, pos, roles)
-    try:
-        table = subset_scores(blocks, fit_linear(blocks, [c]))
-        local = table.toArrow()
-    finally:
-        blocks.close()
+    with staging(spark):
+        blocks = pack_blocks(folded, features, label, pos, roles)
+        try:
+            able = [s for s in range(len(roles)) if (blocks.counts[s] > 0).sum() > 1]
+            table = subset_scores(blocks, fit_linear(blocks, [c], subsets=able))
+            local = table.toArrow()
+        finally:
+            blocks.close()
     rows = spark.createDataFrame(local, schema=table.schema)
+    unable = [(s, None, TRAIN, None) for s in range(len(roles)) if s not in able]
+    if unable:
+        rows = rows.unionByName(spark.createDataFrame(unable, "subset int, c double, role int, macro_f1 double"))
     size = F.get(F.array(*[F.lit(n) for n in subset_of]), F.col("subset"))
     out = rows.groupBy(size.alias("n_train"))
     train, test = (F.when(F.col("role") == r, F.col("macro_f1")) for r in (TRAIN, EVALUATE))
@@ -166,7 +177,7 @@ def score_candidates(
     todo = [float(r["log_c"]) for r in missing.collect()]
     if todo:
         cs = [10.0 ** first[k] for k in todo]
-        _, table = cross_validate(blocks, cs, folds)
+        _, table = cross_validate(blocks, cs, folds, range(folds))
         held = table.where((F.col("role") == EVALUATE) & (F.col("subset") < folds))
         means = {r["c"]: r["s"] for r in held.groupBy("c").agg(F.avg("macro_f1").alias("s")).collect()}
         new = [(model, metric, f"{k:.{KEY_PLACES}f}", means[c]) for k, c in zip(todo, cs)]
@@ -196,18 +207,29 @@ def levy_sigma(beta: float = LEVY_BETA) -> float:
     return (top / (math.gamma((1 + beta) / 2) * beta * 2 ** ((beta - 1) / 2))) ** (1 / beta)
 
 
-STATE_SCHEMA = "nest int, x array<double>, score double"
+STATE_SCHEMA = "nest int, x array<double>, score double, run string, asked array<array<double>>"
 
 
-def _load_state(spark: SparkSession, path: str, generations: int):
-    """The last finished generation under ``path``, if any."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for g in range(generations, -1, -1):
-        done = hadoop(f"{path}/generation={g}/_SUCCESS")
-        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            rows = spark.read.schema(STATE_SCHEMA).parquet(f"{path}/generation={g}").orderBy("nest").collect()
-            return g, np.array([r["x"] for r in rows]), np.array([r["score"] for r in rows])
-    return None
+def point_key(point: Sequence[float]) -> tuple[float, ...]:
+    """Points that agree to so many places are one evaluation."""
+    return tuple(round(float(v), KEY_PLACES) for v in point)
+
+
+def _load_state(spark: SparkSession, path: str, generations: int, run: str):
+    """The last finished generation under ``path``, if any. A generation is one file, which appears when it is whole."""
+    try:
+        rows = spark.read.schema(STATE_SCHEMA + ", generation int").parquet(path).where(F.col("generation") <= generations).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if not rows:
+        return None
+    if any(r["run"] != run for r in rows):
+        raise ValueError(f"{path} holds the state of a search with other settings or data")
+    last = max(r["generation"] for r in rows)
+    rows = sorted((r for r in rows if r["generation"] == last), key=lambda r: r["nest"])
+    return last, np.array([r["x"] for r in rows]), np.array([r["score"] for r in rows]), rows[0]["asked"]
 
 
 def population_search(
@@ -222,6 +244,7 @@ def population_search(
     beta: float = LEVY_BETA,
     minimise: bool = True,
     seed: int = DEFAULT_SEED,
+    run_key: str = "",
 ) -> SearchResult:
     """Cuckoo search (Yang and Deb, "Cuckoo search via Levy flights", 2009) over batches of candidates.
 
@@ -229,15 +252,17 @@ def population_search(
     for two batches: Levy steps away from the best nest, and partial rebuilding of nests from differences of two
     others. A nest takes its proposal unless that is worse. Proposals are kept within bounds before they are scored,
     and the best nest is read off after the last step. Every generation is written to ``state_path``; a restarted
-    search continues after the last finished one with the same random numbers.
+    search continues after the last finished one with the same random numbers. The state names the settings it belongs
+    to, with ``run_key`` for the data; under other settings it is refused. Distinct points are counted over the whole run.
     """
     sign = 1.0 if minimise else -1.0
     lows, highs = (np.array(v, dtype=float) for v in zip(*bounds)) if bounds else (-np.inf, np.inf)
-    asked = 0
+    run = {"dims": dims, "population": population, "bounds": bounds, "abandon": abandon, "beta": beta, "minimise": minimise, "seed": seed}
+    own = hashlib.sha256(json.dumps([run, run_key], sort_keys=True, default=list).encode()).hexdigest()
+    asked: set[tuple] = set()
 
     def costs(points: np.ndarray) -> np.ndarray:
-        nonlocal asked
-        asked += len({tuple(p) for p in points})
+        asked.update(point_key(p) for p in points)
         table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "nest int, x array<double>")
         out = np.empty(len(points))
         for r in score_all(table).select("nest", "score").collect():
@@ -245,12 +270,14 @@ def population_search(
         return out
 
     def save(g: int, nests: np.ndarray, cost: np.ndarray) -> None:
-        rows = [(i, x.tolist(), float(sign * c)) for i, (x, c) in enumerate(zip(nests, cost))]
+        rows = [(i, x.tolist(), float(sign * c), own, None) for i, (x, c) in enumerate(zip(nests, cost))]
+        rows[0] = (*rows[0][:4], sorted(map(list, asked)))  # every point asked for so far
         spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{state_path}/generation={g}")
 
-    found = _load_state(spark, state_path, generations)
+    found = _load_state(spark, state_path, generations, own)
     if found:
         done, nests, cost = found[0], found[1], sign * found[2]
+        asked.update(tuple(p) for p in found[3])
     else:
         rng = np.random.default_rng([seed, 0])
         drawn = rng.random((population, dims)) * (highs - lows) + lows if bounds else rng.standard_normal((population, dims))
@@ -278,7 +305,7 @@ def population_search(
     pick = F.min_by if minimise else F.max_by
     value = F.min("score") if minimise else F.max("score")
     trace = saved.groupBy("generation").agg(pick("x", "score").alias("best"), value.alias("score")).orderBy("generation")
-    return SearchResult(nests[top].tolist(), float(sign * cost[top]), trace, asked, nests)
+    return SearchResult(nests[top].tolist(), float(sign * cost[top]), trace, len(asked), nests)
 
 
 def search_c(
@@ -287,7 +314,7 @@ def search_c(
 ) -> tuple[SearchResult, LinearModel]:
     """Population search for log10 C by cross-validated macro F1, then the model of the best C on all rows."""
     spark = df.sparkSession
-    blocks = pack_folds(df, features, label, row_id, folds, seed)
+    blocks = pack_folds(df, features, label, row_id, folds, seed, with_full=True)
     try:
 
         def score_all(table: DataFrame) -> DataFrame:
@@ -296,15 +323,13 @@ def search_c(
             return spark.createDataFrame([(n, got[float(x)]) for n, x in asked.items()], "nest int, score double")
 
         result = population_search(
-            spark, score_all, 1, f"{work_path}/state", population, generations, [LOG10_C_BOUNDS], minimise=False, seed=seed
+            spark, score_all, 1, f"{work_path}/state", population, generations, [LOG10_C_BOUNDS], minimise=False, seed=seed,
+            run_key=json.dumps([[str(c) for c in blocks.classes], blocks.counts.tolist(), blocks.dim, folds]),
         )
+        # the set that trains on everything has been packed along
+        return result, fit_linear(blocks, [10.0 ** result.best[0]], subsets=[folds])[folds, 0]
     finally:
         blocks.close()
-    whole = pack_blocks(df, features, label, row_id)
-    try:
-        return result, fit_linear(whole, [10.0 ** result.best[0]])[0, 0]
-    finally:
-        whole.close()
 
 
 def population_fitness(df: DataFrame, losses: dict[int, Column]) -> DataFrame:

@@ -11,6 +11,7 @@ from topicweave.operators import profile as pr
 from topicweave.operators import sampling as sp
 from topicweave.operators.ranking import cut_points, position_bucket
 from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, key_sql, query, row_work, table
+from topicweave.plans.jobs import dedup_articles
 from topicweave.session import scratch_path
 from topicweave.sources import csv_tables as cs
 from topicweave.sources.tables import read_features, write_features
@@ -138,6 +139,21 @@ def dedup_keep_first(spark, d):
     return cu.keep_first(table(spark, d, "documents"), "text", "doc_id", ["lang"], digest=True, columns=["source"])
 
 
+NULL_SPLIT = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END"
+
+
+@query(
+    "dedup_null_split",
+    f"""SELECT doc_id, part, source FROM (SELECT doc_id, {NULL_SPLIT} AS part, source,
+      row_number() OVER (PARTITION BY {NULL_SPLIT}, text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
+)
+def dedup_null_split(spark, d):
+    """A third of the rows without a split: they form one split of their own."""
+    part = F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
+    rows = table(spark, d, "documents").select("doc_id", part.alias("part"), "source", "text")
+    return cu.keep_first(rows, "text", "doc_id", ["part"], digest=True).drop("text")
+
+
 @query(
     "dedup_two_keys",
     f"""WITH {ARTICLES}, a AS (SELECT *, row_number() OVER (PARTITION BY lang, content ORDER BY row_pos) AS r1 FROM articles),
@@ -146,8 +162,7 @@ def dedup_keep_first(spark, d):
 )
 def dedup_two_keys(spark, d):
     rows = articles(spark, d).select("row_pos", "lang", "title", "content")
-    first = cu.keep_first(rows, "content", "row_pos", ["lang"], digest=True)
-    return cu.keep_first(first, "title", "row_pos", ["lang"]).select("row_pos", "lang", "title")
+    return dedup_articles(rows, "lang", "row_pos", "content", "title").select("row_pos", "lang", "title")
 
 
 @query(
@@ -219,14 +234,17 @@ def publisher_label_crosstab(spark, d):
     return pr.crosstab(rows, "source", "lang", LANGS)
 
 
+LINE_NUMBERS = [1, 2, 3, 4, 5, 6, 7, 9]
+
+
 @query(
     "lineitem_flag_crosstab",
-    """SELECT l_returnflag, count(*) FILTER (WHERE l_linenumber = 1) AS label_1,
-      count(*) FILTER (WHERE l_linenumber = 2) AS label_2, count(*) FILTER (WHERE l_linenumber = 9) AS label_9
-    FROM lineitem WHERE l_linenumber IN (1, 2, 9) GROUP BY l_returnflag""",
+    f"""SELECT l_returnflag, {", ".join(f"count(*) FILTER (WHERE l_linenumber = {n}) AS label_{n}" for n in LINE_NUMBERS)}
+    FROM lineitem GROUP BY l_returnflag""",
 )
 def lineitem_flag_crosstab(spark, d):
-    return pr.crosstab(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber", [1, 2, 9])
+    """All line numbers there are, and one that no row has."""
+    return pr.crosstab(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber", LINE_NUMBERS)
 
 
 def flagship(spark, d):

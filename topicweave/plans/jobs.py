@@ -18,12 +18,21 @@ from topicweave.operators.extract import html_text
 from topicweave.operators.lexicon import segment_words
 from topicweave.operators.linear_svm import LinearModel, fit_linear, pack_blocks, predict
 from topicweave.operators.sampling import stratified_split
+from topicweave.session import staged, staging
 from topicweave.sources.tables import read_features, write_features
 
 
 def dedup_articles(df: DataFrame, split: str, pos: str, link: str = "link", title: str = "title") -> DataFrame:
-    """First row of each link per split, then first row of each title among those."""
-    return keep_first(keep_first(df, link, pos, [split]), title, pos, [split])
+    """First row of each link per split, then first row of each title among those.
+
+    Both passes work on narrow rows of digests, written once; the articles themselves are read once more, to pick the
+    survivors by split and position.
+    """
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    keys = staged(df.select(split, pos, digest(link).alias("_link"), digest(title).alias("_title")), "dedup-keys")
+    first = staged(keep_first(keys, "_link", pos, [split]), "dedup-links")
+    kept = keep_first(first, "_title", pos, [split]).select(F.col(split).alias("_s"), F.col(pos).alias("_p"))
+    return df.join(kept, df[split].eqNullSafe(kept["_s"]) & (df[pos] == kept["_p"]), "left_semi")
 
 
 def clean_before_composing(df: DataFrame, text: str, stop: list[str]) -> DataFrame:
@@ -94,11 +103,12 @@ def report(pairs: DataFrame, normalize: bool = True) -> Report:
 
 
 def train_linear(df: DataFrame, features: str, label: str, row_id: str, c: float = 1.0) -> LinearModel:
-    blocks = pack_blocks(df, features, label, row_id)
-    try:
-        return fit_linear(blocks, [c])[0, 0]
-    finally:
-        blocks.close()
+    with staging(df.sparkSession):
+        blocks = pack_blocks(df, features, label, row_id)
+        try:
+            return fit_linear(blocks, [c])[0, 0]
+        finally:
+            blocks.close()
 
 
 def score_dataset(df: DataFrame, model: LinearModel, features: str, label: str) -> Report:

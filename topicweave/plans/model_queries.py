@@ -11,13 +11,13 @@ from topicweave.operators import metrics as mt
 from topicweave.operators import profile as pr
 from topicweave.operators import sampling as sp
 from topicweave.operators import search as sr
-from topicweave.operators.calibrate import fit_calibrated, predict_proba
+from topicweave.operators.calibrate import fit_calibrated, fit_sigmoids, predict_proba
 from topicweave.operators.curate import label_names
 from topicweave.operators.extract import html_text
 from topicweave.plans import jobs
 from topicweave.plans.catalog import ARTICLES, articles, query, row_work, table, words_sql
 from topicweave.plans.corpus_queries import BLOCK_FOLDS, LANGS, page_lang
-from topicweave.session import scratch_path
+from topicweave.session import scratch_path, staged
 
 TEN = list(range(10))
 
@@ -72,11 +72,33 @@ def class_report(spark, d):
     return table_.select("row_name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+LANG_NAMES = {"en": "English", "fr": "French", "de": "German"}
+NAMED = "CASE {0} WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' ELSE 'Lớp ' || {0} END"
+
+
+@query(
+    "class_report_named",
+    f"WITH {CLASSES} SELECT {NAMED.format('label')} AS row_name, round(f1, 6) AS f1, support FROM m",
+)
+def class_report_named(spark, d):
+    """The report with names for labels; a label without a name gets the fallback text. The summary rows are left out."""
+    rows = mt.class_report(_pairs(spark, d), LANG_NAMES).where("row_name NOT IN ('accuracy', 'macro avg', 'weighted avg')")
+    return rows.select("row_name", F.round("f1", 6).alias("f1"), "support")
+
+
 CONFUSION = f"""{GUESS}, l AS (SELECT y AS v FROM g UNION SELECT p FROM g),
   c AS (SELECT a.v AS y_true, b.v AS y_pred, count(g.y) AS n FROM l a CROSS JOIN l b
     LEFT JOIN g ON g.y = a.v AND g.p = b.v GROUP BY a.v, b.v)"""
 
 
+@query(
+    "confusion_named",
+    f"WITH {CONFUSION} SELECT {NAMED.format('y_true')} AS y_true, {NAMED.format('y_pred')} AS y_pred, n FROM c",
+)
+def confusion_named(spark, d):
+    return mt.named(mt.confusion_matrix(_pairs(spark, d)), LANG_NAMES, "y_true", "y_pred")
+
+
 @query("confusion", f"WITH {CONFUSION} SELECT * FROM c")
 def confusion(spark, d):
     return mt.confusion_matrix(_pairs(spark, d))
@@ -244,13 +266,15 @@ def mean_pool(spark, d):
 
 @query(
     "l2_norm",
-    """WITH x AS (SELECT vec_id, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS s FROM embeddings)
+    """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: (vec_id % 7 + 1) * CAST(v AS DOUBLE)) AS s FROM embeddings)
     SELECT vec_id, i - 1 AS dim, round(s[i] / sqrt(list_sum(list_transform(s, lambda v: v * v))), 6) AS value
-    FROM x, range(1, 11) r(i)""",
+    FROM x, range(1, 65) r(i)""",
 )
 def l2_norm(spark, d):
-    rows = _scored(spark, d).withColumn("unit", vx.l2_normalize(F.col("scores")))
-    return _long(rows, "vec_id", "unit")
+    """Whole vectors, stretched first so that there is something to normalise."""
+    stretch = (F.col("vec_id") % 7 + 1).cast("double")
+    rows = table(spark, d, "embeddings").withColumn("wide", F.transform(vx.as_doubles(F.col("embedding")), lambda v: v * stretch))
+    return _long(rows.withColumn("unit", vx.l2_normalize(F.col("wide"))), "vec_id", "unit")
 
 
 @query(
@@ -412,6 +436,58 @@ def _split_embeddings(spark, d):
     return both.where("split = 'train'"), both.where("split = 'test'")
 
 
+TWO_D = """x AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+  n AS (SELECT label AS k, (SELECT count(*) FROM x) * 1.0 / ((SELECT count(DISTINCT label) FROM x) * count(*)) AS cw FROM x GROUP BY label),
+  p AS (SELECT k, a, b, CASE WHEN label = k THEN 1.0 ELSE -1.0 END AS y, CASE WHEN label = k THEN cw ELSE 1.0 END AS c FROM x, n),
+  w AS (SELECT 0 AS i, k, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS z FROM n
+    UNION ALL
+    SELECT i + 1, k, (t1 * (q * r - s * s) - t2 * (e * r - s * f) + t3 * (e * s - q * f)) / det,
+      (m * (t2 * r - s * t3) - t1 * (e * r - s * f) + f * (e * t3 - t2 * f)) / det,
+      (m * (q * t3 - t2 * s) - e * (e * t3 - t2 * f) + t1 * (e * s - q * f)) / det
+    FROM (SELECT *, m * (q * r - s * s) - e * (e * r - s * f) + f * (e * s - q * f) AS det FROM (
+      SELECT i, k, 1 + 2 * sum(o * a * a) AS m, 2 * sum(o * a * b) AS e, 2 * sum(o * a) AS f, 1 + 2 * sum(o * b * b) AS q,
+        2 * sum(o * b) AS s, 1 + 2 * sum(o) AS r, 2 * sum(o * y * a) AS t1, 2 * sum(o * y * b) AS t2, 2 * sum(o * y) AS t3
+      FROM (SELECT i, k, a, b, y, CASE WHEN y * (u * a + v * b + z) < 1 THEN c ELSE 0 END AS o FROM w JOIN p USING (k) WHERE i < 50)
+      GROUP BY i, k)))"""
+
+
+@query(
+    "train_linear_2d",
+    f"""WITH RECURSIVE {TWO_D} SELECT k AS label, round(u, 4) AS w1, round(v, 4) AS w2, round(z, 4) AS intercept FROM w WHERE i = 50""",
+)
+def train_linear_2d(spark, d):
+    """Balanced one-vs-rest weights on two features; the SQL solves the same problem by Newton's method."""
+    pair = F.slice("embedding", 1, 2).alias("pair")
+    blocks = ls.pack_blocks(table(spark, d, "embeddings").select("vec_id", "label", pair), "pair", "label", "vec_id")
+    try:
+        model = ls.fit_linear(blocks, [1.0], tol=1e-10)[0, 0]
+    finally:
+        blocks.close()
+    at = lambda c: F.round(c, 4)
+    return model.table(spark).select("label", at(F.col("coef")[0]).alias("w1"), at(F.col("coef")[1]).alias("w2"), at(F.col("intercept")).alias("intercept"))
+
+
+SIGMOID = """e AS (SELECT i - 1 AS g, CAST(embedding[i] AS DOUBLE) AS s, label = i - 1 AS pos FROM embeddings, range(1, 11) r(i)),
+  n AS (SELECT g, count(*) FILTER (WHERE pos) AS n1, count(*) FILTER (WHERE NOT pos) AS n0 FROM e GROUP BY g),
+  t AS (SELECT g, s, CASE WHEN pos THEN (n1 + 1.0) / (n1 + 2.0) ELSE 1.0 / (n0 + 2.0) END AS t FROM e JOIN n USING (g)),
+  w AS (SELECT 0 AS i, g, CAST(0 AS DOUBLE) AS a, ln((n0 + 1.0) / (n1 + 1.0)) AS b FROM n
+    UNION ALL
+    SELECT i + 1, g, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+    FROM (SELECT i, g, a, b, sum((t - p) * s) AS ga, sum(t - p) AS gb, sum(p * (1 - p) * s * s) AS haa,
+        sum(p * (1 - p) * s) AS hab, sum(p * (1 - p)) AS hbb
+      FROM (SELECT i, g, a, b, s, t, 1 / (1 + exp(a * s + b)) AS p FROM w JOIN t USING (g) WHERE i < 30) GROUP BY i, g, a, b))"""
+
+
+@query("sigmoid_fit", f"WITH RECURSIVE {SIGMOID} SELECT CAST(g AS INTEGER) AS class, round(a, 4) AS slope, round(b, 4) AS start FROM w WHERE i = 30")
+def sigmoid_fit(spark, d):
+    """A sigmoid for each of ten score columns against its class; the SQL repeats Newton's steps."""
+    rows = _scored(spark, d).select("label", F.posexplode("scores").alias("group", "score"))
+    flat = rows.select("group", "score", (F.col("label") == F.col("group")).alias("is_pos"))
+    a, b = fit_sigmoids(staged(flat, "margins"), 10)
+    found = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "class int, slope double, start double")
+    return found.select("class", F.round("slope", 4).alias("slope"), F.round("start", 4).alias("start"))
+
+
 @query("train_linear")
 def train_linear(spark, d):
     """Linear model on hashed text features, judged on its test rows."""
@@ -457,8 +533,8 @@ def rank_topics(spark, d):
     stored = _language_features(spark, d)
     model = fit_calibrated(stored.where("split = 'train'"), "features", "label", "row_pos")
     rows = jobs.rank_topics(articles(spark, d), model, LANGS, "title", "content")
-    best = F.col("topics")[0]["score"]
-    return rows.select("row_pos", "lang", "topic", F.round(best, 4).alias("score"))
+    listed = rows.select("row_pos", "lang", "topic", F.posexplode("topics").alias("place", "t"))
+    return listed.select("row_pos", "lang", "topic", "place", F.col("t.label").alias("listed"), F.round("t.score", 4).alias("score"))
 
 
 @query("score_real")

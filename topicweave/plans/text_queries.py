@@ -159,7 +159,7 @@ def clean_chain_b(spark, d):
 PAIRS_SQL = f"""t AS (SELECT doc_id, {words_sql("lower(text)")} AS w FROM documents),
   u AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY word),
   b AS (SELECT w1, w2, count(*) AS n_pair FROM (
-    SELECT w[i] AS w1, w[i + 1] AS w2 FROM (SELECT w, unnest(range(1, len(w))) AS i FROM t)) GROUP BY w1, w2),
+    SELECT x[1] AS w1, x[2] AS w2 FROM (SELECT unnest(list_zip(w, w[2:], true)) AS x FROM t)) GROUP BY w1, w2),
   z AS (SELECT sum(len(w)) AS words, sum(greatest(len(w) - 1, 0)) AS pairs FROM t),
   c AS (SELECT b.w1, b.w2, n_pair, a.n AS n1, e.n AS n2,
       ln((n_pair / pairs) / ((a.n / words) * (e.n / words))) / -ln(n_pair / pairs) AS npmi
@@ -179,7 +179,8 @@ def collocations_npmi(spark, d):
 def _segmented_sql(words: str) -> str:
     """The walk in SQL: one digit per word pair, leftmost non-overlapping joins, words glued by them."""
     return f"""WITH {PAIRS_SQL}, x AS (SELECT doc_id, {words} AS w FROM documents),
-      p AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM x)),
+      p AS (SELECT doc_id, y[1] AS i, y[2] AS a, y[3] AS b
+        FROM (SELECT doc_id, unnest(list_zip(range(1, len(w)), w, w[2:], true)) AS y FROM x)),
       f AS (SELECT doc_id, string_agg(CASE WHEN c.w1 IS NULL THEN '0' ELSE '1' END, '' ORDER BY i) AS f
         FROM p LEFT JOIN c ON c.w1 = a AND c.w2 = b AND npmi >= 0.3 GROUP BY doc_id),
       m AS (SELECT doc_id, w, regexp_replace(coalesce(f, '') || '0', '1[01]', '12', 'g') AS m FROM x LEFT JOIN f USING (doc_id)),
@@ -234,26 +235,26 @@ def _first_sql(open_tag: str, tag: str) -> str:
 PAGE_TEXT = _plain_sql(f"regexp_replace(html, '{_TAGS}', '', 'g')")
 
 
-@query("html_text", f"SELECT page_id, {PAGE_TEXT} AS text FROM pages")
+@query("html_text", f"SELECT page_id, {PAGE_TEXT} AS text, CAST(NULL AS VARCHAR) AS error FROM pages")
 def html_text(spark, d):
-    return ex.html_text(row_work(spark, d, "pages").select("page_id", "html"), "html").drop("error")
+    return ex.html_text(row_work(spark, d, "pages").select("page_id", "html"), "html")
 
 
-@query("html_first", f"SELECT page_id, {_first_sql('<h1>', 'h1')} AS description FROM pages")
+@query("html_first", f"SELECT page_id, {_first_sql('<h1>', 'h1')} AS description, CAST(NULL AS VARCHAR) AS error FROM pages")
 def html_first(spark, d):
-    return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html", ("h1", None, None)).drop("error")
+    return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html", ("h1", None, None))
 
 
-@query("html_first_attr", f"""SELECT page_id, {_first_sql('<div class="ad">', 'div')} AS description FROM pages""")
+@query("html_first_attr", f"""SELECT page_id, {_first_sql('<div class="ad">', 'div')} AS description, CAST(NULL AS VARCHAR) AS error FROM pages""")
 def html_first_attr(spark, d):
     rows = row_work(spark, d, "pages").select("page_id", "html")
-    return ex.html_first(rows, "html", ("div", "class", "ad")).drop("error")
+    return ex.html_first(rows, "html", ("div", "class", "ad"))
 
 
-@query("html_first_missing", "SELECT page_id, '' AS description FROM pages")
+@query("html_first_missing", "SELECT page_id, '' AS description, CAST(NULL AS VARCHAR) AS error FROM pages")
 def html_first_missing(spark, d):
     """The pages hold no such paragraph: every description is empty text."""
-    return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html").drop("error")
+    return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html")
 
 
 @query("clean_html", f"SELECT page_id, {_chain_a_sql(PAGE_TEXT)} AS text FROM pages")
@@ -271,7 +272,7 @@ ENRICHED = _first_sql("<h1>", "h1")
 
 @query(
     "enrich_resume",
-    f"""SELECT url AS link, page_id AS label, {ENRICHED} AS description FROM pages
+    f"""SELECT url AS link, page_id AS label, {ENRICHED} AS description, CAST(NULL AS VARCHAR) AS error FROM pages
     WHERE contains(url, 'example') AND NOT contains(url, 'example.org')""",
 )
 def enrich_resume(spark, d):
@@ -283,7 +284,7 @@ def enrich_resume(spark, d):
 
 @query(
     "stream_enrich",
-    f"SELECT url AS link, page_id AS label, {ENRICHED} AS description FROM pages WHERE contains(url, 'example')",
+    f"SELECT url AS link, page_id AS label, {ENRICHED} AS description, CAST(NULL AS VARCHAR) AS error FROM pages WHERE contains(url, 'example')",
 )
 def stream_enrich_query(spark, d):
     """The same as a stream over the page files, run to completion, then read from its output."""

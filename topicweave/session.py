@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +50,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are removed at its end. For work whose results are collected, written or made
+    local inside; a data frame that still reads a staged table must not leave the block."""
+    first = len(_STAGED)
+    try:
+        yield
+    finally:
+        mine = _STAGED[first:]
+        del _STAGED[first:]
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    The table stays until the ``staging`` block around it ends; without one, until the shared folder is cleared.
+    """
     path = scratch_path(df.sparkSession, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

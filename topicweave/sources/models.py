@@ -79,7 +79,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The score cache; an empty table if there is none yet. A score written twice by a retry counts once."""
     try:
         stored = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
     return stored.groupBy("model", "metric", "log_c").agg(F.max("score").alias("score"))
 

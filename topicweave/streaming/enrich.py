@@ -14,7 +14,9 @@ def finished_links(spark: SparkSession, out_path: str, before_batch: int | None
     """Links already written, or None if there is no output yet. Reads only the link column of earlier batches."""
     try:
         done = spark.read.parquet(out_path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if before_batch is not None:
         done = done.where(F.col("batch_id") < before_batch)
@@ -32,16 +34,14 @@ def stream_enrich(
     """Enrich each micro-batch of ``articles`` (with a ``link`` column) and write it to its own directory.
 
     A link is done once any earlier batch wrote it, so no state grows inside the stream: the output is the state. A
-    batch that is retried overwrites its directory and sees only the batches before it, so every link appears once.
-    Repeats of a link within one batch are reduced to one row.
+    batch that is retried overwrites its directory and sees only the batches before it. Within a batch every row is kept,
+    repeated links included, as the batch job does; each page is read once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = finished_links(spark, out_path, batch_id)
-        null_links = batch.where(F.col("link").isNull())
-        fresh = batch.where(F.col("link").isNotNull()).dropDuplicates(["link"]).unionByName(null_links)
-        enriched = enrich_from_pages(fresh, pages, done, domain, target=target)
+        enriched = enrich_from_pages(batch, pages, done, domain, target=target)
         enriched.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return (
