@@ -81,7 +81,7 @@ def test_round_trip(spark, tmp_path):
     assert {r.kind for r in rows} == {"record"}
     got = [(r.page_id and int(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in rows]
     assert sorted(got, key=str) == sorted(brute.warc([r[:3] for r in ROWS]), key=str)
-    assert {r.page_id: bytes(r.payload) for r in rows}["9"] == ROWS[5][2].encode()
+    assert {r.page_id: bytes(r.payload or b"") for r in rows}["9"] == ROWS[5][2].encode()
     assert not any(r.payload for r in rows if r.record_type == "revisit")
 
     # damage one file: its other records survive, the loss is logged

@@ -170,8 +170,10 @@ def common_prefixes(text: np.ndarray, place: np.ndarray, before: np.ndarray) ->
     mismatch is passed, so one comparison of the stretch serves all of its places.
     """
     out = np.zeros(len(place), np.int64)
+    if not len(place):
+        return out
     apart = place - before
-    heads = np.flatnonzero(np.r_[True, (np.diff(apart) != 0) | (np.diff(place) != 1)]) if len(place) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.r_[True, (np.diff(apart) != 0) | (np.diff(place) != 1)])
     for lo, hi in zip(heads, np.r_[heads[1:], len(place)].astype(np.int64), strict=True):
         a, b = place[lo], before[lo]
         reach = min(hi - lo - 1 + LENGTH, len(text) - max(a, b))
