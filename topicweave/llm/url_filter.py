@@ -28,8 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from topicweave.llm.common import ascii_lower, query, table
 from topicweave.session import staged
@@ -189,26 +191,28 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     lists = {v: rules.where(F.col("verdict") == v).select("key") for v in ("block", "allow")}
     cascades = {v: Cascade.build(keys, universe).levels for v, keys in lists.items()}
 
-    @F.pandas_udf("array<int>")
-    def found(a: pd.Series, b: pd.Series) -> pd.Series:
-        """Place of the best listed key of each url, and whether it is blocked; empty if there is none."""
-        sizes = a.str.len().fillna(0).to_numpy().astype(int)
-        flat = [np.concatenate([np.asarray(y, "int64") for y in x]) if sizes.sum() else np.zeros(0, "int64") for x in (a, b)]
-        block, allow = (_listed(cascades[v].value, *(f.view(np.uint64) for f in flat)) for v in ("block", "allow"))
-        either, out, start = block | allow, [], 0
-        for n in sizes:
-            at = np.flatnonzero(either[start : start + n])
-            out.append([int(at[0]) + 1, int(block[start + at[0]])] if len(at) else [])
-            start += n
-        return pd.Series(out)
-
-    keys = judged.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    hit = found(F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(F.lit(7), k)))
-    rule = F.get("_keys", F.get("_hit", F.lit(0)) - 1)
-    return keys.withColumn("_hit", hit).select(
-        *kept, "host", "path", rule.alias("rule"),
-        F.when(F.get("_hit", F.lit(1)) == 1, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
-    )
+    names = [*kept, "host", "path"]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Replace the keys and their hashes by the best listed key and its verdict."""
+        for batch in batches:
+            keys, a, b = (batch.column(i) for i in range(len(names), len(names) + 3))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+            ha, hb = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in (a, b))
+            block, allow = (_listed(cascades[v].value, ha, hb) for v in ("block", "allow"))
+            listed = np.append(np.flatnonzero(block | allow), len(ha))
+            best = listed[np.searchsorted(listed, ends[:-1])]  # keys stand best first
+            found = best < ends[1:]
+            flat = keys.flatten()
+            rule = flat.take(pa.array(best, mask=~found))
+            verdict = [("block" if block[i] else "allow") if ok else "allow" for i, ok in zip(best, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], rule.cast(pa.string()), pa.array(verdict, pa.string())], [*names, "rule", "verdict"])
+
+    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    keyed = judged.withColumn("_keys", keys)
+    hashed = keyed.select(*names, "_keys", F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(F.lit(7), k)))
+    schema = StructType([*judged.select(*names).schema.fields, StructField("rule", StringType()), StructField("verdict", StringType())])
+    return hashed.mapInArrow(decide, schema)
 
 
 SQL = """
