@@ -3,6 +3,7 @@
 import brute
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from topicweave.llm.ftrl import held_out
@@ -21,16 +22,19 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize(("name", "label", "said"), [("op3_toxicity", "toxic", "predicted"), ("op7_quality_bayes", "quality", "kept")])
-def test_held_out_accuracy(spark, name, label, said):
+@pytest.mark.parametrize(
+    ("name", "label", "said", "least"), [("op3_toxicity", "toxic", "predicted", 0.7), ("op7_quality_bayes", "quality", "kept", 0.9)]
+)
+def test_held_out_accuracy(spark, name, label, said, least):
     sf = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{sf}/labels.parquet").where(held_out(spark.read.parquet(f"{sf}/labels.parquet")["doc_id"]))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(held_out(F.col("doc_id")))
     rows = QUERIES[name](spark, sf).join(labels, "doc_id").selectExpr(f"cast({said} as int) AS p", f"{label} AS y").collect()
     right = sum(r.p == r.y for r in rows)
     rare = 1 if label == "toxic" else 0
     hits = sum(r.p == r.y == rare for r in rows)
-    assert right > 0.97 * len(rows)
-    assert hits > 0.85 * sum(r.y == rare for r in rows)
+    assert right > 0.96 * len(rows)
+    assert hits > 0.95 * sum(r.p == rare for r in rows)  # clean documents are left alone
+    assert hits > least * sum(r.y == rare for r in rows)
 
 
 def test_pipeline(spark):
