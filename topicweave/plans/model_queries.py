@@ -478,14 +478,14 @@ SIGMOID = """e AS (SELECT i - 1 AS g, CAST(embedding[i] AS DOUBLE) AS s, label =
       FROM (SELECT i, g, a, b, s, t, 1 / (1 + exp(a * s + b)) AS p FROM w JOIN t USING (g) WHERE i < 30) GROUP BY i, g, a, b))"""
 
 
-@query("sigmoid_fit", f"WITH RECURSIVE {SIGMOID} SELECT CAST(g AS INTEGER) AS class, round(a, 4) AS slope, round(b, 4) AS start FROM w WHERE i = 30")
+@query("sigmoid_fit", f"WITH RECURSIVE {SIGMOID} SELECT CAST(g AS INTEGER) AS class, round(a, 3) AS slope, round(b, 3) AS start FROM w WHERE i = 30")
 def sigmoid_fit(spark, d):
     """A sigmoid for each of ten score columns against its class; the SQL repeats Newton's steps."""
     rows = _scored(spark, d).select("label", F.posexplode("scores").alias("group", "score"))
     flat = rows.select("group", "score", (F.col("label") == F.col("group")).alias("is_pos"))
     a, b = fit_sigmoids(staged(flat, "margins"), 10)
     found = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "class int, slope double, start double")
-    return found.select("class", F.round("slope", 4).alias("slope"), F.round("start", 4).alias("start"))
+    return found.select("class", F.round("slope", 3).alias("slope"), F.round("start", 3).alias("start"))
 
 
 @query("train_linear")
