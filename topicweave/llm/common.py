@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicweave.operators.bounded import maybe_in
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -36,6 +38,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def drop_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows named in ``bad`` (doc_id, text_key), null-safe.
+
+    A bitmap of fixed size sorts out the rows that cannot be among the bad ones; they are not shuffled. ``bad`` is read
+    three times and should be a written table.
+    """
+    keyed = docs.withColumn("_tk", text_key(F.col("text")))
+    names = bad.select(F.col("doc_id").alias("_bid"), F.col("text_key").alias("_bkey"))
+    keys = bad.select(F.col("text_key").alias("_tk"))
+    sure, open_ = maybe_in(keyed, keys, "_tk", "left_anti"), maybe_in(keyed, keys, "_tk")
+    same = open_["doc_id"].eqNullSafe(names["_bid"]) & (open_["_tk"] == names["_bkey"])
+    return sure.unionByName(open_.join(names, same, "left_anti")).drop("_tk")
+
+
 def text_key(text: Column) -> Column:
     """A 64-bit digest of a text. Together with an id it names a row even where ids repeat."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

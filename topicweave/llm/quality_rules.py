@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicweave.llm.common import query, table, text_key
+from topicweave.llm.common import drop_rows, query, table, text_key
 from topicweave.operators.bounded import SALTS, small_or_none
 from topicweave.session import staged
 
@@ -160,11 +160,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with the columns of ``docs``. Verdicts are joined back by id and text digest."""
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    verdict = judge(keyed, keep=["doc_id", "_key"]).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), F.lit(True).alias("_good"))
-    good = verdict.distinct()
-    return keyed.join(good, keyed["doc_id"].eqNullSafe(good["_id"]) & (keyed["_key"] == good["_k"]), "left_semi").drop("_key")
+    """The rows that the rules keep, with the columns of ``docs``. Verdicts are joined back by id and text digest; of
+    rows with one id and one text that differ in language or source, all go if one is rejected."""
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
+    verdict = judge(keyed, keep=["doc_id", "text_key"])
+    return drop_rows(docs, staged(verdict.where("NOT kept").select("doc_id", "text_key").distinct(), "rejected"))
 
 
 GROUP_SQL = """

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm.common import query, table, text_key
+from topicweave.llm.common import drop_rows, query, table, text_key
 from topicweave.session import staged
 
 BITS = 64
@@ -153,12 +153,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest id (null ids last; of equal ids the smallest digest)."""
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
-    best = found.groupBy("root").agg(first).select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key"))
-    copies = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    repeated = copies.where("_n > 1").limit(1).count() > 0
-    keyed = docs.withColumn("_tk", text_key(F.col("text")))
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_tk"] == best["_key"]), "left_semi")
-    return (kept.dropDuplicates(["doc_id", "_tk"]) if repeated else kept).drop("_tk")
+    found = staged(found, "near-duplicates")
+    best = found.groupBy("root").agg(first).select("root", F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    others = found.join(best, "root").where(~is_best).select("doc_id", "text_key").distinct()
+    kept = drop_rows(docs, staged(others, "near-copies"))
+    repeated = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    if not repeated:
+        return kept
+    return kept.withColumn("_tk", text_key(F.col("text"))).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
 
 
 @query("op2_simhash")
