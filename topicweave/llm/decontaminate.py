@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm.common import query, table, text_key
-from topicweave.operators.bounded import small_or_none
+from topicweave.llm.common import drop_rows, query, table, text_key
+from topicweave.operators.bounded import maybe_in, small_or_none
 from topicweave.session import staged
 
 #: fixed masks; 1: the word counts, 0: any word
@@ -85,9 +85,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
     # verification: only documents with a hit are read again
     hit_rows = shifts.select(F.col("_id").alias("_hid"), F.col("_key").alias("_hkey")).distinct()
-    few = small_or_none(hit_rows)
-    same = rows["_id"].eqNullSafe(F.col("_hid")) & (rows["_key"] == F.col("_hkey"))
-    again = rows.join(F.broadcast(few) if few is not None else hit_rows, same, "left_semi")
+    may = maybe_in(rows, shifts.select("_key"), "_key")
+    again = may.join(hit_rows, may["_id"].eqNullSafe(F.col("_hid")) & (may["_key"] == F.col("_hkey")), "left_semi")
     again = staged(again.select("_id", "_key", word_hashes(F.col("_text")).alias("_words")), "hit-documents")
     by_item = shifts.join(items.select("_item", "_hashes").dropDuplicates(["_item"]), "_item")
     by_item = by_item.select(F.col("_id").alias("_sid"), F.col("_key").alias("_skey"), "_item", "shift", "_hashes")
@@ -111,12 +110,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bid"), F.col("text_key").alias("_bkey")).distinct()
-    bad = staged(bad, "contaminated")
-    few = small_or_none(bad)
-    keyed = docs.withColumn("_tk", text_key(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(F.col("_bid")) & (keyed["_tk"] == F.col("_bkey"))
-    return keyed.join(F.broadcast(few) if few is not None else bad, same, "left_anti").drop("_tk")
+    return drop_rows(docs, staged(overlaps(docs, benchmark).select("doc_id", "text_key").distinct(), "contaminated"))
 
 
 @query("op5_decontamination")
