@@ -6,8 +6,8 @@ clause; intersecting the postings of a clause gives its candidate rows; only tho
 regular expression. A rule without a mandatory trigram (a run of hex digits) scans every text.
 
 The index is in lower case, so it also serves rules that ignore case; candidates are a superset and verification is
-exact. Rows are named by (doc_id, text digest): repeated and null ids keep apart what differs. Texts of rows that are
-candidates of no rule leave the second read through Spark's runtime Bloom filter where the tables are large.
+exact. Rows are named by (doc_id, text digest): repeated and null ids keep apart what differs. On the second read a
+bitmap of fixed size keeps the texts of other rows out of the shuffle.
 
 A match of a rule is leftmost and does not overlap others of its rule; a match that fails the rule's further test (the
 length of its value) is dropped, and the search goes on behind it. Offsets count code points, the end is exclusive.
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.llm.common import LOWER, UPPER, query, table, text_key
+from topicweave.operators.bounded import maybe_in
 from topicweave.session import staged
 
 MAX_ALTERNATIVES = 32
@@ -164,7 +165,8 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, doc_id: str = "doc_id", tex
     chosen = staged(candidates(index, queries), "secret-candidates")
     same = lambda a, b: a["_id"].eqNullSafe(b["_cid"]) & (a["_key"] == b["_ckey"])
     named = chosen.select(F.col("_id").alias("_cid"), F.col("_key").alias("_ckey"), "kinds")
-    checked = rows.join(named, same(rows, named))
+    may = maybe_in(rows, chosen.select("_key"), "_key")
+    checked = may.join(named, same(may, named))
     verified = checked.select("_id", "_key", _spans(indexed, F.col("_text"), order, F.col("kinds")).alias("more"))
     # a row that is repeated is found repeatedly; equal rows have equal spans
     more = verified.where(F.size("more") > 0).groupBy("_id", "_key").agg(F.first("more").alias("more"))
@@ -184,9 +186,11 @@ def mask(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
     Overlapping spans are replaced together, under the name of the first.
     """
-    keyed = docs.withColumn("_tk", text_key(F.col("text")))
+    whole = docs.withColumn("_tk", text_key(F.col("text")))
     hits = scan(docs, rules).where(F.size("found") > 0).select(F.col("doc_id").alias("_cid"), F.col("text_key").alias("_ckey"), "found")
-    hits = hits.groupBy("_cid", "_ckey").agg(F.first("found").alias("found"))
+    hits = staged(hits.groupBy("_cid", "_ckey").agg(F.first("found").alias("found")), "secrets-found")
+    keys = hits.select(F.col("_ckey").alias("_tk"))
+    keyed = maybe_in(whole, keys, "_tk")
     joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_cid"]) & (keyed["_tk"] == hits["_ckey"]), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -202,7 +206,7 @@ def mask(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     if "n_chars" in docs.columns:
         n = F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
         out = out.withColumn("n_chars", n)
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).union(maybe_in(whole, keys, "_tk", "left_anti").select(*docs.columns))
 
 
 SQL = None  # offsets of matches have no counterpart in DuckDB's functions; see tests/llm
