@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.llm.common import query, table, text_key
+from topicweave.operators.bounded import maybe_in
 from topicweave.session import staged
 
 LENGTH = 400
@@ -298,8 +299,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     own = -1 - F.pmod(F.xxhash64("v", F.pmod("ck", "subs")), F.lit(1 << 40))
     wanted = folded.join(per_anchor, "v").select("v", "ck", "w", "subs", "rep", F.when(F.col("subs") > 1, own).otherwise(plain).alias("shard"))
     by_doc = wanted.groupBy("rep.doc_id", "rep.tk").agg(F.collect_list(F.struct("v", "ck", "w", "subs", "shard", "rep.p0", "rep.p1")).alias("c"))
-    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "c")
-    texts = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_id"]) & (docs["tk"] == by_doc["_tk"])).select("text", "c")
+    by_doc = staged(by_doc.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "c"), "contexts-by-text")
+    may = maybe_in(docs, by_doc.select(F.col("_tk").alias("tk")), "tk")
+    texts = may.join(by_doc, may["doc_id"].eqNullSafe(by_doc["_id"]) & (may["tk"] == by_doc["_tk"])).select("text", "c")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["v", "ck", "w", "subs", "shard"]
@@ -347,8 +349,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (the remaining bytes, or null) of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
     hit = repeated_runs(rows).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("from", "to")).alias("r"))  # bounded by the text
-    hit = hit.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "r")
-    both = rows.join(hit, rows["doc_id"].eqNullSafe(hit["_id"]) & (rows["tk"] == hit["_tk"]), "left").select("doc_id", "text", "r")
+    hit = staged(hit.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "r"), "removed-ranges")
+    # a bitmap of fixed size keeps the texts without repeats out of the shuffle
+    keys = hit.select(F.col("_tk").alias("tk"))
+    may, sure = maybe_in(rows, keys, "tk"), maybe_in(rows, keys, "tk", "left_anti")
+    both = may.join(hit, may["doc_id"].eqNullSafe(hit["_id"]) & (may["tk"] == hit["_tk"]), "left").select("doc_id", "text", "r")
+    both = both.union(sure.select("doc_id", "text", F.lit(None).cast(both.schema["r"].dataType)))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return both.mapInArrow(_keep_batches(with_text), schema)
