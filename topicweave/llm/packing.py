@@ -17,8 +17,13 @@ are not read. ``pieces(..., with_ids=True)`` also carries the ids of every piece
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +37,11 @@ from topicweave.session import staged
 MAX_TOKENS = 2048
 END_ID = 1
 MAX_SLOTS = 200_000
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 64
 RANK_BUCKETS = 1024
 TOKENIZER = "byte_bpe_50k.json"
+SPACE_BEFORE_SPACE = re.compile(r"\s ")
 
 
 def default_tokenizer() -> str:
@@ -47,10 +53,14 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of a text as little-endian 32-bit bytes, the same as encoding the whole text at once.
 
-    The tokenizer never puts a character that is no white space and a following space into one token, so a text may be
-    cut before each such space. Ids of a cut are remembered, in a table of bounded size.
+    A byte-level tokenizer never puts a character that is no white space and a following space into one token, so a text
+    may be cut before each such space. Ids of a cut are remembered, in two tables of bounded size that all tasks of a
+    Python worker share; a new cut that consists of letters goes to the tokenizer's model directly. Any other kind of
+    tokenizer encodes whole texts.
     """
 
+    shared: dict[str, Encoder] = {}
+
     def __init__(self, path: str):
         import os
 
@@ -59,40 +69,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.cuts_words = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+            and kind["normalizer"] is None and kind["model"]["type"] == "BPE"
+        )
+        self.memo: dict[str, bytes] = {}  # of a cut, without the space it starts with
+        self.older: dict[str, bytes] = {}  # the table before it; what is met again moves over
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes a byte-level vocabulary writes as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.marks = {c: self._plain([c])[0] for c in ",."}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     @staticmethod
     def cuts(text: str) -> list[str]:
+        """The text before its first border, then what follows the space of each border."""
         parts = text.split(" ")
+        if not SPACE_BEFORE_SPACE.search(text) and parts[0]:
+            return parts
         out = [parts[0]]
         for part in parts[1:]:
             if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + part)
-            else:  # white space before the space: no border here
+                out.append(part)
+            else:  # white space or nothing before the space: no border here
                 out[-1] += " " + part
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        model, number, other = self.tokenizer.model, attrgetter("id"), []
+        for c in new:
+            # a letter followed by a comma or a full stop at the end is always a border
+            marked = len(c) > 1 and c[-1] in ",." and c[-2].isalpha()
+            stem = c[:-1] if marked else c
+            if not stem.isalpha():
+                other.append(c)
+                continue
+            ids = self.memo.get(stem) or self.older.get(stem)
+            if ids is None:
+                piece = f" {stem}".encode().decode("latin-1").translate(self.letters)
+                ids = array("I", map(number, model.tokenize(piece))).tobytes()
+                self.memo[stem] = ids
+            if marked:
+                self.memo[c] = ids + self.marks[c[-1]]
+        for i in range(0, len(other), 1024):
+            part = other[i : i + 1024]
+            self.memo.update(zip(part, self._plain([f" {c}" for c in part]), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cuts(t) for t in texts]
+        if not self.cuts_words:
+            return self._plain(texts)
         memo = self.memo
         if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        stems = {}
-        for c in {c for x in cut for c in x if c not in memo}:
-            # a letter followed by a comma or a full stop at the end is always a border
-            stems[c] = c[:-1] if len(c) > 2 and c[-1] in ",." and c[-2].isalpha() else c
-        marks = dict(zip(",.", self._plain([",", "."]), strict=True))
-        new = [*{s for s in stems.values() if s not in memo}]
-        for i in range(0, len(new), 1024):
-            memo.update(zip(new[i : i + 1024], self._plain(new[i : i + 1024]), strict=True))
-        for c, s in stems.items():
-            if c != s:
-                memo[c] = memo[s] + marks[c[-1]]
-        out = [b"".join([memo[c] for c in x if c]) for x in cut]
-        for c in [*stems, *new]:
+            self.older, self.memo = memo, {}
+            memo = self.memo
+        cut = [self.cuts(t) for t in texts]
+        firsts = self._plain([x[0] for x in cut])
+        new = set(chain.from_iterable(islice(x, 1, None) for x in cut)).difference(memo)
+        again = new.intersection(self.older)
+        memo.update((c, self.older[c]) for c in again)
+        self._learn([*(new - again)])
+        known = memo.__getitem__
+        out = [first + b"".join(map(known, islice(x, 1, None))) for first, x in zip(firsts, cut, strict=True)]
+        for c in new:
             if len(c) > MEMO_CHARS:
                 memo.pop(c, None)
         return out
@@ -100,7 +149,7 @@ class Encoder:
 
 def _piece_batches(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = Encoder.of(path)
         end = np.asarray([END_ID], "<u4").tobytes()
         width = MAX_TOKENS * 4
         for batch in batches:
