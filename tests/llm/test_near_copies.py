@@ -1,0 +1,65 @@
+"""The pipeline's near-copy stage against all pairs of five-word shingle sets."""
+
+import random
+
+import pytest
+
+from topicweave.llm import simhash
+
+
+def similar_roots(texts):
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("limit", [3, 32])
+def test_a_few_changed_words(spark, monkeypatch, limit):
+    """Copies with changed words differ in more than two bits, and still only one of a group stays."""
+    monkeypatch.setattr(simhash, "MAX_BLOCK", limit)
+    rng = random.Random(7)
+    texts = []
+    for k in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(200)]
+        texts += [" ".join(words), *(changed(rng, words, n) for n in (1, 2, 3, 4, 6, 9))]
+    words = [f"w{rng.randrange(400)}" for _ in range(150)]
+    texts += [changed(rng, words, 2) for _ in range(40)] + [None, "", "a b", "A  b", "a c"]
+    want = {min(j for j, x in enumerate(similar_roots(texts)) if x == r) for r in similar_roots(texts)}
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(frame).collect()} == want
+    one, other = simhash.fingerprint(texts[0]), simhash.fingerprint(texts[4])
+    assert 3 not in want and 4 not in want and ((one ^ other) & (1 << 64) - 1).bit_count() > simhash.MAX_BITS
+
+
+def test_keys_of_similar_sets_meet():
+    """At similarity 0.8 a pair shares about a third of its keys; with no key in common once in ten million."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    shared = []
+    for _ in range(1500):
+        h = rng.integers(0, 1 << 63, 180, np.uint64)
+        a, b = np.unique(h[:170]), np.unique(np.r_[h[:151], h[170:], h[:0]])
+        common = len(np.intersect1d(a, b))
+        assert common / (len(a) + len(b) - common) >= 0.79
+        shared.append(int((simhash.band_keys(a) == simhash.band_keys(b)).sum()))
+    assert min(shared) > 0 and 10 < np.mean(shared) < 19
