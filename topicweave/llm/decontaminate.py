@@ -2,7 +2,9 @@
 
 Texts become words: lower case, cut at everything in ASCII that is no letter or digit. A seed is a fixed mask over a
 window of words: positions marked 1 are hashed together, positions marked 0 are ignored, so a hit survives a changed word
-at an ignored position. Seed hashes of the benchmark are joined with those of the documents; a hit names a document, an
+at an ignored position. No overlap that passes the comparison below is without a hit: each length of window has masks for
+every choice of words that may differ, and masks of windows under 13 words are used only if there are items that short.
+Seed hashes of the benchmark are joined with those of the documents; a hit names a document, an
 item and a shift between both. Around every hit the words of the two texts are then compared one by one along that shift,
 and the document is contaminated by the item if some ``WINDOW`` words in a row (all, if the item is shorter) agree in at
 least ``MIN_SIMILARITY`` of the positions.
@@ -12,13 +14,15 @@ both sides are shuffled by hash, documents' seeds filtered to the benchmark's ha
 (document, item, shift) before they move. Word lists are cut into chunks before seeds are made, so a very long text needs
 no more memory than its words.
 
-Null and empty texts and items have no words, hence no hits; items of fewer words than a mask has are too short to tell a
-leak and match nothing. Rows are named by (doc_id, text digest), null-safe; repeated rows give repeated results. Empty
+Null and empty texts and items have no words, hence no hits; items of fewer than seven words are too short to tell a leak
+and match nothing. Rows are named by (doc_id, text digest), null-safe; repeated rows give repeated results. Empty
 tables give an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +30,17 @@ from topicweave.llm.common import drop_rows, query, table, text_key
 from topicweave.operators.bounded import maybe_in, small_or_none
 from topicweave.session import staged
 
-#: fixed masks; 1: the word counts, 0: any word
-MASKS = ["1110111", "11011011"]
-SPAN = max(map(len, MASKS))
+#: fixed masks by the number of words that are compared; 1: the word counts, 0: any word. Whatever words may differ
+#: (2 of 13 to 10 words, 1 of 9 to 7), one of the masks fits between them: tests enumerate the patterns
+MASKS = {
+    13: ["11110111", "1110110011", "11010010111"],
+    12: ["11101011", "11010111", "1110010011"],
+    11: ["1111011", "110001111", "1101100011"],
+    10: ["111011", "1101011", "1110011"],
+    9: ["1111011", "1101111"],
+    8: ["111111", "1101111", "1111011"],
+    7: ["11111", "110111", "111101"],
+}
 WINDOW = 13
 MIN_SIMILARITY = 0.8
 CHUNK = 2048
@@ -44,24 +56,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
+def seeds(rows: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
     """``keep``, ``pos`` (0-based) and ``seed`` for every mask at every position of ``_hashes``.
 
-    The list is cut into overlapping chunks; within one, shifted copies are zipped, so a row of SPAN neighbouring words
-    comes out of plain array functions and the hashing runs in generated code.
+    The list is cut into overlapping chunks; within one, shifted copies are zipped, so a row of neighbouring words as long
+    as the longest mask comes out of plain array functions and the hashing runs in generated code.
     """
+    span = max(map(len, masks))
     n = F.size("_hashes")
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK))
-    chunks = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice(F.col("_hashes"), s + 1, F.lit(CHUNK + SPAN - 1)).alias("c")))
+    chunks = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice(F.col("_hashes"), s + 1, F.lit(CHUNK + span - 1)).alias("c")))
     cut = rows.select(*keep, F.explode(chunks).alias("k")).select(*keep, F.col("k.s").alias("_s"), F.col("k.c").alias("_c"))
-    shifted = [F.slice("_c", F.lit(i + 1), F.least(F.size("_c"), F.lit(CHUNK))).alias(f"w{i}") for i in range(SPAN)]
+    shifted = [F.slice("_c", F.lit(i + 1), F.least(F.size("_c"), F.lit(CHUNK))).alias(f"w{i}") for i in range(span)]
     zipped = cut.select(*keep, "_s", F.posexplode(F.arrays_zip(*shifted)).alias("_i", "_w"))
     zipped = zipped.where(F.col("_i") < CHUNK)
     hashes = []
-    for m, mask in enumerate(MASKS):
+    for mask in masks:
         taken = [F.col(f"_w.w{i}") for i, bit in enumerate(mask) if bit == "1"]
         last = F.col(f"_w.w{len(mask) - 1}")  # null where the mask runs over the end
-        hashes.append(F.when(last.isNotNull(), F.xxhash64(F.lit(m), *taken)))
+        hashes.append(F.when(last.isNotNull(), F.xxhash64(F.lit(mask), *taken)))
     out = zipped.select(*keep, (F.col("_s") + F.col("_i")).alias("pos"), F.explode(F.array(*hashes)).alias("seed"))
     return out.where("seed IS NOT NULL")
 
@@ -72,9 +85,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("_hashes"))
     items = staged(items.select("item_id", F.xxhash64("_hashes").alias("_item"), "_hashes").distinct(), "items")
     rows = docs.select(F.col(doc_id).alias("_id"), text_key(F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    listed = seeds(items, ["_item"]).select("seed", "_item", F.col("pos").alias("ipos")).distinct()
+    lengths = items.select(F.least(F.size("_hashes"), F.lit(WINDOW)).alias("n")).where(F.col("n") >= min(MASKS)).distinct()
+    lengths = sorted(r.n for r in lengths.collect()) or [WINDOW]  # seven at most
+    listed = [seeds(items.where(F.least(F.size("_hashes"), F.lit(WINDOW)) == n), ["_item"], MASKS[n]) for n in lengths]
+    listed = reduce(DataFrame.union, listed).select("seed", "_item", F.col("pos").alias("ipos")).distinct()
     small = small_or_none(listed, MAX_SEEDS)
-    found = seeds(rows.select("_id", "_key", word_hashes(F.col("_text")).alias("_hashes")), ["_id", "_key"])
+    masks = sorted({m for n in lengths for m in MASKS[n]})
+    found = seeds(rows.select("_id", "_key", word_hashes(F.col("_text")).alias("_hashes")), ["_id", "_key"], masks)
     if small is not None:
         hits = found.join(F.broadcast(small), "seed")
     else:
