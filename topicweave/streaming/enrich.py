@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topicweave.operators.extract import DESCRIPTION, enrich_from_pages
 
+_WATCHERS: dict[str, threading.Thread] = {}
+
 
 def finished_links(spark: SparkSession, out_path: str, before_batch: int | None = None) -> DataFrame | None:
     """Links already written, or None if there is no output yet. Reads only the link column of earlier batches."""
@@ -23,6 +27,38 @@ def finished_links(spark: SparkSession, out_path: str, before_batch: int | None
     return done.select("link")
 
 
+class _Runs:
+    """Notes beside the checkpoint: one folder per run, named by the run's first batch; ``done`` in it once it has ended."""
+
+    def __init__(self, spark: SparkSession, checkpoint_path: str) -> None:
+        self.path, self.checkpoint = spark._jvm.org.apache.hadoop.fs.Path, checkpoint_path
+        self.fs = self.path(checkpoint_path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _last(self, folder: str) -> int:
+        """The largest number that names an entry of a folder, -1 if there is none."""
+        at = self.path(folder)
+        names = [x.getPath().getName() for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return max((int(x) for x in names if x.isdigit()), default=-1)
+
+    def begin(self) -> int:
+        """The first batch of this run: that of the last run if it was cut off, else the next one."""
+        first = self._last(f"{self.checkpoint}.runs")
+        if first < 0 or self.fs.exists(self.path(f"{self.checkpoint}.runs/{first}/done")):
+            first = self._last(f"{self.checkpoint}/commits") + 1
+        self.fs.mkdirs(self.path(f"{self.checkpoint}.runs/{first}"))
+        self.fs.delete(self.path(f"{self.checkpoint}.runs/{first}/done"), True)
+        return first
+
+    def end(self, query: StreamingQuery, first: int) -> None:
+        """Wait for the end; a run that failed or was stopped within a batch stays open."""
+        try:
+            query.awaitTermination()
+            if query.exception() is None and self._last(f"{self.checkpoint}/offsets") == self._last(f"{self.checkpoint}/commits"):
+                self.fs.mkdirs(self.path(f"{self.checkpoint}.runs/{first}/done"))
+        except Exception:  # the caller sees it at the query
+            return
+
+
 def stream_enrich(
     articles: DataFrame,
     pages: DataFrame,
@@ -33,20 +69,29 @@ def stream_enrich(
 ) -> StreamingQuery:
     """Enrich each micro-batch of ``articles`` (with a ``link`` column) and write it to its own directory.
 
-    A link is done once any earlier batch wrote it, so no state grows inside the stream: the output is the state. A
-    batch that is retried overwrites its directory and sees only the batches before it. Within a batch every row is kept,
-    repeated links included, as the batch job does; each page is read once.
+    A link is done once an earlier run wrote it, so no state grows inside the stream: the output is the state. Which links
+    are done is fixed when a run starts, so every row of a link that repeats within a run is kept, in whatever files and
+    batches its rows lie, as the batch job does. A run that was cut off (an error, a stop within a batch, a lost driver)
+    goes on as the same run; a batch that is retried overwrites its directory.
     """
+    spark = articles.sparkSession
+    if (before := _WATCHERS.pop(checkpoint_path, None)) is not None:
+        before.join()
+    runs = _Runs(spark, checkpoint_path)
+    first = runs.begin()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = finished_links(spark, out_path, batch_id)
+        done = finished_links(batch.sparkSession, out_path, first) if first else None
         enriched = enrich_from_pages(batch, pages, done, domain, target=target)
         enriched.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
-    return (
+    query = (
         articles.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
         .start()
     )
+    # no daemon: the note is written even if the program ends right after the stream
+    _WATCHERS[checkpoint_path] = threading.Thread(target=runs.end, args=(query, first))
+    _WATCHERS[checkpoint_path].start()
+    return query
