@@ -38,17 +38,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def drop_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` without the rows named in ``bad`` (doc_id, text_key), null-safe.
+def drop_rows(docs: DataFrame, bad: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` without the rows named in ``bad`` (doc_id, text_key and the columns ``also``), null-safe.
 
     A bitmap of fixed size sorts out the rows that cannot be among the bad ones; they are not shuffled. ``bad`` is read
     three times and should be a written table.
     """
     keyed = docs.withColumn("_tk", text_key(F.col("text")))
-    names = bad.select(F.col("doc_id").alias("_bid"), F.col("text_key").alias("_bkey"))
+    names = bad.select(F.col("doc_id").alias("_bid"), F.col("text_key").alias("_bkey"), *[F.col(c).alias(f"_b_{c}") for c in also])
     keys = bad.select(F.col("text_key").alias("_tk"))
     sure, open_ = maybe_in(keyed, keys, "_tk", "left_anti"), maybe_in(keyed, keys, "_tk")
     same = open_["doc_id"].eqNullSafe(names["_bid"]) & (open_["_tk"] == names["_bkey"])
+    for c in also:
+        same = same & open_[c].eqNullSafe(names[f"_b_{c}"])
     return sure.unionByName(open_.join(names, same, "left_anti")).drop("_tk")
 
 

@@ -160,11 +160,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with the columns of ``docs``. Verdicts are joined back by id and text digest; of
-    rows with one id and one text that differ in language or source, all go if one is rejected."""
+    """The rows that the rules keep, with the columns of ``docs``. Verdicts are joined back by id, text digest,
+    language and source, on which they depend."""
     keyed = docs.withColumn("text_key", text_key(F.col("text")))
-    verdict = judge(keyed, keep=["doc_id", "text_key"])
-    return drop_rows(docs, staged(verdict.where("NOT kept").select("doc_id", "text_key").distinct(), "rejected"))
+    names = ["doc_id", "text_key", "lang", "source"]
+    rejected = judge(keyed, keep=names).where("NOT kept").select(*names).distinct()
+    return drop_rows(docs, staged(rejected, "rejected"), ("lang", "source"))
 
 
 GROUP_SQL = """
