@@ -2,6 +2,7 @@
 
 from topicweave.llm import (  # noqa: F401
     decontaminate,
+    filter_audit,
     ftrl,
     packing,
     quality_bayes,
