@@ -9,6 +9,7 @@ from topicweave.llm import (  # noqa: F401
     quality_rules,
     secrets,
     simhash,
+    source_mix,
     suffix_dedup,
     url_filter,
     warc,
