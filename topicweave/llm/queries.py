@@ -2,6 +2,7 @@
 
 from topicweave.llm import (  # noqa: F401
     decontaminate,
+    divergence,
     filter_audit,
     ftrl,
     packing,
