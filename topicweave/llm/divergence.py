@@ -6,11 +6,12 @@ term: prefixes of ``FIRST_LEVEL`` bytes are counted first, and only prefixes wit
 extended, to twice their length at each further level. A term that is complete at a level leaves the refinement there,
 kept if it reached the threshold itself. Rare terms fall out early, with prefixes that they share, and are never moved.
 
-The texts are read once. A task folds its documents into two kinds of rows: occurrences per (language, source, term), and
-per (language, term) the first ``MIN_DOCS`` distinct documents. That many are enough to tell exactly whether a term, or a
-union of terms that share a prefix, reaches the threshold. Both tables are written where they arise. Between levels a bitmap
-of fixed size takes the rows of discarded prefixes out; a row that slips through it fails the next count, since a prefix
-has no fewer documents than its extensions.
+The texts are read once. A task folds whole documents into rows of two kinds: per (language, source, term) the occurrences
+and the number of documents, and per (language, prefix), for each level, the number of distinct documents that have a
+longer term with this prefix. No document is in two folds, so all of these numbers are exact when they are added. The
+rows are written where they arise. Each level reads those of its length, without the ones whose prefix fell out before:
+a bitmap of fixed size takes them away, and what slips through fails the count, since an extension has no more documents
+than its prefix.
 
 Shares are whole numbers per 10^9, ``p = 1 + floor(10^9 (count + 1) / (N + V))``, and ``(p - q)^2 / q``, rounded down, is
 how far a source's share p of a term is from another one's q. For pairs of sources it is summed over all kept terms,
@@ -42,7 +43,7 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 FIRST_LEVEL = 4
-MAX_ENTRIES = 250_000
+MAX_ENTRIES = 1_500_000
 BLOCK = 512
 BUCKET_ENTRIES = 200_000
 CELLS = 1 << 20
@@ -51,71 +52,71 @@ TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 els
 
 
 class _Fold:
-    """Occurrences and first documents of the terms met so far, in bounded memory."""
+    """Occurrences and document counts of the terms and prefixes met so far, in bounded memory."""
 
     def __init__(self) -> None:
         self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[str, dict[bytes, list[int]]] = defaultdict(dict)
-        self.full: dict[str, set[bytes]] = defaultdict(set)
+        self.docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        self.prefixes: dict[str, Counter] = defaultdict(Counter)
 
-    def add(self, lang: str, source: str, doc: int, text: str) -> None:
+    def add(self, lang: str, source: str, text: str) -> None:
         words = text.encode("utf-8", "surrogatepass").translate(TO_TERMS).split()
+        distinct = set(words)
         self.counts[lang, source].update(words)
-        docs, full = self.docs[lang], self.full[lang]
-        for term in set(words) - full:
-            seen = docs.setdefault(term, [])
-            seen.append(doc)
-            if len(seen) == MIN_DOCS:
-                full.add(term)
+        self.docs[lang, source].update(distinct)
+        level, longer = FIRST_LEVEL, [w for w in distinct if len(w) > FIRST_LEVEL]
+        while longer:
+            self.prefixes[lang].update({w[:level] for w in longer})
+            level *= 2
+            longer = [w for w in longer if len(w) > level]
 
     def entries(self) -> int:
-        return sum(map(len, self.counts.values())) + sum(map(len, self.docs.values()))
+        return 2 * sum(map(len, self.counts.values())) + sum(map(len, self.prefixes.values()))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         names = ["lang", "source", "term", "n", "docs"]
         for (lang, source), found in self.counts.items():
-            n = len(found)
+            n, docs = len(found), self.docs[lang, source]
             cols = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.list_(pa.int64()))], names)
-        for lang, seen in self.docs.items():
-            n = len(seen)
-            cols = [pa.array([lang] * n, pa.string()), pa.nulls(n, pa.string()), pa.array([*seen], pa.binary()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([*seen.values()], pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([*map(docs.__getitem__, found)], pa.int64())], names)
+        for lang, found in self.prefixes.items():
+            n = len(found)
+            cols = [pa.array([lang] * n, pa.string()), pa.nulls(n, pa.string()), pa.array([*found], pa.binary()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([*found.values()], pa.int64())], names)
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fold = _Fold()
     for batch in batches:
-        langs, sources, docs = (c.to_pylist() for c in batch.columns[:3])
-        for lang, source, doc, text in zip(langs, sources, docs, batch.column(3), strict=True):
-            fold.add(lang, source, doc, text.as_py())
-            if fold.entries() > MAX_ENTRIES:
+        for i, (lang, source, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+            fold.add(lang, source, text.as_py())
+            if i % 64 == 0 and fold.entries() > MAX_ENTRIES:
                 yield from fold.rows()
                 fold = _Fold()
     yield from fold.rows()
 
 
 def folded_terms(docs: DataFrame) -> DataFrame:
-    """Rows of both kinds for ``docs`` (lang, source, text): with ``docs`` null the occurrences, else the documents."""
-    narrow = docs.select("lang", "source", F.monotonically_increasing_id().alias("doc"), "text")
-    return narrow.mapInArrow(_fold_batches, "lang string, source string, term binary, n bigint, docs array<bigint>")
+    """Rows of both kinds for ``docs`` (lang, source, text); those of prefixes have no source and no ``n``."""
+    return docs.select("lang", "source", "text").mapInArrow(_fold_batches, "lang string, source string, term binary, n bigint, docs bigint")
 
 
-def refine(term_docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
-    """Kept terms (``lang``, ``term``) of rows (``lang``, ``term``, ``docs``), level by level."""
-    open_, level, kept = term_docs, FIRST_LEVEL, None
+def refine(folded: DataFrame, least: int = MIN_DOCS) -> DataFrame:
+    """Kept terms (``lang``, ``term``), level by level."""
+    rows = folded.select("lang", "term", F.col("n").isNotNull().alias("whole"), "docs", F.octet_length("term").alias("size"))
+    level, kept, alive = FIRST_LEVEL, None, None
     while True:
-        cut = open_.select("lang", "term", "docs", F.substring("term", 1, level).alias("prefix"), (F.octet_length("term") <= level).alias("whole"))
-        pairs = cut.select("lang", "prefix", "whole", F.explode("docs").alias("doc")).distinct()
-        reached = pairs.groupBy("lang", "prefix", "whole").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        reached = staged(reached.select("lang", "prefix", "whole"), f"prefixes-{level}")
-        whole = reached.where("whole").select("lang", F.col("prefix").alias("term"))
+        ends = F.col("whole") & F.col("size").between(level // 2 + 1 if alive is not None else 1, level)
+        here = rows.where(ends | (~F.col("whole") & (F.col("size") == level)))
+        if alive is not None:
+            here = maybe_in(here.withColumn("key", F.xxhash64("lang", F.substring("term", 1, level // 2))), alive, "key")
+        reached = here.groupBy("lang", "term", "whole").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+        reached = staged(reached.select("lang", "term", "whole"), f"prefixes-{level}")
+        whole = reached.where("whole").select("lang", "term")
         kept = whole if kept is None else kept.union(whole)
-        longer = reached.where("NOT whole").select(F.xxhash64("lang", "prefix").alias("key"))
-        if longer.isEmpty():
+        alive = reached.where("NOT whole").select(F.xxhash64("lang", "term").alias("key"))
+        if alive.isEmpty():
             return kept
-        still = cut.where("NOT whole").select("lang", "term", "docs", F.xxhash64("lang", "prefix").alias("key"))
-        open_ = staged(maybe_in(still, longer, "key").drop("key"), f"open-terms-{level}")
         level *= 2
 
 
@@ -191,8 +192,8 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     names = {"lang": lang, "source": source, "text": text}
     narrow = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in names.items()])
     folded = staged(folded_terms(narrow), "terms")
-    kept = staged(refine(folded.where("docs IS NOT NULL").select("lang", "term", "docs")), "kept-terms")
-    counts = staged(kept_counts(folded.where("docs IS NULL"), kept), "term-counts")
+    kept = staged(refine(folded), "kept-terms")
+    counts = staged(kept_counts(folded.where("n IS NOT NULL"), kept), "term-counts")
     totals = staged(source_totals(narrow.select("lang", "source").distinct(), counts, kept), "source-totals")
 
     # every source against each other source of its language
