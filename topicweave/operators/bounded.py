@@ -109,6 +109,18 @@ def counted_join(
     return left.join(right, cond, how).drop(*drops, "_salt", "_copy")
 
 
+def unused(taken: Sequence[str], *wanted: str) -> list[str]:
+    """Names for helper columns: ``wanted``, each with as many underscores behind it as it takes to differ from ``taken``
+    and from each other (in any case of letters, as Spark compares them)."""
+    seen, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
 def maybe_in(df: DataFrame, keys: DataFrame, col: str, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose ``col`` may be among ``keys``: none that is goes missing, a few others stay. With ``how``
     ``left_anti`` the other rows, none of which has a key. Null is never among the keys.
@@ -116,10 +128,12 @@ def maybe_in(df: DataFrame, keys: DataFrame, col: str, how: str = "left_semi") -
     The bitmap has ``BITMAP_WORDS`` words whatever the number of keys; with very many keys it merely filters less. It is
     built by a map-side combined aggregation and looked up by a broadcast join, all in generated code.
     """
-    place = F.pmod(F.xxhash64(col), F.lit(BITMAP_WORDS * 32))
-    word, bit = F.shiftright(place, 5), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{col}`), 32) as int))")
-    bitmap = keys.where(F.col(col).isNotNull()).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word")
-    bitmap = bitmap.agg(F.bit_or("_bit").alias("_bits"))
-    marked = df.withColumns({"_at": F.when(F.col(col).isNotNull(), word), "_own": bit})
-    same = (marked["_at"] == bitmap["_word"]) & (F.col("_own").bitwiseAND(F.col("_bits")) != 0)
-    return marked.join(F.broadcast(bitmap), same, how).drop("_at", "_own")
+    at, own, word, bits = unused([*df.columns, *keys.columns], "_at", "_own", "_word", "_bits")
+    quoted = f"`{col}`"
+    place = F.shiftright(F.pmod(F.xxhash64(quoted), F.lit(BITMAP_WORDS * 32)), 5)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({quoted}), 32) as int))")
+    bitmap = keys.where(F.col(quoted).isNotNull()).select(place.alias(word), bit.alias("bit")).groupBy(word)
+    bitmap = bitmap.agg(F.bit_or("bit").alias(bits))
+    marked = df.withColumns({at: F.when(F.col(quoted).isNotNull(), place), own: bit})
+    same = (marked[at] == bitmap[word]) & (F.col(own).bitwiseAND(F.col(bits)) != 0)
+    return marked.join(F.broadcast(bitmap), same, how).drop(at, own)
