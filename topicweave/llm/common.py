@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.operators.bounded import maybe_in
+from topicweave.operators.bounded import maybe_in, unused
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,14 +44,15 @@ def drop_rows(docs: DataFrame, bad: DataFrame, also: tuple[str, ...] = ()) -> Da
     A bitmap of fixed size sorts out the rows that cannot be among the bad ones; they are not shuffled. ``bad`` is read
     three times and should be a written table.
     """
-    keyed = docs.withColumn("_tk", text_key(F.col("text")))
+    (key,) = unused(docs.columns, "_tk")
+    keyed = docs.withColumn(key, text_key(F.col("text")))
     names = bad.select(F.col("doc_id").alias("_bid"), F.col("text_key").alias("_bkey"), *[F.col(c).alias(f"_b_{c}") for c in also])
-    keys = bad.select(F.col("text_key").alias("_tk"))
-    sure, open_ = maybe_in(keyed, keys, "_tk", "left_anti"), maybe_in(keyed, keys, "_tk")
-    same = open_["doc_id"].eqNullSafe(names["_bid"]) & (open_["_tk"] == names["_bkey"])
+    keys = bad.select(F.col("text_key").alias(key))
+    sure, open_ = maybe_in(keyed, keys, key, "left_anti"), maybe_in(keyed, keys, key)
+    same = open_["doc_id"].eqNullSafe(names["_bid"]) & (open_[key] == names["_bkey"])
     for c in also:
         same = same & open_[c].eqNullSafe(names[f"_b_{c}"])
-    return sure.unionByName(open_.join(names, same, "left_anti")).drop("_tk")
+    return sure.unionByName(open_.join(names, same, "left_anti")).drop(key)
 
 
 def text_key(text: Column) -> Column:

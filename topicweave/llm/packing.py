@@ -8,7 +8,8 @@ list of lengths with a count of sequences, and is split when only some of its se
 
 Patterns are joined back to the pieces by rank: piece number r of its length belongs to the slot whose range of ranks
 holds r. Ranks come from a histogram over hash buckets, so a length that a third of all pieces share still spreads over
-many tasks. The list of slots depends on the number of lengths, not of documents; it is broadcast (``MAX_SLOTS``).
+many tasks; repeated rows differ by their place in the written table. Placing a length adds at most two patterns, so there
+are no more than ``2 * MAX_TOKENS`` patterns whatever the corpus: their slots are broadcast, by parts of the ranks.
 
 Null text counts as empty: one end id. Repeated rows and null ids are packed like any other row. Very long texts are
 encoded slice by slice at places where the tokenizer splits anyway. An empty table gives an empty result. Extra columns
@@ -20,10 +21,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
-from itertools import chain, islice
-from operator import attrgetter
+from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +35,18 @@ from topicweave.session import staged
 
 MAX_TOKENS = 2048
 END_ID = 1
-MAX_SLOTS = 200_000
-MEMO_ENTRIES = 300_000
+MEMO_BYTES = 64 << 20
+#: what an entry of a table takes beside the characters of its cut
+ENTRY_BYTES = 216
 MEMO_CHARS = 64
+SLICE_CHARS = 1 << 20
+BATCH_BYTES = 4 << 20
 RANK_BUCKETS = 1024
 TOKENIZER = "byte_bpe_50k.json"
 SPACE_BEFORE_SPACE = re.compile(r"\s ")
+BORDER = re.compile(r"\S ")
+#: how a byte-level vocabulary writes a space
+SPACE_LETTER = "\u0120"
 
 
 def default_tokenizer() -> str:
@@ -54,9 +59,9 @@ class Encoder:
     """Token ids of a text as little-endian 32-bit bytes, the same as encoding the whole text at once.
 
     A byte-level tokenizer never puts a character that is no white space and a following space into one token, so a text
-    may be cut before each such space. Ids of a cut are remembered, in two tables of bounded size that all tasks of a
-    Python worker share; a new cut that consists of letters goes to the tokenizer's model directly. Any other kind of
-    tokenizer encodes whole texts.
+    may be cut before each such space. Ids of a cut are remembered, in two tables bounded by bytes that all tasks of a
+    Python worker share; new cuts are encoded together, as one line with spaces between them, and told apart by the
+    tokens that start with a space. Any other kind of tokenizer encodes whole texts.
     """
 
     shared: dict[str, Encoder] = {}
@@ -77,10 +82,10 @@ class Encoder:
         )
         self.memo: dict[str, bytes] = {}  # of a cut, without the space it starts with
         self.older: dict[str, bytes] = {}  # the table before it; what is met again moves over
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes a byte-level vocabulary writes as themselves
-        hidden = [b for b in range(256) if b not in shown]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.held = 0
         self.marks = {c: self._plain([c])[0] for c in ",."}
+        self.from_space = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.from_space[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -106,73 +111,113 @@ class Encoder:
                 out[-1] += " " + part
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        model, number, other = self.tokenizer.model, attrgetter("id"), []
-        for c in new:
-            # a letter followed by a comma or a full stop at the end is always a border
-            marked = len(c) > 1 and c[-1] in ",." and c[-2].isalpha()
-            stem = c[:-1] if marked else c
-            if not stem.isalpha():
-                other.append(c)
-                continue
-            ids = self.memo.get(stem) or self.older.get(stem)
-            if ids is None:
-                piece = f" {stem}".encode().decode("latin-1").translate(self.letters)
-                ids = array("I", map(number, model.tokenize(piece))).tobytes()
-                self.memo[stem] = ids
-            if marked:
-                self.memo[c] = ids + self.marks[c[-1]]
-        for i in range(0, len(other), 1024):
-            part = other[i : i + 1024]
-            self.memo.update(zip(part, self._plain([f" {c}" for c in part]), strict=True))
+    @staticmethod
+    def segments(text: str) -> Iterator[str]:
+        """A text cut at borders into parts of about ``SLICE_CHARS``; later parts start with their border's space."""
+        at = 0
+        while len(text) - at > SLICE_CHARS:
+            border = BORDER.search(text, at + SLICE_CHARS)
+            if border is None:
+                break
+            yield text[at : border.end() - 1]
+            at = border.end() - 1
+        yield text[at:]
+
+    def _line(self, cuts: list[str]) -> Iterator[bytes]:
+        """Ids of cuts that have no space inside and no white space at their end."""
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(cuts)], add_special_tokens=False)[0]
+        ids = np.asarray(found.ids, "<u4")
+        at = (np.flatnonzero(self.from_space[ids]) * 4).tolist()
+        data = ids.tobytes()
+        return (data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        memo, older = self.memo, self.older
+        # a letter followed by a comma or a full stop at the end is always a border
+        marked = [c for c in new if c[-1:] in self.marks and c[:-1].isalpha()]
+        stems = {c[:-1] for c in marked}.difference(new)
+        stems.difference_update([c for c in stems if c in memo])
+        again = [c for c in stems if c in older]
+        memo.update(zip(again, map(older.__getitem__, again)))
+        rest = [*stems.difference(again), *new.difference(marked)]
+        line = [c for c in rest if c and " " not in c and not c[-1].isspace()]
+        for lo in range(0, len(line), 4096):
+            part = line[lo : lo + 4096]
+            memo.update(zip(part, self._line(part), strict=True))
+        if len(line) < len(rest):
+            other = [c for c in rest if not c or " " in c or c[-1].isspace()]
+            memo.update(zip(other, self._plain([f" {c}" for c in other]), strict=True))
+        memo.update((c, memo[c[:-1]] + self.marks[c[-1]]) for c in marked)
+        self.held += sum(map(len, rest)) + ENTRY_BYTES * (len(rest) + len(marked))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts_words:
             return self._plain(texts)
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            self.older, self.memo = memo, {}
-            memo = self.memo
+        if self.held > MEMO_BYTES:
+            self.older, self.memo, self.held = self.memo, {}, 0
+        memo, older = self.memo, self.older
         cut = [self.cuts(t) for t in texts]
         firsts = self._plain([x[0] for x in cut])
-        new = set(chain.from_iterable(islice(x, 1, None) for x in cut)).difference(memo)
-        again = new.intersection(self.older)
-        memo.update((c, self.older[c]) for c in again)
-        self._learn([*(new - again)])
-        known = memo.__getitem__
-        out = [first + b"".join(map(known, islice(x, 1, None))) for first, x in zip(firsts, cut, strict=True)]
-        for c in new:
+        new = set(filterfalse(memo.__contains__, chain.from_iterable(islice(x, 1, None) for x in cut)))
+        again = [c for c in new if c in older]
+        memo.update(zip(again, map(older.__getitem__, again)))
+        self.held += ENTRY_BYTES * len(again)
+        new.difference_update(again)
+        self._learn(new)
+        out = [first + b"".join(map(memo.__getitem__, islice(x, 1, None))) for first, x in zip(firsts, cut, strict=True)]
+        for c in chain(new, again):
             if len(c) > MEMO_CHARS:
                 memo.pop(c, None)
         return out
 
+    def encoded(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of every text; of many short ones at once, of a long one slice by slice."""
+        short: list[str] = []
+        room = SLICE_CHARS
+        for text in texts:
+            if len(text) > SLICE_CHARS and self.cuts_words:
+                yield from self(short)
+                short, room = [], SLICE_CHARS
+                yield b"".join(self([part])[0] for part in self.segments(text))
+                continue
+            short.append(text)
+            room -= len(text)
+            if room < 0:
+                yield from self(short)
+                short, room = [], SLICE_CHARS
+        yield from self(short)
+
 
 def _piece_batches(path: str, with_ids: bool):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    width = MAX_TOKENS * 4
+    end = np.asarray([END_ID], "<u4").tobytes()
+
+    def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        doc, start, crc, tokens, parts = zip(*rows)
+        sizes = np.fromiter(map(len, parts), np.int64) // 4
+        cols = [pa.array(doc, kind), *[pa.array(np.asarray(c, np.int64)) for c in (start, sizes, crc, tokens)]]
+        if with_ids:  # one flat buffer for all ids
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            cols.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(parts))])))
+        return pa.RecordBatch.from_arrays(cols, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(path)
-        end = np.asarray([END_ID], "<u4").tobytes()
-        width = MAX_TOKENS * 4
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 256):
-                rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                texts = [x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]
-                for doc, data in zip(ids[lo : lo + 256], encode(texts), strict=True):
-                    data += end
-                    for at in range(0, len(data), width):
-                        part = data[at : at + width]
-                        rows["doc_id"].append(doc)
-                        rows["start"].append(at // 4)
-                        rows["length"].append(len(part) // 4)
-                        rows["ids_crc32"].append(zlib.crc32(part))
-                        rows["doc_tokens"].append(len(data) // 4)
-                        if with_ids:
-                            rows["ids"].append(np.frombuffer(part, "<u4").astype("int32"))
-                cols = [pa.array(rows["doc_id"], batch.schema.field(0).type), *[pa.array(rows[c], pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens")]]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    cols, names = [*cols, pa.array(rows["ids"], pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            kind, rows, held = batch.schema.field(0).type, [], 0
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for doc, data in zip(batch.column(0), encode.encoded(texts), strict=True):
+                data, doc = data + end, doc.as_py()
+                for at in range(0, len(data), width):
+                    part = data[at : at + width]
+                    rows.append((doc, at // 4, zlib.crc32(part), len(data) // 4, part))
+                    held += len(part)
+                if held > BATCH_BYTES:
+                    yield made(rows, kind)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows, kind)
 
     return run
 
@@ -185,6 +230,20 @@ def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False, doc_id: str
     return narrow.mapInArrow(_piece_batches(tokenizer, with_ids), schema)
 
 
+def chunked(found: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
+    """Slots by parts of their length's ranks: (length, width) and (length, part, slot), so that a rank looks at the few
+    slots that reach into its part. There are at most three times as many rows as slots."""
+    by_length: dict[int, list[tuple]] = {}
+    for slot in found:
+        by_length.setdefault(slot[0], []).append(slot)
+    widths, rows = [], []
+    for length, listed in by_length.items():
+        width = -(-max(s[2] for s in listed) // len(listed))
+        widths.append((length, width))
+        rows += [(length, part, *slot[1:]) for slot in listed for part in range(slot[1] // width, slot[2] // width + 1)]
+    return widths, rows
+
+
 def shortest_pack_first(histogram: dict[int, int], room: int = MAX_TOKENS) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, number of sequences) for a histogram of lengths, by shortest-pack-first."""
     open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room left -> patterns with their counts
@@ -230,21 +289,23 @@ def pack(parts: DataFrame) -> DataFrame:
     """Add sequence_id and offset to pieces that have been written out (``parts`` is read several times)."""
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found = slots(shortest_pack_first(histogram))
-    if len(found) > MAX_SLOTS:
-        raise ValueError(f"{len(found)} slots are over the limit of {MAX_SLOTS}")
-    table_of_slots = spark.createDataFrame(found, "slot_length bigint, first bigint, last bigint, base bigint, offset bigint")
-    names = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    widths, rows = chunked(slots(shortest_pack_first(histogram)))
+    width_table = spark.createDataFrame(widths, "width_length bigint, width bigint")
+    slot_table = spark.createDataFrame(rows, "slot_length bigint, part bigint, first bigint, last bigint, base bigint, offset bigint")
+    names = ["doc_id", "start", "ids_crc32", "doc_tokens", "row_no"]
     bucketed = parts.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(RANK_BUCKETS)))
     ranked = rank_in_group(bucketed, ["length"], "_bucket", [F.col(c) for c in names], "_rank")
-    fits = (F.col("length") == F.col("slot_length")) & F.col("_rank").between(F.col("first"), F.col("last"))
-    placed = ranked.join(F.broadcast(table_of_slots), fits)
+    parted = ranked.join(F.broadcast(width_table), F.col("length") == F.col("width_length"))
+    parted = parted.withColumn("_part", F.floor(F.col("_rank") / F.col("width")))
+    fits = (F.col("length") == F.col("slot_length")) & (F.col("_part") == F.col("part")) & F.col("_rank").between(F.col("first"), F.col("last"))
+    placed = parted.join(F.broadcast(slot_table), fits)
     sequence = F.col("base") + F.col("_rank") - F.col("first")
-    return placed.select(*parts.columns, sequence.alias("sequence_id"), "offset")
+    return placed.select(*[c for c in parts.columns if c != "row_no"], sequence.alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    return pack(staged(pieces(docs, tokenizer or default_tokenizer(), with_ids), "pieces"))
+    parts = pieces(docs, tokenizer or default_tokenizer(), with_ids)
+    return pack(staged(parts.withColumn("row_no", F.monotonically_increasing_id()), "pieces"))
 
 
 @query("op6_packing")

@@ -20,7 +20,7 @@ two words is one shingle. Rows with a null id get their component like others (t
 the component; a component of null ids only has a null id). Repeated rows give repeated results; an empty table an empty
 one. Extra columns of the input are not read.
 
-The pipeline's stage (``keep_one``) does not use these links, whose setting belongs to operator 2: see ``similar``.
+The pipeline's stage (``keep_one``) keeps one row of each component.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.llm.common import drop_rows, query, table, text_key
-from topicweave.operators.bounded import maybe_in
+from topicweave.operators.bounded import maybe_in, unused
 from topicweave.session import staged
 
 BITS = 64
@@ -47,15 +47,6 @@ MAX_BLOCK = 32
 CHUNK = 1 << 15
 MAX_ROUNDS = 60
 
-#: the pipeline's stage
-COPY_SHINGLE = 5
-MIN_JACCARD = 0.8
-BANDS = 40
-BAND_ROWS = 5
-STAR_ROUNDS = 3
-STAR_CENTERS = 4
-_ODD, _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64, endpoint=False) | np.uint64(1)
-
 
 def fingerprint(text: str | None) -> int:
     """SimHash of a text, as a signed 64-bit number."""
@@ -161,112 +152,20 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Distinct hashes of a text's ``COPY_SHINGLE``-word shingles, sorted; a shorter text is one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(COPY_SHINGLE)), strict=False)) if len(words) >= COPY_SHINGLE else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64))
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key per band: a mix of the band's ``BAND_ROWS`` smallest products of a shingle with an odd number."""
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for lo in range(0, len(shingles), 1024):
-        np.minimum(low, (_ODD[:, None] * shingles[None, lo : lo + 1024]).min(axis=1), out=low)
-    return ((low * _MIX).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64) + _MIX[:BANDS]).view(np.int64)
-
-
-def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_key", "row_key", "node", "size", "keys"]
-    for batch in batches:
-        nodes, sizes, keys = [], [], []
-        for x in batch.column(batch.num_columns - 1):
-            found = shingle_set(x.as_py())
-            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-            sizes.append(len(found))
-            keys.append(band_keys(found))
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        ends = pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32())
-        made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
-
-
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row_key", "shingles"])
-
-
-def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and ``root`` of every row: rows whose shingle sets have a Jaccard similarity of ``MIN_JACCARD`` or
-    more, directly or over others, have the same root.
-
-    Candidates share one of ``BANDS`` keys (two sets of similarity 0.8 share none with a probability of about 1e-7, more
-    similar ones less); each is then compared by its whole sets. Equal sets are folded first. Of a key with more than
-    ``MAX_BLOCK`` sets, all are compared with one set drawn anew in each of ``STAR_ROUNDS`` rounds, and then those that
-    are still in different components with each other.
-    """
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    keyed = keyed.select("doc_id", "text_key", F.xxhash64("doc_id", "text_key").alias("row_key"), "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, text_key bigint, row_key bigint, node bigint, size int, keys array<bigint>"
-    rows = staged(keyed.mapInArrow(_signature_batches, schema), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("row_key").alias("row_key"), F.max("size").alias("size"), F.max("keys").alias("keys"))
-    entries = staged(nodes, "nodes").select("node", "row_key", "size", F.explode("keys").alias("key"))
-    sizes = staged(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band-sizes")
-    met = staged(maybe_in(entries, sizes, "key").join(sizes, "key"), "band-entries")
-    # the sets of all candidates: only their rows are read again
-    wanted = staged(met.select("row_key", "node").distinct(), "candidates")
-    sets = maybe_in(keyed.select("row_key", "text"), wanted, "row_key")
-    sets = sets.mapInArrow(_set_batches, "row_key bigint, shingles array<bigint>").dropDuplicates(["row_key"])
-    sets = staged(sets.join(wanted, "row_key").select("node", "shingles"), "shingle-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
-        common = F.size(F.array_intersect("_a", "_b"))
-        return staged(both.where(common >= F.ceil((F.size("_a") + F.size("_b") - common) * F.lit(MIN_JACCARD))).select("a", "b"), "copies")
-
-    def met_pairs(at: DataFrame, more: Column) -> DataFrame:
-        a, b = (at.select("key", *[F.col(c).alias(f"{x}_{c}") for c in at.columns if c != "key"]) for x in "ab")
-        sized = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(MIN_JACCARD)
-        return a.join(b, (a["key"] == b["key"]) & (F.col("a_node") < F.col("b_node")) & sized & more).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-
-    found = verified(met_pairs(met.where(F.col("n") <= MAX_BLOCK).select("key", "node", "size"), F.lit(True)))
-    many = staged(met.where(F.col("n") > MAX_BLOCK).select("key", "node", "size"), "crowded")
-    roots = components(found).withColumnRenamed("node", "_n")
-    for turn in range(STAR_ROUNDS + 1):
-        at = many.join(roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
-        open_ = at.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min_by("node", F.xxhash64("node", F.lit(turn), "key")).alias("center"))
-        open_ = staged(open_.where("_lo < _hi").select("key", "center"), "open-keys")
-        if open_.isEmpty():
-            break
-        at = staged(at.join(open_, "key"), "open-entries")
-        if turn < STAR_ROUNDS:  # each set with a few centers of its keys
-            pairs = at.where("node <> center").groupBy("node").agg(F.array_distinct(F.slice(F.array_sort(F.collect_set("center")), 1, STAR_CENTERS)).alias("c"))
-            pairs = pairs.select("node", F.explode("c").alias("center")).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-        else:
-            pairs = met_pairs(at.select("key", "node", "size", "root"), F.col("a_root") != F.col("b_root"))
-        found = staged(found.union(verified(pairs)).distinct(), "all-copies")
-        roots = components(found).withColumnRenamed("node", "_n")
-    named = rows.select("doc_id", "text_key", "node").join(roots, F.col("node") == F.col("_n"), "left")
-    return named.select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of ``similar`` texts: that with the smallest id (null ids last; of equal ids the smallest digest)."""
-    found = staged(similar(docs), "near-duplicates")
+    """One row of each component of near duplicates: that with the smallest id (null ids last; of equal ids the smallest
+    digest). Of rows that repeat an id and a text one stays; only such rows are shuffled with their texts."""
+    found = staged(near_duplicates(docs).select("doc_id", "text_key", "root"), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
     best = found.groupBy("root").agg(first).select("root", F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key"))
-    is_best = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    others = found.join(best, "root").where(~is_best).select("doc_id", "text_key").distinct()
-    kept = drop_rows(docs, staged(others, "near-copies"))
-    repeated = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    if not repeated:
-        return kept
-    return kept.withColumn("_tk", text_key(F.col("text"))).dropDuplicates(["doc_id", "_tk"]).drop("_tk")
+    folded = found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    known = staged(folded.join(best, "root").withColumn("best", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))), "members")
+    kept = drop_rows(docs, staged(known.where("NOT best").select("doc_id", "text_key"), "near-copies"))
+    (key,) = unused(docs.columns, "_tk")
+    keyed = kept.withColumn(key, text_key(F.col("text")))
+    repeated = staged(known.where("best AND n > 1").select(F.col("text_key").alias(key)), "repeated")
+    once, more = maybe_in(keyed, repeated, key, "left_anti"), maybe_in(keyed, repeated, key)
+    return once.unionByName(more.dropDuplicates(["doc_id", key])).drop(key)
 
 
 @query("op2_simhash")
