@@ -22,10 +22,11 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse, islice
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ MEMO_BYTES = 64 << 20
 #: what an entry of a table takes beside the characters of its cut
 ENTRY_BYTES = 216
 MEMO_CHARS = 64
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 22
 BATCH_BYTES = 4 << 20
 RANK_BUCKETS = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,8 +61,8 @@ class Encoder:
 
     A byte-level tokenizer never puts a character that is no white space and a following space into one token, so a text
     may be cut before each such space. Ids of a cut are remembered, in two tables bounded by bytes that all tasks of a
-    Python worker share; new cuts are encoded together, as one line with spaces between them, and told apart by the
-    tokens that start with a space. Any other kind of tokenizer encodes whole texts.
+    Python worker share. A new word of letters goes to the tokenizer's model directly; other new cuts are encoded together,
+    as one line with spaces between them, and told apart by the tokens that start with a space. Any other kind of tokenizer encodes whole texts.
     """
 
     shared: dict[str, Encoder] = {}
@@ -84,7 +85,11 @@ class Encoder:
         self.older: dict[str, bytes] = {}  # the table before it; what is met again moves over
         self.held = 0
         self.marks = {c: self._plain([c])[0] for c in ",."}
-        self.from_space = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes a byte-level vocabulary writes as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.from_space = np.zeros(len(self.as_bytes), bool)
         self.from_space[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
 
     @classmethod
@@ -140,34 +145,71 @@ class Encoder:
         again = [c for c in stems if c in older]
         memo.update(zip(again, map(older.__getitem__, again)))
         rest = [*stems.difference(again), *new.difference(marked)]
-        line = [c for c in rest if c and " " not in c and not c[-1].isspace()]
+        # a word of letters is one piece for the model; others go through the whole tokenizer
+        model, as_bytes, joined = self.tokenizer.model.tokenize, self.as_bytes, b"".join
+        other = []
+        for c in rest:
+            if not c.isalpha():
+                other.append(c)
+                continue
+            letters = c if c.isascii() else c.encode().decode("latin-1").translate(self.letters)
+            memo[c] = joined([as_bytes[x.id] for x in model(SPACE_LETTER + letters)])
+        line = [c for c in other if c and " " not in c and not c[-1].isspace()]
         for lo in range(0, len(line), 4096):
             part = line[lo : lo + 4096]
             memo.update(zip(part, self._line(part), strict=True))
-        if len(line) < len(rest):
-            other = [c for c in rest if not c or " " in c or c[-1].isspace()]
+        if len(line) < len(other):
+            other = [c for c in other if not c or " " in c or c[-1].isspace()]
             memo.update(zip(other, self._plain([f" {c}" for c in other]), strict=True))
         memo.update((c, memo[c[:-1]] + self.marks[c[-1]]) for c in marked)
         self.held += sum(map(len, rest)) + ENTRY_BYTES * (len(rest) + len(marked))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts_words:
-            return self._plain(texts)
+    def _known(self, cuts: list[str]) -> list[bytes]:
+        """Ids of distinct cuts, each with the space before it."""
         if self.held > MEMO_BYTES:
             self.older, self.memo, self.held = self.memo, {}, 0
         memo, older = self.memo, self.older
-        cut = [self.cuts(t) for t in texts]
-        firsts = self._plain([x[0] for x in cut])
-        new = set(filterfalse(memo.__contains__, chain.from_iterable(islice(x, 1, None) for x in cut)))
+        new = set(filterfalse(memo.__contains__, cuts))
         again = [c for c in new if c in older]
         memo.update(zip(again, map(older.__getitem__, again)))
         self.held += ENTRY_BYTES * len(again)
         new.difference_update(again)
         self._learn(new)
-        out = [first + b"".join(map(memo.__getitem__, islice(x, 1, None))) for first, x in zip(firsts, cut, strict=True)]
-        for c in chain(new, again):
+        found = [*map(memo.__getitem__, cuts)]
+        for c in new:
             if len(c) > MEMO_CHARS:
                 memo.pop(c, None)
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts_words or not texts:
+            return self._plain(texts)
+        # most texts have a border at every space: Arrow cuts them
+        easy = [bool(t) and t[0] != " " and not SPACE_BEFORE_SPACE.search(t) for t in texts]
+        order = [*(i for i, x in enumerate(easy) if x), *(i for i, x in enumerate(easy) if not x)]
+        split = pc.split_pattern(pa.array([t for t, x in zip(texts, easy, strict=True) if x], pa.string()), " ")
+        hard = [self.cuts(t) for t, x in zip(texts, easy, strict=True) if not x]
+        words = pa.concat_arrays([split.flatten(), pa.array([*chain.from_iterable(hard)], pa.string())]).dictionary_encode()
+        sizes = np.concatenate([split.value_lengths().to_numpy(), np.array([*map(len, hard)], np.int32)]).astype(np.int64)
+        at, names = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)  # names are str
+        ends = np.cumsum(sizes)
+        first = ends - sizes  # the first cut of a text has no space before it
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        used = np.flatnonzero(np.bincount(at[inner], minlength=len(names)))
+        found = self._known(names[used].tolist()) + self._plain(names[at[first]].tolist())
+        entry = np.zeros(len(names), np.int64)
+        entry[used] = np.arange(len(used))
+        entry = entry[at]
+        entry[first] = len(used) + np.arange(len(first))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = lengths[entry]
+        upto = np.cumsum(each)
+        begin = (np.cumsum(lengths) - lengths)[entry] - (upto - each)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin, each) + np.arange(upto[-1])].tobytes()
+        out, low = [b""] * len(texts), 0
+        for i, high in zip(order, (upto[ends - 1] * 4).tolist(), strict=True):
+            out[i], low = ids[low:high], high
         return out
 
     def encoded(self, texts: Iterable[str]) -> Iterator[bytes]:
