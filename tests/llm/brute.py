@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,7 +83,8 @@ def substring_removed(texts, length=400):
 
 
 def leak_words(text):
-    return [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+    apart = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ", (text or "").lower())
+    return [w for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", apart) if w]
 
 
 def leaks(docs, items, window=13, span=8):
@@ -92,10 +94,10 @@ def leaks(docs, items, window=13, span=8):
         w = leak_words(text)
         for i, item in items:
             x = leak_words(item)
-            if len(x) < 7:
+            if not x:
                 continue
             size = min(window, len(x))
-            need = -(-size * 8 // 10)
+            need = -(-size * 8 // 10) if size >= 7 else size
             for shift in range(-len(x) + 1, len(w)):
                 same = [int(0 <= k + shift < len(w) and w[k + shift] == x[k]) for k in range(len(x))]
                 valid = [0 <= k + shift < len(w) for k in range(len(x))]

@@ -34,3 +34,19 @@ def test_changed_words_at_all_pairs_of_positions(spark):
     found = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id) for r in found.collect()}
     assert got == brute.leaks(docs, items) and len(got) == len(docs)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    rng = random.Random(6)
+    items = [(n, " ".join(f"k{rng.randrange(10**6)}" for _ in range(n))) for n in range(1, 7)]
+    items += [(20, "人工智能改变世界的方式很多种"), (21, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (22, "le c\u0153ur \u201cbat\u201d encore")]
+    docs = [(i, f"start of it, {t.upper()}! end of it") for i, t in items] + [(100 + i, t) for i, t in items]
+    docs += [(200 + i, "start " + t.replace(" ", " x ", 1) + " end") for i, t in items[1:6]]
+    docs += [(301, "他们说人工智能改变世界的方法很多种吧"), (302, None), (303, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (30, ""), (31, None), (32, "!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.overlaps(frame, bench).collect()}
+    assert got == brute.leaks(docs, items) and {(i, i) for i, _ in items} <= got and {(100 + i, i) for i, _ in items} <= got and (301, 20) in got
+    kept = {r.doc_id for r in d.drop_contaminated(frame, bench).collect()}
+    # in a longer document a short item is no leak
+    assert kept >= {*range(1, 7), 22, 302, 303} and not kept & {20, 21, 301, *(100 + i for i, _ in items)}

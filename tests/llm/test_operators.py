@@ -160,7 +160,7 @@ def test_decontamination(spark, docs, rows, empty):
     both = docs.select("doc_id", "text").union(more)
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(both, bench).collect()}
     texts = [(r.doc_id, r.text) for r in both.collect()]
-    assert got == brute.leaks(texts, items) and {(100, 1), (101, 0), (103, 3), (1, 7)} <= got and not {d for d, _ in got} & {102, 104}
+    assert got == brute.leaks(texts, items) and {(100, 1), (101, 0), (103, 3), (104, 4), (1, 7)} <= got and not {d for d, _ in got} & {102}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 1
     assert decontaminate.overlaps(empty, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0

@@ -39,7 +39,9 @@ def test_salvage(pack):
     at = len(parts[0]) + len(parts[1])
     assert found(data) == (ids(0, 1, 3, 4), [(at, at + len(hurt))])
     cut = b"".join(parts)[:-7]
-    assert found(cut) == (ids(0, 1, 2, 3), [(len(cut) - len(parts[4]) + 7, len(cut))])
+    # of a member that is cut behind its record the record is whole
+    whole = (0, 1, 2, 3) if pack is bytes else (0, 1, 2, 3, 4)
+    assert found(cut) == (ids(*whole), [(len(cut) - len(parts[4]) + 7, len(cut))])
     junk = b"junk" + parts[0] + b"\0\0" + parts[1] if pack is not bytes else b"junk\n" + parts[0] + b"\0\n" + parts[1]
     got, gaps = found(junk)
     assert got == ids(0, 1) and len(gaps) == 2
@@ -100,3 +102,26 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_one_bad_record_costs_no_other_of_its_member():
+    parts = [record(i, b"<p>%d</p>" % i * 9) for i in range(6)]
+    bad = parts[2].replace(b"<p>2", b"<p>x", 1)
+    member = gzip.compress(b"".join([*parts[:2], bad, *parts[3:]]))
+    got, gaps = found(member + gzip.compress(record(9)))
+    assert got == ids(0, 1, 3, 4, 5, 9) and gaps == [(0, len(member))]
+    rng = random.Random(2)
+    many = [record(i, bytes(rng.randrange(32, 127) for _ in range(3000))) for i in range(40)]
+    member = gzip.compress(b"".join(many))
+    half = member[: len(member) // 2]
+    got, gaps = found(half + gzip.compress(record(99)))
+    assert len(got) > 15 and got == [*ids(*range(len(got) - 1)), *ids(99)] and gaps == [(0, len(half))]
+
+
+def test_plain_archive_with_a_packed_payload():
+    inner = record(1, gzip.compress(b"some page"))
+    data = b"XARC" + record(0)[4:] + inner + record(2)
+    got, gaps = found(data)
+    assert got == ids(1, 2) and gaps == [(0, len(record(0)))]
+    mixed = gzip.compress(record(0)) + b"junk\n" + record(1) + gzip.compress(record(2)) + record(3)
+    assert found(mixed)[0] == ids(0, 1, 2, 3)

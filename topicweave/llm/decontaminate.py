@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced seeds (operator 5). DataFrame functions only.
 
-Texts become words: lower case, cut at everything in ASCII that is no letter or digit. A seed is a fixed mask over a
+Texts become words: lower case, cut at everything that is no letter, mark or digit; each character of a script that is
+written without spaces is a word of its own. A seed is a fixed mask over a
 window of words: positions marked 1 are hashed together, positions marked 0 are ignored, so a hit survives a changed word
 at an ignored position. No overlap that passes the comparison below is without a hit: each length of window has masks for
 every choice of words that may differ, and masks of windows under 13 words are used only if there are items that short.
@@ -14,8 +15,10 @@ both sides are shuffled by hash, documents' seeds filtered to the benchmark's ha
 (document, item, shift) before they move. Word lists are cut into chunks before seeds are made, so a very long text needs
 no more memory than its words.
 
-Null and empty texts and items have no words, hence no hits; items of fewer than seven words are too short to tell a leak
-and match nothing. Rows are named by (doc_id, text digest), null-safe; repeated rows give repeated results. Empty
+Items of fewer than ``MIN_LEAK`` words are one seed of their own length and match where all their words stand in a row. So
+few words say little about a leak: ``drop_contaminated`` heeds them only if the document has no other words.
+
+Null and empty texts and items have no words, hence no hits. Rows are named by (doc_id, text digest), null-safe; repeated rows give repeated results. Empty
 tables give an empty result. Extra columns are not read.
 """
 
@@ -40,16 +43,21 @@ MASKS = {
     9: ["1111011", "1101111"],
     8: ["111111", "1101111", "1111011"],
     7: ["11111", "110111", "111101"],
+    **{n: ["1" * n] for n in range(6, 0, -1)},
 }
+MIN_LEAK = 7
 WINDOW = 13
 MIN_SIMILARITY = 0.8
 CHUNK = 2048
 MAX_SEEDS = 2_000_000
-BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BREAKS = r"[^\p{L}\p{M}\p{N}]+"
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAKS), "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(F.regexp_like(low, F.lit(UNSPACED)), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    return F.array_remove(F.split(apart, BREAKS), "")
 
 
 def word_hashes(text: Column) -> Column:
@@ -81,12 +89,12 @@ def seeds(rows: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``docs`` and item that contaminates it: doc_id, text_key, item_id, ``matched`` words in the best
-    window and the ``window`` length."""
+    window, the ``window`` length, and ``doc_words``."""
     items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("_hashes"))
     items = staged(items.select("item_id", F.xxhash64("_hashes").alias("_item"), "_hashes").distinct(), "items")
     rows = docs.select(F.col(doc_id).alias("_id"), text_key(F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    lengths = items.select(F.least(F.size("_hashes"), F.lit(WINDOW)).alias("n")).where(F.col("n") >= min(MASKS)).distinct()
-    lengths = sorted(r.n for r in lengths.collect()) or [WINDOW]  # seven at most
+    lengths = items.select(F.least(F.size("_hashes"), F.lit(WINDOW)).alias("n")).where("n > 0").distinct()
+    lengths = sorted(r.n for r in lengths.collect()) or [WINDOW]  # 13 at most
     listed = [seeds(items.where(F.least(F.size("_hashes"), F.lit(WINDOW)) == n), ["_item"], MASKS[n]) for n in lengths]
     listed = reduce(DataFrame.union, listed).select("seed", "_item", F.col("pos").alias("ipos")).distinct()
     small = small_or_none(listed, MAX_SEEDS)
@@ -96,7 +104,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
         hits = found.join(F.broadcast(small), "seed")
     else:
         listed = staged(listed, "benchmark-seeds")
-        hits = found.join(listed.select("seed").distinct(), "seed", "left_semi").join(listed, "seed")
+        # a bitmap takes most seeds out of the shuffle
+        hits = maybe_in(found, listed.select("seed"), "seed").join(listed, "seed")
     shifts = hits.select("_id", "_key", "_item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
     shifts = staged(shifts, "seed-hits")
 
@@ -118,16 +127,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     starts = F.when(F.size("_agree") >= F.col("_window"), F.sequence(F.lit(1), F.size("_agree") - F.col("_window") + 1)).otherwise(F.array().cast("array<int>"))
     add = lambda acc, x: acc + x
     best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(F.col("_agree"), s, F.col("_window")), F.lit(0), add)))
-    scored = both.select("_id", "_key", "_item", window.alias("_window"), agree.alias("_agree")).select("_id", "_key", "_item", "_window", best.alias("matched"))
-    good = scored.where(F.col("matched") >= F.ceil(F.col("_window") * MIN_SIMILARITY))
-    per = good.groupBy("_id", "_key", "_item").agg(F.max("matched").alias("matched"), F.max("_window").alias("window"))
-    named = per.join(F.broadcast(items.select("item_id", "_item")) if small is not None else items.select("item_id", "_item"), "_item")
-    return named.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), "item_id", "matched", "window")
+    doc_words = F.size("_words").alias("doc_words")
+    scored = both.select("_id", "_key", "_item", doc_words, window.alias("_window"), agree.alias("_agree")).select("_id", "_key", "_item", "doc_words", "_window", best.alias("matched"))
+    need = F.when(F.col("_window") < MIN_LEAK, F.col("_window")).otherwise(F.ceil(F.col("_window") * MIN_SIMILARITY))
+    good = scored.where(F.col("matched") >= need)
+    per = good.groupBy("_id", "_key", "_item").agg(F.max("matched").alias("matched"), F.max("_window").alias("window"), F.max("doc_words").alias("doc_words"))
+    names = items.select("item_id", "_item")
+    few = small_or_none(names)
+    named = per.join(names if few is None else F.broadcast(few), "_item")
+    return named.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), "item_id", "matched", "window", "doc_words")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates."""
-    return drop_rows(docs, staged(overlaps(docs, benchmark).select("doc_id", "text_key").distinct(), "contaminated"))
+    """The rows of ``docs`` that no item contaminates; a short item counts only if it is all of a document."""
+    found = overlaps(docs, benchmark).where((F.col("window") >= MIN_LEAK) | (F.col("window") == F.col("doc_words")))
+    return drop_rows(docs, staged(found.select("doc_id", "text_key").distinct(), "contaminated"))
 
 
 @query("op5_decontamination")

@@ -140,23 +140,28 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every row, beside the columns ``keep`` (default: all but the text)."""
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in (text, "base_failed", "kept", *COUNTS)]
-    both = [c for c in dict.fromkeys([*keep, lang, source])]
-    counted = staged(with_counts(docs, text, both), "text-counts")
-    fences = staged(thresholds(counted, lang, source), "fences")
+    # the columns travel under numbers, so that no name of theirs can clash
+    numbered = [f"c{i}" for i in range(len(keep))]
+    carried = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, numbered, strict=True)], F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("text")
+    )
+    counted = staged(with_counts(carried, "text", [*numbered, "_lang", "_source"]), "text-counts")
+    fences = staged(thresholds(counted, "_lang", "_source"), "fences")
     small = small_or_none(fences)
-    on = lambda left, right: left[lang].eqNullSafe(right["_lang"]) & left[source].eqNullSafe(right["_source"])
+    on = lambda left, right: left["_lang"].eqNullSafe(right["_lang"]) & left["_source"].eqNullSafe(right["_source"])
     if small is not None:
         joined = counted.join(F.broadcast(small), on(counted, small), "left")
     else:
         # every group is copied to all salts: a source with a third of all rows still spreads over many tasks
-        salted = counted.withColumn("_salt", F.pmod(F.xxhash64(*COUNTS, *keep), F.lit(SALTS)))
+        salted = counted.withColumn("_salt", F.pmod(F.xxhash64(*COUNTS, *numbered), F.lit(SALTS)))
         copies = fences.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, on(salted, copies) & (salted["_salt"] == copies["_copy"]), "left").drop("_salt", "_copy")
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     beyond = F.lit(False)
     for name, value in ratios().items():
         beyond = beyond | (value > F.col(f"max_{name}"))
-    return joined.select(*keep, *COUNTS, base.alias("base_failed"), (~(base | beyond)).alias("kept"))
+    named = [F.col(n).alias(c) for c, n in zip(keep, numbered, strict=True)]
+    return joined.select(*named, *COUNTS, base.alias("base_failed"), (~(base | beyond)).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

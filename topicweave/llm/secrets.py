@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.llm.common import LOWER, UPPER, query, table, text_key
-from topicweave.operators.bounded import maybe_in
+from topicweave.operators.bounded import maybe_in, unused
 from topicweave.session import staged
 
 MAX_ALTERNATIVES = 32
@@ -186,12 +186,13 @@ def mask(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
     Overlapping spans are replaced together, under the name of the first.
     """
-    whole = docs.withColumn("_tk", text_key(F.col("text")))
-    hits = scan(docs, rules).where(F.size("found") > 0).select(F.col("doc_id").alias("_cid"), F.col("text_key").alias("_ckey"), "found")
-    hits = staged(hits.groupBy("_cid", "_ckey").agg(F.first("found").alias("found")), "secrets-found")
-    keys = hits.select(F.col("_ckey").alias("_tk"))
-    keyed = maybe_in(whole, keys, "_tk")
-    joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_cid"]) & (keyed["_tk"] == hits["_ckey"]), "left")
+    key, cid, ckey, spans = unused(docs.columns, "_tk", "_cid", "_ckey", "_found")
+    whole = docs.withColumn(key, text_key(F.col("text")))
+    hits = scan(docs, rules).where(F.size("found") > 0).select(F.col("doc_id").alias(cid), F.col("text_key").alias(ckey), F.col("found").alias(spans))
+    hits = staged(hits.groupBy(cid, ckey).agg(F.first(spans).alias(spans)), "secrets-found")
+    keys = hits.select(F.col(ckey).alias(key))
+    keyed = maybe_in(whole, keys, key)
+    joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits[cid]) & (keyed[key] == hits[ckey]), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -200,13 +201,14 @@ def mask(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         overlap = F.struct(F.greatest(acc["at"], m["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(m["start"] >= acc["at"], done).otherwise(overlap)
 
-    cut = F.aggregate(F.col("found"), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(cut)
+    cut = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut)
     out = joined.withColumn("text", text)
+    named = [F.col(f"`{c}`") for c in docs.columns]
     if "n_chars" in docs.columns:
-        n = F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+        n = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
         out = out.withColumn("n_chars", n)
-    return out.select(*docs.columns).union(maybe_in(whole, keys, "_tk", "left_anti").select(*docs.columns))
+    return out.select(*named).union(maybe_in(whole, keys, key, "left_anti").select(*named))
 
 
 SQL = None  # offsets of matches have no counterpart in DuckDB's functions; see tests/llm

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from topicweave.llm.common import ascii_lower, query, table
+from topicweave.operators.bounded import unused
 from topicweave.session import staged
 
 BITS_PER_KEY = 12
@@ -209,8 +210,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], rule.cast(pa.string()), pa.array(verdict, pa.string())], [*names, "rule", "verdict"])
 
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    keyed = judged.withColumn("_keys", keys)
-    hashed = keyed.select(*names, "_keys", F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(F.lit(7), k)))
+    (at,) = unused(names, "_keys")
+    keyed = judged.withColumn(at, keys)
+    hashed = keyed.select(*names, at, F.transform(at, lambda k: F.xxhash64(k)), F.transform(at, lambda k: F.xxhash64(F.lit(7), k)))
     schema = StructType([*judged.select(*names).schema.fields, StructField("rule", StringType()), StructField("verdict", StringType())])
     return hashed.mapInArrow(decide, schema)
 

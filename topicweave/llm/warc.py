@@ -7,8 +7,10 @@ with few records, so no archive is much larger than ``ARCHIVE_BYTES`` (a single
 shuffled only if the table of repeated payloads is too large to broadcast, and then salted.
 
 Reading: a record counts only if its version line, headers, length, closing blank lines and block digest hold. After a
-failed check the reader searches for the next version line at the start of a line (in plain archives) or the next gzip
-member that inflates to a record (in compressed ones), goes on there, and logs the skipped bytes as a gap.
+failed check the reader goes on at the next version line at the start of a line or the next gzip member, whichever comes
+first and holds, and logs the skipped bytes as a gap. What a gzip member inflates to is read in the same way, also the part
+before the place where it is cut or damaged: one bad record costs no other record of its member. op10 refuses to go on if
+one of its own archives shows a gap.
 
 Null html is an empty payload; null urls leave out the target header. A null page_id is written and read back as null and
 comes after every other id; pages with equal payload and equal smallest id are all responses. Line ends in urls are
@@ -105,6 +107,7 @@ class BadRecord(Exception):
     pass
 
 
+MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r\n")
 
 
@@ -114,7 +117,7 @@ def _digest(data: bytes) -> str:
 
 def parse_record(data: bytes, at: int) -> tuple[int, dict]:
     """The record at byte ``at`` and the place behind its closing blank lines; BadRecord if a check fails."""
-    if not VERSION.match(data, at):
+    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         raise BadRecord("no version line")
     head_end = data.find(END, at)
     if head_end < 0:
@@ -138,48 +141,86 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict]:
     return end + 4, {"headers": headers, "block": block}
 
 
-def _member(data: bytes, at: int) -> tuple[int, list[dict]]:
-    """The records of the gzip member at ``at`` and the place behind it."""
+def _inflated(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """Place behind the gzip member at ``at``, what it inflates to, and what is wrong with it. Of a member that is cut or
+    damaged, what comes before the bad place is there."""
     inflate, parts, fed, view = zlib.decompressobj(31), [], at, memoryview(data)
     while not inflate.eof:  # fed in steps, so that what follows the member is not copied
         if fed >= len(data):
-            raise BadRecord("member is cut short")
+            return fed, b"".join(parts), "member is cut short"
+        before, step = inflate.copy(), view[fed : fed + 65536]
         try:
-            parts.append(inflate.decompress(view[fed : fed + 65536]))
-        except zlib.error as e:
-            raise BadRecord("member does not inflate") from e
-        fed = min(len(data), fed + 65536)
-    plain = b"".join(parts)
-    found, inside = [], 0
-    while inside < len(plain):
-        inside, record = parse_record(plain, inside)
-        found.append(record)
-    return fed - len(inflate.unused_data), found
-
-
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """('record', start, end, record) and ('gap', start, end, reason) over a whole archive, in order and without holes."""
-    packed = data[:2] == b"\x1f\x8b" or (not VERSION.match(data) and b"\x1f\x8b\x08" in data)
+            parts.append(inflate.decompress(step))
+        except zlib.error:
+            try:  # again in small steps, up to the bad place
+                for k in range(0, len(step), 64):
+                    parts.append(before.decompress(step[k : k + 64]))
+            except zlib.error:
+                pass
+            return fed, b"".join(parts), "member does not inflate"
+        fed += len(step)
+    return fed - len(inflate.unused_data), b"".join(parts), ""
+
+
+def _plain(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """Records and gaps of uncompressed bytes: after a failed check, on from the next version line."""
     at, gap, reason = 0, None, ""
     while at < len(data):
         try:
-            end, found = _member(data, at) if packed else (lambda x: (x[0], [x[1]]))(parse_record(data, at))
+            end, record = parse_record(data, at)
         except BadRecord as e:
             if gap is None:
                 gap, reason = at, str(e)
-            if packed:
-                at = data.find(b"\x1f\x8b\x08", at + 1)
-            else:
-                later = VERSION.search(data, at + 1)
-                at = later.start() if later else -1
-            if at < 0:
+            later = VERSION.search(data, at + 1)
+            if later is None:
                 break
+            at = later.start()
             continue
         if gap is not None:
             yield "gap", gap, at, reason
             gap = None
-        for record in found:
+        yield "record", at, end, record
+        at = end
+    if gap is not None:
+        yield "gap", gap, len(data), reason
+
+
+def _next_start(data: bytes, at: int) -> int:
+    """The next version line or gzip member from ``at`` on, whichever comes first; the end if there is none."""
+    later = VERSION.search(data, at)
+    member = data.find(MAGIC, at, later.start() if later else len(data))
+    return member if member >= 0 else later.start() if later else len(data)
+
+
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """('record', start, end, record) and ('gap', start, end, reason) over a whole archive, in order and without holes.
+
+    Records of one gzip member have the place of the member; so has the gap of a member some of whose records failed.
+    """
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        if data.startswith(MAGIC, at):
+            end, plain, fault = _inflated(data, at)
+            inner = [*_plain(plain)]
+            records = [x[3] for x in inner if x[0] == "record"]
+            if fault:
+                end = _next_start(data, at + 1)
+            fault = fault or next((x[3] for x in inner if x[0] == "gap"), "")
+        else:
+            try:
+                end, record = parse_record(data, at)
+                records, fault = [record], ""
+            except BadRecord as e:
+                end, records, fault = _next_start(data, at + 1), [], str(e)
+        if gap is not None and (records or not fault):
+            yield "gap", gap, at, reason
+            gap = None
+        for record in records:
             yield "record", at, end, record
+        if records and fault:
+            yield "gap", at, end, fault
+        elif fault and gap is None:
+            gap, reason = at, fault
         at = end
     if gap is not None:
         yield "gap", gap, len(data), reason
@@ -243,7 +284,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    found = staged(read_archives(spark, path), "warc-records").where("kind = 'record'")
+    read = staged(read_archives(spark, path), "warc-records")
+    if not read.where("kind = 'gap'").isEmpty():
+        raise ValueError(f"an archive below {path} is damaged")
+    found = read.where("kind = 'record'")
     kind = pages.schema["page_id"].dataType
     return found.select(
         F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
