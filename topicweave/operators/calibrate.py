@@ -146,7 +146,11 @@ def newton(n: np.ndarray, sums, max_steps: int, tol: float):
         da = -(hbb * now["ga"] - now["hab"] * now["gb"]) / det
         db = -(haa * now["gb"] - now["hab"] * now["ga"]) / det
         drop = -(da * now["ga"] + db * now["gb"])
-        live &= (drop > tol * np.maximum(1.0, now["f"])) & (step > 1e-10)
+        live &= step > 1e-10
+        # this close the full step is right; what it leaves is the square of what it mends
+        last = live & (drop <= tol * np.maximum(1.0, now["f"]))
+        a, b = np.where(last, a + da, a), np.where(last, b + db, b)
+        live &= ~last
         if not live.any():
             break
         ta, tb = np.where(live, a + step * da, a), np.where(live, b + step * db, b)

@@ -26,6 +26,7 @@ from topicweave.operators.ranking import (
     sample_key,
     whole_table_cuts,
 )
+from topicweave.session import staged
 
 _KEY = "_order_key"
 
@@ -132,19 +133,25 @@ def stratified_split(
     df: DataFrame, label: str, row_id: str, test_size: float = 0.2, seed: int = DEFAULT_SEED, out: str = "split"
 ) -> DataFrame:
     """Random train / test split with exact class shares."""
-    quotas = test_quotas(group_totals(df, [label]), label, test_size)
+    quotas = test_quotas(staged(group_totals(df, [label]), "class-counts"), label, test_size)
     bucket, order = _by_key(seed, row_id)
     flagged = first_n_per_group(df, [label], bucket, order, quotas)
     return flagged.withColumn(out, F.when(F.col("chosen"), "test").otherwise("train")).drop("chosen")
 
 
 def _fold_quotas(df: DataFrame, label: str, folds: int, offset_order: Sequence[Column], extra) -> DataFrame:
-    """Last rank of each fold but the final one, per class.
+    """Last rank of each fold but the final one, per class. The classes are counted once.
 
     Lay the classes end to end and deal the places out to the folds in turn: fold i of a class that starts at offset o
     gets the places r with (o + r) mod folds = i. Fold sizes then differ by at most one, overall and per class.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *extra).withColumn("_all", F.lit(0))
+    counts = staged(df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *extra), "class-counts")
+    largest, unlabelled = counts.agg(F.max("n"), F.count_if(F.col(label).isNull())).first()
+    if unlabelled:
+        raise ValueError("rows without a label cannot be dealt to folds")
+    if largest is not None and largest < folds:
+        raise ValueError(f"no class has as many rows as there are folds ({folds})")
+    counts = counts.withColumn("_all", F.lit(0))
     earlier = Window.partitionBy("_all").orderBy(*offset_order).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("_o", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     k = F.lit(folds)
@@ -156,7 +163,7 @@ def _fold_quotas(df: DataFrame, label: str, folds: int, offset_order: Sequence[C
         return out
 
     cuts = F.array(*[F.struct(F.lit(i).alias("piece_id"), upto(i).alias("quota")) for i in range(folds - 1)])
-    return placed.select(label, F.inline(cuts))
+    return staged(placed.select(label, F.inline(cuts)), "fold-quotas")
 
 
 def stratified_folds(
@@ -176,9 +183,4 @@ def stratified_blocks(df: DataFrame, label: str, pos: str, folds: int = N_FOLDS,
 
 
 def _fold_number(df, label, bucket, order, quotas, folds, out):
-    largest, unlabelled = group_totals(df, [label]).agg(F.max("n"), F.count_if(F.col(label).isNull())).first()
-    if unlabelled:
-        raise ValueError("rows without a label cannot be dealt to folds")
-    if largest is not None and largest < folds:
-        raise ValueError(f"no class has as many rows as there are folds ({folds})")
     return _piece_number(df, [label], bucket, order, quotas, F.col(next(iter(order))), out)

@@ -14,6 +14,7 @@ from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, key_sql,
 from topicweave.plans.jobs import dedup_articles
 from topicweave.session import scratch_path
 from topicweave.sources import csv_tables as cs
+from topicweave.sources.append_sink import append_committed
 from topicweave.sources.tables import read_features, write_features
 
 LANGS = ["en", "fr", "de", "es"]
@@ -505,6 +506,19 @@ def csv_round_trip(spark, d):
     return cs.read_csv(spark, path, docs.schema)
 
 
+@query("csv_append", "SELECT doc_id, lang, nullif(text, '') AS text, n_chars FROM documents UNION ALL SELECT page_id, NULL, url, length(html) FROM pages")
+def csv_append(spark, d):
+    """Two committed appends to one place, read back as one table."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", "n_chars")
+    pages = table(spark, d, "pages").select(
+        F.col("page_id").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.col("url").alias("text"), F.length("html").cast("bigint").alias("n_chars")
+    )
+    path = scratch_path(spark, "csv-append")
+    for part in (docs, pages):
+        append_committed(part, path)
+    return cs.read_csv(spark, path, docs.schema, glob="*.csv")
+
+
 @query("csv_ingest", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_pos, event_id, event_type FROM events")
 def csv_ingest(spark, d):
     """CSV files in file-name order become a parquet table with row positions."""

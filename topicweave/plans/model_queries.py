@@ -8,6 +8,7 @@ from topicweave.functions import vectors as vx
 from topicweave.operators import features as ft
 from topicweave.operators import linear_svm as ls
 from topicweave.operators import metrics as mt
+from topicweave.operators import kernel_svm as ks
 from topicweave.operators import profile as pr
 from topicweave.operators import sampling as sp
 from topicweave.operators import search as sr
@@ -478,14 +479,14 @@ SIGMOID = """e AS (SELECT i - 1 AS g, CAST(embedding[i] AS DOUBLE) AS s, label =
       FROM (SELECT i, g, a, b, s, t, 1 / (1 + exp(a * s + b)) AS p FROM w JOIN t USING (g) WHERE i < 30) GROUP BY i, g, a, b))"""
 
 
-@query("sigmoid_fit", f"WITH RECURSIVE {SIGMOID} SELECT CAST(g AS INTEGER) AS class, round(a, 3) AS slope, round(b, 3) AS start FROM w WHERE i = 30")
+@query("sigmoid_fit", f"WITH RECURSIVE {SIGMOID} SELECT CAST(g AS INTEGER) AS class, round(a, 6) AS slope, round(b, 6) AS start FROM w WHERE i = 30")
 def sigmoid_fit(spark, d):
     """A sigmoid for each of ten score columns against its class; the SQL repeats Newton's steps."""
     rows = _scored(spark, d).select("label", F.posexplode("scores").alias("group", "score"))
     flat = rows.select("group", "score", (F.col("label") == F.col("group")).alias("is_pos"))
     a, b = fit_sigmoids(staged(flat, "margins"), 10)
     found = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "class int, slope double, start double")
-    return found.select("class", F.round("slope", 3).alias("slope"), F.round("start", 3).alias("start"))
+    return found.select("class", F.round("slope", 6).alias("slope"), F.round("start", 6).alias("start"))
 
 
 @query("train_linear")
@@ -514,6 +515,15 @@ def train_rff(spark, d):
     return _rounded(jobs.score_dataset(mapped.where("split = 'test'"), model, "kernel", "label"))
 
 
+@query("kernel_machine")
+def kernel_machine(spark, d):
+    """Exact RBF machine, one against one, on the test vectors."""
+    train, test = _split_embeddings(spark, d)
+    gamma = pr.kernel_gamma(train, "embedding").first()["gamma"]
+    model = ks.fit_kernel(train, "embedding", "label", "vec_id", gamma=gamma, balanced=True)
+    return ks.predict_kernel(test, model, "embedding").select("vec_id", "label", "prediction")
+
+
 @query("calibrate")
 def calibrate(spark, d):
     """Calibrated probabilities of the test rows, with confidence and gap."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from topicweave.functions import text as tx
 from topicweave.functions.fixed_values import CODAS, NUCLEI, ONSETS, TONED_VOWELS
 from topicweave.operators import extract as ex
+from topicweave.operators import lattice as lt
 from topicweave.operators import lexicon as lx
+from topicweave.operators import sentences as se
 from topicweave.plans import jobs
 from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, query, row_work, squeeze_sql, table, words_sql
 from topicweave.session import scratch_path
@@ -156,14 +160,14 @@ def clean_chain_b(spark, d):
     return jobs.clean_articles(docs, "text", "doc_id")
 
 
-PAIRS_SQL = f"""t AS (SELECT doc_id, {words_sql("lower(text)")} AS w FROM documents),
-  u AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY word),
-  b AS (SELECT w1, w2, count(*) AS n_pair FROM (
-    SELECT x[1] AS w1, x[2] AS w2 FROM (SELECT unnest(list_zip(w, w[2:], true)) AS x FROM t)) GROUP BY w1, w2),
-  z AS (SELECT sum(len(w)) AS words, sum(greatest(len(w) - 1, 0)) AS pairs FROM t),
-  c AS (SELECT b.w1, b.w2, n_pair, a.n AS n1, e.n AS n2,
+PAIRS_SQL = f"""t AS MATERIALIZED (SELECT {words_sql("lower(text)")} AS w FROM documents),
+  u AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY word HAVING count(*) >= 5),
+  b AS MATERIALIZED (SELECT w1, w2, count(*) AS n_pair FROM (
+    SELECT x[1] AS w1, x[2] AS w2 FROM (SELECT unnest(list_zip(w, w[2:], true)) AS x FROM t)) GROUP BY w1, w2 HAVING count(*) >= 5),
+  z AS MATERIALIZED (SELECT sum(len(w)) AS words, sum(greatest(len(w) - 1, 0)) AS pairs FROM t),
+  c AS MATERIALIZED (SELECT b.w1, b.w2, n_pair, a.n AS n1, e.n AS n2,
       ln((n_pair / pairs) / ((a.n / words) * (e.n / words))) / -ln(n_pair / pairs) AS npmi
-    FROM b JOIN u a ON a.word = b.w1 JOIN u e ON e.word = b.w2, z WHERE n_pair >= 5)"""
+    FROM b JOIN u a ON a.word = b.w1 JOIN u e ON e.word = b.w2, z)"""
 
 
 def _lexicon(spark, d):
@@ -204,6 +208,88 @@ def clean_chain_segmented(spark, d):
     return jobs.clean_articles(_docs(spark, d), "text", "doc_id", lexicon)
 
 
+_OPTIONS = [f"a.b{k} + x.s{k}" for k in (1, 2, 3, 4)]
+_BEST = f"greatest({', '.join(_OPTIONS)})"
+_PATH = " ".join(f"WHEN {_OPTIONS[k - 1]} = {_BEST} THEN a.t{k} || ' ' || x.g{k}" for k in (4, 3, 2, 1))
+_FIELDS = "s1 := {0}s1, s2 := {0}s2, s3 := {0}s3, s4 := {0}s4, g1 := {0}g1, g2 := {0}g2, g3 := {0}g3, g4 := {0}g4"
+_OF_SIZE = ", ".join(f"max(CASE WHEN k = {k} THEN weight END) AS s{k}, max(CASE WHEN k = {k} THEN replace(gram, ' ', '_') END) AS g{k}" for k in (1, 2, 3, 4))
+_NO_STATE = ", ".join(f"b{k} := CAST(NULL AS BIGINT), t{k} := CAST(NULL AS VARCHAR)" for k in (1, 2, 3, 4))
+#: dynamic programming along each clause: the last four sums (b) and paths (t) are the state
+LATTICE = f"""l AS (SELECT doc_id, string_split(regexp_replace(lower(text), '([.!?…,;:])[\\s\\x0b]', '\\1' || chr(10), 'g'), chr(10)) AS l FROM documents),
+  cs AS (SELECT doc_id, x[1] AS cl, x[2] AS c FROM (SELECT doc_id, unnest(list_zip(range(len(l)), l)) AS x FROM l)),
+  w AS MATERIALIZED (SELECT doc_id, cl, {words_sql("c")} AS w FROM cs),
+  r AS MATERIALIZED (SELECT doc_id, cl, i, k, array_to_string(w[i - k + 1 : i], ' ') AS gram
+    FROM (SELECT doc_id, cl, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 5) AS t(k) WHERE i >= k),
+  n AS (SELECT gram, k, count(*) AS n FROM r GROUP BY ALL HAVING k = 1 OR count(*) >= 5),
+  v AS MATERIALIZED (SELECT gram, k, CAST(round(ln(n / (SELECT sum(n) FROM n WHERE k = 1)) * 1e6) AS BIGINT) AS weight FROM n),
+  p AS (SELECT doc_id, cl, i, {_OF_SIZE} FROM r JOIN v USING (gram, k) GROUP BY ALL),
+  f AS (SELECT doc_id, cl, list(struct_pack({_FIELDS.format("")}, {_NO_STATE}) ORDER BY i) AS f FROM p GROUP BY ALL),
+  e AS (SELECT doc_id, cl, list_reduce(list_concat([struct_pack({re.sub("s([0-9]) := s[0-9]", "s\\1 := CAST(NULL AS BIGINT)", re.sub("g([0-9]) := g[0-9]", "g\\1 := CAST(NULL AS VARCHAR)", _FIELDS.format("")))},
+      b1 := CAST(0 AS BIGINT), t1 := CAST('' AS VARCHAR), {", ".join(f"b{k} := CAST(NULL AS BIGINT), t{k} := CAST(NULL AS VARCHAR)" for k in (2, 3, 4))})], f),
+    lambda a, x: struct_pack({_FIELDS.format("x.")}, b1 := {_BEST}, t1 := CASE {_PATH} END, b2 := a.b1, t2 := a.t1, b3 := a.b2, t3 := a.t2, b4 := a.b3, t4 := a.t3)).t1 AS t FROM f)"""
+
+
+@query(
+    "segment_lattice",
+    f"""WITH {LATTICE} SELECT doc_id, coalesce(string_agg(trim(t), ' ' ORDER BY cl), '') AS text
+      FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id""",
+)
+def segment_lattice(spark, d):
+    """Phrases of up to four words joined along the best path, by the lexicon of the corpus itself."""
+    docs = _docs(spark, d).withColumn("text", F.lower("text"))
+    return lt.segment_lattice(docs, "text", "doc_id", lt.phrases(docs, "text"))
+
+
+_TYPE = r"lower(regexp_replace({0}, '\.$', ''))"
+_LL = "({k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+_CLIP = "least(greatest({0}, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE)"
+MARKS = rf"""t AS MATERIALIZED (SELECT doc_id, {words_sql("text")} AS w FROM documents),
+  k AS MATERIALIZED (SELECT doc_id, x[1] AS pos, x[2] AS token, x[3] AS next FROM (SELECT doc_id, unnest(list_zip(range(len(w)), w, list_concat(w[2:], [NULL]))) AS x FROM t)),
+  y AS MATERIALIZED (SELECT {_TYPE.format("token")} AS type, CAST(count(*) FILTER (ends_with(token, '.')) AS BIGINT) AS n_dot, CAST(count(*) FILTER (NOT ends_with(token, '.')) AS BIGINT) AS n_plain
+    FROM k WHERE regexp_matches(token, '^\p{{L}}(?:[\p{{L}}.]*\p{{L}})?\.?$') GROUP BY ALL),
+  z AS MATERIALIZED (SELECT CAST(sum(n_dot + n_plain) AS DOUBLE) AS n_all, CAST(sum(n_dot) AS DOUBLE) AS n_dots FROM y),
+  a AS MATERIALIZED (SELECT y.*, n_all, round(CASE WHEN n_dot > 0 THEN
+      -2 * ({_LL.format(k="n_dot", n="(n_dot + n_plain)", p=_CLIP.format("n_dots / n_all"))} - {_LL.format(k="n_dot", n="(n_dot + n_plain)", p="0.99::DOUBLE")})
+      * exp(-letters) * (length(type) - letters + 1) * pow(letters, -n_plain) ELSE 0 END, 6) AS score
+    FROM (SELECT *, CAST(length(replace(type, '.', '')) AS DOUBLE) AS letters FROM y) y, z),
+  g AS MATERIALIZED (SELECT {_TYPE.format("next")} AS type, CAST(count(*) AS DOUBLE) AS n_start FROM k
+    WHERE regexp_matches(token, '[.!?…]$') AND regexp_matches(next, '^\p{{L}}') AND {_TYPE.format("token")} NOT IN (SELECT type FROM a WHERE score >= 0.3) GROUP BY ALL),
+  h AS MATERIALIZED (SELECT a.type, n_dot, n_plain, score, score >= 0.3 AS is_abbreviation, coalesce(n_start, 0) AS n_start, n_all, CAST(n_dot + n_plain AS DOUBLE) AS n,
+      (SELECT sum(n_start) FROM g) AS n_ends FROM a LEFT JOIN g USING (type)),
+  i AS (SELECT *, n_all - n_ends AS rest, greatest(n - n_start, 0) AS inner_n, {_CLIP.format("n / n_all")} AS p, {_CLIP.format("n_start / n_ends")} AS p1, {_CLIP.format("greatest(n - n_start, 0) / (n_all - n_ends)")} AS p2 FROM h),
+  m AS MATERIALIZED (SELECT *, round(CASE WHEN n_start > 0 THEN 2 * ({_LL.format(k="n_start", n="n_ends", p="p1")} + {_LL.format(k="inner_n", n="rest", p="p2")}
+      - {_LL.format(k="n_start", n="n_ends", p="p")} - {_LL.format(k="inner_n", n="rest", p="p")}) ELSE 0 END, 4) AS start_score FROM i),
+  marks AS MATERIALIZED (SELECT type, n_dot, n_plain, score, is_abbreviation, CAST(n_start AS BIGINT) AS n_start, start_score, start_score >= 30 AND p1 > p AS is_starter FROM m)"""
+
+
+@query("sentence_marks", f"WITH {MARKS} SELECT * REPLACE (score + 0::DOUBLE AS score, start_score + 0::DOUBLE AS start_score) FROM marks")
+def sentence_marks(spark, d):
+    """Abbreviations and sentence starters learned from the corpus, with their counts."""
+    marks = se.learn_marks(_docs(spark, d), "text")
+    return marks.select(
+        "type", "n_dot", "n_plain", (F.col("score") + F.lit(0.0)).alias("score"), "is_abbreviation", "n_start",
+        (F.col("start_score") + F.lit(0.0)).alias("start_score"), "is_starter",
+    )
+
+
+@query(
+    "split_sentences",
+    rf"""WITH {MARKS}, s AS (SELECT doc_id, list(pos + 1 ORDER BY pos) AS cuts FROM k LEFT JOIN marks b ON b.type = {_TYPE.format("token")} AND b.is_abbreviation
+        LEFT JOIN marks c ON c.type = {_TYPE.format("next")} AND c.is_starter
+      WHERE regexp_matches(token, '[.!?…]$') AND next IS NOT NULL
+        AND (b.type IS NULL OR NOT ends_with(token, '.') OR (c.type IS NOT NULL AND regexp_matches(next, '^\p{{Lu}}'))) GROUP BY doc_id)
+      SELECT doc_id, CAST(CASE WHEN len(w) > 0 THEN coalesce(len(cuts), 0) + 1 ELSE 0 END AS INTEGER) AS n,
+        CASE WHEN len(w) > 0 THEN array_to_string(w[1 : coalesce(cuts[1], len(w))], ' ') END AS first,
+        CASE WHEN len(w) > 0 THEN array_to_string(w[coalesce(cuts[-1], 0) + 1 :], ' ') END AS last
+      FROM t LEFT JOIN s USING (doc_id)""",
+)
+def split_sentences(spark, d):
+    docs = _docs(spark, d)
+    found = se.split_sentences(docs, "text", "doc_id", se.learn_marks(docs, "text"))
+    s = F.col("sentences")
+    return found.select("doc_id", F.size(s).alias("n"), F.get(s, F.lit(0)).alias("first"), F.get(s, F.size(s) - 1).alias("last"))
+
+
 @query(
     "first_sentence",
     rf"SELECT doc_id, regexp_extract(text, '(?s)^(.*?[.!?…])[\s\x0b]', 1) AS found FROM documents",
