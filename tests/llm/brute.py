@@ -83,7 +83,7 @@ def substring_removed(texts, length=400):
 
 
 def leak_words(text):
-    apart = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ", (text or "").lower())
+    apart = regex.sub("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])", r" \1 ", (text or "").lower())
     return [w for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", apart) if w]
 
 

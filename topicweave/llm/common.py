@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,18 @@ def drop_rows(docs: DataFrame, bad: DataFrame, also: tuple[str, ...] = ()) -> Da
     return sure.unionByName(open_.join(names, same, "left_anti")).drop(key)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs inside send Arrow batches of about ``size`` bytes to Python: less memory on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_key(text: Column) -> Column:
     """A 64-bit digest of a text. Together with an id it names a row even where ids repeat."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

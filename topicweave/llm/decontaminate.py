@@ -50,13 +50,16 @@ WINDOW = 13
 MIN_SIMILARITY = 0.8
 CHUNK = 2048
 MAX_SEEDS = 2_000_000
-BREAKS = r"[^\p{L}\p{M}\p{N}]+"
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: no letter, mark or digit; the ASCII part stands first, since it decides most characters
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F[^\x00-\x7F\p{L}\p{M}\p{N}]]+"
+#: scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana and Han
+UNSPACED = r"[\x{E00}-\x{10FFFF}&&[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]]"
 
 
 def words(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(F.regexp_like(low, F.lit(UNSPACED)), F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
+    wide = (F.octet_length(low) > F.length(low)) & F.regexp_like(low, F.lit(UNSPACED))
+    apart = F.when(wide, F.regexp_replace(low, f"({UNSPACED})", " $1 ")).otherwise(low)
     return F.array_remove(F.split(apart, BREAKS), "")
 
 

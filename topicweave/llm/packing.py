@@ -30,17 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm.common import query, table
+from topicweave.llm.common import arrow_batches, query, table
 from topicweave.operators.ranking import rank_in_group
 from topicweave.session import staged
 
 MAX_TOKENS = 2048
 END_ID = 1
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 32 << 20
 #: what an entry of a table takes beside the characters of its cut
 ENTRY_BYTES = 216
 MEMO_CHARS = 64
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 20
 BATCH_BYTES = 4 << 20
 RANK_BUCKETS = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -347,7 +347,9 @@ def pack(parts: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     parts = pieces(docs, tokenizer or default_tokenizer(), with_ids)
-    return pack(staged(parts.withColumn("row_no", F.monotonically_increasing_id()), "pieces"))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        written = staged(parts.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
+    return pack(written)
 
 
 @query("op6_packing")
