@@ -9,6 +9,7 @@ from topicweave.operators import features as ft
 from topicweave.operators import linear_svm as ls
 from topicweave.operators import metrics as mt
 from topicweave.operators import kernel_svm as ks
+from topicweave.operators import neighbours as nb
 from topicweave.operators import profile as pr
 from topicweave.operators import sampling as sp
 from topicweave.operators import search as sr
@@ -397,6 +398,21 @@ def pca_2d(spark, d):
     return label_names(points, "label").select("vec_id", "label_name", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+@query("neighbour_graph")
+def neighbour_graph(spark, d):
+    """The 15 nearest vectors of every vector."""
+    edges = nb.neighbour_graph(table(spark, d, "embeddings"), "embedding", "vec_id")
+    return edges.select(F.col("src").alias("vec_id"), F.col("dst").alias("neighbour"), F.round("dist", 6).alias("dist"))
+
+
+@query("neighbour_map")
+def neighbour_map(spark, d):
+    """Every vector on a map by neighbourhood."""
+    rows = table(spark, d, "embeddings")
+    points = nb.neighbour_map(rows, "embedding", "vec_id").join(rows.select("vec_id", "label"), "vec_id")
+    return label_names(points, "label").select("vec_id", "label_name", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query(
     "prepare_features",
     f"""WITH {ARTICLES}, c AS (SELECT lang, count(*) AS n FROM articles GROUP BY lang),
