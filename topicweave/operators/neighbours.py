@@ -142,13 +142,13 @@ def _descend(edges: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 
 def neighbour_graph(
-    df: DataFrame, features: str, row_id: str, k: int = 15, trees: int = 4, leaf: int = 128, rounds: int = 3,
-    seed: int = DEFAULT_SEED, min_change: float = 0.002,
+    df: DataFrame, features: str, row_id: str, k: int = 15, trees: int = 4, leaf: int = 256, rounds: int = 2,
+    pool: int = 2, seed: int = DEFAULT_SEED, min_change: float = 0.002,
 ) -> DataFrame:
     """(src, dst, dist): the ``k`` nearest rows of every row, with squared distances; fewer only in a smaller table.
 
-    Approximate; ``trees``, ``leaf`` and ``rounds`` trade time for recall. Descent ends early once a round replaces less
-    than ``min_change`` of the edges.
+    Approximate; ``trees``, ``leaf``, ``rounds`` and ``pool`` trade time for recall: lists of ``pool`` times ``k`` rows are
+    kept until the end. Descent ends early once a round replaces less than ``min_change`` of the edges.
     """
     rows = df.where(F.col(features).isNotNull()).select(
         F.col(row_id).cast("long").alias("id"), F.col(features).cast("array<double>").alias("vec")
@@ -157,14 +157,15 @@ def neighbour_graph(
     dim = rows.agg(F.max(F.size("vec"))).first()[0]
     if dim is None:
         return df.sparkSession.createDataFrame([], EDGES)
-    edges = staged(_best(_leaf_edges(tree_leaves(rows, dim, trees, leaf, seed), rows, k), k), "edges")
+    wide = pool * k
+    edges = staged(_best(_leaf_edges(tree_leaves(rows, dim, trees, leaf, seed), rows, wide), wide), "edges")
     for _ in range(rounds):
-        better = staged(_descend(edges, rows, k), "edges")
+        better = staged(_descend(edges, rows, wide), "edges")
         new, total = better.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").count(), better.count()
         edges = better
         if new <= min_change * total:
             break
-    return edges
+    return _best(edges, k)
 
 
 def recall(graph: DataFrame, df: DataFrame, features: str, row_id: str, queries: Column, k: int = 15) -> float:
