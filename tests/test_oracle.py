@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 # training-data operators have their own tests in tests/llm
 QUERIES, SQL = dict(CATALOG), dict(ORACLE)
 # trained on the test tables: run by their own tests on small inputs, and by the benchmark
-SLOW = {"neighbour_map", "neighbour_graph", "cuckoo_search", "grid_search", "learning_curve", "calibrate", "rank_topics", "train_rff", "clean_chain_segmented"}
+SLOW = {"neighbour_map", "neighbour_graph", "cuckoo_search", "grid_search", "learning_curve", "calibrate", "rank_topics", "rank_topics_raw", "train_rff", "clean_chain_segmented"}
 
 
 @pytest.fixture(scope="module")

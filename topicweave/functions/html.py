@@ -54,3 +54,31 @@ def first_element_text(html: str, tag: str, attr: str | None, value: str | None)
     reader.feed(html)
     reader.close()
     return " ".join(" ".join(reader.pieces).split())
+
+
+class _Elements(_Reader):
+    """Collects the text of every element with the tag; one inside another counts as part of the outer one."""
+
+    def __init__(self, tag: str):
+        super().__init__(tag)
+        self.texts = []
+
+    def finish(self):
+        if self.depth is not None:
+            self.texts.append(" ".join(" ".join(self.pieces).split()))
+        self.pieces, self.depth, self.done = [], None, False
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        if self.done:
+            self.depth = 0
+            self.finish()
+
+
+def element_texts(html: str, tag: str) -> list[str]:
+    """Text of every element with this tag, in page order, an element without an end to the end of the page."""
+    reader = _Elements(tag)
+    reader.feed(html)
+    reader.close()
+    reader.finish()
+    return reader.texts

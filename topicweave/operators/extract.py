@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from topicweave.functions.html import first_element_text, page_text
+from topicweave.functions.html import element_texts, first_element_text, page_text
 from topicweave.operators.bounded import maybe_in
 from topicweave.operators.curate import enrich, from_site, todo_rows
 
@@ -52,6 +52,21 @@ def html_first(df: DataFrame, html: str, target=DESCRIPTION, out: str = "descrip
     return extract_pages(df, html, lambda page: first_element_text(page, tag, attr, value), out)
 
 
+@F.udtf(returnType="place int, text string", useArrow=True)
+class PageElements:
+    """Table function: every element of a page with a tag as a row (place from 0, text); a null page has none. Arrow carries
+    the pages; the form that takes whole Arrow columns cannot stand in a lateral join."""
+
+    def eval(self, html: str, tag: str) -> Iterator[tuple[int, str]]:
+        if html is not None and tag is not None:
+            yield from enumerate(element_texts(html, tag))
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Make ``page_elements(html, tag)`` known to SQL, for lateral joins."""
+    spark.udtf.register("page_elements", PageElements)
+
+
 def enrich_from_pages(
     articles: DataFrame,
     pages: DataFrame,

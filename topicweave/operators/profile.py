@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.operators.bounded import join_lookup
@@ -75,3 +75,28 @@ def kernel_gamma(df: DataFrame, features: str) -> DataFrame:
     mean = F.col("s1") / F.col("n")
     var = F.col("s2") / F.col("n") - mean * mean
     return sums.select(F.col("d").cast("bigint").alias("d"), var.alias("var"), (1.0 / (F.col("d") * var)).alias("gamma"))
+
+
+class StepReport:
+    """Rows and columns of the frames of a job, counted while the job runs: no scan of their own.
+
+    ``watch`` marks a frame; ``table`` lists the marked frames in order once the job is done, with the rows that are gone
+    since the frame before. Counts ride along as observations, so a stage that is run again after a lost executor may
+    count its rows twice; the data itself is not touched.
+    """
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[str, int, Observation]] = []
+
+    def watch(self, step: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        self.steps.append((step, len(df.columns), seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("n_rows"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows, before = [], None
+        for step, columns, seen in self.steps:
+            n = seen.get.get("n_rows", 0)
+            rows.append((step, n, columns, 0 if before is None else before - n))
+            before = n
+        return spark.createDataFrame(rows, "step string, n_rows long, n_columns long, removed long")

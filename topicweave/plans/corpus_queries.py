@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicweave.functions.fixed_values import LABEL_NAMES, UNKNOWN_LABEL_PREFIX
+from topicweave.functions.fixed_values import DEFAULT_SEED, LABEL_NAMES, UNKNOWN_LABEL_PREFIX
 from topicweave.functions.text import clean, is_blank, lower
 from topicweave.operators import curate as cu
 from topicweave.operators import profile as pr
 from topicweave.operators import sampling as sp
-from topicweave.operators.ranking import cut_points, position_bucket
+from topicweave.operators.groups import least, per_group
+from topicweave.operators.ranking import cut_points, position_bucket, sample_key
 from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, key_sql, query, row_work, table
 from topicweave.plans.jobs import dedup_articles
 from topicweave.session import scratch_path
@@ -166,6 +167,23 @@ def dedup_two_keys(spark, d):
     return dedup_articles(rows, "lang", "row_pos", "content", "title").select("row_pos", "lang", "title")
 
 
+@query(
+    "dedup_steps",
+    f"""WITH {ARTICLES}, a AS (SELECT *, row_number() OVER (PARTITION BY lang, content ORDER BY row_pos) AS r1 FROM articles),
+      b AS (SELECT *, row_number() OVER (PARTITION BY lang, title ORDER BY row_pos) AS r2 FROM a WHERE r1 = 1),
+      n AS (SELECT (SELECT count(*) FROM a) AS n0, (SELECT count(*) FROM b) AS n1, (SELECT count(*) FROM b WHERE r2 = 1) AS n2)
+    SELECT 'all' AS step, n0 AS n_rows, CAST(4 AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS removed FROM n
+    UNION ALL SELECT 'first of link', n1, CAST(4 AS BIGINT), n0 - n1 FROM n
+    UNION ALL SELECT 'first of title', n2, CAST(4 AS BIGINT), n1 - n2 FROM n""",
+)
+def dedup_steps(spark, d):
+    """Rows before, between and after the two passes of a de-duplication, counted by the job itself."""
+    rows = articles(spark, d).select("row_pos", "lang", "title", "content")
+    report = pr.StepReport()
+    dedup_articles(rows, "lang", "row_pos", "content", "title", report)
+    return report.table(spark)
+
+
 @query(
     "dup_report",
     "SELECT doc_id, lang FROM (SELECT *, count(*) OVER (PARTITION BY lang, text) AS n FROM documents) WHERE n > 1",
@@ -280,6 +298,13 @@ def undersample_n(spark, d):
     return sp.undersample(table(spark, d, "documents").select("doc_id", "lang"), "lang", 10, "doc_id")
 
 
+@query("undersample_hook", _sample_sql("10", "lang", "doc_id", "documents"))
+def undersample_hook(spark, d):
+    """The same sample by a function per group that streams through the groups."""
+    keyed = table(spark, d, "documents").select("doc_id", "lang", sample_key(DEFAULT_SEED, "doc_id").alias("key"))
+    return per_group(keyed.where("lang IS NOT NULL"), ["lang"], least(10, ["key", "doc_id"]), combine=True).drop("key")
+
+
 @query(
     "undersample_site_labels",
     f"""WITH s AS (SELECT page_id, {PAGE_LANG_SQL} AS lang FROM pages WHERE contains(url, 'example.com'))
@@ -528,10 +553,19 @@ def csv_ingest(spark, d):
     return cs.ingest_csv(spark, path, events.schema, target)
 
 
-@query("feature_table", "SELECT split, count(*) AS n FROM (" + _split_sql("label", "vec_id", "embeddings") + ") GROUP BY split")
+MILLIONTHS = "list_sum(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000000) AS BIGINT)))"
+
+
+@query(
+    "feature_table",
+    f"""SELECT vec_id, s.label, split, CAST({MILLIONTHS} AS BIGINT) AS vector_sum, CAST(len(embedding) AS INTEGER) AS dim
+    FROM ({_split_sql("label", "vec_id", "embeddings")}) s JOIN embeddings USING (vec_id)""",
+)
 def feature_table(spark, d):
-    """Feature table stored by split; each split is read by its own partition filter."""
+    """Feature table stored by split; each split is read by its own partition filter. Vectors are told by an exact sum."""
     path = scratch_path(spark, "features")
     write_features(sp.stratified_split(table(spark, d, "embeddings"), "label", "vec_id"), path)
-    parts = [read_features(spark, path, s).groupBy("split").agg(F.count(F.lit(1)).alias("n")) for s in ("train", "test")]
-    return parts[0].union(parts[1])
+    both = read_features(spark, path, "train").unionByName(read_features(spark, path, "test"))
+    parts = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000000))
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return both.select("vec_id", "label", "split", total.alias("vector_sum"), F.size("embedding").alias("dim"))

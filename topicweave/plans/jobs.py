@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.functions import text as tx
 from topicweave.functions.fixed_values import DEFAULT_SEED
-from topicweave.functions.vectors import ranked
+from topicweave.functions.vectors import ranked, softmax
 from topicweave.operators import features as ft
 from topicweave.operators import metrics as mt
 from topicweave.operators.calibrate import CalibratedModel, predict_proba
 from topicweave.operators.curate import article_text, keep_first, require_columns
 from topicweave.operators.extract import html_text
 from topicweave.operators.lexicon import segment_words
-from topicweave.operators.linear_svm import LinearModel, fit_linear, pack_blocks, predict
+from topicweave.operators.linear_svm import LinearModel, decision_scores, fit_linear, pack_blocks, predict
+from topicweave.operators.profile import StepReport
 from topicweave.operators.sampling import stratified_split
 from topicweave.session import staged, staging
+from topicweave.sources.models import load_model, run_summary, save_model, save_summary
 from topicweave.sources.tables import read_features, write_features
 
 
-def dedup_articles(df: DataFrame, split: str, pos: str, link: str = "link", title: str = "title") -> DataFrame:
+def dedup_articles(
+    df: DataFrame, split: str, pos: str, link: str = "link", title: str = "title", report: StepReport | None = None
+) -> DataFrame:
     """First row of each link per split, then first row of each title among those.
 
     Both passes work on narrow rows of digests, written once; the articles themselves are read once more, to pick the
-    survivors by split and position.
+    survivors by split and position. A ``report`` gets the rows before, between and after the passes; the survivors'
+    keys are then written too, so that its table is complete when this returns.
     """
+    watch = report.watch if report else lambda step, frame: frame
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    keys = staged(df.select(split, pos, digest(link).alias("_link"), digest(title).alias("_title")), "dedup-keys")
-    first = staged(keep_first(keys, "_link", pos, [split]), "dedup-links")
-    kept = keep_first(first, "_title", pos, [split]).select(F.col(split).alias("_s"), F.col(pos).alias("_p"))
+    keys = staged(watch("all", df).select(split, pos, digest(link).alias("_link"), digest(title).alias("_title")), "dedup-keys")
+    first = staged(watch("first of link", keep_first(keys, "_link", pos, [split])), "dedup-links")
+    kept = watch("first of title", keep_first(first, "_title", pos, [split])).select(F.col(split).alias("_s"), F.col(pos).alias("_p"))
+    if report:
+        kept = staged(kept, "dedup-titles")
     return df.join(kept, df[split].eqNullSafe(kept["_s"]) & (df[pos] == kept["_p"]), "left_semi")
 
 
@@ -116,12 +125,30 @@ def score_dataset(df: DataFrame, model: LinearModel, features: str, label: str)
     return report(mt.pair_counts(predict(df, model, features), label, "prediction"))
 
 
+def finish_search(
+    spark: SparkSession, model: LinearModel, test: DataFrame, features: str, label: str, path: str,
+    budget: tuple[int, int, int],
+) -> DataFrame:
+    """End of a search: the refitted model is stored, read back and scored on the test rows, and the run's summary (C, scores,
+    budget of population, generations and distinct evaluations) is stored beside it and returned."""
+    save_model(model, spark, f"{path}/model")
+    done = score_dataset(test, load_model(spark, f"{path}/model"), features, label)
+    accuracy, f1 = done.accuracy.first()["accuracy"], done.macro_f1.first()["macro_f1"]
+    save_summary(run_summary(spark, math.log10(model.c), accuracy, f1, *budget), f"{path}/summary")
+    return spark.read.json(f"{path}/summary")
+
+
 def rank_topics(
-    df: DataFrame, model: CalibratedModel, names: list[str], title: str, content: str, make_encoder=ft.HashedEncoder
+    df: DataFrame, model: CalibratedModel | LinearModel, names: list[str], title: str, content: str, make_encoder=ft.HashedEncoder
 ) -> DataFrame:
-    """From raw title and content: predicted topic name and all (name, probability) pairs, best first."""
+    """From raw title and content: predicted topic name and all (name, probability) pairs, best first. A model that is not
+    calibrated ranks by the softmax of its scores."""
     text = F.trim(tx.assemble([F.col(title), F.col(content)], " "))
-    probs = predict_proba(ft.embed(df.withColumn("_text", text), "_text", make_encoder, "_vec"), model, "_vec", "_probs")
+    rows = ft.embed(df.withColumn("_text", text), "_text", make_encoder, "_vec")
+    if isinstance(model, LinearModel):
+        probs = decision_scores(rows, model, "_vec", "_probs").withColumn("_probs", softmax(F.col("_probs")))
+    else:
+        probs = predict_proba(rows, model, "_vec", "_probs")
     labels = F.array(*[F.lit(names[k]) if k < len(names) else F.lit(str(k)) for k in model.classes])
     out = probs.withColumn("topics", ranked(F.col("_probs"), labels))
     return out.withColumn("topic", F.col("topics")[0]["label"]).drop("_text", "_vec", "_probs")

@@ -563,6 +563,16 @@ def rank_topics(spark, d):
     return listed.select("row_pos", "lang", "topic", "place", F.col("t.label").alias("listed"), F.round("t.score", 4).alias("score"))
 
 
+@query("rank_topics_raw")
+def rank_topics_raw(spark, d):
+    """The same from a model that is not calibrated: by the softmax of its scores."""
+    stored = _language_features(spark, d)
+    model = jobs.train_linear(stored.where("split = 'train'"), "features", "label", "row_pos")
+    rows = jobs.rank_topics(articles(spark, d), model, LANGS, "title", "content")
+    listed = rows.select("row_pos", "lang", "topic", F.posexplode("topics").alias("place", "t"))
+    return listed.select("row_pos", "lang", "topic", "place", F.col("t.label").alias("listed"), F.round("t.score", 4).alias("score"))
+
+
 @query("score_real")
 def score_real(spark, d):
     """A model trained on the documents, judged on the text of the web pages."""
@@ -576,18 +586,31 @@ def score_real(spark, d):
 # --- search ----------------------------------------------------------------------------------------------------------
 
 
+def _finished(spark, model, test, *budget):
+    done = jobs.finish_search(spark, model, test, "embedding", "label", scratch_path(spark, "run"), budget).first()
+    at = lambda name: F.round(F.lit(done[name]), 6).alias(name)
+    return [at("test_accuracy"), at("test_f1_macro")]
+
+
 @query("grid_search")
 def grid_search(spark, d):
-    train, _ = _split_embeddings(spark, d)
-    curve = sr.grid_search(train, "embedding", "label", "vec_id").curve
-    return curve.select(*[F.round(c, 4).alias(c) for c in ("c", "mean_score", "std_score", "lower", "upper")], "is_best")
+    """The validation curve, with the test scores of the stored model of the best C beside its row."""
+    train, test = _split_embeddings(spark, d)
+    found = sr.grid_search(train, "embedding", "label", "vec_id")
+    scores = _finished(spark, found.model, test, found.curve.count(), 1, found.curve.count())
+    curve = found.curve.select(*[F.round(c, 4).alias(c) for c in ("c", "mean_score", "std_score", "lower", "upper")], "is_best", *scores)
+    return curve.withColumns({c: F.when(F.col("is_best"), F.col(c)) for c in ("test_accuracy", "test_f1_macro")})
 
 
 @query("cuckoo_search")
 def cuckoo_search(spark, d):
-    train, _ = _split_embeddings(spark, d)
-    result, _ = sr.search_c(train, "embedding", "label", "vec_id", scratch_path(spark, "search"))
-    return result.trace.select("generation", F.round(F.col("best")[0], 6).alias("log_c"), F.round("score", 6).alias("score"))
+    """The trace of the search, with the test scores of the stored model of the C that was found."""
+    train, test = _split_embeddings(spark, d)
+    found, model = sr.search_c(train, "embedding", "label", "vec_id", scratch_path(spark, "search"))
+    scores = _finished(spark, model, test, len(found.population), found.trace.count() - 1, found.evaluations)
+    return found.trace.select(
+        "generation", F.round(F.col("best")[0], 6).alias("log_c"), F.round("score", 6).alias("score"), *scores
+    )
 
 
 @query("learning_curve")

@@ -331,6 +331,23 @@ def html_first(spark, d):
     return ex.html_first(row_work(spark, d, "pages").select("page_id", "html"), "html", ("h1", None, None))
 
 
+@query(
+    "page_elements",
+    """WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS html,
+      generate_subscripts(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), 1) - 1 AS place FROM pages)
+    SELECT page_id, CAST(place AS INTEGER) AS place, """
+    + squeeze_sql(_plain_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')"))
+    + " AS text FROM e",
+)
+def page_elements(spark, d):
+    """All list elements of all pages, by a lateral join with a table function."""
+    ex.register_table_functions(spark)
+    pages = row_work(spark, d, "pages").select("page_id", "html")
+    return spark.sql(
+        "SELECT p.page_id, e.place, e.text FROM {pages} p, LATERAL page_elements(p.html, 'li') e", pages=pages
+    )
+
+
 @query("html_first_attr", f"""SELECT page_id, {_first_sql('<div class="ad">', 'div')} AS description, CAST(NULL AS VARCHAR) AS error FROM pages""")
 def html_first_attr(spark, d):
     rows = row_work(spark, d, "pages").select("page_id", "html")
