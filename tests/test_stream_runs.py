@@ -13,8 +13,9 @@ def rows(df):
     return sorted((r["title"], r["link"], r["description"]) for r in df.collect())
 
 
+@pytest.mark.parametrize("keyed", [False, True])
 @pytest.mark.parametrize("fails", [False, True])
-def test_link_in_several_files(spark, tmp_path, monkeypatch, fails):
+def test_link_in_several_files(spark, tmp_path, monkeypatch, fails, keyed):
     pages = spark.createDataFrame([(f"u{i}", PAGE.format(i)) for i in range(4)], "url string, html string")
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     files = [[("a", "u1", 1), ("b", "u2", 1)], [("c", "u1", 1)], [("d", "u1", 1), ("f", "u3", 1)]]
@@ -23,7 +24,7 @@ def test_link_in_several_files(spark, tmp_path, monkeypatch, fails):
 
     def run():
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-        enrich.stream_enrich(stream, pages, out, state).awaitTermination()
+        enrich.stream_enrich(stream, pages, out, state, keyed_state=keyed).awaitTermination()
         return rows(spark.read.parquet(out))
 
     if fails:
@@ -44,3 +45,27 @@ def test_link_in_several_files(spark, tmp_path, monkeypatch, fails):
     # a later run sees the links of this one
     spark.createDataFrame([("g", "u1", 1), ("h", "u0", 1)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
     assert run() == sorted([*batch, ("h", "u0", "about 0")])
+
+
+def test_state_keeps_values_and_reads_no_history(spark, tmp_path, monkeypatch):
+    """Other columns come out of the state as they went in, null links are never done, and no batch reads the output."""
+    from datetime import datetime
+
+    schema = "link string, n long, d double, t timestamp, s string, a array<int>, b binary"
+    at = datetime(2024, 5, 6, 7, 8, 9, 123456)
+    rows = [("u1", 2**60 + 1, 0.1, at, 'q"\n', [1, None], b"\x00\xff"), (None, None, None, None, None, None, None), ("u2", -1, 1e300, at, "", [], b"")]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    pages = spark.createDataFrame([("u1", PAGE.format(1))], "url string, html string")
+    monkeypatch.setattr(enrich, "finished_links", lambda *a: pytest.fail("history was read"))
+    provider = spark.conf.get(enrich.PROVIDER)
+    for want in (3, 4):  # the second run adds the row without link only
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        enrich.stream_enrich(stream, pages, out, state, keyed_state=True).awaitTermination()
+        got = spark.read.parquet(out)
+        assert got.count() == want and spark.conf.get(enrich.PROVIDER) == provider
+    one = {r.link: r for r in got.collect()}
+    for row in rows:
+        r = one[row[0]]
+        assert (r.n, r.d, r.t, r.s, r.a, r.b and bytes(r.b)) == (*row[1:6], row[6] or r.b)
+    assert one["u1"].description == "about 1"

@@ -385,18 +385,28 @@ def enrich_resume(spark, d):
     return ex.enrich_from_pages(links, pages, done, "example", target=("h1", None, None))
 
 
-@query(
-    "stream_enrich",
-    f"SELECT url AS link, page_id AS label, {ENRICHED} AS description, CAST(NULL AS VARCHAR) AS error FROM pages WHERE contains(url, 'example')",
-)
-def stream_enrich_query(spark, d):
-    """The same as a stream over the page files, run to completion, then read from its output."""
+STREAM_SQL = f"SELECT url AS link, page_id AS label, {ENRICHED} AS description, CAST(NULL AS VARCHAR) AS error FROM pages WHERE contains(url, 'example')"
+
+
+def _stream(spark, d, **form):
     schema = table(spark, d, "pages").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").option("maxFilesPerTrigger", 1)
     articles_ = source.parquet(d).select(F.col("url").alias("link"), F.col("page_id").alias("label"))
     out = scratch_path(spark, "stream")
     run = stream_enrich(
-        articles_, table(spark, d, "pages"), out, scratch_path(spark, "stream-checkpoint"), "example", ("h1", None, None)
+        articles_, table(spark, d, "pages"), out, scratch_path(spark, "stream-checkpoint"), "example", ("h1", None, None), **form
     )
     run.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
+
+
+@query("stream_enrich", STREAM_SQL)
+def stream_enrich_query(spark, d):
+    """The same as a stream over the page files, run to completion, then read from its output."""
+    return _stream(spark, d)
+
+
+@query("stream_enrich_state", STREAM_SQL)
+def stream_enrich_state(spark, d):
+    """The stream with its done links as a state by link."""
+    return _stream(spark, d, keyed_state=True)
