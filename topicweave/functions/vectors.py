@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def list_array(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow list column over one flat buffer."""
+    n, d = rows.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * d, rows.ravel())
+
+
+def matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    """An Arrow column of ``dim`` numbers a row as a matrix of doubles; a missing or shorter row is an error."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), dim)
+
+
 def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from topicweave.functions.fixed_values import CALIBRATION_C, N_FOLDS
+from topicweave.functions.vectors import list_array, matrix
 from topicweave.operators.linear_svm import EVALUATE, TRAIN, LinearModel, fit_linear, pack_blocks
 from topicweave.operators.sampling import stratified_blocks
 from topicweave.session import staged, staging
@@ -38,18 +39,15 @@ def held_out_scores(df: DataFrame, models: list[LinearModel], features: str, fol
     """Scores of each row under the model that did not see its fold."""
     weights = np.stack([m.weights for m in models])
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for vecs, folds in batches:
-            if len(vecs) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            x, f = np.stack(vecs.to_numpy()).astype(np.float64), folds.to_numpy()
+            x, f = matrix(vecs, weights.shape[2] - 1), folds.to_numpy(zero_copy_only=False)
             out = np.empty((len(x), weights.shape[1]))
             for i in range(len(weights)):
                 out[f == i] = x[f == i] @ weights[i, :, :-1].T + weights[i, :, -1]
-            yield pd.Series(list(out), dtype=object)
+            yield list_array(out)
 
-    score = F.pandas_udf(run, ArrayType(DoubleType()))
+    score = F.arrow_udf(run, ArrayType(DoubleType()))
     return df.withColumn("scores", score(F.col(features), F.col(fold)))
 
 
@@ -165,7 +163,7 @@ def newton(n: np.ndarray, sums, max_steps: int, tol: float):
 
 
 def fit_calibrated(
-    df: DataFrame, features: str, label: str, pos: str, c: float = CALIBRATION_C, folds: int = N_FOLDS
+    df: DataFrame, features: str, label: str, pos: str, c: float = CALIBRATION_C, folds: int = N_FOLDS, tol: float = 1e-4
 ) -> CalibratedModel:
     """Train on all but one fold, fit the sigmoids on the held-out fold, for every fold. All folds train together."""
     with staging(df.sparkSession):
@@ -173,7 +171,7 @@ def fit_calibrated(
         roles = [F.when(F.col("fold") == i, EVALUATE).otherwise(TRAIN) for i in range(folds)]
         blocks = pack_blocks(folded, features, label, pos, roles)
         try:
-            fitted = fit_linear(blocks, [c])
+            fitted = fit_linear(blocks, [c], tol=tol)
         finally:
             blocks.close()
         models, k = [fitted[i, 0] for i in range(folds)], len(blocks.classes)
@@ -193,12 +191,9 @@ def predict_proba(df: DataFrame, model: CalibratedModel, features: str, out: str
     weights = np.stack([m.weights for m in model.models])
     slope, offset = model.slope, model.offset
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vecs in batches:
-            if len(vecs) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            x = np.stack(vecs.to_numpy()).astype(np.float64)
+            x = matrix(vecs, weights.shape[2] - 1)
             total = np.zeros((len(x), weights.shape[1]))
             for w, a, b in zip(weights, slope, offset):
                 z = np.clip(a * (x @ w[:, :-1].T + w[:, -1]) + b, -700, 700)
@@ -207,7 +202,7 @@ def predict_proba(df: DataFrame, model: CalibratedModel, features: str, out: str
                     p[:, 0] = 1.0 - p[:, 1]
                 norm = p.sum(axis=1, keepdims=True)
                 total += np.where(norm > 0, p / np.where(norm > 0, norm, 1.0), 1.0 / p.shape[1])
-            yield pd.Series(list(total / len(weights)), dtype=object)
+            yield list_array(total / len(weights))
 
-    prob = F.pandas_udf(run, ArrayType(DoubleType()))
+    prob = F.arrow_udf(run, ArrayType(DoubleType()))
     return df.withColumn(out, prob(F.col(features)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from topicweave.functions.fixed_values import DEFAULT_SEED
+from topicweave.functions.vectors import list_array
 from topicweave.operators.profile import kernel_gamma
 from topicweave.operators.sampling import sample_rows
 
 Encoder = Callable[[list], np.ndarray]
+RUN_CHARS = 1 << 20
 
 
 class HashedEncoder:
@@ -41,13 +44,19 @@ class HashedEncoder:
         return at
 
     def __call__(self, texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            tokens = (text or "").split()[: self.max_tokens]
-            if tokens:
-                slots, signs = zip(*map(self._place, tokens))
-                out[i] = np.bincount(slots, signs, self.dim) / len(tokens)
-        return out
+        # texts go in runs of about RUN_CHARS characters, so that the words held at once do not grow with the batch
+        run = np.cumsum([len(t or "") for t in texts], dtype=np.int64) // RUN_CHARS
+        at = [0, *(np.flatnonzero(np.diff(run)) + 1), len(texts)]
+        return np.concatenate([self._encode(texts[i:j]) for i, j in zip(at, at[1:])])
+
+    def _encode(self, texts: list) -> np.ndarray:
+        words = [(text or "").split()[: self.max_tokens] for text in texts]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        code, distinct = pd.factorize(np.array([*chain.from_iterable(words)], dtype=object))
+        places = np.array([self._place(w) for w in distinct], dtype=np.float64).reshape(-1, 2)[code]
+        cell = np.repeat(np.arange(len(texts)) * self.dim, sizes) + places[:, 0].astype(np.int64)
+        sums = np.bincount(cell, places[:, 1], len(texts) * self.dim).reshape(len(texts), self.dim)
+        return sums / np.maximum(sizes, 1)[:, None]
 
 
 def embed(
@@ -63,19 +72,19 @@ def embed(
     Any callable ``list of texts -> (n, d) array`` can be plugged in through ``make_encoder``.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = make_encoder()
         for texts in batches:
-            parts = [encoder(texts.iloc[i : i + batch_size].tolist()) for i in range(0, len(texts), batch_size)]
-            rows = []
-            for vecs in parts:
+            parts = []
+            for i in range(0, len(texts), batch_size):
+                vecs = encoder(texts.slice(i, batch_size).to_pylist())
                 if l2norm:
                     norms = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
                     vecs = vecs / np.where(norms > 0, norms, 1.0)
-                rows.extend(vecs.astype(np.float32))
-            yield pd.Series(rows, dtype=object)
+                parts.append(vecs.astype(np.float32))
+            yield list_array(np.concatenate(parts) if parts else np.zeros((0, 1), np.float32))
 
-    encode = F.pandas_udf(run, ArrayType(FloatType()))
+    encode = F.arrow_udf(run, ArrayType(FloatType()))
     return df.withColumn(out, encode(F.col(text)))
 
 
@@ -117,10 +126,11 @@ def project_2d(
     df: DataFrame, features: str, row_id: str, max_points: int | None = None, seed: int = DEFAULT_SEED
 ) -> DataFrame:
     """Two-dimensional map: principal axes fitted on all rows, coordinates for all rows or, with ``max_points``, for a
-    random sample of that many."""
+    random sample of that many. Of the two directions of an axis, the one whose largest entry is positive is taken."""
     with_vec = df.withColumn("_vec", array_to_vector(F.col(features).cast("array<double>")))
     model = PCA(k=2, inputCol="_vec", outputCol="_xy").fit(with_vec)
-    xy = vector_to_array("_xy")
+    sign = [1.0 if axis[np.abs(axis).argmax()] > 0 else -1.0 for axis in model.pc.toArray().T]
+    xy = [vector_to_array("_xy")[i] * s for i, s in enumerate(sign)]
     points = model.transform(with_vec if max_points is None else sample_rows(with_vec, max_points, row_id, seed))
     return points.withColumns({"x": xy[0], "y": xy[1]}).drop("_vec", "_xy", features)
 

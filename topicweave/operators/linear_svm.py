@@ -19,16 +19,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from topicweave.functions.fixed_values import DEFAULT_SEED
+from topicweave.functions.vectors import list_array, matrix
 from topicweave.operators.metrics import macro_f1, pair_counts
 from topicweave.session import staged
 
@@ -344,24 +342,23 @@ def decision_scores(df: DataFrame, model: LinearModel, features: str, out: str =
     """One score per class, in the order of ``model.classes``. A narrow Arrow stage; the weights travel with it."""
     weights = model.weights
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for vecs in batches:
-            if len(vecs) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            x = np.stack(vecs.to_numpy()).astype(np.float64)
-            yield pd.Series(list(x @ weights[:, :-1].T + weights[:, -1]), dtype=object)
+            yield list_array(matrix(vecs, weights.shape[1] - 1) @ weights[:, :-1].T + weights[:, -1])
 
-    score = F.pandas_udf(run, ArrayType(DoubleType()))
+    score = F.arrow_udf(run, ArrayType(DoubleType()))
     return df.withColumn(out, score(F.col(features)))
 
 
-def predict(df: DataFrame, model: LinearModel, features: str, out: str = "prediction") -> DataFrame:
-    """Class with the highest score; the lower class wins a tie."""
-    scored = decision_scores(df, model, features, "_scores")
+def predict(
+    df: DataFrame, model: LinearModel, features: str, out: str = "prediction", scores: str | None = None
+) -> DataFrame:
+    """Class with the highest score; the lower class wins a tie. ``scores`` keeps the scores in a column of that name."""
+    at = scores or "_scores"
     classes = F.array(*[F.lit(c) for c in model.classes])
-    best = F.array_position("_scores", F.array_max("_scores")) - 1
-    return scored.withColumn(out, F.get(classes, best.cast("int"))).drop("_scores")
+    best = F.array_position(at, F.array_max(at)) - 1
+    rows = decision_scores(df, model, features, at).withColumn(out, F.get(classes, best.cast("int")))
+    return rows if scores else rows.drop(at)
 
 
 def subset_scores(blocks: Blocks, models: dict[tuple[int, int], LinearModel]) -> DataFrame:
@@ -404,14 +401,3 @@ def subset_scores(blocks: Blocks, models: dict[tuple[int, int], LinearModel]) ->
 def evaluate_model(df: DataFrame, model: LinearModel, features: str, label: str) -> DataFrame:
     """(truth, prediction, n) counts of a model on a labelled table; input of the metrics."""
     return pair_counts(predict(df, model, features), label, "prediction")
-
-
-def fit_spark_ml(
-    df: DataFrame, features: str, label: str, c: float = 1.0, max_iter: int = 30, seed: int = DEFAULT_SEED
-) -> DataFrame:
-    """The stock Spark ML alternative: one-vs-rest over ``LinearSVC``. Plain hinge loss and one fit per class, hence
-    slower and not equal to ``fit_linear``. Returns the fitted model's predictions on ``df``."""
-    weighted = df.withColumn("_vec", array_to_vector(F.col(features).cast("array<double>")))
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(df.count(), 1)), standardization=False)
-    rest = OneVsRest(classifier=svc, featuresCol="_vec", labelCol=label, predictionCol="prediction")
-    return rest.fit(weighted).transform(weighted).drop("_vec")

@@ -58,9 +58,11 @@ def pack_folds(
     return pack_blocks(folded, features, label, row_id, fold_roles(folds) + ([F.lit(TRAIN)] if with_full else []))
 
 
-def cross_validate(blocks: Blocks, c_values: Sequence[float], folds: int = N_FOLDS, subsets: Sequence[int] | None = None):
+def cross_validate(
+    blocks: Blocks, c_values: Sequence[float], folds: int = N_FOLDS, subsets: Sequence[int] | None = None, tol: float = 1e-4
+):
     """All (C, fold) models in one batch. Returns the models and the table (subset, c, role, macro_f1)."""
-    models = fit_linear(blocks, c_values, subsets=subsets)
+    models = fit_linear(blocks, c_values, subsets=subsets, tol=tol)
     return models, subset_scores(blocks, models)
 
 
@@ -88,7 +90,7 @@ def validation_curve(cv: DataFrame) -> DataFrame:
 
 def grid_search(
     df: DataFrame, features: str, label: str, row_id: str, c_values: Sequence[float] | None = None,
-    folds: int = N_FOLDS, seed: int = DEFAULT_SEED,
+    folds: int = N_FOLDS, seed: int = DEFAULT_SEED, tol: float = 1e-4,
 ) -> GridResult:
     """Cross-validated macro F1 of every C, and the model of the best C trained on all rows.
 
@@ -98,7 +100,7 @@ def grid_search(
     with staging(df.sparkSession):
         blocks = pack_folds(df, features, label, row_id, folds, seed, with_full=True)
         try:
-            models, table = cross_validate(blocks, c_values, folds)
+            models, table = cross_validate(blocks, c_values, folds, tol=tol)
             local = table.where(F.col("subset") < folds).toArrow()  # candidates x folds x 2 rows
         finally:
             blocks.close()
@@ -115,7 +117,7 @@ def grid_search(
 
 def learning_curve(
     df: DataFrame, features: str, label: str, pos: str, fractions: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0),
-    c: float = 1.0, folds: int = N_FOLDS,
+    c: float = 1.0, folds: int = N_FOLDS, tol: float = 1e-4,
 ) -> DataFrame:
     """Train and held-out macro F1 (mean, standard deviation over folds) for growing prefixes of the training rows.
 
@@ -143,7 +145,7 @@ def learning_curve(
         blocks = pack_blocks(folded, features, label, pos, roles)
         try:
             able = [s for s in range(len(roles)) if (blocks.counts[s] > 0).sum() > 1]
-            table = subset_scores(blocks, fit_linear(blocks, [c], subsets=able))
+            table = subset_scores(blocks, fit_linear(blocks, [c], subsets=able, tol=tol))
             local = table.toArrow()
         finally:
             blocks.close()
@@ -162,7 +164,7 @@ def learning_curve(
 
 def score_candidates(
     spark: SparkSession, blocks: Blocks, log_cs: Sequence[float], cache_path: str, folds: int = N_FOLDS,
-    model: str = "linear_svc", metric: str = "f1_macro",
+    model: str = "linear_svc", metric: str = "f1_macro", tol: float = 1e-4,
 ) -> dict[float, float]:
     """Mean held-out macro F1 for each log10 C. Values known to the cache table (by log10 C to six places) are looked
     up; all others are trained in one batch and appended to it."""
@@ -177,7 +179,7 @@ def score_candidates(
     todo = [float(r["log_c"]) for r in missing.collect()]
     if todo:
         cs = [10.0 ** first[k] for k in todo]
-        _, table = cross_validate(blocks, cs, folds, range(folds))
+        _, table = cross_validate(blocks, cs, folds, range(folds), tol)
         held = table.where((F.col("role") == EVALUATE) & (F.col("subset") < folds))
         means = {r["c"]: r["s"] for r in held.groupBy("c").agg(F.avg("macro_f1").alias("s")).collect()}
         new = [(model, metric, f"{k:.{KEY_PLACES}f}", means[c]) for k, c in zip(todo, cs)]

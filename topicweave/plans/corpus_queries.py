@@ -375,7 +375,7 @@ def partitioned_sink(spark, d):
     return sp.part_manifest(spark.read.parquet(path), "part", "doc_id")
 
 
-def _split_sql(label: str, row_id: str, source: str) -> str:
+def split_sql(label: str, row_id: str, source: str) -> str:
     return f"""WITH c AS (SELECT {label}, count(*) AS n FROM {source} GROUP BY {label}),
       t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(0.2 * sum(n)) AS BIGINT) AS n_test FROM c),
       q AS (SELECT {label}, n * n_test // total AS fl, n * n_test % total AS rem, n_test FROM c, t),
@@ -386,17 +386,17 @@ def _split_sql(label: str, row_id: str, source: str) -> str:
     SELECT {row_id}, {label}, CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN k USING ({label})"""
 
 
-@query("stratified_split", _split_sql("label", "vec_id", "embeddings"))
+@query("stratified_split", split_sql("label", "vec_id", "embeddings"))
 def stratified_split(spark, d):
     return sp.stratified_split(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id")
 
 
-@query("stratified_split_docs", _split_sql("source", "doc_id", "documents"))
+@query("stratified_split_docs", split_sql("source", "doc_id", "documents"))
 def stratified_split_docs(spark, d):
     return sp.stratified_split(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
 
 
-def _folds_sql(offset_order: str, rank_order: str) -> str:
+def folds_sql(offset_order: str, rank_order: str) -> str:
     return f"""c AS (SELECT label, count(*) AS n, min(vec_id) AS f0 FROM embeddings GROUP BY label),
       o AS (SELECT label, n, coalesce(sum(n) OVER (ORDER BY {offset_order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         0) AS o FROM c),
@@ -407,10 +407,10 @@ def _folds_sql(offset_order: str, rank_order: str) -> str:
         FROM r JOIN u USING (label) GROUP BY vec_id, label)"""
 
 
-BLOCK_FOLDS = _folds_sql("f0", "vec_id")
+BLOCK_FOLDS = folds_sql("f0", "vec_id")
 
 
-@query("kfold_shuffled", f"WITH {_folds_sql('label', key_sql('vec_id') + ', vec_id')} SELECT * FROM folds")
+@query("kfold_shuffled", f"WITH {folds_sql('label', key_sql('vec_id') + ', vec_id')} SELECT * FROM folds")
 def kfold_shuffled(spark, d):
     return sp.stratified_folds(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id")
 
@@ -553,19 +553,23 @@ def csv_ingest(spark, d):
     return cs.ingest_csv(spark, path, events.schema, target)
 
 
+def millionths(vec: str):
+    """Exact sum of the entries of a vector, each cut to whole millionths."""
+    parts = F.transform(vec, lambda v: F.floor(v.cast("double") * 1000000))
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
 MILLIONTHS = "list_sum(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000000) AS BIGINT)))"
 
 
 @query(
     "feature_table",
     f"""SELECT vec_id, s.label, split, CAST({MILLIONTHS} AS BIGINT) AS vector_sum, CAST(len(embedding) AS INTEGER) AS dim
-    FROM ({_split_sql("label", "vec_id", "embeddings")}) s JOIN embeddings USING (vec_id)""",
+    FROM ({split_sql("label", "vec_id", "embeddings")}) s JOIN embeddings USING (vec_id)""",
 )
 def feature_table(spark, d):
     """Feature table stored by split; each split is read by its own partition filter. Vectors are told by an exact sum."""
     path = scratch_path(spark, "features")
     write_features(sp.stratified_split(table(spark, d, "embeddings"), "label", "vec_id"), path)
     both = read_features(spark, path, "train").unionByName(read_features(spark, path, "test"))
-    parts = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000000))
-    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return both.select("vec_id", "label", "split", total.alias("vector_sum"), F.size("embedding").alias("dim"))
+    return both.select("vec_id", "label", "split", millionths("embedding").alias("vector_sum"), F.size("embedding").alias("dim"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicweave.functions import vectors as vx
+from topicweave.functions.fixed_values import CALIBRATION_C, LABEL_NAMES, UNKNOWN_LABEL_PREFIX
 from topicweave.operators import features as ft
 from topicweave.operators import linear_svm as ls
 from topicweave.operators import metrics as mt
@@ -17,9 +18,11 @@ from topicweave.operators.calibrate import fit_calibrated, fit_sigmoids, predict
 from topicweave.operators.curate import label_names
 from topicweave.operators.extract import html_text
 from topicweave.plans import jobs
-from topicweave.plans.catalog import ARTICLES, articles, query, row_work, table, words_sql
-from topicweave.plans.corpus_queries import BLOCK_FOLDS, LANGS, page_lang
+from topicweave.plans.catalog import ARTICLES, articles, key_sql, query, row_work, table, words_sql
+from topicweave.plans.corpus_queries import BLOCK_FOLDS, LANGS, folds_sql, millionths, page_lang, split_sql
 from topicweave.session import scratch_path, staged
+from topicweave.sources import models as store
+from topicweave.sources.tables import read_features, write_features
 
 TEN = list(range(10))
 
@@ -392,7 +395,34 @@ def features_missing(spark, d):
     return out.join(labelled, "doc_id", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 
 
-@query("pca_2d")
+def _axis_sql(name: str, start: str) -> str:
+    """Leading axis of a symmetric matrix (i, j, c): its 2^20th power by repeated squaring, scaled to trace one."""
+    return f"""{name}q AS (SELECT 0 AS s, i, j, c / (SELECT sum(c) FROM {start} WHERE i = j) AS c FROM {start}
+    UNION ALL
+    SELECT s + 1, i, j, c / sum(CASE WHEN i = j THEN c ELSE 0 END) OVER () FROM (
+      SELECT l.s, l.i, r.j, sum(l.c * r.c) AS c FROM {name}q l JOIN {name}q r ON l.j = r.i WHERE l.s < 20 GROUP BY l.s, l.i, r.j)),
+  {name}r AS (SELECT j AS i, c FROM {name}q WHERE s = 20 AND i = (SELECT arg_max(i, c) FROM {name}q WHERE s = 20 AND i = j)),
+  {name} AS (SELECT i, c / (SELECT sqrt(sum(c * c)) * sign(arg_max(c, abs(c))) FROM {name}r) AS p FROM {name}r)"""
+
+
+AXES = f"""e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  mu AS (SELECT i, avg(v) AS mu, count(*) AS n FROM e GROUP BY i),
+  d AS (SELECT vec_id, i, v - mu AS v, n FROM e JOIN mu USING (i)),
+  cov AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (a.n - 1) AS c FROM d a JOIN d b USING (vec_id) GROUP BY a.i, b.i, a.n),
+  {_axis_sql("first", "cov")},
+  top AS (SELECT sum(a.p * c * b.p) AS l FROM cov JOIN first a ON a.i = cov.i JOIN first b ON b.i = cov.j),
+  rest AS (SELECT cov.i, cov.j, c - l * a.p * b.p AS c FROM cov JOIN first a ON a.i = cov.i JOIN first b ON b.i = cov.j, top),
+  {_axis_sql("second", "rest")}"""
+
+
+@query(
+    "pca_2d",
+    f"""WITH RECURSIVE {AXES}
+    SELECT vec_id, label_name, round(x, 4) AS x, round(y, 4) AS y FROM (
+      SELECT vec_id, sum(v * f.p) AS x, sum(v * s.p) AS y FROM e JOIN first f USING (i) JOIN second s USING (i) GROUP BY vec_id)
+    JOIN (SELECT vec_id, coalesce(name, '{UNKNOWN_LABEL_PREFIX}' || label) AS label_name FROM embeddings
+      LEFT JOIN (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(LABEL_NAMES))}) v(code, name) ON label = code) USING (vec_id)""",
+)
 def pca_2d(spark, d):
     points = ft.project_2d(table(spark, d, "embeddings"), "embedding", "vec_id")
     return label_names(points, "label").select("vec_id", "label_name", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
@@ -413,21 +443,40 @@ def neighbour_map(spark, d):
     return label_names(points, "label").select("vec_id", "label_name", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+PREPARED = f"""{ARTICLES},
+  lab AS (SELECT row_pos, code AS label, title || ' </s> ' || coalesce(content, '') AS joined
+    FROM articles JOIN (VALUES ('en', 0), ('fr', 1), ('de', 2), ('es', 3)) v(lang, code) USING (lang)),
+  w AS (SELECT row_pos, unnest({words_sql("joined")}) AS word FROM lab),
+  h AS (SELECT row_pos, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS dim,
+    CASE WHEN CAST('0x' || substr(md5(word), 9, 1) AS BIGINT) < 8 THEN 1 ELSE -1 END AS sign FROM w),
+  t AS (SELECT row_pos, dim, sum(sign) AS s FROM h GROUP BY row_pos, dim),
+  u AS (SELECT row_pos, s / sqrt(sum(s * s) OVER (PARTITION BY row_pos)) AS value FROM t WHERE s <> 0),
+  vec AS (SELECT row_pos, CAST(sum(CAST(floor(CAST(CAST(value AS FLOAT) AS DOUBLE) * 1000000) AS BIGINT)) AS BIGINT) AS vector_sum
+    FROM u GROUP BY row_pos)"""
+
+
+def _prepared(stored):
+    return stored.select("row_pos", "label", "split", millionths("features").alias("vector_sum"))
+
+
 @query(
     "prepare_features",
-    f"""WITH {ARTICLES}, c AS (SELECT lang, count(*) AS n FROM articles GROUP BY lang),
-      t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(0.2 * sum(n)) AS BIGINT) AS n_test FROM c),
-      q AS (SELECT lang, n, n * n_test // total AS fl, n * n_test % total AS rem, n_test FROM c, t),
-      k AS (SELECT lang, n, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, code) <= n_test - sum(fl) OVER ()
-        THEN 1 ELSE 0 END AS quota, code FROM q JOIN (VALUES ('en', 0), ('fr', 1), ('de', 2), ('es', 3)) v(lang, code) USING (lang))
-    SELECT 'test' AS split, code AS label, CAST(quota AS BIGINT) AS n FROM k
-    UNION ALL SELECT 'train', code, CAST(n - quota AS BIGINT) FROM k""",
+    f"""WITH {PREPARED}, s AS ({split_sql("label", "row_pos", "lab")})
+    SELECT row_pos, label, split, coalesce(vector_sum, 0) AS vector_sum FROM s LEFT JOIN vec USING (row_pos)""",
 )
 def prepare_features(spark, d):
-    """Assemble, split by class, encode and store; counted per split and class."""
+    """Assemble, split by class, encode and store; then every stored row with an exact sum of its vector."""
+    return _prepared(jobs.prepare_features(_language_articles(spark, d), scratch_path(spark, "features"), "row_pos"))
+
+
+@query(
+    "prepare_unsplit",
+    f"""WITH {PREPARED} SELECT row_pos, label, 'all' AS split, coalesce(vector_sum, 0) AS vector_sum FROM lab LEFT JOIN vec USING (row_pos)""",
+)
+def prepare_unsplit(spark, d):
+    """The same without a split, as one feature table."""
     rows = _language_articles(spark, d)
-    stored = jobs.prepare_features(rows, scratch_path(spark, "features"), "row_pos")
-    return stored.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return _prepared(jobs.prepare_features(rows, scratch_path(spark, "features"), "row_pos", test_size=None))
 
 
 # --- training --------------------------------------------------------------------------------------------------------
@@ -453,19 +502,48 @@ def _split_embeddings(spark, d):
     return both.where("split = 'train'"), both.where("split = 'test'")
 
 
-TWO_D = """x AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
-  n AS (SELECT label AS k, (SELECT count(*) FROM x) * 1.0 / ((SELECT count(DISTINCT label) FROM x) * count(*)) AS cw FROM x GROUP BY label),
-  p AS (SELECT k, a, b, CASE WHEN label = k THEN 1.0 ELSE -1.0 END AS y, CASE WHEN label = k THEN cw ELSE 1.0 END AS c FROM x, n),
-  w AS (SELECT 0 AS i, k, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS z FROM n
+def newton_sql(rows: str) -> str:
+    """Weights of balanced one-vs-rest problems on two features by 50 Newton steps, as w (i, m, k, u, v, z). ``rows`` selects
+    the training rows of each problem set: m, label, a, b, cost."""
+    return f"""tr AS ({rows}),
+  n AS (SELECT m, label AS k, sum(count(*)) OVER (PARTITION BY m) * 1.0 / (count(*) OVER (PARTITION BY m) * count(*)) AS cw FROM tr GROUP BY m, label),
+  p AS (SELECT m, k, a, b, CASE WHEN label = k THEN 1.0 ELSE -1.0 END AS y, cost * CASE WHEN label = k THEN cw ELSE 1.0 END AS c FROM tr JOIN n USING (m)),
+  w AS (SELECT 0 AS i, m, k, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS z FROM n
     UNION ALL
-    SELECT i + 1, k, (t1 * (q * r - s * s) - t2 * (e * r - s * f) + t3 * (e * s - q * f)) / det,
-      (m * (t2 * r - s * t3) - t1 * (e * r - s * f) + f * (e * t3 - t2 * f)) / det,
-      (m * (q * t3 - t2 * s) - e * (e * t3 - t2 * f) + t1 * (e * s - q * f)) / det
-    FROM (SELECT *, m * (q * r - s * s) - e * (e * r - s * f) + f * (e * s - q * f) AS det FROM (
-      SELECT i, k, 1 + 2 * sum(o * a * a) AS m, 2 * sum(o * a * b) AS e, 2 * sum(o * a) AS f, 1 + 2 * sum(o * b * b) AS q,
+    SELECT i + 1, m, k, (t1 * (q * r - s * s) - t2 * (e * r - s * f) + t3 * (e * s - q * f)) / det,
+      (h * (t2 * r - s * t3) - t1 * (e * r - s * f) + f * (e * t3 - t2 * f)) / det,
+      (h * (q * t3 - t2 * s) - e * (e * t3 - t2 * f) + t1 * (e * s - q * f)) / det
+    FROM (SELECT *, h * (q * r - s * s) - e * (e * r - s * f) + f * (e * s - q * f) AS det FROM (
+      SELECT i, m, k, 1 + 2 * sum(o * a * a) AS h, 2 * sum(o * a * b) AS e, 2 * sum(o * a) AS f, 1 + 2 * sum(o * b * b) AS q,
         2 * sum(o * b) AS s, 1 + 2 * sum(o) AS r, 2 * sum(o * y * a) AS t1, 2 * sum(o * y * b) AS t2, 2 * sum(o * y) AS t3
-      FROM (SELECT i, k, a, b, y, CASE WHEN y * (u * a + v * b + z) < 1 THEN c ELSE 0 END AS o FROM w JOIN p USING (k) WHERE i < 50)
-      GROUP BY i, k)))"""
+      FROM (SELECT i, m, k, a, b, y, CASE WHEN y * (u * a + v * b + z) < 1 THEN c ELSE 0 END AS o FROM w JOIN p USING (m, k) WHERE i < 50)
+      GROUP BY i, m, k)))"""
+
+
+POINTS = "x AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)"
+TWO_D = f"{POINTS}, {newton_sql('SELECT 0 AS m, label, a, b, 1.0 AS cost FROM x')}"
+TIGHT = 1e-10
+
+
+def scored_sql(rows: str) -> str:
+    """Macro F1 (m, role, f1) of the models of ``newton_sql`` on ``rows``: m, role, vec_id, label, a, b."""
+    return f"""ev AS ({rows}),
+  g AS (SELECT m, role, label, arg_max(k, u * a + v * b + z) AS guess FROM ev JOIN w USING (m) WHERE i = 50 GROUP BY m, role, vec_id, label),
+  cell AS (SELECT m, role, label AS cls, CASE WHEN label = guess THEN 2 ELSE 0 END AS hit FROM g UNION ALL SELECT m, role, guess, 0 FROM g),
+  f1 AS (SELECT m, role, cls, CAST(sum(hit) AS DOUBLE) / count(*) AS f FROM cell GROUP BY m, role, cls),
+  macro AS (SELECT m, role, avg(f) AS f1 FROM f1 GROUP BY m, role)"""
+
+
+def _points(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 2).alias("pair"))
+
+
+def _fit_points(rows, **how):
+    blocks = ls.pack_blocks(rows, "pair", "label", "vec_id")
+    try:
+        return ls.fit_linear(blocks, [1.0], tol=TIGHT, **how)[0, 0]
+    finally:
+        blocks.close()
 
 
 @query(
@@ -474,16 +552,55 @@ TWO_D = """x AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding
 )
 def train_linear_2d(spark, d):
     """Balanced one-vs-rest weights on two features; the SQL solves the same problem by Newton's method."""
-    pair = F.slice("embedding", 1, 2).alias("pair")
-    blocks = ls.pack_blocks(table(spark, d, "embeddings").select("vec_id", "label", pair), "pair", "label", "vec_id")
-    try:
-        model = ls.fit_linear(blocks, [1.0], tol=1e-10)[0, 0]
-    finally:
-        blocks.close()
+    model = _fit_points(_points(spark, d))
     at = lambda c: F.round(c, 4)
     return model.table(spark).select("label", at(F.col("coef")[0]).alias("w1"), at(F.col("coef")[1]).alias("w2"), at(F.col("intercept")).alias("intercept"))
 
 
+HELD_OUT = f"""{POINTS}, sp AS ({split_sql("label", "vec_id", "embeddings")}),
+  {newton_sql("SELECT 0 AS m, label, a, b, 1.0 AS cost FROM x JOIN sp USING (vec_id, label) WHERE split = 'train'")},
+  sc AS (SELECT vec_id, label, k, u * a + v * b + z AS score FROM x JOIN sp USING (vec_id, label), w WHERE split = 'test' AND i = 50)"""
+
+
+def _stored_run(spark, d):
+    """A model and a feature table, both stored and read again."""
+    both = sp.stratified_split(_points(spark, d), "label", "vec_id")
+    path = scratch_path(spark, "held-out")
+    store.save_model(_fit_points(both.where("split = 'train'")), spark, f"{path}/model")
+    write_features(both.where("split = 'test'").drop("split"), f"{path}/features")
+    return store.load_model(spark, f"{path}/model"), read_features(spark, f"{path}/features", "all")
+
+
+@query(
+    "predict_stored",
+    f"""WITH RECURSIVE {HELD_OUT}, g AS (SELECT vec_id, arg_max(k, score) AS prediction FROM sc GROUP BY vec_id)
+    SELECT vec_id, label, prediction, k AS class, round(score, 4) AS score FROM sc JOIN g USING (vec_id)""",
+)
+def predict_stored(spark, d):
+    """Every score, and the prediction, of a stored model for a stored, unsplit feature table."""
+    model, rows = _stored_run(spark, d)
+    scored = ls.predict(rows, model, "pair", scores="scores")
+    each = scored.select("vec_id", "label", "prediction", F.posexplode("scores").alias("at", "score"))
+    classes = F.array(*[F.lit(c) for c in model.classes])
+    return each.select("vec_id", "label", "prediction", F.get(classes, "at").alias("class"), F.round("score", 4).alias("score"))
+
+
+@query(
+    "score_stored",
+    f"""WITH RECURSIVE {HELD_OUT}, g AS (SELECT 0 AS m, label, arg_max(k, score) AS guess FROM sc GROUP BY vec_id, label),
+      cell AS (SELECT label AS cls, CASE WHEN label = guess THEN 2 ELSE 0 END AS hit FROM g UNION ALL SELECT guess, 0 FROM g),
+      f1 AS (SELECT CAST(sum(hit) AS DOUBLE) / count(*) AS f FROM cell GROUP BY cls)
+    SELECT label AS y_true, guess AS y_pred, count(*) AS n, (SELECT round(avg(CASE WHEN label = guess THEN 1.0 ELSE 0.0 END), 6) FROM g) AS accuracy,
+      (SELECT round(avg(f), 6) FROM f1) AS macro_f1 FROM g GROUP BY label, guess""",
+)
+def score_stored(spark, d):
+    """A stored model judged on a stored feature table: pair counts beside accuracy and macro F1."""
+    model, rows = _stored_run(spark, d)
+    done = jobs.score_dataset(rows, model, "pair", "label")
+    at = {"accuracy": done.accuracy.first()["accuracy"], "macro_f1": done.macro_f1.first()["macro_f1"]}
+    return done.pairs.select("y_true", "y_pred", "n", *[F.round(F.lit(v), 6).alias(c) for c, v in at.items()])
+
+
 SIGMOID = """e AS (SELECT i - 1 AS g, CAST(embedding[i] AS DOUBLE) AS s, label = i - 1 AS pos FROM embeddings, range(1, 11) r(i)),
   n AS (SELECT g, count(*) FILTER (WHERE pos) AS n1, count(*) FILTER (WHERE NOT pos) AS n0 FROM e GROUP BY g),
   t AS (SELECT g, s, CASE WHEN pos THEN (n1 + 1.0) / (n1 + 2.0) ELSE 1.0 / (n0 + 2.0) END AS t FROM e JOIN n USING (g)),
@@ -517,7 +634,7 @@ def train_linear(spark, d):
 def predict(spark, d):
     train, test = _split_embeddings(spark, d)
     model = jobs.train_linear(train, "embedding", "label", "vec_id")
-    scored = ls.decision_scores(ls.predict(test, model, "embedding"), model, "embedding")
+    scored = ls.predict(test, model, "embedding", scores="scores")
     return scored.select("vec_id", "label", "prediction", F.round(F.array_max("scores"), 3).alias("top_score"))
 
 
@@ -553,6 +670,33 @@ def calibrate(spark, d):
     )
 
 
+PROBS = f"""{POINTS}, {BLOCK_FOLDS},
+  {newton_sql(f"SELECT r.f AS m, label, a, b, {CALIBRATION_C} AS cost FROM x JOIN folds USING (vec_id, label), range(5) r(f) WHERE fold <> r.f")},
+  ms AS (SELECT m, k, vec_id, label = k AS pos, fold = m AS held, u * a + v * b + z AS s FROM x JOIN folds USING (vec_id, label), w WHERE i = 50),
+  cnt AS (SELECT m, k, count(*) FILTER (WHERE pos) AS n1, count(*) FILTER (WHERE NOT pos) AS n0 FROM ms WHERE held GROUP BY m, k),
+  tg AS (SELECT m, k, s, CASE WHEN pos THEN (n1 + 1.0) / (n1 + 2.0) ELSE 1.0 / (n0 + 2.0) END AS t FROM ms JOIN cnt USING (m, k) WHERE held),
+  sig AS (SELECT 0 AS st, m, k, CAST(0 AS DOUBLE) AS sa, ln((n0 + 1.0) / (n1 + 1.0)) AS sb FROM cnt
+    UNION ALL
+    SELECT st + 1, m, k, sa - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), sb - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+    FROM (SELECT st, m, k, sa, sb, sum((t - p) * s) AS ga, sum(t - p) AS gb, sum(p * (1 - p) * s * s) AS haa,
+        sum(p * (1 - p) * s) AS hab, sum(p * (1 - p)) AS hbb
+      FROM (SELECT st, m, k, sa, sb, s, t, 1 / (1 + exp(sa * s + sb)) AS p FROM sig JOIN tg USING (m, k) WHERE st < 30)
+      GROUP BY st, m, k, sa, sb)),
+  pr AS (SELECT m, k, vec_id, 1 / (1 + exp(sa * s + sb)) AS p FROM ms JOIN sig USING (m, k) WHERE st = 30),
+  nm AS (SELECT vec_id, k, p / sum(p) OVER (PARTITION BY m, vec_id) AS p FROM pr)"""
+
+
+@query("calibrate_2d", f"WITH RECURSIVE {PROBS} SELECT vec_id, k AS class, round(avg(p), 4) AS prob FROM nm GROUP BY vec_id, k")
+def calibrate_2d(spark, d):
+    """Calibrated probabilities on two features, from the stored form of the model."""
+    rows, path = _points(spark, d), scratch_path(spark, "calibrated")
+    store.save_calibrated(fit_calibrated(rows, "pair", "label", "vec_id", tol=TIGHT), spark, path)
+    model = store.load_calibrated(spark, path)
+    each = predict_proba(rows, model, "pair").select("vec_id", F.posexplode("probs").alias("at", "prob"))
+    classes = F.array(*[F.lit(c) for c in model.classes])
+    return each.select("vec_id", F.get(classes, "at").alias("class"), F.round("prob", 4).alias("prob"))
+
+
 @query("rank_topics")
 def rank_topics(spark, d):
     """Ranked topics for every article from its raw title and content."""
@@ -602,6 +746,53 @@ def grid_search(spark, d):
     return curve.withColumns({c: F.when(F.col("is_best"), F.col(c)) for c in ("test_accuracy", "test_f1_macro")})
 
 
+COSTS = [0.01, 0.1, 1.0, 10.0]
+CROSS = f"""{POINTS}, {folds_sql("label", key_sql("vec_id") + ", vec_id")},
+  cs(ci, cost) AS (VALUES {", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(COSTS))}),
+  {newton_sql("SELECT ci * 10 + r.f AS m, label, a, b, cost FROM x JOIN folds USING (vec_id, label), cs, range(6) r(f) WHERE fold <> r.f")},
+  {scored_sql("""SELECT ci * 10 + r.f AS m, CASE WHEN fold = r.f THEN 'test' ELSE 'train' END AS role, vec_id, label, a, b
+    FROM x JOIN folds USING (vec_id, label), cs, range(6) r(f)""")},
+  cv AS (SELECT m // 10 AS ci, m % 10 AS fold, max(CASE WHEN role = 'train' THEN f1 END) AS train_f1,
+    max(CASE WHEN role = 'test' THEN f1 END) AS test_f1 FROM macro WHERE m % 10 < 5 GROUP BY m),
+  curve AS (SELECT ci, avg(test_f1) AS mean_score, stddev_pop(test_f1) AS std_score FROM cv GROUP BY ci)"""
+
+
+@query(
+    "grid_search_2d",
+    f"""WITH RECURSIVE {CROSS}, best AS (SELECT ci AS top FROM curve ORDER BY round(mean_score, 12) DESC, ci LIMIT 1)
+    SELECT cost AS c, CAST(fold AS INTEGER) AS fold, round(train_f1, 6) AS train_f1, round(test_f1, 6) AS test_f1, round(mean_score, 6) AS mean_score,
+      round(std_score, 6) AS std_score, round(mean_score - std_score, 6) AS lower, round(mean_score + std_score, 6) AS upper, ci = top AS is_best,
+      CASE WHEN ci = top THEN (SELECT round(f1, 6) FROM macro WHERE m = top * 10 + 5) END AS refit_f1
+    FROM cv JOIN curve USING (ci) JOIN cs USING (ci), best""",
+)
+def grid_search_2d(spark, d):
+    """Scores of all folds beside the validation curve, and the refitted best model's score on all rows; two features."""
+    rows = _points(spark, d)
+    found = sr.grid_search(rows, "pair", "label", "vec_id", COSTS, tol=TIGHT)
+    refit = jobs.score_dataset(rows, found.model, "pair", "label").macro_f1.first()["macro_f1"]
+    both = found.scores.join(F.broadcast(found.curve), "c")  # candidates x folds rows
+    at = [F.round(c, 6).alias(c) for c in ("train_f1", "test_f1", "mean_score", "std_score", "lower", "upper")]
+    return both.select("c", "fold", *at, "is_best", F.when(F.col("is_best"), F.round(F.lit(refit), 6)).alias("refit_f1"))
+
+
+@query(
+    "score_cache",
+    f"""WITH RECURSIVE {CROSS} SELECT CAST(ci - 2 AS DOUBLE) AS log_c, round(mean_score, 6) AS score, CAST(1 AS BIGINT) AS written FROM curve""",
+)
+def score_cache(spark, d):
+    """Candidates scored in two calls that share a cache: what the first call stored, the second one only looks up."""
+    path = scratch_path(spark, "cache")
+    blocks = sr.pack_folds(_points(spark, d), "pair", "label", "vec_id")
+    try:
+        for asked in ([-2.0, 0.0], [-2.0, -1.0, 0.0, 1.0]):
+            sr.score_candidates(spark, blocks, asked, path, tol=TIGHT)
+    finally:
+        blocks.close()
+    written = spark.read.parquet(path).groupBy("log_c").agg(F.count(F.lit(1)).alias("written"))
+    known = store.read_cache(spark, path).join(written, "log_c")
+    return known.select(F.col("log_c").cast("double").alias("log_c"), F.round("score", 6).alias("score"), "written")
+
+
 @query("cuckoo_search")
 def cuckoo_search(spark, d):
     """The trace of the search, with the test scores of the stored model of the C that was found."""
@@ -620,6 +811,29 @@ def learning_curve(spark, d):
     return curve.select("n_train", *[F.round(c, 4).alias(c) for c in curve.columns if c != "n_train"])
 
 
+GROWING = f"""{POINTS}, {BLOCK_FOLDS},
+  sz AS (SELECT DISTINCT greatest(CAST(floor(part * n) AS BIGINT), 1) AS size FROM (SELECT count(*) AS n FROM folds WHERE fold <> 0),
+    (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.325 AS DOUBLE)), (CAST(0.55 AS DOUBLE)), (CAST(0.775 AS DOUBLE)), (CAST(1 AS DOUBLE))) q(part)),
+  rk AS (SELECT r.f, vec_id, label, a, b, row_number() OVER (PARTITION BY r.f ORDER BY vec_id) AS place
+    FROM x JOIN folds USING (vec_id, label), range(5) r(f) WHERE fold <> r.f),
+  {newton_sql("SELECT size * 10 + f AS m, label, a, b, 1.0 AS cost FROM rk, sz WHERE place <= size")},
+  {scored_sql("""SELECT size * 10 + f AS m, 'train' AS role, vec_id, label, a, b FROM rk, sz WHERE place <= size
+    UNION ALL SELECT size * 10 + fold, 'test', vec_id, label, a, b FROM x JOIN folds USING (vec_id, label), sz""")}"""
+
+
+@query(
+    "learning_curve_2d",
+    f"""WITH RECURSIVE {GROWING} SELECT m // 10 AS n_train,
+      round(avg(CASE WHEN role = 'train' THEN f1 END), 6) AS train_mean, round(stddev_pop(CASE WHEN role = 'train' THEN f1 END), 6) AS train_std,
+      round(avg(CASE WHEN role = 'test' THEN f1 END), 6) AS test_mean, round(stddev_pop(CASE WHEN role = 'test' THEN f1 END), 6) AS test_std
+    FROM macro GROUP BY m // 10""",
+)
+def learning_curve_2d(spark, d):
+    """The learning curve of models on two features."""
+    curve = sr.learning_curve(_points(spark, d), "pair", "label", "vec_id", tol=TIGHT)
+    return curve.select(F.col("n_train").cast("bigint").alias("n_train"), *[F.round(c, 6).alias(c) for c in curve.columns if c != "n_train"])
+
+
 THRESHOLDS = [500 * (i + 1) for i in range(12)]
 
 

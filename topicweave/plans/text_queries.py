@@ -13,8 +13,10 @@ from topicweave.operators import lattice as lt
 from topicweave.operators import lexicon as lx
 from topicweave.operators import sentences as se
 from topicweave.plans import jobs
+from topicweave.operators.bounded import spread
 from topicweave.plans.catalog import ARTICLES, WS, articles, clean_sql, query, row_work, squeeze_sql, table, words_sql
 from topicweave.session import scratch_path
+from topicweave.sources.tables import read_pages, read_words
 from topicweave.streaming.enrich import stream_enrich
 
 STOP = ["the", "of", "and", "la", "de", "le", "der", "und", "el"]
@@ -59,6 +61,15 @@ def stopwords(spark, d):
     return _docs(spark, d).select("doc_id", tx.drop_words(F.col("text"), STOP).alias("text"))
 
 
+@query("word_list", f"SELECT DISTINCT unnest({words_sql('text')}) AS word FROM documents")
+def word_list(spark, d):
+    """The distinct words of the corpus, written one a line with stray spaces, and read again as a word list."""
+    path = scratch_path(spark, "words")
+    words = _docs(spark, d).select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
+    words.select(F.concat(F.lit(" "), "word", F.lit("\t ")).alias("value")).write.text(path)
+    return read_words(spark, path)
+
+
 FREQUENT = f"""w AS (SELECT unnest({words_sql('text')}) AS word FROM documents),
   s AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 500)"""
 
@@ -380,7 +391,7 @@ ENRICHED = _first_sql("<h1>", "h1")
 )
 def enrich_resume(spark, d):
     """The links of one site are done already; the others are enriched from their pages."""
-    links, pages = _links(spark, d), row_work(spark, d, "pages")
+    links, pages = _links(spark, d), spread(read_pages(spark, f"{d}/pages.parquet"))
     done = links.where(F.col("link").contains("example.org"))
     return ex.enrich_from_pages(links, pages, done, "example", target=("h1", None, None))
 
