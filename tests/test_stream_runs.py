@@ -69,3 +69,24 @@ def test_state_keeps_values_and_reads_no_history(spark, tmp_path, monkeypatch):
         r = one[row[0]]
         assert (r.n, r.d, r.t, r.s, r.a, r.b and bytes(r.b)) == (*row[1:6], row[6] or r.b)
     assert one["u1"].description == "about 1"
+
+
+@pytest.mark.parametrize("files", [0, 3, 20])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_query_over_file_or_folder(spark, tmp_path, monkeypatch, files, keyed):
+    """The table of pages may be one file or a folder of files; the batches stay few, whatever the number of files."""
+    from topicweave.plans import text_queries
+
+    page = "<html><h1>about {}</h1></html>"
+    rows = [(i, f"http://{'www.example' if i % 3 else 'other'}.org/{i}", page.format(i)) for i in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if files:
+        table.repartition(files).write.parquet(str(tmp_path / "pages.parquet"))
+    else:
+        table.coalesce(1).write.parquet(str(tmp_path / "part"))
+        next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    batches, write = set(), enrich.enrich_from_pages
+    monkeypatch.setattr(enrich, "enrich_from_pages", lambda *a, **b: (batches.add(len(batches)), write(*a, **b))[1])
+    got = text_queries._stream(spark, str(tmp_path), keyed_state=keyed)
+    assert sorted((r.label, r.link, r.description) for r in got.collect()) == [(i, u, f"about {i}") for i, u, _ in rows if "example" in u]
+    assert min(files or 1, 2) <= len(batches) <= text_queries.MAX_BATCHES
