@@ -73,3 +73,36 @@ def test_labels_are_needed(spark):
     for rows in ([(1, [1.0], None), (2, [1.0], 1)], [(1, [1.0], 1)]):
         with pytest.raises(ValueError):
             ks.fit_kernel(spark.createDataFrame(rows, "id long, x array<float>, y int"), "x", "y", "id")
+
+
+def test_solver_goes_on_from_the_parts(monkeypatch):
+    """Dual variables of two solved parts are a start for all rows: fewer steps, the same solution; a solution needs none."""
+    x, label = points(400)
+    sign, cost = np.where(label == 0, 1.0, -1.0), np.ones(400)
+    seen, row = [], ks._Rows.__getitem__
+    monkeypatch.setattr(ks._Rows, "__getitem__", lambda self, i: (seen.append(i), row(self, i))[1])
+
+    def steps(start):
+        seen.clear()
+        return *ks.solve(x, sign, cost, 0.7, 1e-5, start), len(seen)
+
+    alpha, bias, cold = steps(None)
+    start = np.zeros(400)
+    for part in (slice(0, 200), slice(200, 400)):
+        start[part] = ks.solve(x[part], sign[part], cost[part], 0.7, 1e-5)[0]
+    again, same, warm = steps(start)
+    assert 0 < warm < cold and abs(same - bias) < 1e-4 and np.abs(ks.rbf(x, x, 0.7) @ (sign * (alpha - again))).max() < 1e-3
+    assert steps(alpha)[2] == 0
+
+
+def test_own_scores_are_those_of_the_pair(spark, monkeypatch):
+    monkeypatch.setattr(ks, "PART_ROWS", 8)
+    x, label = points()
+    frame = spark.createDataFrame([(i, [float(v) for v in r], int(y)) for i, (r, y) in enumerate(zip(x, label))], "id long, x array<float>, y int")
+    model = ks.fit_kernel(frame, "x", "y", "id", c=2.0, gamma=0.7)
+    every = {r["id"]: r["scores"] for r in ks.pair_scores(frame, model, "x").collect()}
+    asked = [(n, i, 1.0, [float(v) for v in r]) for n in range(3) for i, r in enumerate(x)]
+    for size in (ks.CHUNK_BYTES, 200):
+        monkeypatch.setattr(ks, "CHUNK_BYTES", size)
+        got = ks._own_scores(spark.createDataFrame(asked, "pair int, id long, sign double, x array<float>"), model).collect()
+        assert len(got) == len(asked) and all(abs(r["score"] - every[r["id"]][r["pair"]]) < 1e-9 for r in got)

@@ -29,6 +29,7 @@ from topicweave.session import staged
 PART_ROWS = 512
 CACHE_ROWS = 1024
 CHUNK_BYTES = 64 << 20
+SCORE_ROWS = 1024  # a block of kernel values has at most the square of it
 MAX_ROUNDS = 30
 
 
@@ -54,22 +55,31 @@ class _Rows:
     """Rows of a kernel matrix, the last ones used kept."""
 
     def __init__(self, x: np.ndarray, gamma: float) -> None:
-        self.x, self.gamma, self.kept = x, gamma, {}
+        self.x, self.gamma, self.kept, self.norms = x, gamma, {}, (x * x).sum(axis=1)
 
     def __getitem__(self, i: int) -> np.ndarray:
         row = self.kept.pop(i, None)
         if row is None:
-            row = rbf(self.x[i : i + 1], self.x, self.gamma)[0]
+            apart = self.norms[i] + self.norms - 2 * (self.x @ self.x[i])
+            row = np.exp(-self.gamma * np.maximum(apart, 0))
             if len(self.kept) >= CACHE_ROWS:
                 self.kept.pop(next(iter(self.kept)))
         self.kept[i] = row
         return row
 
 
-def solve(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, gamma: float, tol: float) -> tuple[np.ndarray, float]:
+def solve(
+    x: np.ndarray, sign: np.ndarray, cost: np.ndarray, gamma: float, tol: float, start: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
     """Dual variables and bias of one problem: steps over two variables, chosen by first and second order, until the
-    largest violation is below ``tol``."""
-    alpha, grad, rows = np.zeros(len(sign)), -np.ones(len(sign)), _Rows(x, gamma)
+    largest violation is below ``tol``. ``start``: dual variables that keep the constraints, to go on from."""
+    alpha = np.zeros(len(sign)) if start is None else start.copy()
+    grad, rows, held = -np.ones(len(sign)), _Rows(x, gamma), np.flatnonzero(alpha)
+    for lo in range(0, len(held) and len(sign), SCORE_ROWS):
+        part = slice(lo, lo + SCORE_ROWS)
+        for at in range(0, len(held), SCORE_ROWS):
+            some = held[at : at + SCORE_ROWS]
+            grad[part] += sign[part] * (rbf(x[part], x[some], gamma) @ (sign[some] * alpha[some]))
     while True:
         slope = -sign * grad
         up = np.where(sign > 0, alpha < cost, alpha > 0)
@@ -93,30 +103,38 @@ def solve(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, gamma: float, tol:
 
 
 def _solve_part(c: float, weights: np.ndarray, gamma: float, tol: float):
-    """Support vectors of a part; a part with one class only hands on all of its rows."""
+    """Support vectors of a part; a part with one class only hands on all of its rows.
+
+    The solver goes on from the dual variables that the rows bring with them: together those of two parts keep the
+    constraints, and so does their mean where the parts have rows in common.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shared = 2.0 if pdf["id"].duplicated().any() else 1.0
+        brought = pdf.groupby("id", dropna=False)["alpha"].sum().to_numpy() / shared  # sorted by id, null last
         pdf = pdf.drop_duplicates("id").sort_values("id", ignore_index=True)
         sign = pdf["sign"].to_numpy(np.float64)
         if (sign == sign[0]).all():
             return pdf.assign(alpha=0.0, bias=0.0)
         pair = weights[pdf["pair"].iloc[0]]
         cost = c * np.where(sign > 0, pair[0], pair[1])
-        alpha, bias = solve(np.stack(pdf["x"].to_numpy()).astype(np.float64), sign, cost, gamma, tol)
+        if abs(sign @ brought) > 1e-9 * cost.max() or (brought > cost).any():  # one id stood for different rows
+            brought = np.zeros(len(sign))
+        alpha, bias = solve(np.stack(pdf["x"].to_numpy()).astype(np.float64), sign, cost, gamma, tol, brought)
         return pdf.assign(alpha=alpha, bias=bias)[alpha > 0]
 
     return run
 
 
 def _cascade(rows: DataFrame, parts: int, run) -> DataFrame:
-    """Solve ``rows`` (pair, part, id, sign, x) part by part, merging two parts at a time; ``parts`` is a power of two."""
+    """Solve ``rows`` (pair, part, id, sign, x, alpha) part by part, merging two parts at a time; ``parts`` is a power of two."""
     schema = f"pair int, part bigint, id {dict(rows.dtypes)['id']}, sign double, x array<float>, alpha double, bias double"
     while True:
         found = staged(rows.groupBy("pair", "part").applyInPandas(run, schema), "support-vectors")
         if parts == 1:
             return found
         parts //= 2
-        rows = found.select("pair", F.floor(F.col("part") / 2).alias("part"), "id", "sign", "x")
+        rows = found.select("pair", F.floor(F.col("part") / 2).alias("part"), "id", "sign", "x", "alpha")
 
 
 def _power_of_two(n: int) -> int:
@@ -142,25 +160,25 @@ def fit_kernel(
     largest = sum(sorted(counts.values())[-2:])
     parts = _power_of_two(-(-largest // PART_ROWS))
     run = _solve_part(c, weights, gamma, tol)
-    found = _cascade(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), parts, run)
+    fresh = F.lit(0.0).alias("alpha")
+    found = _cascade(rows.select("*", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), fresh), parts, run)
     for turn in range(1, MAX_ROUNDS + 1):
         bias = np.zeros(len(pairs))
         for r in found.groupBy("pair").agg(F.max("bias").alias("bias")).collect():  # a row per pair
             bias[r["pair"]] = r["bias"]
         model = KernelModel(classes, pairs, found.drop("part", "bias"), bias, gamma, turn)
         # rows without a dual variable must lie outside the margin
-        scored = pair_scores(rows, model, "x", keep=["pair", "id", "sign", "x"])
-        outside = scored.join(found.select("pair", "id"), ["pair", "id"], "left_anti")
-        bad = outside.where(F.col("sign") * F.get("scores", F.col("pair")) < 1 - 2 * tol)
+        outside = rows.join(found.select("pair", "id"), ["pair", "id"], "left_anti")
+        bad = _own_scores(outside, model).where(F.col("sign") * F.col("score") < 1 - 2 * tol)
         bad = staged(bad.select("pair", "id", "sign", "x"), "violations")
         worst = bad.groupBy("pair").count().agg(F.max("count")).first()[0]
         if not worst:
             return model
         parts = _power_of_two(-(-worst // PART_ROWS))
         open_pairs = F.broadcast(bad.select("pair").distinct())  # no more rows than pairs
-        old = found.select("pair", "id", "sign", "x").join(open_pairs, "pair")
+        old = found.select("pair", "id", "sign", "x", "alpha").join(open_pairs, "pair")
         old = old.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-        new = bad.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        new = bad.select("*", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), fresh)
         again = _cascade(old.unionByName(new), parts, run)
         found = staged(again.unionByName(found.join(open_pairs, "pair", "left_anti")), "support-vectors")
     warnings.warn(f"after {MAX_ROUNDS} rounds some rows still violate the margin", stacklevel=2)
@@ -168,36 +186,76 @@ def fit_kernel(
     return model
 
 
-def _chunks(vectors: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs, signed dual variables and vectors, in chunks of bounded size."""
+def _chunks(rows: DataFrame) -> Iterator[list]:
+    """Rows with a vector ``x``, in chunks of bounded size."""
     batch, size = [], 0
-    for r in vectors.where("alpha > 0").toLocalIterator():
-        batch.append((r["pair"], r["sign"] * r["alpha"], r["x"]))
+    for r in rows.toLocalIterator():
+        batch.append(r)
         size += 8 * len(r["x"]) + 16
         if size > CHUNK_BYTES:
-            yield tuple(map(np.array, zip(*batch)))
+            yield batch
             batch, size = [], 0
     if batch:
-        yield tuple(map(np.array, zip(*batch)))
+        yield batch
+
+
+def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    flat = batch.column(batch.schema.get_field_index(name)).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+
+
+def _own_scores(rows: DataFrame, model: KernelModel) -> DataFrame:
+    """``score``: the margin that each row (pair, id, sign, x) has in its own pair, from the support vectors of that pair."""
+    spark, gamma = rows.sparkSession, model.gamma
+    bias = F.get(F.array(*[F.lit(float(b)) for b in model.bias]), F.col("pair"))
+    out = rows.select("pair", "id", "sign", "x", bias.alias("score"))
+    for chunk in _chunks(model.vectors.where("alpha > 0").select("pair", (F.col("sign") * F.col("alpha")).alias("coef"), "x")):
+        of = np.array([r["pair"] for r in chunk])
+        shared = spark.sparkContext.broadcast((of, np.array([r["coef"] for r in chunk]), np.array([r["x"] for r in chunk], np.float32)))
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            of, coef, vectors = shared.value
+            for b in batches:
+                at = b.schema.get_field_index("score")
+                x, pair = _vectors(b, "x"), b.column(b.schema.get_field_index("pair")).to_numpy()
+                total = b.column(at).to_numpy().copy()
+                for p in np.unique(pair):
+                    mine, theirs = np.flatnonzero(pair == p), np.flatnonzero(of == p)
+                    for lo in range(0, len(mine), SCORE_ROWS):
+                        for there in range(0, len(theirs), SCORE_ROWS):
+                            row, sv = mine[lo : lo + SCORE_ROWS], theirs[there : there + SCORE_ROWS]
+                            total[row] += rbf(x[row], vectors[sv].astype(np.float64), gamma) @ coef[sv]
+                yield b.set_column(at, "score", pa.array(total))
+
+        out = out.mapInArrow(add, out.schema)
+    return out
 
 
 def pair_scores(df: DataFrame, model: KernelModel, features: str, keep: list[str] | None = None) -> DataFrame:
-    """``scores``: one margin for each pair of classes, beside the columns ``keep`` (default: all)."""
+    """``scores``: one margin for each pair of classes, beside the columns ``keep`` (default: all).
+
+    A vector that supports several pairs is compared once.
+    """
     spark, gamma, n = df.sparkSession, model.gamma, len(model.pairs)
     out = df.select(*(keep or df.columns), F.col(features).alias("_x"), F.array(*[F.lit(float(b)) for b in model.bias]).alias("scores"))
-    for pair, coef, x in _chunks(model.vectors):
-        spread = np.zeros((len(pair), n))
-        spread[np.arange(len(pair)), pair] = coef
-        shared = spark.sparkContext.broadcast((x.astype(np.float64), spread))
+    each = model.vectors.where("alpha > 0").groupBy("x", "pair").agg(F.sum(F.col("sign") * F.col("alpha")).alias("coef"))
+    for chunk in _chunks(each.groupBy("x").agg(F.collect_list(F.struct("pair", "coef")).alias("of"))):  # an entry per pair
+        place = [(k, o["pair"], o["coef"]) for k, r in enumerate(chunk) for o in r["of"]]
+        shared = spark.sparkContext.broadcast((np.array([r["x"] for r in chunk], np.float32), place))
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            x, spread = shared.value
+            vectors, place = shared.value
+            spread = np.zeros((len(vectors), n))
+            at, pair, coef = zip(*place)
+            spread[list(at), list(pair)] = coef
             for b in batches:
-                at, old = b.schema.get_field_index("_x"), b.schema.get_field_index("scores")
-                rows = b.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                old = b.schema.get_field_index("scores")
+                rows = _vectors(b, "_x")
                 total = b.column(old).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n).copy()
-                for lo in range(0, len(rows), 1024):
-                    total[lo : lo + 1024] += rbf(rows[lo : lo + 1024], x, gamma) @ spread if len(x) else 0
+                for lo in range(0, len(rows), SCORE_ROWS):
+                    for there in range(0, len(vectors), SCORE_ROWS):
+                        sv = vectors[there : there + SCORE_ROWS].astype(np.float64)
+                        total[lo : lo + SCORE_ROWS] += rbf(rows[lo : lo + SCORE_ROWS], sv, gamma) @ spread[there : there + SCORE_ROWS]
                 ends = pa.array(np.arange(0, total.size + 1, n, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([*b.columns[:old], pa.ListArray.from_arrays(ends, pa.array(total.ravel())), *b.columns[old + 1 :]], b.schema.names)
 
