@@ -76,3 +76,27 @@ def test_small_and_empty(spark):
     lists = {(r.src, r.dst): r.dist for r in nb.neighbour_graph(few, "embedding", "vec_id").collect()}
     assert lists == {(1, 3): 1, (3, 1): 1, (1, 4): 9, (4, 1): 9, (3, 4): 4, (4, 3): 4}
     assert nb.neighbour_map(few, "embedding", "vec_id").count() == 3
+
+
+def test_meetings_give_their_edges_in_slices(monkeypatch):
+    """What a task holds at once follows the slice, not the number of meetings in a batch."""
+    import pyarrow as pa
+
+    from topicweave.operators import neighbours
+
+    rng = np.random.default_rng(0)
+    guests = [[{"id": int(i), "vec": rng.normal(size=8).tolist()} for i in range(61)] for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(guests)], ["guests"])
+    parts = [b.num_rows for b in neighbours._meet(iter([batch]), 30)]
+    assert sum(parts) == 2000 * 61 * 30 and max(parts) * 24 <= neighbours.SLICE_BYTES and len(parts) > 1
+
+
+def test_batches_are_small_while_the_lists_are_mended(spark, monkeypatch):
+    from topicweave.operators import neighbours
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, descend = spark.conf.get(key), [], neighbours._descend
+    monkeypatch.setattr(neighbours, "_descend", lambda *a: (seen.append(int(spark.conf.get(key))), descend(*a))[1])
+    rows = [(i, [float(i % 7), float(i)]) for i in range(60)]
+    neighbours.neighbour_graph(spark.createDataFrame(rows, "id long, v array<double>"), "v", "id", 3).collect()
+    assert seen and max(seen) == neighbours.BATCH_ROWS and spark.conf.get(key) == before

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from topicweave.functions.fixed_values import DEFAULT_SEED
 from topicweave.operators.bounded import join_lookup
-from topicweave.session import staged
+from topicweave.session import small_batches, staged
 
 MAX_LEVELS = 60  # a node number has a bit per level
-SLICE_BYTES = 32 << 20  # vectors that a task turns into one matrix
+SLICE_BYTES = 4 << 20  # vectors that a task turns into one matrix, and edges that it gives at once
+BATCH_ROWS = 256  # meetings that travel to a task at once
 
 EDGES = "src long, dst long, dist double"
 
@@ -128,19 +129,25 @@ def _descend(edges: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     meetings = guests.join(rows, "id").groupBy("at").agg(F.array_sort(F.collect_list(one)).alias("guests"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, SLICE_BYTES // max(1, batch.nbytes // max(1, batch.num_rows)))
-            for begin in range(0, batch.num_rows, step):
-                lists = batch.slice(begin, step).column("guests")
-                each = lists.flatten()
-                ids, x = each.field("id").to_numpy(), _matrix(each.field("vec"))
-                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-                found = [_nearest(ids[a:b], x[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
-                yield _edge_batch(*(np.concatenate(c) for c in zip(*found)))
+        yield from _meet(batches, k)
 
     return _best(edges.unionByName(meetings.select("guests").mapInArrow(run, EDGES)), k)
 
 
+def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Edges among the guests of each meeting, from slices of about ``SLICE_BYTES`` of vectors or edges, whichever is more."""
+    for batch in batches:
+        edges = 24 * k * len(batch.column("guests").flatten())  # bytes of what comes out, at most
+        step = max(1, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes, edges))
+        for begin in range(0, batch.num_rows, step):
+            lists = batch.slice(begin, step).column("guests")
+            each = lists.flatten()
+            ids, x = each.field("id").to_numpy(), _matrix(each.field("vec"))
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            found = [_nearest(ids[a:b], x[a:b], k) for a, b in zip(ends[:-1], ends[1:])]
+            yield _edge_batch(*(np.concatenate(c) for c in zip(*found)))
+
+
 def neighbour_graph(
     df: DataFrame, features: str, row_id: str, k: int = 15, trees: int = 4, leaf: int = 256, rounds: int = 2,
     pool: int = 2, seed: int = DEFAULT_SEED, min_change: float = 0.002,
@@ -160,7 +167,8 @@ def neighbour_graph(
     wide = pool * k
     edges = staged(_best(_leaf_edges(tree_leaves(rows, dim, trees, leaf, seed), rows, wide), wide), "edges")
     for _ in range(rounds):
-        better = staged(_descend(edges, rows, wide), "edges")
+        with small_batches(df.sparkSession, BATCH_ROWS):
+            better = staged(_descend(edges, rows, wide), "edges")
         new, total = better.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").count(), better.count()
         edges = better
         if new <= min_change * total:
