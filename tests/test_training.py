@@ -228,3 +228,11 @@ def test_a_prefix_with_one_class_has_no_score(spark):
     df = spark.createDataFrame(rows, "id bigint, x array<float>, y int")
     got = search.learning_curve(df, "x", "y", "id", (0.2, 1.0)).collect()
     assert got[0]["test_mean"] is None and got[1]["test_mean"] > 0.5
+
+
+def test_encoder_remembers_a_bounded_number_of_words():
+    from topicweave.operators import features
+
+    encoder, texts = features.HashedEncoder(), [" ".join(f"w{i}" for i in range(k, k + 50_000)) for k in (0, 50_000)]
+    first, again = encoder(texts), encoder(texts)
+    assert len(encoder.seen) <= 1 << 16 and (first == again).all()

@@ -13,6 +13,7 @@ from topicweave.functions.html import element_texts, first_element_text, page_te
 from topicweave.operators.bounded import maybe_in
 from topicweave.operators.curate import enrich, from_site, todo_rows
 
+SLICE_ROWS = 256  # pages whose texts are held at once
 DESCRIPTION = ("p", "class", "description")
 
 
@@ -24,7 +25,7 @@ def extract_pages(df: DataFrame, html: str, read: Callable[[str], str], out: str
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             texts, errors = [], []
             for page in batch.column(html):
                 try:
