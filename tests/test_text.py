@@ -132,3 +132,13 @@ def test_failing_page_does_not_end_the_job(frame):
     df = frame([(1, "x"), (2, "bad"), (3, None)], "i int, html string")
     got = [tuple(r) for r in extract.extract_pages(df, "html", read, "t").orderBy("i").collect()]
     assert got == [(1, "X", None), (2, "", "ValueError: broken"), (3, "", None)]
+
+
+def test_large_lexicon_moves_known_pairs_only(frame, monkeypatch):
+    monkeypatch.setattr(lexicon, "MAX_LEXICON", 0)
+    moved, join = [], lexicon.counted_join
+    monkeypatch.setattr(lexicon, "counted_join", lambda pairs, *a, **b: (moved.append(pairs.count()), join(pairs, *a, **b))[1])
+    texts = [(0, "a b " + " ".join(f"w{i}" for i in range(500)) + " a b c"), (1, None), (2, ""), (3, "b c")]
+    df, lex = frame(texts, "i int, t string"), frame([("a", "b", 2), ("b", "c", 2)], "w1 string, w2 string, n_pair int")
+    got = [r["t"] for r in lexicon.segment_words(df, "t", "i", lex).orderBy("i").collect()]
+    assert got == [texts[0][1].replace("a b", "a_b"), None, "", "b_c"] and moved[0] < 20
