@@ -75,3 +75,16 @@ def test_sentences(spark):
     assert all(" ".join(s) == t for (i, t) in rows if t for s in [got[i]])
     assert got[1003][0].startswith("See Dr. Smith.")
     assert not any(s.endswith("Dr.") for x in got.values() if x for s in x)
+
+
+def test_large_lexicon_is_joined_for_rare_phrases_only(spark, monkeypatch):
+    """The heaviest phrases are looked up in the row; only runs that may be among the others are moved."""
+    frame = spark.createDataFrame(TEXTS, "id long, text string")
+    kept = lattice.phrases(frame, "text", 4, 2)
+    whole = {r.id: r.text for r in lattice.segment_lattice(frame, "text", "id", kept).collect()}
+    moved, join = [], lattice.counted_join
+    monkeypatch.setattr(lattice, "counted_join", lambda runs, *a, **b: (moved.append(runs.count()), join(runs, *a, **b))[1])
+    for limit in (0, 8, 16):
+        monkeypatch.setattr(lattice, "MAX_LEXICON", limit)
+        assert {r.id: r.text for r in lattice.segment_lattice(frame, "text", "id", kept).collect()} == whole
+    assert moved[0] > moved[1] > moved[2]

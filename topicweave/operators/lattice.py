@@ -6,8 +6,8 @@ everywhere. Of all ways to cut a clause into known phrases and single words the
 equal ones, that whose last phrase is longer, from the end backwards.
 
 A lexicon that fits a broadcast travels as a table of phrases and of their beginnings, which a walk from each word uses
-like a trie. A larger one is joined: the runs of the texts with the phrases, hot runs salted, and only the spans that are
-found go back to their texts.
+like a trie. Of a larger one the heaviest phrases, which are most of what a text holds, travel that way. The others are
+joined: a bitmap sorts out most other runs of the texts, hot runs are salted, and only the spans that are found go back.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import words
-from topicweave.operators.bounded import counted_join, small_or_none
+from topicweave.operators.bounded import counted_join, maybe_in, small_or_none
 from topicweave.session import staged
 
 MAX_LEXICON = 500_000
@@ -80,35 +80,47 @@ def segment_lattice(df: DataFrame, text: str, row_id: str, lexicon: DataFrame, o
     listed = small_or_none(lexicon.select("gram", "weight"), MAX_LEXICON)
     if listed is not None:
         return df.withColumn(out, _by_trie(listed, unknown)(clauses(F.col(text))))
-    longest = lexicon.agg(F.max("size")).first()[0]
+    longest, entries = lexicon.agg(F.max("size"), F.count(F.lit(1))).first()
+    # one part in ten below the limit, because the cut is approximate
+    cut = lexicon.agg(F.percentile_approx("weight", 1 - 0.9 * MAX_LEXICON / entries, 10_000)).first()[0]
+    hot = small_or_none(lexicon.where(F.col("weight") > cut).select("gram", "weight"), MAX_LEXICON)
+    rare = lexicon.where(F.col("weight") <= cut) if hot is not None else lexicon
+    rare = staged(rare.where("weight IS NOT NULL").select("gram", "weight"), "rare-phrases")
     lists = df.select(row_id, F.posexplode(clauses(F.col(text))).alias("_clause", "_c"))
     runs = lists.select(row_id, "_clause", F.explode(F.concat(*[_runs(F.col("_c"), k) for k in range(1, longest + 1)])).alias("g"))
-    runs = runs.select(row_id, "_clause", "g.at", "g.size", "g.gram")
-    counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(lexicon.select("gram", "weight"), "gram", "left")
-    hits = counted_join(runs, counts, ["gram"], "left", F.struct(row_id, "_clause", "at")).where("weight IS NOT NULL")
+    runs = maybe_in(runs.select(row_id, "_clause", "g.at", "g.size", "g.gram"), rare, "gram")
+    counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(rare, "gram")
+    hits = counted_join(runs, counts, ["gram"], "inner", F.struct(row_id, "_clause", "at"))
     per = hits.groupBy(row_id).agg(F.collect_list(F.struct("_clause", "at", "size", "weight")).alias("_spans"))  # bounded by the text
     both = df.join(per, row_id, "left")
-    return both.withColumn(out, _by_spans(unknown)(clauses(F.col(text)), F.col("_spans"))).drop("_spans")
+    return both.withColumn(out, _by_spans(hot, unknown)(clauses(F.col(text)), F.col("_spans"))).drop("_spans")
+
+
+def _trie(lexicon: DataFrame | None):
+    """Phrases with their weights, and the beginnings of phrases that may go on."""
+    weights = {r["gram"]: r["weight"] for r in lexicon.toLocalIterator()} if lexicon is not None else {}
+    return weights, {gram[:i] for gram in weights for i in range(len(gram)) if gram[i] == " "}
+
+
+def _known_spans(tokens: list[str], weights: dict[str, int], begun: set[str]) -> list[dict[int, int]]:
+    spans: list[dict[int, int]] = [{} for _ in tokens]
+    for i, gram in enumerate(tokens):
+        k = i
+        while True:
+            if gram in weights:
+                spans[k][k + 1 - i] = weights[gram]
+            k += 1
+            if k == len(tokens) or gram not in begun:
+                break
+            gram = f"{gram} {tokens[k]}"
+    return spans
 
 
 def _by_trie(lexicon: DataFrame, unknown: int):
-    weights = {r["gram"]: r["weight"] for r in lexicon.toLocalIterator()}
-    begun = {gram[:i] for gram in weights for i in range(len(gram)) if gram[i] == " "}  # beginnings that may go on
-    shared = lexicon.sparkSession.sparkContext.broadcast((weights, begun))
+    shared = lexicon.sparkSession.sparkContext.broadcast(_trie(lexicon))
 
     def path(tokens: list[str]) -> str:
-        weights, begun = shared.value
-        spans: list[dict[int, int]] = [{} for _ in tokens]
-        for i, gram in enumerate(tokens):
-            k = i
-            while True:
-                if gram in weights:
-                    spans[k][k + 1 - i] = weights[gram]
-                k += 1
-                if k == len(tokens) or gram not in begun:
-                    break
-                gram = f"{gram} {tokens[k]}"
-        return _joined(tokens, best_path(spans, unknown))
+        return _joined(tokens, best_path(_known_spans(tokens, *shared.value), unknown))
 
     @F.pandas_udf("string")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -118,7 +130,9 @@ def _by_trie(lexicon: DataFrame, unknown: int):
     return run
 
 
-def _by_spans(unknown: int):
+def _by_spans(hot: DataFrame | None, unknown: int):
+    shared = SparkSession.active().sparkContext.broadcast(_trie(hot))
+
     @F.pandas_udf("string")
     def run(lists: pd.Series, found: pd.Series) -> pd.Series:
         texts = []
@@ -126,7 +140,7 @@ def _by_spans(unknown: int):
             if x is None:
                 texts.append(None)
                 continue
-            ends = [[{} for _ in c] for c in x]
+            ends = [_known_spans(list(c), *shared.value) for c in x]
             for s in spans if spans is not None else ():
                 ends[s["_clause"]][s["at"] + s["size"] - 1][s["size"]] = s["weight"]
             texts.append(" ".join(filter(None, (_joined(list(c), best_path(e, unknown)) for c, e in zip(x, ends, strict=True)))))
