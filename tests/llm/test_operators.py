@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,28 @@ def test_encoder_cuts_like_the_tokenizer():
     assert packing.Encoder(path)(texts) == want
 
 
+def test_packing_cuts_anywhere_give_the_tokens_of_whole_texts():
+    rng, path = random.Random(7), packing.default_tokenizer()
+    signs = ["a", "Be", "é", "ß", "×", "÷", "\u00aa", "中", "。", "—", "…", "’", "'s", "'", "1", "²", ".", ",", "&", " ", " ", " ", "\n", "\n", "\r\n", "\t"]
+    signs += ["\x00", "\x1c", "\x7f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "e\u0301", "<|endoftext|>", "x" * 23, "я" * 12]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(4000)]
+    plain = packing.Encoder(path).tokenizer
+    want = [list(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+    encode = packing.Encoder(path)
+    for _ in range(2):  # from the tokenizer, then from the table
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+
+
+def test_packing_remembers_many_words(monkeypatch):
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(400_000)]
+    encode, learned = packing.Encoder(packing.default_tokenizer()), []
+    texts = [" ".join(words[lo : lo + 50_000]) for lo in range(0, len(words), 50_000)]
+    first = [encode([t])[0] for t in texts]
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda new: (learned.extend(new), learn(new))[1])
+    assert [encode([t])[0] for t in texts] == first and not learned
+
+
 def test_shortest_pack_first():
     rng = random.Random(4)
     for _ in range(20):

@@ -22,11 +22,9 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +34,23 @@ from topicweave.session import staged
 
 MAX_TOKENS = 2048
 END_ID = 1
-MEMO_BYTES = 32 << 20
-#: what an entry of a table takes beside the characters of its cut
-ENTRY_BYTES = 216
-MEMO_CHARS = 64
-SLICE_CHARS = 1 << 20
-BATCH_BYTES = 4 << 20
+#: entries of the table of cuts; with its ids it takes about 75 bytes an entry
+MAX_CUTS = 450_000
+CUT_BYTES = 23
+SLICE_CHARS = 1 << 19
+BATCH_BYTES = 1 << 20
 RANK_BUCKETS = 1024
 TOKENIZER = "byte_bpe_50k.json"
-SPACE_BEFORE_SPACE = re.compile(r"\s ")
 BORDER = re.compile(r"\S ")
-#: how a byte-level vocabulary writes a space
-SPACE_LETTER = "\u0120"
+#: how a byte-level vocabulary writes a space and a line break
+SPACE_LETTER, BREAK_LETTER = "\u0120", "\u010a"
+#: bytes that are a visible ASCII character, an ASCII letter, the last byte of E2 80 .. white space
+SEEN = np.isin(np.arange(256), np.arange(33, 127))
+ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+ASCII_SIGN = SEEN & ~ASCII_LETTER & ~np.isin(np.arange(256), np.arange(48, 58))
+WIDE_SPACE = np.isin(np.arange(256), [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF])
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def default_tokenizer() -> str:
@@ -56,13 +59,92 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class CutTable:
+    """Token ids of cuts of at most ``CUT_BYTES`` bytes, by the cut's own bytes: three numbers, the last one's top byte is
+    the cut's length. Places are found by a hash, with the next free place for a taken one; keys are always compared."""
+
+    def __init__(self, size: int = 1 << 12):
+        self.places = np.full(4 * size, -1, np.int32)
+        self.keys = np.zeros((size, 3), np.uint64)
+        self.begin, self.length = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.ids = np.zeros(4 * size, np.uint32)
+        self.n = self.used = 0
+
+    @staticmethod
+    def keys_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keys of the cuts in ``data``, which 24 bytes of anything follow."""
+        words = np.ndarray(len(data) - 7, "<u8", buffer=data, strides=(1,))
+        keys = np.empty((len(starts), 3), np.uint64)
+        for k in range(3):
+            keys[:, k] = words[starts + 8 * k] & FIRST_BYTES[np.clip(sizes - 8 * k, 0, 8)]
+        keys[:, 2] |= sizes.astype(np.uint64) << np.uint64(56)
+        return keys
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * MIX[0] ^ keys[:, 1] * MIX[1] ^ keys[:, 2] * MIX[2]
+        h = (h ^ (h >> np.uint64(29))) * MIX[0]
+        return (h >> np.uint64(32)).astype(np.int64) & (len(self.places) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 for those not there."""
+        place = self._home(keys)
+        out = self.places.take(place)
+        wrong = np.flatnonzero((out >= 0) & ~self._same(out, keys))
+        while len(wrong):
+            place[wrong] = (place[wrong] + 1) & (len(self.places) - 1)
+            out[wrong] = self.places[place[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & ~self._same(out[wrong], keys[wrong])]
+        return out.astype(np.int64)
+
+    def _same(self, entries: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        held = self.keys.take(entries, 0, mode="wrap")
+        held ^= keys
+        return (held[:, 0] | held[:, 1] | held[:, 2]) == 0
+
+    def _enter(self, entries: np.ndarray) -> None:
+        place = self._home(self.keys[entries])
+        while len(entries):
+            free = self.places[place] < 0
+            self.places[place[free]] = entries[free]  # of several the last one stays
+            left = self.places[place] != entries
+            entries, place = entries[left], (place[left] + 1) & (len(self.places) - 1)
+
+    def reserve(self, more: int) -> None:
+        """Make room for ids behind those in use."""
+        if self.used + more > len(self.ids):
+            self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + more))
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Enter distinct new keys with their ids, one after the other in ``ids``; returns their entries."""
+        n = self.n + len(keys)
+        if n > len(self.keys):
+            size = max(2 * len(self.keys), n)
+            self.keys = np.resize(self.keys, (size, 3))
+            self.begin, self.length = np.resize(self.begin, size), np.resize(self.length, size)
+        entries = np.arange(self.n, n)
+        self.reserve(len(ids))
+        self.keys[entries], self.length[entries] = keys, lengths
+        self.begin[entries] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = n, self.used + len(ids)
+        if 2 * n > len(self.places):
+            self.places = np.full(1 << (4 * n).bit_length() - 1, -1, np.int32)
+            self._enter(np.arange(n))
+        else:
+            self._enter(entries)
+        return entries
+
+
 class Encoder:
     """Token ids of a text as little-endian 32-bit bytes, the same as encoding the whole text at once.
 
-    A byte-level tokenizer never puts a character that is no white space and a following space into one token, so a text
-    may be cut before each such space. Ids of a cut are remembered, in two tables bounded by bytes that all tasks of a
-    Python worker share. A new word of letters goes to the tokenizer's model directly; other new cuts are encoded together,
-    as one line with spaces between them, and told apart by the tokens that start with a space. Any other kind of tokenizer encodes whole texts.
+    A byte-level tokenizer never puts a character that is no white space and the white space after it into one token, nor
+    a letter and a sign after it. So a text may be cut before each such space, before a line break between two characters
+    that are no white space, and before an ASCII sign after a letter. Cuts are found in the bytes
+    of many texts at once, and their ids are remembered in a table bounded by its entries that all tasks of a Python
+    worker share. New words of letters go to the tokenizer's model alone; other new cuts go through the whole tokenizer.
+    Of both, those that start with a space go as lines, told apart by the tokens that start with one. Cuts too long for the
+    table are encoded each time. Any other kind of tokenizer encodes whole texts.
     """
 
     shared: dict[str, Encoder] = {}
@@ -71,7 +153,7 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -81,16 +163,15 @@ class Encoder:
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
             and kind["normalizer"] is None and kind["model"]["type"] == "BPE"
         )
-        self.memo: dict[str, bytes] = {}  # of a cut, without the space it starts with
-        self.older: dict[str, bytes] = {}  # the table before it; what is met again moves over
-        self.held = 0
-        self.marks = {c: self._plain([c])[0] for c in ",."}
+        self.table = CutTable()
+        self.words = Tokenizer(self.tokenizer.model)  # words of letters are one piece for the model
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes a byte-level vocabulary writes as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.as_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
-        self.from_space = np.zeros(len(self.as_bytes), bool)
-        self.from_space[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
+        vocab = self.tokenizer.get_vocab()
+        self.from_space = np.zeros(max(vocab.values()) + 1, bool)
+        self.from_space[[i for token, i in vocab.items() if token.startswith(SPACE_LETTER)]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -99,22 +180,35 @@ class Encoder:
         return cls.shared[path]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
     @staticmethod
-    def cuts(text: str) -> list[str]:
-        """The text before its first border, then what follows the space of each border."""
-        parts = text.split(" ")
-        if not SPACE_BEFORE_SPACE.search(text) and parts[0]:
-            return parts
-        out = [parts[0]]
-        for part in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(part)
-            else:  # white space or nothing before the space: no border here
-                out[-1] += " " + part
-        return out
+    def cuts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Where cuts start in the UTF-8 ``data`` of texts that start at ``firsts``; the last byte is a space behind them."""
+        first = np.zeros(len(data), bool)
+        first[firsts] = True
+        first[-1] = True
+
+        def no_space_before(at: np.ndarray) -> np.ndarray:
+            """Is the character before white space? Wider ones are told by their last bytes."""
+            a, b, c = data[at - 1], data[at - 2], data[at - 3]
+            wide = (b == 0xC2) & ((a == 0x85) | (a == 0xA0)) | (c == 0xE1) & (b == 0x9A) & (a == 0x80) | (c == 0xE2) & (b == 0x81) & (a == 0x9F)
+            wide |= (c == 0xE3) & (b == 0x80) & (a == 0x80) | (c == 0xE2) & (b == 0x80) & WIDE_SPACE[a]
+            return SEEN[a] | (a > 127) & ~wide
+
+        at = np.flatnonzero((data == 32) & ~first)
+        spaces = at[no_space_before(at)]
+        at = np.flatnonzero((data == 10) & ~first)
+        breaks = at[(SEEN[data[np.minimum(at + 1, len(data) - 1)]]) & ~first[np.minimum(at + 1, len(data) - 1)]]
+        breaks = breaks[no_space_before(breaks)]
+        # a sign after an ASCII letter or one of C3 80 to C3 BF
+        at = np.flatnonzero(ASCII_SIGN[data] & ~first)
+        a, b = data[at - 1], data[at - 2]
+        marks = at[ASCII_LETTER[a] | (b == 0xC3) & (a > 127) & (a != 0x97) & (a != 0xB7)]
+        first[spaces] = first[breaks] = first[marks] = True
+        first[-1] = False
+        return np.flatnonzero(first)
 
     @staticmethod
     def segments(text: str) -> Iterator[str]:
@@ -128,89 +222,91 @@ class Encoder:
             at = border.end() - 1
         yield text[at:]
 
-    def _line(self, cuts: list[str]) -> Iterator[bytes]:
-        """Ids of cuts that have no space inside and no white space at their end."""
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(cuts)], add_special_tokens=False)[0]
-        ids = np.asarray(found.ids, "<u4")
-        at = (np.flatnonzero(self.from_space[ids]) * 4).tolist()
-        data = ids.tobytes()
-        return (data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        memo, older = self.memo, self.older
-        # a letter followed by a comma or a full stop at the end is always a border
-        marked = [c for c in new if c[-1:] in self.marks and c[:-1].isalpha()]
-        stems = {c[:-1] for c in marked}.difference(new)
-        stems.difference_update([c for c in stems if c in memo])
-        again = [c for c in stems if c in older]
-        memo.update(zip(again, map(older.__getitem__, again)))
-        rest = [*stems.difference(again), *new.difference(marked)]
-        # a word of letters is one piece for the model; others go through the whole tokenizer
-        model, as_bytes, joined = self.tokenizer.model.tokenize, self.as_bytes, b"".join
-        other = []
-        for c in rest:
-            if not c.isalpha():
-                other.append(c)
-                continue
-            letters = c if c.isascii() else c.encode().decode("latin-1").translate(self.letters)
-            memo[c] = joined([as_bytes[x.id] for x in model(SPACE_LETTER + letters)])
-        line = [c for c in other if c and " " not in c and not c[-1].isspace()]
-        for lo in range(0, len(line), 4096):
-            part = line[lo : lo + 4096]
-            memo.update(zip(part, self._line(part), strict=True))
-        if len(line) < len(other):
-            other = [c for c in other if not c or " " in c or c[-1].isspace()]
-            memo.update(zip(other, self._plain([f" {c}" for c in other]), strict=True))
-        memo.update((c, memo[c[:-1]] + self.marks[c[-1]]) for c in marked)
-        self.held += sum(map(len, rest)) + ENTRY_BYTES * (len(rest) + len(marked))
-
-    def _known(self, cuts: list[str]) -> list[bytes]:
-        """Ids of distinct cuts, each with the space before it."""
-        if self.held > MEMO_BYTES:
-            self.older, self.memo, self.held = self.memo, {}, 0
-        memo, older = self.memo, self.older
-        new = set(filterfalse(memo.__contains__, cuts))
-        again = [c for c in new if c in older]
-        memo.update(zip(again, map(older.__getitem__, again)))
-        self.held += ENTRY_BYTES * len(again)
-        new.difference_update(again)
-        self._learn(new)
-        found = [*map(memo.__getitem__, cuts)]
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                memo.pop(c, None)
-        return found
+    def _written(self, word: str) -> str:
+        """A word of letters as the vocabulary writes it."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _lines(self, tokenizer, cuts: list[str], joint: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cuts that start with their only space and have no white space at their end, and how many each has."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(cuts), 512):
+            found = tokenizer.encode_batch_fast([joint.join(cuts[lo : lo + 512])], add_special_tokens=False)[0]
+            ids.append(np.asarray(found.ids, np.uint32))
+            lengths.append(np.diff(np.flatnonzero(self.from_space[ids[-1]]), append=len(ids[-1])))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cuts, one after the other, and how many each has."""
+        words, line, rest = [], [], []
+        for i, c in enumerate(new):
+            if c[0] != " ":
+                rest.append(i)
+            elif c[1:].isalpha():
+                words.append(i)
+            else:
+                (rest if len(c) == 1 or " " in c[1:] or c[-1].isspace() else line).append(i)
+        found = [
+            self._lines(self.words, [SPACE_LETTER + self._written(new[i][1:]) for i in words], " "),
+            self._lines(self.tokenizer, [new[i] for i in line], ""),
+        ]
+        model, late = self.tokenizer.model.tokenize, []
+        broken = [x.id for x in model(BREAK_LETTER)]
+        for i in rest:
+            c = new[i]
+            if c[c[0] == "\n" :].isalpha():
+                late.append(broken * (c[0] == "\n") + [x.id for x in model(self._written(c.lstrip("\n")))])
+            else:
+                late.append(self.tokenizer.encode_batch_fast([c], add_special_tokens=False)[0].ids)
+        found.append((np.asarray([x for ids in late for x in ids], np.uint32), np.asarray([*map(len, late)], np.int64)))
+        # back into the order of the cuts
+        order = np.asarray([*words, *line, *rest], np.int64)
+        lengths, begin = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        lengths[order] = together = np.concatenate([n for _, n in found])
+        begin[order] = np.cumsum(together) - together
+        return np.concatenate([ids for ids, _ in found])[spread(begin, lengths)], lengths
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts_words or not texts:
             return self._plain(texts)
-        # most texts have a border at every space: Arrow cuts them
-        easy = [bool(t) and t[0] != " " and not SPACE_BEFORE_SPACE.search(t) for t in texts]
-        order = [*(i for i, x in enumerate(easy) if x), *(i for i, x in enumerate(easy) if not x)]
-        split = pc.split_pattern(pa.array([t for t, x in zip(texts, easy, strict=True) if x], pa.string()), " ")
-        hard = [self.cuts(t) for t, x in zip(texts, easy, strict=True) if not x]
-        words = pa.concat_arrays([split.flatten(), pa.array([*chain.from_iterable(hard)], pa.string())]).dictionary_encode()
-        sizes = np.concatenate([split.value_lengths().to_numpy(), np.array([*map(len, hard)], np.int32)]).astype(np.int64)
-        at, names = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)  # names are str
-        ends = np.cumsum(sizes)
-        first = ends - sizes  # the first cut of a text has no space before it
-        inner = np.ones(len(at), bool)
-        inner[first] = False
-        used = np.flatnonzero(np.bincount(at[inner], minlength=len(names)))
-        found = self._known(names[used].tolist()) + self._plain(names[at[first]].tolist())
-        entry = np.zeros(len(names), np.int64)
-        entry[used] = np.arange(len(used))
-        entry = entry[at]
-        entry[first] = len(used) + np.arange(len(first))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        each = lengths[entry]
-        upto = np.cumsum(each)
-        begin = (np.cumsum(lengths) - lengths)[entry] - (upto - each)
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin, each) + np.arange(upto[-1])].tobytes()
-        out, low = [b""] * len(texts), 0
-        for i, high in zip(order, (upto[ends - 1] * 4).tolist(), strict=True):
-            out[i], low = ids[low:high], high
-        return out
+        raw = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = b"".join([*raw, b" " * 25])
+        data = np.frombuffer(whole, np.uint8)
+        ends = np.cumsum(size)
+        starts = self.cuts(data[: int(ends[-1]) + 1], (ends - size)[size > 0])
+        if not len(starts):
+            return [b""] * len(texts)
+        stops = np.append(starts[1:], ends[-1])
+        sizes, table = stops - starts, self.table
+        if table.n > MAX_CUTS:
+            table = self.table = CutTable()
+        short = np.flatnonzero(sizes <= CUT_BYTES)
+        keys = table.keys_of(data, starts[short], sizes[short])
+        entry = table.find(keys)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            k = keys[missing]
+            order = np.lexsort((k[:, 0], k[:, 1], k[:, 2]))
+            k = k[order]
+            head = np.r_[True, (k[1:] != k[:-1]).any(axis=1)]
+            at = short[missing[order[head]]]
+            cuts = [whole[a:b].decode() for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+            entry[missing[order]] = table.add(k[head], *self._learn(cuts))[np.cumsum(head) - 1]
+        begin, length = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        begin[short], length[short] = table.begin.take(entry), table.length.take(entry)
+        if len(short) < len(starts):
+            long = np.flatnonzero(sizes > CUT_BYTES)
+            cuts = [whole[a:b].decode() for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
+            number = {c: i for i, c in enumerate(dict.fromkeys(cuts))}
+            ids, lengths = self._learn([*number])
+            table.reserve(len(ids))  # behind the table's ids for now
+            table.ids[table.used : table.used + len(ids)] = ids
+            place = np.asarray([number[c] for c in cuts])
+            begin[long], length[long] = (table.used + np.cumsum(lengths) - lengths)[place], lengths[place]
+        upto = np.r_[0, np.cumsum(length)]
+        ids = table.ids.take(spread(begin, length), mode="clip").astype("<u4", copy=False).tobytes()
+        at = (upto[np.searchsorted(starts, np.r_[0, ends])] * 4).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def encoded(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of every text; of many short ones at once, of a long one slice by slice."""
@@ -230,6 +326,12 @@ class Encoder:
         yield from self(short)
 
 
+def spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of stretches one after the other."""
+    upto = np.cumsum(length)
+    return np.repeat(begin - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)
+
+
 def _piece_batches(path: str, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     width = MAX_TOKENS * 4
