@@ -153,3 +153,34 @@ def test_mix_takes_what_its_slots_say(spark, monkeypatch, block, shard):
     again = source_mix.mix(frame.repartition(5, "text")).taken().collect()
     assert Counter((r.doc_id, r.size, r.target, r.taken) for r in again) == Counter((r.doc_id, r.size, r.target, r.taken) for r in got)
     assert source_mix.mix(frame.limit(0)).taken().count() == 0
+
+
+def test_a_fold_counts_short_and_long_terms():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aAbé", k=n)) for n in (1, 3, 4, 5, 8, 9, 16, 17, 22, 23, 24, 25, 33, 70) for _ in range(4)]
+    words += [w[:20] + "zz" for w in words[-8:]] + ["", ".", "x" * 40, "x" * 30]
+    docs = [(rng.choice(["en", ""]), rng.choice(["s", "t"]), rng.choice([" ", "\n", "1,"]).join(rng.choices(words, k=rng.randint(0, 30)))) for _ in range(300)]
+    names = ["lang", "source", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs, strict=True)], names)
+    got = pa.Table.from_batches([*divergence._fold_batches(iter([batch]))]).to_pylist()
+    want = {}
+    for lang, source, text in docs:
+        found = text.encode().translate(divergence.TO_TERMS).split()
+        for w in set(found):
+            row = want.setdefault((lang, source, w), [0, 0])
+            row[:] = row[0] + found.count(w), row[1] + 1
+        for level in (4, 8, 16, 32, 64):
+            for w in {w[:level] for w in found if len(w) > level}:
+                row = want.setdefault((lang, None, w), [None, 0])
+                row[1] += 1
+    assert {(r["lang"], r["source"], r["term"]): [r["n"], r["docs"]] for r in got} == want and len(got) == len(want)
+
+
+def test_kept_counts_move_once(spark):
+    rows = [("en", s, w.encode(), 1, d) for s in "st" for w, d in (("many", 2), ("few", 1))] + [("en", None, b"many", None, 4)]
+    folded = spark.createDataFrame(rows, "lang string, source string, term binary, n bigint, docs bigint")
+    kept = spark.createDataFrame([("en", b"many")], "lang string, term binary")
+    got = divergence.kept_counts(folded, kept)
+    assert sorted(map(tuple, got.collect())) == [("en", s, b"many", 1, 2) for s in "st"]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(lang#") == 1 and plan.count("HashJoin") == 1 and "SortMergeJoin" not in plan  # the bitmap

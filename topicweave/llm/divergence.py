@@ -8,8 +8,8 @@ kept if it reached the threshold itself. Rare terms fall out early, with prefixe
 
 The texts are read once. A task folds whole documents into rows of two kinds: per (language, source, term) the occurrences
 and the number of documents, and per (language, prefix), for each level, the number of distinct documents that have a
-longer term with this prefix. No document is in two folds, so all of these numbers are exact when they are added. The
-rows are written where they arise. Each level reads those of its length, without the ones whose prefix fell out before:
+longer term with this prefix. No document is in two folds, so all of these numbers are exact when they are added. A
+fold numbers its terms and counts by sorting numbers. The rows are written where they arise. Each level reads those of its length, without the ones whose prefix fell out before:
 a bitmap of fixed size takes them away, and what slips through fails the count, since an extension has no more documents
 than its prefix.
 
@@ -26,7 +26,6 @@ not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicweave.llm.common import query, table
+from topicweave.llm.packing import CUT_BYTES, FIRST_BYTES, CutTable
 from topicweave.operators.bounded import SALTS, join_lookup, maybe_in
 from topicweave.session import staged
 
@@ -43,7 +43,9 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 FIRST_LEVEL = 4
-MAX_ENTRIES = 1_500_000
+#: words of whole documents that a fold holds before it gives its rows
+MAX_ENTRIES = 2_000_000
+SLICE_BYTES = 1 << 20
 BLOCK = 512
 BUCKET_ENTRIES = 200_000
 CELLS = 1 << 20
@@ -52,47 +54,147 @@ TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 els
 
 
 class _Fold:
-    """Occurrences and document counts of the terms and prefixes met so far, in bounded memory."""
+    """Occurrences and document counts of the terms and prefixes of whole documents, in bounded memory.
+
+    Terms get numbers, in order of arrival: by a table those of at most ``CUT_BYTES`` bytes, by a dictionary the others.
+    """
 
     def __init__(self) -> None:
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.prefixes: dict[str, Counter] = defaultdict(Counter)
-
-    def add(self, lang: str, source: str, text: str) -> None:
-        words = text.encode("utf-8", "surrogatepass").translate(TO_TERMS).split()
-        distinct = set(words)
-        self.counts[lang, source].update(words)
-        self.docs[lang, source].update(distinct)
-        level, longer = FIRST_LEVEL, [w for w in distinct if len(w) > FIRST_LEVEL]
-        while longer:
-            self.prefixes[lang].update({w[:level] for w in longer})
+        self.table, self.long = CutTable(), {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.group_of: list[int] = []  # of each document
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # documents and terms, long ones as -1 - number
+        self.words = 0
+
+    def add(self, langs: list[str], sources: list[str], texts: list[bytes]) -> None:
+        table, before = self.table, len(self.group_of)
+        self.group_of += [self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources, strict=True)]
+        whole = (b" ".join([b"", *texts, b""]) + b" " * 25).translate(TO_TERMS)
+        data = np.frombuffer(whole, np.uint8)
+        inside = data != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # a space is first and last
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            return
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        doc = before + np.searchsorted(ends, starts, "left")
+        short = np.flatnonzero(sizes <= CUT_BYTES)
+        keys = table.keys_of(data, starts[short], sizes[short])
+        term = np.zeros(len(starts), np.int64)
+        entry = table.find(keys)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            order, head = _same_rows(keys[missing])
+            k = keys[missing[order[head]]]
+            entry[missing[order]] = table.add(k, np.zeros(0, np.uint32), np.zeros(len(k), np.int64))[np.cumsum(head) - 1]
+        term[short] = entry
+        for i in np.flatnonzero(sizes > CUT_BYTES).tolist():
+            at = int(starts[i])
+            term[i] = -1 - self.long.setdefault(whole[at : at + int(sizes[i])], len(self.long))
+        self.parts.append((doc.astype(np.int32), term.astype(np.int32)))
+        self.words += len(doc)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        n, long = self.table.n, [*self.long]
+        keys = np.concatenate([self.table.keys[:n], np.frombuffer(b"".join(t[:24] for t in long), np.uint64).reshape(-1, 3)])
+        sizes = np.concatenate([(self.table.keys[:n, 2] >> np.uint64(56)).astype(np.int64), np.fromiter(map(len, long), np.int64, len(long))])
+        doc, term = (np.concatenate(x).astype(np.int64) for x in zip(*self.parts, strict=True))
+        self.parts = []
+        group_of, names = np.asarray(self.group_of), [*self.groups]
+
+        term[term < 0] = n - 1 - term[term < 0]
+        key, count = _counted(group_of[doc] << 32 | term)
+        pairs, _ = _counted(doc << 32 | term)
+        doc, term = pairs >> 32, pairs & 0xFFFFFFFF
+        _, docs = _counted(group_of[doc] << 32 | term)  # the same keys
+        g, t = key >> 32, key & 0xFFFFFFFF
+        for lo, hi in _stretches(g):
+            lang, source = names[g[lo]]
+            yield _rows(lang, source, _bytes_of(keys, sizes, t[lo:hi], n, long), count[lo:hi], docs[lo:hi])
+
+        langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in names))}
+        lang_of, known = np.asarray([langs[lang] for lang, _ in names])[group_of], [*langs]
+        level = FIRST_LEVEL
+        while len(doc):
+            more = sizes[term] > level
+            doc, term = doc[more], term[more]
+            if not len(doc):
+                break
+            used = np.flatnonzero(np.bincount(term, minlength=len(sizes)))
+            number = np.zeros(len(sizes), np.int64)
+            if level <= 16:
+                heads = np.zeros((len(used), 3), np.uint64)
+                for k in range(2):
+                    heads[:, k] = keys[used, k] & FIRST_BYTES[min(max(level - 8 * k, 0), 8)]
+                same, head = _same_rows(heads)
+                number[used[same]] = np.cumsum(head) - 1
+                prefixes = _bytes_of(heads, np.full(len(heads), level), same[head], len(heads), [])
+            else:  # terms of the dictionary only
+                found: dict[bytes, int] = {}
+                number[used] = [found.setdefault(long[i - n][:level], len(found)) for i in used.tolist()]
+                prefixes = pa.array([*found], pa.binary())
+            once, _ = _counted(doc << 32 | number[term])
+            key, docs = _counted(lang_of[once >> 32] << 32 | once & 0xFFFFFFFF)
+            for lo, hi in _stretches(key >> 32):
+                yield _rows(known[key[lo] >> 32], None, prefixes.take(pa.array(key[lo:hi] & 0xFFFFFFFF)), None, docs[lo:hi])
             level *= 2
-            longer = [w for w in longer if len(w) > level]
 
-    def entries(self) -> int:
-        return 2 * sum(map(len, self.counts.values())) + sum(map(len, self.prefixes.values()))
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "source", "term", "n", "docs"]
-        for (lang, source), found in self.counts.items():
-            n, docs = len(found), self.docs[lang, source]
-            cols = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([*map(docs.__getitem__, found)], pa.int64())], names)
-        for lang, found in self.prefixes.items():
-            n = len(found)
-            cols = [pa.array([lang] * n, pa.string()), pa.nulls(n, pa.string()), pa.array([*found], pa.binary()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([*found.values()], pa.int64())], names)
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each is there; ``values`` are sorted in place."""
+    values.sort()
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return values[at], np.diff(at, append=len(values))
+
+
+def _same_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows that puts equal ones together, and which of them are the first of their kind."""
+    order = np.lexsort((keys[:, 0], keys[:, 1], keys[:, 2]))
+    k = keys[order]
+    return order, np.r_[True, (k[1:] != k[:-1]).any(axis=1)]
+
+
+def _stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last place, exclusive, of each run of equal values."""
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return zip(at.tolist(), [*at[1:].tolist(), len(values)], strict=True)
+
+
+def _bytes_of(keys: np.ndarray, sizes: np.ndarray, term: np.ndarray, n: int, long: list[bytes]) -> pa.Array:
+    """The terms of these numbers: below ``n`` from the bytes of their keys."""
+    if (term >= n).any():
+        held = _bytes_of(keys, sizes, term[term < n], n, long).to_pylist()
+        held = iter(held)
+        return pa.array([next(held) if t < n else long[t - n] for t in term.tolist()], pa.binary())
+    size = sizes[term]
+    flat = keys[term].astype("<u8", copy=False).view(np.uint8).reshape(-1, 24)[np.arange(24) < size[:, None]]
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(term), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _rows(lang: str, source: str | None, terms: pa.Array, count: np.ndarray | None, docs: np.ndarray) -> pa.RecordBatch:
+    n = len(terms)
+    cols = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), terms]
+    cols += [pa.nulls(n, pa.int64()) if count is None else pa.array(count, pa.int64()), pa.array(docs, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fold = _Fold()
     for batch in batches:
-        for i, (lang, source, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
-            fold.add(lang, source, text.as_py())
-            if i % 64 == 0 and fold.entries() > MAX_ENTRIES:
-                yield from fold.rows()
-                fold = _Fold()
+        lang, source, lo, held = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, []
+        room = SLICE_BYTES
+        for i, text in enumerate(batch.column(2)):
+            held.append(text.as_py().encode("utf-8", "surrogatepass"))
+            room -= len(held[-1])
+            if room < 0 or i + 1 == batch.num_rows:
+                fold.add(lang[lo : i + 1], source[lo : i + 1], held)
+                lo, held, room = i + 1, [], SLICE_BYTES
+                if fold.words > MAX_ENTRIES:
+                    yield from fold.rows()
+                    fold = _Fold()
     yield from fold.rows()
 
 
@@ -120,13 +222,17 @@ def refine(folded: DataFrame, least: int = MIN_DOCS) -> DataFrame:
         level *= 2
 
 
-def kept_counts(occurrences: DataFrame, kept: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``term``, ``n`` of the kept terms, and ``n_lang`` over all sources of the language."""
-    keys = kept.select(F.xxhash64("lang", "term").alias("key"))
-    near = maybe_in(occurrences.select("lang", "source", "term", "n", F.xxhash64("lang", "term").alias("key")), keys, "key")
-    summed = near.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    exact = summed.join(kept, ["lang", "term"])
-    return exact.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang", "term")))  # a row for each source
+def kept_counts(folded: DataFrame, kept: DataFrame, least: int = MIN_DOCS) -> DataFrame:
+    """``lang``, ``source``, ``term``, ``n`` of the kept terms, and ``n_lang`` over all sources of the language.
+
+    A bitmap takes most other terms away; what slips through fails the count of documents, as in the refinement. All
+    steps meet in one shuffle by language and term."""
+    whole = folded.where("n IS NOT NULL").select("lang", "source", "term", "n", "docs", F.xxhash64("lang", "term").alias("key"))
+    near = maybe_in(whole, kept.select(F.xxhash64("lang", "term").alias("key")), "key").drop("key").repartition("lang", "term")
+    summed = near.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")  # a row for each source
+    exact = summed.withColumns({"n_lang": F.sum("n").over(term), "lang_docs": F.sum("docs").over(term)})
+    return exact.where(F.col("lang_docs") >= least).drop("docs", "lang_docs")
 
 
 def source_totals(groups: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
@@ -193,7 +299,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     narrow = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in names.items()])
     folded = staged(folded_terms(narrow), "terms")
     kept = staged(refine(folded), "kept-terms")
-    counts = staged(kept_counts(folded.where("n IS NOT NULL"), kept), "term-counts")
+    counts = staged(kept_counts(folded, kept), "term-counts")
     totals = staged(source_totals(narrow.select("lang", "source").distinct(), counts, kept), "source-totals")
 
     # every source against each other source of its language
