@@ -5,24 +5,26 @@ a phrase is the logarithm of its share of all words, in whole millionths, so tha
 everywhere. Of all ways to cut a clause into known phrases and single words the one with the largest sum wins; between
 equal ones, that whose last phrase is longer, from the end backwards.
 
-A lexicon that fits a broadcast travels as a table of phrases and of their beginnings, which a walk from each word uses
-like a trie. Of a larger one the heaviest phrases, which are most of what a text holds, travel that way. The others are
-joined: a bitmap sorts out most other runs of the texts, hot runs are salted, and only the spans that are found go back.
+A lexicon that fits a broadcast travels as a trie over numbers of words, in which many texts are looked up at once. Of a
+larger one the heaviest phrases, which are most of what a text holds, travel that way. The others are joined: a bitmap sorts
+out most other runs of the texts, hot runs are salted, and only the spans that are found go back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import words
-from topicweave.operators.bounded import counted_join, maybe_in, small_or_none
+from topicweave.operators.bounded import counted_join
+from topicweave.operators.grams import Cut, chunks, cut, frequent_grams, glued, listed_and_rest, runs_among, shared_lexicon
 from topicweave.session import staged
 
-MAX_LEXICON = 500_000
+MAX_LEXICON = 3_000_000
+NEVER = -(1 << 60)
 CLAUSE_END = r"([.!?…,;:])\s"
 
 
@@ -31,20 +33,11 @@ def clauses(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, CLAUSE_END, "$1\n"), "\n"), words)
 
 
-def _runs(tokens: Column, size: int) -> Column:
-    """All runs of ``size`` neighbouring words, as (place, run)."""
-    last = F.size(tokens) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice(tokens, i + 1, F.lit(size)), " ").alias("gram")))
-
-
 def phrases(df: DataFrame, text: str, max_words: int = 4, min_count: int = 5) -> DataFrame:
     """``gram``, ``size`` in words, ``n`` and ``weight`` of every word and of every frequent phrase of the texts."""
-    lists = df.select(F.explode(clauses(F.col(text))).alias("c"))
-    grams = lists.select(F.explode(F.concat(*[_runs(F.col("c"), k) for k in range(1, max_words + 1)])).alias("g"))
-    counts = grams.groupBy("g.gram", "g.size").agg(F.count(F.lit(1)).alias("n"))
-    counts = staged(counts.where((F.col("size") == 1) | (F.col("n") >= min_count)), "phrases")
-    total = counts.where("size = 1").agg(F.sum("n")).first()[0] or 1
+    words, runs, _ = frequent_grams(df, text, max_words, min_count, clauses=True)
+    total = words.agg(F.sum("n")).first()[0] or 1
+    counts = words.select("gram", F.lit(1).alias("size"), "n").unionByName(runs)
     return counts.withColumn("weight", F.round(F.ln(F.col("n") / F.lit(total)) * 1e6).cast("bigint"))
 
 
@@ -63,87 +56,98 @@ def best_path(spans: list[dict[int, int]], unknown: int) -> list[int]:
     return out[::-1]
 
 
-def _joined(tokens: list[str], sizes: list[int]) -> str:
-    parts, at = [], 0
-    for k in sizes:
-        parts.append("_".join(tokens[at : at + k]))
-        at += k
-    return " ".join(parts)
-
-
 def segment_lattice(df: DataFrame, text: str, row_id: str, lexicon: DataFrame, out: str | None = None) -> DataFrame:
     """Phrases of ``lexicon`` (``gram``, ``size``, ``weight``) on the best path are joined by underscores; ``row_id`` must be
     unique if the lexicon is larger than ``MAX_LEXICON``. A word that is not listed weighs as little as the rarest.
     Null stays null."""
     out = out or text
     unknown = lexicon.agg(F.min("weight")).first()[0] or 0
-    listed = small_or_none(lexicon.select("gram", "weight"), MAX_LEXICON)
-    if listed is not None:
-        return df.withColumn(out, _by_trie(listed, unknown)(clauses(F.col(text))))
-    longest, entries = lexicon.agg(F.max("size"), F.count(F.lit(1))).first()
-    # one part in ten below the limit, because the cut is approximate
-    cut = lexicon.agg(F.percentile_approx("weight", 1 - 0.9 * MAX_LEXICON / entries, 10_000)).first()[0]
-    hot = small_or_none(lexicon.where(F.col("weight") > cut).select("gram", "weight"), MAX_LEXICON)
-    rare = lexicon.where(F.col("weight") <= cut) if hot is not None else lexicon
-    rare = staged(rare.where("weight IS NOT NULL").select("gram", "weight"), "rare-phrases")
-    lists = df.select(row_id, F.posexplode(clauses(F.col(text))).alias("_clause", "_c"))
-    runs = lists.select(row_id, "_clause", F.explode(F.concat(*[_runs(F.col("_c"), k) for k in range(1, longest + 1)])).alias("g"))
-    runs = maybe_in(runs.select(row_id, "_clause", "g.at", "g.size", "g.gram"), rare, "gram")
+    lexicon = staged(_that_matter(lexicon), "lexicon")
+    listed, rare = listed_and_rest(lexicon, MAX_LEXICON)
+    if rare is None:
+        return df.withColumn(out, _by_lexicon(listed, unknown)(F.col(text)))
+    rare, longest = rare.select("gram", "weight"), lexicon.agg(F.max("size")).first()[0]
+    runs = runs_among(df, text, row_id, rare, range(1, longest + 1), clauses=True)
     counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(rare, "gram")
-    hits = counted_join(runs, counts, ["gram"], "inner", F.struct(row_id, "_clause", "at"))
-    per = hits.groupBy(row_id).agg(F.collect_list(F.struct("_clause", "at", "size", "weight")).alias("_spans"))  # bounded by the text
+    hits = counted_join(runs, counts, ["gram"], "inner", F.struct(row_id, "at"))
+    per = hits.groupBy(row_id).agg(F.collect_list(F.struct("at", "size", "weight")).alias("_spans"))  # bounded by the text
     both = df.join(per, row_id, "left")
-    return both.withColumn(out, _by_spans(hot, unknown)(clauses(F.col(text)), F.col("_spans"))).drop("_spans")
-
-
-def _trie(lexicon: DataFrame | None):
-    """Phrases with their weights, and the beginnings of phrases that may go on."""
-    weights = {r["gram"]: r["weight"] for r in lexicon.toLocalIterator()} if lexicon is not None else {}
-    return weights, {gram[:i] for gram in weights for i in range(len(gram)) if gram[i] == " "}
-
-
-def _known_spans(tokens: list[str], weights: dict[str, int], begun: set[str]) -> list[dict[int, int]]:
-    spans: list[dict[int, int]] = [{} for _ in tokens]
-    for i, gram in enumerate(tokens):
-        k = i
-        while True:
-            if gram in weights:
-                spans[k][k + 1 - i] = weights[gram]
-            k += 1
-            if k == len(tokens) or gram not in begun:
-                break
-            gram = f"{gram} {tokens[k]}"
-    return spans
-
-
-def _by_trie(lexicon: DataFrame, unknown: int):
-    shared = lexicon.sparkSession.sparkContext.broadcast(_trie(lexicon))
-
-    def path(tokens: list[str]) -> str:
-        return _joined(tokens, best_path(_known_spans(tokens, *shared.value), unknown))
-
-    @F.pandas_udf("string")
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in series:
-            yield pd.Series([None if x is None else " ".join(filter(None, (path(list(c)) for c in x))) for x in lists], dtype=object)
-
-    return run
-
-
-def _by_spans(hot: DataFrame | None, unknown: int):
-    shared = SparkSession.active().sparkContext.broadcast(_trie(hot))
-
-    @F.pandas_udf("string")
-    def run(lists: pd.Series, found: pd.Series) -> pd.Series:
-        texts = []
-        for x, spans in zip(lists, found, strict=True):
-            if x is None:
-                texts.append(None)
-                continue
-            ends = [_known_spans(list(c), *shared.value) for c in x]
-            for s in spans if spans is not None else ():
-                ends[s["_clause"]][s["at"] + s["size"] - 1][s["size"]] = s["weight"]
-            texts.append(" ".join(filter(None, (_joined(list(c), best_path(e, unknown)) for c, e in zip(x, ends, strict=True)))))
-        return pd.Series(texts, dtype=object)
-
-    return run
+    return both.withColumn(out, _by_lexicon(listed, unknown)(F.col(text), F.col("_spans"))).drop("_spans")
+
+
+def _that_matter(lexicon: DataFrame) -> DataFrame:
+    """Phrases of several words, and the words in them. Any other word is cut off by itself on every path."""
+    known, long = lexicon.where("gram IS NOT NULL AND weight IS NOT NULL").select("gram", "size", "weight"), F.instr("gram", " ") > 0
+    inside = known.where(long).select(F.explode(F.split("gram", " ")).alias("gram")).distinct()
+    return known.where(long).unionByName(known.where(~long).join(inside, "gram", "left_semi"))
+
+
+def _best_cuts(c: Cut, spans: list[tuple[int, np.ndarray, np.ndarray]], unknown: int) -> np.ndarray:
+    """Marks each word that the best path joins to the one before. ``spans``: size, places of first words, weights.
+
+    Words that no phrase links stand alone on every path, so the paths are those of runs of linked words. They are followed
+    for many runs at once, a word of each in a step; the state is the last sums, as many as a phrase has words.
+    """
+    n, longest = len(c.first), max([1, *(k for k, _, _ in spans)])
+    weights = [None, np.full(n, unknown, np.int64)] + [np.full(n, NEVER) for _ in range(longest - 1)]
+    depth = np.zeros(n + 1, np.int32)
+    for size, at, weight in spans:  # the weight stands where the phrase ends
+        weights[size][at + size - 1] = weight
+        if size > 1:
+            depth += np.bincount(at + 1, minlength=n + 1).astype(np.int32) - np.bincount(at + size, minlength=n + 1).astype(np.int32)
+    begin = np.flatnonzero(np.cumsum(depth[:n]) == 0)
+    size = np.diff(np.append(begin, n))
+    begin, size = begin[size > 1], size[size > 1]
+    order = np.argsort(-size)
+    begin, size = begin[order], size[order]
+    back, sums = np.ones(n, np.int32), [np.zeros(len(begin), np.int64)] + [np.full(len(begin), NEVER) for _ in range(longest - 1)]
+    active = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")  # runs with a word left, step by step
+    for step, going in enumerate(active):
+        at = begin[:going] + step
+        best, chosen = sums[0][:going] + weights[1][at], np.ones(going, np.int32)
+        for k in range(2, longest + 1):
+            option = sums[k - 1][:going] + weights[k][at]
+            better = option >= best  # of equal sums the longer phrase
+            best, chosen = np.where(better, option, best), np.where(better, k, chosen)
+        back[at] = chosen
+        sums = [best] + [s[:going] for s in sums[:-1]]
+    glue = np.zeros(n, bool)
+    at, floor = begin + size - 1, begin
+    while len(at):
+        for k in range(2, longest + 1):
+            long = at[back[at] >= k]
+            glue[long - (k - 2)] = True
+        at = at - back[at]
+        at, floor = at[at >= floor], floor[at >= floor]
+    return glue
+
+
+def _by_lexicon(lexicon: DataFrame | None, unknown: int):
+    """A function of texts, and of their spans of phrases found elsewhere, that joins the words of the best path."""
+    shared = shared_lexicon(SparkSession.active(), lexicon)
+
+    def joined(texts: pa.Array, found: pa.Array | None) -> pa.Array:
+        parts, lo = [], 0
+        for some in chunks(texts):
+            c = cut(some, clauses=True)
+            spans = [*shared.value.spans(c)] if shared.value is not None else []
+            if found is not None:
+                theirs = found.slice(lo, len(some))
+                text, flat = pc.list_parent_indices(theirs).to_numpy(), theirs.flatten()
+                at, size, weight = (pc.struct_field(flat, f).to_numpy() for f in ("at", "size", "weight"))
+                at = at + (c.ends - np.diff(c.ends, prepend=0))[text]
+                spans += [(int(k), at[size == k], weight[size == k]) for k in np.unique(size)]
+            parts.append(glued(c, _best_cuts(c, spans, unknown)))
+            lo += len(some)
+        whole = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        return pc.if_else(pc.is_null(texts), pa.scalar(None, pa.string()), whole)
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return joined(texts, None)
+
+    @F.arrow_udf("string")
+    def run_with_spans(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return joined(texts, found)
+
+    return lambda *columns: (run if len(columns) == 1 else run_with_spans)(*columns)
