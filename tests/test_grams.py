@@ -72,3 +72,13 @@ def test_no_row_for_each_run(frame, monkeypatch):
     assert {r.t for r in lattice.segment_lattice(rows, "t", "i", found).collect()} == {"one_two_three_four, five"}
     pairs = frame([("one", "two", 5), ("two", "three", 5), ("three", "four,", 5)], "w1 string, w2 string, n_pair int")
     assert {r.t for r in lexicon.segment_words(rows, "t", "i", pairs).collect()} == {"one_two three_four, five"}
+
+
+def test_tone_marks_by_distinct_words(frame):
+    """Each distinct word is looked at once for all texts of a chunk; a word that is no syllable keeps its bars."""
+    rows = pa.array(["hoá  thuỷ\thoá", None, "", " gía a|oá|b épationre ", "plain words"])
+    got = tx._toned.func(rows).to_pylist()
+    assert got == ["hóa thủy hóa", None, "", "gía a|oá|b épationre", "plain words"]
+    tx.place_tone.cache_clear()
+    tx._toned.func(pa.array(["hoá thuỷ hoá quý của"] * 1000))
+    assert tx.place_tone.cache_info().misses == 4 and tx.place_tone.cache_info().hits == 0
