@@ -106,3 +106,20 @@ def test_own_scores_are_those_of_the_pair(spark, monkeypatch):
         monkeypatch.setattr(ks, "CHUNK_BYTES", size)
         got = ks._own_scores(spark.createDataFrame(asked, "pair int, id long, sign double, x array<float>"), model).collect()
         assert len(got) == len(asked) and all(abs(r["score"] - every[r["id"]][r["pair"]]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("block", [4, 64, 1024])
+def test_solver_takes_blocks_of_rows(monkeypatch, block):
+    """Kernel rows are asked for many at once, and the solution keeps to the bounds, the constraint and the tolerance."""
+    x, label = points(300)
+    sign, cost = np.where(label == 0, 1.0, -1.0), np.where(label == 0, 1.5, 0.5)
+    asked, rows = [], ks._Rows.__getitem__
+    monkeypatch.setattr(ks, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ks, "CACHE_ROWS", 40)
+    monkeypatch.setattr(ks._Rows, "__getitem__", lambda self, some: (asked.append(some.size), rows(self, some))[1])
+    alpha, bias = ks.solve(x, sign, cost, 0.7, 1e-4)
+    assert max(asked) <= block and (block < 64 or len(asked) < 60)
+    assert (alpha >= 0).all() and (alpha <= cost).all() and abs(sign @ alpha) < 1e-9
+    k = ks.rbf(x, x, 0.7)
+    up, down = _slope(alpha, sign, k, cost, 1).max(), _slope(alpha, sign, k, cost, -1).min()
+    assert up - down < 1e-4 + 1e-9 and abs((up + down) / 2 - bias) < 1e-6

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from topicweave.session import staged
 
-PART_ROWS = 512
+PART_ROWS = 16_384
 CACHE_ROWS = 1024
+BLOCK_ROWS = 256  # variables that are solved together
+BLOCK_STEPS = 8  # steps for each of them, at most, before others are looked at
 CHUNK_BYTES = 64 << 20
 SCORE_ROWS = 1024  # a block of kernel values has at most the square of it
 MAX_ROUNDS = 30
@@ -57,22 +59,30 @@ class _Rows:
     def __init__(self, x: np.ndarray, gamma: float) -> None:
         self.x, self.gamma, self.kept, self.norms = x, gamma, {}, (x * x).sum(axis=1)
 
-    def __getitem__(self, i: int) -> np.ndarray:
-        row = self.kept.pop(i, None)
-        if row is None:
-            apart = self.norms[i] + self.norms - 2 * (self.x @ self.x[i])
-            row = np.exp(-self.gamma * np.maximum(apart, 0))
-            if len(self.kept) >= CACHE_ROWS:
-                self.kept.pop(next(iter(self.kept)))
-        self.kept[i] = row
-        return row
+    def __getitem__(self, some: np.ndarray) -> np.ndarray:
+        """The rows of some numbers; those that are not kept are computed together."""
+        new = [i for i in some.tolist() if i not in self.kept]
+        if new:
+            apart = self.x[new] @ self.x.T
+            apart *= -2
+            apart += self.norms[new][:, None]
+            apart += self.norms
+            np.maximum(apart, 0, out=apart)
+            apart *= -self.gamma
+            self.kept |= zip(new, map(np.copy, np.exp(apart, out=apart)))
+        rows = np.stack([self.kept[i] for i in some.tolist()])
+        for i in some.tolist():  # the last used come last
+            self.kept[i] = self.kept.pop(i)
+        while len(self.kept) > CACHE_ROWS:
+            self.kept.pop(next(iter(self.kept)))
+        return rows
 
 
 def solve(
     x: np.ndarray, sign: np.ndarray, cost: np.ndarray, gamma: float, tol: float, start: np.ndarray | None = None
 ) -> tuple[np.ndarray, float]:
-    """Dual variables and bias of one problem: steps over two variables, chosen by first and second order, until the
-    largest violation is below ``tol``. ``start``: dual variables that keep the constraints, to go on from."""
+    """Dual variables and bias of one problem: blocks of the variables that violate most, each by steps over two
+    variables, chosen by first and second order, until the largest violation is below ``tol``. ``start``: dual variables that keep the constraints, to go on from."""
     alpha = np.zeros(len(sign)) if start is None else start.copy()
     grad, rows, held = -np.ones(len(sign)), _Rows(x, gamma), np.flatnonzero(alpha)
     for lo in range(0, len(held) and len(sign), SCORE_ROWS):
@@ -82,24 +92,40 @@ def solve(
             grad[part] += sign[part] * (rbf(x[part], x[some], gamma) @ (sign[some] * alpha[some]))
     while True:
         slope = -sign * grad
-        up = np.where(sign > 0, alpha < cost, alpha > 0)
-        down = np.where(sign > 0, alpha > 0, alpha < cost)
-        i = int(np.argmax(np.where(up, slope, -np.inf)))
-        least = np.where(down, slope, np.inf).min()
-        if slope[i] - least < tol:
-            return alpha, float(slope[i] + least) / 2
-        near = rows[i]
-        gap, curve = slope[i] - slope, np.maximum(2 - 2 * near, 1e-12)
-        j = int(np.argmax(np.where(down & (gap > 0), gap * gap / curve, -np.inf)))
-        room_i = cost[i] - alpha[i] if sign[i] > 0 else alpha[i]
-        room_j = alpha[j] if sign[j] > 0 else cost[j] - alpha[j]
-        step = min(gap[j] / curve[j], room_i, room_j)
-        alpha[i] += sign[i] * step
-        alpha[j] -= sign[j] * step
-        for k, room in ((i, room_i), (j, room_j)):  # at a bound exactly, whatever the rounding
-            if step == room:
-                alpha[k] = 0.0 if alpha[k] < cost[k] / 2 else cost[k]
-        grad += sign * (near - rows[j]) * step
+        up = np.where(np.where(sign > 0, alpha < cost, alpha > 0), slope, -np.inf)
+        down = np.where(np.where(sign > 0, alpha > 0, alpha < cost), slope, np.inf)
+        most, least = up.max(), down.min()
+        if most - least < tol:
+            return alpha, float(most + least) / 2
+        half = min(BLOCK_ROWS // 2, len(sign))
+        block = np.union1d(np.argpartition(-up, half - 1)[:half], np.argpartition(down, half - 1)[:half])
+        near = rows[block]
+        before = alpha[block]
+        alpha[block] = _steps(near[:, block], sign[block], cost[block], before, grad[block], max(tol, (most - least) / 8) / 2)
+        grad += sign * (((alpha[block] - before) * sign[block]) @ near)
+
+
+def _steps(
+    near: np.ndarray, sign: np.ndarray, cost: np.ndarray, alpha: np.ndarray, grad: np.ndarray, tol: float
+) -> np.ndarray:
+    """Dual variables of a block, the others held: steps over two variables until the block's violation is below ``tol``."""
+    alpha, slope, plus = alpha.copy(), -sign * grad, sign > 0
+    # a variable is looked at as sign * alpha between its bounds
+    low, high, value = np.where(plus, 0.0, -cost), np.where(plus, cost, 0.0), sign * alpha
+    curves = np.maximum(2 - 2 * near, 1e-12)
+    for _ in range(BLOCK_STEPS * len(sign)):
+        i = int(np.argmax(np.where(value < high, slope, -np.inf)))
+        gap = np.where(value > low, slope[i] - slope, -np.inf)
+        if gap.max() < tol:
+            break
+        j = int(np.argmax(np.where(gap > 0, gap * gap / curves[i], -np.inf)))
+        room_i, room_j = high[i] - value[i], value[j] - low[j]
+        step = min(gap[j] / curves[i, j], room_i, room_j)
+        # at a bound exactly, whatever the rounding
+        value[i] = high[i] if step == room_i else value[i] + step
+        value[j] = low[j] if step == room_j else value[j] - step
+        slope -= (near[i] - near[j]) * step
+    return sign * value
 
 
 def _solve_part(c: float, weights: np.ndarray, gamma: float, tol: float):
